@@ -2,24 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import reports  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def agg_07_daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ok = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.floor(F.avg("value") * 100 + 0.5).cast("long").alias("avg_value_x100"), F.sum(ok).alias("n_ok"))
-
-
-QUERIES["agg_07_daily_trend"] = agg_07_daily_trend
-ORACLES["agg_07_daily_trend"] = """
-SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(floor(avg(value) * 100 + 0.5) AS BIGINT) AS avg_value_x100,
-       CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n_ok
-FROM events GROUP BY 1
-"""
+__all__ = ["ORACLES", "QUERIES"]
