@@ -26,6 +26,12 @@ def greedy_assign(candidates: DataFrame, src: str = "src", doc: str = "doc", sco
     return candidates.select(src, doc, score).limit(0) if found is None else found.select(src, doc, score)
 
 
+def pair_by_rank(left: DataFrame, right: DataFrame, score: float, key: str = "key", src: str = "src", doc: str = "doc") -> DataFrame:
+    """Greedy one-to-one matches by a single key: its k-th source takes its k-th document."""
+    rank = lambda df, i: df.select(i, key, F.row_number().over(Window.partitionBy(key).orderBy(i)).alias("_k"))
+    return rank(left, src).join(rank(right, doc), [key, "_k"]).select(src, doc, F.lit(score).alias("score"))
+
+
 def token_pairs(left: DataFrame, right: DataFrame, threshold: float, tokens: str = "tokens", left_id: str = "src", right_id: str = "doc") -> DataFrame:
     """All pairs whose token sets have Jaccard similarity of ``threshold`` or more: (left_id, right_id, score).
 
@@ -51,14 +57,25 @@ def key_pairs(left: DataFrame, right: DataFrame, keys: str = "keys", scores: str
     return rows.where(F.col(key) != "").join(right.select(right_id, key), key).groupBy(left_id, right_id).agg(F.max("score").alias("score"))
 
 
-def staged_matches(stages: list[tuple[str, DataFrame]], src: str = "src", doc: str = "doc") -> DataFrame:
-    """Greedy assignment stage by stage, each on what the stages before left free: src, doc, score, method."""
+def still_free(df: DataFrame, found: DataFrame | None, *columns: str) -> DataFrame:
+    for c in columns if found is not None else ():
+        df = df.join(found.select(c), c, "left_anti")
+    return df
+
+
+def staged_matches(stages: list[tuple], src: str = "src", doc: str = "doc") -> DataFrame:
+    """Greedy assignment stage by stage, each on what the stages before left free: src, doc, score, method.
+
+    A stage is (method, candidates) or, if it goes by a single key, (method, sources, documents, score).
+    """
     found = None
-    for method, candidates in stages:
-        if found is not None:
-            candidates = candidates.join(found.select(src), src, "left_anti").join(found.select(doc), doc, "left_anti")
-        got = greedy_assign(candidates, src, doc).withColumn("method", F.lit(method))
-        found = got if found is None else cut(found.unionByName(got))
+    for method, first, *more in stages:
+        if more:
+            got = pair_by_rank(still_free(first, found, src), still_free(more[0], found, doc), more[1], src=src, doc=doc)
+        else:
+            got = greedy_assign(still_free(first, found, src, doc), src, doc)
+        got = got.withColumn("method", F.lit(method))
+        found = cut(got if found is None else found.unionByName(got))
     return found
 
 
@@ -73,9 +90,8 @@ def match_endpoints(sources: DataFrame, docs: DataFrame, threshold: float = 0.6)
     right = docs.select("doc", T.normalize_path(F.col("path")).alias("key"))
     exact = key_pairs(left, right)
     resource = lambda df, i: df.select(i, T.resource_path(F.col("path")).alias("key")).where(F.col("key").contains("/"))
-    same = resource(sources, "src").join(resource(docs, "doc"), "key").select("src", "doc", F.lit(0.85).alias("score"))
     words = lambda df, i: df.select(i, T.path_tokens(F.col("path")).alias("tokens"))
-    return staged_matches([("exact", exact), ("resource", same), ("fuzzy", token_pairs(words(sources, "src"), words(docs, "doc"), threshold))])
+    return staged_matches([("exact", exact), ("resource", resource(sources, "src"), resource(docs, "doc"), 0.85), ("fuzzy", token_pairs(words(sources, "src"), words(docs, "doc"), threshold))])
 
 
 def match_tables(sources: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -86,11 +102,10 @@ def match_tables(sources: DataFrame, docs: DataFrame, threshold: float = 0.6) ->
     """
     left = sources.select("src", T.normalize_table(F.col("name")).alias("a"))
     right = docs.select("doc", T.normalize_table(F.col("name")).alias("b"))
-    exact = left.join(right, F.col("a") == F.col("b")).select("src", "doc", F.lit(1.0).alias("score"))
     near = edit_pairs(left, right).select("src", "doc", F.lit(0.8).alias("score"))
     words = lambda df, i, c: df.select(i, F.filter(F.split(c, "_"), lambda w: w != "").alias("tokens"))
     fuzzy = near.unionByName(token_pairs(words(left, "src", "a"), words(right, "doc", "b"), threshold)).groupBy("src", "doc").agg(F.max_by("score", F.struct((F.col("score") == 0.8).cast("int"), F.col("score"))).alias("score"))
-    return staged_matches([("exact", exact), ("fuzzy", fuzzy)])
+    return staged_matches([("exact", left.withColumnRenamed("a", "key"), right.withColumnRenamed("b", "key"), 1.0), ("fuzzy", fuzzy)])
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, edits: int = 2) -> DataFrame:
@@ -109,7 +124,8 @@ def edit_pairs(left: DataFrame, right: DataFrame, edits: int = 2) -> DataFrame:
     y = right.where(m > 0).select("doc", "b", lengths)
     size = lambda i: (F.floor(F.col("n") * (i + 1) / parts) - F.floor(F.col("n") * i / parts)).cast("int")
     at = lambda i: F.floor(F.col("n") * i / parts).cast("int")
-    spots = F.flatten(F.array(*(F.transform(F.sequence(F.greatest(F.lit(0), at(i) - edits), at(i) + edits), lambda s, i=i: F.struct(F.lit(i).alias("i"), F.substr(F.col("b"), s + 1, size(i)).alias("p"))) for i in range(parts))))
+    part = lambda i: lambda s: F.struct(F.lit(i).alias("i"), F.substr(F.col("b"), s + 1, size(i)).alias("p"))
+    spots = F.flatten(F.array(*(F.transform(F.sequence(F.greatest(F.lit(0), at(i) - edits), at(i) + edits), part(i)) for i in range(parts))))
     y = y.select("doc", "b", "n", F.explode(F.array_distinct(spots)).alias("y")).select("doc", "b", "n", "y.*")
     long = x.join(y, ["i", "p", "n"]).select("src", "a", "doc", "b").distinct()
     short = left.where(n < parts).join(right.where(m <= parts - 1 + edits), F.abs(F.length("a") - F.length("b")) <= edits).select("src", "a", "doc", "b")
@@ -124,6 +140,18 @@ def match_columns(pairs: DataFrame, source_columns: DataFrame, doc_columns: Data
     return j.groupBy("src", "doc", "column").agg(F.min_by("doc_column", "position").alias("doc_column"))
 
 
+def overlap_pairs(rows: DataFrame, threshold: float, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
+    """Ordered pairs (i < j) with |A & B| >= threshold * |A|, A the words of i: (i, j, overlap)."""
+    t = rows.select(F.col(id_col).alias("i"), F.explode(F.array_distinct(tokens)).alias("t"), F.size(F.array_distinct(tokens)).alias("n"))
+    # Of |A| words, at most (1 - threshold) * |A| may be lacking: one of the rarest n - ceil(threshold * n) + 1 is shared.
+    ranked = t.join(t.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("p", F.row_number().over(Window.partitionBy("i").orderBy("f", "t")))
+    heads = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("i", "t")
+    pairs = heads.join(t.select(F.col("i").alias("j"), "t"), "t").where("i < j").select("i", "j").distinct()
+    words = rows.select(F.col(id_col).alias("i"), F.array_distinct(tokens).alias("a"))
+    both = pairs.join(words, "i").join(words.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+    return both.select("i", "j", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
 def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs (src, doc) in which one name contains the other, blocked by character grams.
 
