@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows are at most this many.
 BROADCAST_ROWS = 100_000
+#: Folders made for applications that name none.
+LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="oreline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = LOCAL.get(app) or LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="oreline-"))
     return found.rstrip("/")
 
 

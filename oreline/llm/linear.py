@@ -10,8 +10,8 @@ class Rows:
 
     def __init__(self, lists: list[np.ndarray], n_columns: int, dense: np.ndarray | None = None):
         self.n, self.d = len(lists), n_columns
-        self.columns = np.concatenate(lists).astype(np.int64) if lists else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in lists])
+        self.columns = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in lists])
         self.dense = np.empty((self.n, 0)) if dense is None else dense
 
     def dot(self, w: np.ndarray) -> np.ndarray:

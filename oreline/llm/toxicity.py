@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
 from .linear import Rows, fit_logistic, logit, sigmoid
 
-SAMPLE = 10_000  # labelled rows that the chain is fitted on, at most
+SAMPLE = 6_000  # labelled rows that the chain is fitted on, at most
 FEATURES = 20_000  # columns kept, by document frequency in the sample
 HASHED = 2**20
 FOLDS = 3
@@ -90,7 +91,11 @@ def train_chain(lists: list[np.ndarray], labels: np.ndarray, categories: list[st
     number, times = np.unique(np.concatenate([*lists, np.empty(0, np.int32)]), return_counts=True)
     often = number[np.lexsort((number, -times))][:FEATURES]
     known = {int(x): i for i, x in enumerate(often)}
-    lists = [np.array([known[x] for x in row.tolist() if x in known], np.int32) for row in lists]
+    return train_known([np.array([known[x] for x in row.tolist() if x in known], np.int32) for row in lists], known, labels, categories, l2)
+
+
+def train_known(lists: list[np.ndarray], known: dict[int, int], labels: np.ndarray, categories: list[str], l2: float = 0.2) -> Chain:
+    """The same on rows of kept columns."""
     fold = np.arange(len(lists)) % FOLDS
     before, weights = np.empty((len(lists), 0)), []
     for c in range(len(categories)):
@@ -103,11 +108,11 @@ def train_chain(lists: list[np.ndarray], labels: np.ndarray, categories: list[st
     return Chain(categories, known, weights, best_threshold(sigmoid(out), y))
 
 
-def fit_chain(labelled: DataFrame, categories: list[str], text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Chain:
-    """Fit on the ``sample`` labelled rows of least hashed id; rows with a null label are left out.
+def fit_chain(labelled: DataFrame, categories: list[str], text_col: str = "text", id_col: str = "doc_id") -> Chain:
+    """Fit on all given rows - a bounded sample - but those with a null label.
 
-    Features are computed where the rows are; only column lists (bounded by ``sample``
-    and HASHED) come to the driver.
+    Features are computed and their document frequencies counted where the rows are;
+    only lists of the FEATURES most frequent columns come to the driver.
     """
     rows = labelled.dropna(subset=categories).select(F.xxhash64(F.col(id_col)).alias("_h"), text_bytes(text_col).alias("_text"), *(F.col(c).cast("int") for c in categories))
 
@@ -115,9 +120,19 @@ def fit_chain(labelled: DataFrame, categories: list[str], text_col: str = "text"
         for pdf in batches:
             yield pdf.assign(_f=feature_lists(pdf.pop("_text"), None, {}))
 
-    got = rows.mapInPandas(lists, "_h long, " + "".join(f"`{c}` int, " for c in categories) + "_f array<int>").orderBy("_h").limit(sample).toPandas()
+    kinds = "_h long, " + "".join(f"`{c}` int, " for c in categories) + "_f array<int>"
+    some = stage(rows.mapInPandas(lists, kinds).repartition(8), "chain-sample")
+    often = some.select(F.explode("_f").alias("f")).groupBy("f").count().where("count > 2").orderBy(F.desc("count"), "f").limit(FEATURES)
+    known = {r["f"]: i for i, r in enumerate(often.collect())}
+    sent = labelled.sparkSession.sparkContext.broadcast(known)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_f=[np.array(sorted(sent.value[x] for x in row.tolist() if x in sent.value), np.int32) for row in pdf["_f"]])
+
+    got = some.mapInPandas(keep, kinds).toPandas().sort_values("_h", kind="stable")
     labels = got[categories].to_numpy() if len(got) else np.zeros((0, len(categories)))
-    return train_chain([np.asarray(x, np.int32) for x in got["_f"]], labels, categories)
+    return train_known([np.asarray(x, np.int32) for x in got.pop("_f")], known, labels, categories)
 
 
 def text_bytes(text_col: str) -> Column:
@@ -161,5 +176,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
     one = labels.where(F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = one.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
     some = docs.select(id_col, "text").join(F.broadcast(ids), id_col)  # at most ``sample`` rows
-    chain = fit_chain(weak_categories(some), [*SEEDS, "toxic"], id_col=id_col, sample=sample)
+    chain = fit_chain(weak_categories(some), [*SEEDS, "toxic"], id_col=id_col)
     return score_chain(docs, chain, threshold=threshold)
