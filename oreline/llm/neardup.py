@@ -262,4 +262,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
     """``docs`` without the rows that are not kept; rows of one id stay or go together."""
     gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(id_col).distinct()
     gone = stage(gone, "dedup-gone")
-    return lookup_join(docs, gone, [id_col], gone.count(), "left_anti")
+    return lookup_join(docs, gone, [id_col], gone.count(), "left_anti").select(docs.columns)

@@ -35,16 +35,18 @@ def page_checksum(page: bytes) -> int:
 def pages_of(serial: int, packets: list[bytes], granules: list[int]) -> Iterator[bytes]:
     """Pages of a logical stream; granules[i] is the position after packet i.
 
-    A page has at most 255 lacing values; a packet may go on in the next page.
+    The first packet has a page of its own. A page has at most 255 lacing values; a
+    packet may go on in the next page.
     """
     lacing: list[tuple[int, int]] = []  # value, packet it ends or -1
     for i, p in enumerate(packets):
         lacing += [(255, -1)] * (len(p) // 255) + [(len(p) % 255, i)]
     body, at = b"".join(packets), 0
-    for number, k in enumerate(range(0, len(lacing), 255)):
-        part = lacing[k : k + 255]
+    starts = [0, *range(min(255, len(packets[0]) // 255 + 1), len(lacing), 255)] if packets else []
+    for number, (k, end) in enumerate(zip(starts, [*starts[1:], len(lacing)], strict=True)):
+        part = lacing[k:end]
         ended = [i for _, i in part if i >= 0]
-        flags = (k > 0 and lacing[k - 1][1] < 0) | 2 * (k == 0) | 4 * (k + 255 >= len(lacing))
+        flags = (k > 0 and lacing[k - 1][1] < 0) | 2 * (k == 0) | 4 * (end == len(lacing))
         size = sum(v for v, _ in part)
         table = bytes(v for v, _ in part)
         granule = granules[ended[-1]] if ended else -1
@@ -65,7 +67,7 @@ def mux(sound: bytes, notes: bytes) -> bytes:
 def demux(data: bytes) -> list[dict]:
     """Logical streams by serial number.
 
-    A page with a wrong checksum or a cut end is counted as bad with its stream (or
+    A page with a wrong checksum or, in a known stream, a cut end is counted as bad (or
     skipped, if its head cannot be read) and its packets are lost; the search for the
     next page goes on byte by byte after its head.
     """
@@ -77,6 +79,8 @@ def demux(data: bytes) -> list[dict]:
         size = sum(data[at + 27 : body])
         end = body + size
         if version or end > len(data):
+            if serial in streams:
+                streams[serial]["bad_pages"] += 1
             at = data.find(b"OggS", at + 1)
             continue
         s = streams.setdefault(serial, {"serial": serial, "pages": 0, "bad_pages": 0, "lost_pages": 0, "granule": 0, "ended": False, "packets": [], "times": [], "_open": None, "_next": 0})

@@ -19,7 +19,7 @@ def test_stages_against_plain_python(spark, tmp_path):
         if i % 10 == 1:
             words += " password=abcdefabcdef123456"
         rows.append((i, words, "en", f"src{i % 4}", len(words)))
-    rows += [(1000 + i, rows[i][1].upper(), "en", "src1", len(rows[i][1])) for i in range(2, 40, 10)] + [(2000, None, None, None, None)]
+    rows += [(1000 + i, "".join(c.upper() if c.isascii() else c for c in rows[i][1]), "en", "src1", len(rows[i][1])) for i in range(2, 40, 10)] + [(2000, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = queries.table(spark, str(tmp_path), "documents")
