@@ -107,7 +107,7 @@ def test_components(spark):
 def test_dropping(spark, edges):
     left = N.drop_near_duplicates(edges)
     assert left.columns == edges.columns
-    assert {r["doc_id"] for r in left.collect() if r["doc_id"] in (105, 106, 107, 103, 104, 108, 109)} == {103, 105, 108}
+    assert {r["doc_id"] for r in left.collect() if r["doc_id"] in (105, 106, 107, 103, 104, 108, 109)} == {103, 105, 107, 108}  # 107: only A-Z are folded, and Ü and É differ
 
 
 def test_nothing(nothing):
