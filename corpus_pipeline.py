@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from oreline.llm import mixing, neardup, packing, queries, secrets, toxicity
 from oreline.llm.common import shared_dir
 
+#: Words of a shingle, and per cent of common shingles from which documents are near-duplicates.
+SHINGLE, NEAR_PERCENT = 5, 80
 #: Per cent of the tokens that the mix may hold.
 MIX_PERCENT = 90
 
@@ -25,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id."""
-    return neardup.drop_near_duplicates(docs).select(docs.columns)
+    return neardup.drop_near_duplicates(docs, size=SHINGLE, percent=NEAR_PERCENT).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on full sets.
 
-A signature has TREES times STEP minima. Tree t reads it from position t * STEP on,
-around its end; its sorted order is cut into regions of rows that share their first
-STEP minima. Two sets of Jaccard 0.85 fail to meet in any of 24 trees with
-probability (1 - 0.85^5)^24 < 1e-6. Where a region is dense its depth doubles, and
-doubles again, so that neighbours of longer common prefix are tried as well.
+A signature has ``trees`` times ``step`` minima. Tree t reads it from position t * step
+on, around its end; its sorted order is cut into regions of rows that share their first
+``step`` minima. There are as many trees as the threshold needs: two sets of Jaccard
+0.85 fail to meet in any of 24 trees with probability (1 - 0.85^5)^24 < MISS, two of
+0.8 in any of 35. Where a region is dense its depth doubles, and doubles again, so that
+neighbours of longer common prefix are tried as well.
 
 First round: the rows of every region, of each depth, are compared with the region's
 hub - the row whose regions are the fullest - which joins the copies of one original
@@ -17,7 +18,9 @@ large-star and small-star steps. Documents of equal sets are one row throughout.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,18 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, stage
 
-TREES, STEP = 24, 5
-WIDTH = TREES * STEP
-DEPTHS = (STEP, 2 * STEP, 4 * STEP)
+STEP, MOST_TREES = 5, 48  # minima that a region's rows share, fewer where more trees than that would be needed
+MISS = 1e-6  # share of pairs at the threshold that may meet in no tree
+DEPTHS = (1, 2, 4)  # in steps
 DENSE = 32  # rows from which a region is also cut at the next depth
 BLOCK = 256
 #: A pair is compared in full unless its signatures agree in fewer positions than a
 #: pair of the threshold would in all but two of a million cases (4.6 deviations).
 DEVIATIONS = 4.6
 
-_random = np.random.Generator(np.random.PCG64(2024))
-ODD = _random.integers(0, 2**32, WIDTH, dtype=np.uint32) | np.uint32(1)
-FLIP = _random.integers(0, 2**32, WIDTH, dtype=np.uint32)
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -62,11 +62,29 @@ def shingle_set(text: bytes, size: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
+def forest_shape(percent: int) -> tuple[int, int]:
+    """(trees, step) with which a pair at the threshold meets in no tree in a share of MISS cases at most."""
+    for step in range(STEP, 0, -1):
+        p = (percent / 100) ** step
+        trees = 1 if p >= 1 else math.ceil(math.log(MISS) / math.log1p(-p))
+        if trees <= MOST_TREES:
+            break
+    return trees, step
+
+
+@cache
+def hash_family(width: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.Generator(np.random.PCG64(2024))
+    odd = random.integers(0, 2**32, width, dtype=np.uint32) | np.uint32(1)
+    return odd, random.integers(0, 2**32, width, dtype=np.uint32)
+
+
+def signature(shingles: np.ndarray, width: int) -> np.ndarray:
+    odd, flip = hash_family(width)
+    low = np.full(width, 0xFFFFFFFF, np.uint32)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
     for a in range(0, len(h), 2048):
-        np.minimum(low, ((h[a : a + 2048, None] ^ FLIP) * ODD).min(0), out=low)
+        np.minimum(low, ((h[a : a + 2048, None] ^ flip) * odd).min(0), out=low)
     return low
 
 
@@ -89,9 +107,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def least_agreement(percent: int) -> int:
+def least_agreement(percent: int, width: int) -> int:
     j = percent / 100
-    return int(np.floor(WIDTH * (j - DEVIATIONS * np.sqrt(j * (1 - j) / WIDTH))))
+    return int(np.floor(width * (j - DEVIATIONS * np.sqrt(j * (1 - j) / width))))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, text_col: str, id_col: str) -> DataFrame:
@@ -133,6 +151,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
     an id with several texts stands for all of them. Other columns are not carried;
     no rows: no rows. The id column must be integer.
     """
+    trees, step = forest_shape(percent)
+    width = trees * step
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
             for t in pdf["_text"]:
                 s = shingle_set(bytes(t), size)
                 k = [int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, mixed(s))]
-                out.append((len(s), *k, signature(s).tobytes() if len(s) else None))
+                out.append((len(s), *k, signature(s, width).tobytes() if len(s) else None))
             yield pd.DataFrame(out, columns=["n", "k1", "k2", "_sig"]).assign(_id=pdf["_id"].to_numpy())
 
     all_rows = stage(
@@ -154,18 +174,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint32).reshape(-1, WIDTH).astype(np.uint64)
-            around = np.concatenate([sig, sig], axis=1)
+            sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint32).reshape(-1, width).astype(np.uint64)
             out = {}
             for d, depth in enumerate(DEPTHS):
-                keys = np.empty((len(sig), TREES), np.uint64)
-                for t in range(TREES):
-                    acc = np.full(len(sig), t + TREES * d, np.uint64)
-                    for i in range(depth):
-                        acc = mixed(acc * M1 + around[:, t * STEP + i])
+                keys = np.empty((len(sig), trees), np.uint64)
+                for t in range(trees):
+                    acc = np.full(len(sig), t + trees * d, np.uint64)
+                    for i in range(depth * step):
+                        acc = mixed(acc * M1 + sig[:, (t * step + i) % width])
                     keys[:, t] = acc
                 out[f"r{d}"] = keys.ravel().view(np.int64)
-            yield pd.DataFrame(out).assign(_rep=np.repeat(pdf["_rep"].to_numpy(), TREES))
+            yield pd.DataFrame(out).assign(_rep=np.repeat(pdf["_rep"].to_numpy(), trees))
 
     forest = reps.select("_rep", "_sig").mapInPandas(plant, "r0 long, r1 long, r2 long, _rep long")
     levels, rows = [], forest
@@ -180,13 +199,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
     hubs = placed.groupBy("_region").agg(F.max_by("_rep", F.struct("_full", -F.col("_rep"))).alias("_hub"))
     tries = placed.join(hubs, "_region").where("_rep <> _hub").select(F.greatest("_rep", "_hub").alias("a"), F.least("_rep", "_hub").alias("b")).distinct()
 
-    enough = least_agreement(percent)
+    enough = least_agreement(percent, width)
     sizes = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     side = lambda x: reps.select(F.col("_rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("_sig").alias(f"sig_{x}"))
 
     @F.pandas_udf("boolean")
     def may_link(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, WIDTH) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, width) for s in (a, b))
         return pd.Series((x == y).sum(1) >= enough)
 
     tried = stage(tries.join(side("a"), "a").join(side("b"), "b").where(sizes(F.col("n_a"), F.col("n_b"))).where(may_link("sig_a", "sig_b")).select("a", "b"), "dedup-tries")
@@ -229,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
             """Links between the two blocks, one for each row on the left and component on the right."""
             out, left, right = [], pdf[pdf["_left"]], pdf[~pdf["_left"]]
             if len(left) and len(right):
-                sig = lambda p: np.frombuffer(b"".join(p["_sig"]), np.uint32).reshape(-1, WIDTH)
+                sig = lambda p: np.frombuffer(b"".join(p["_sig"]), np.uint32).reshape(-1, width)
                 n1, n2 = left["n"].to_numpy(), right["n"].to_numpy()
                 may = (left["_label"].to_numpy()[:, None] != right["_label"].to_numpy()) & (100 * np.minimum(n1[:, None], n2) >= percent * np.maximum(n1[:, None], n2))
                 for i in np.flatnonzero(may.any(1)):

@@ -112,3 +112,10 @@ def test_dropping(spark, edges):
 
 def test_nothing(nothing):
     assert N.near_duplicates(nothing).count() == 0
+
+
+def test_forest_fits_the_threshold():
+    assert N.forest_shape(85) == (24, 5)
+    for percent in range(30, 100):
+        trees, step = N.forest_shape(percent)
+        assert (1 - (percent / 100) ** step) ** trees <= N.MISS

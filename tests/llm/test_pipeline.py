@@ -49,3 +49,31 @@ def test_stages_against_plain_python(spark, tmp_path):
 def test_names():
     assert [n for n, _ in C.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"] and C.ORACLE_SQL is None
     assert len(queries.QUERIES) == 10
+
+
+def test_near_copies_by_five_words_from_four_fifths_on(spark, tmp_path):
+    """A copy with a fifth appended goes (0.83); one with three tenths appended stays (0.77)."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.random()}" for _ in range(204)]
+        more = [f"x{rng.random()}" for _ in range(40 if i % 2 else 60)]
+        rows += [(i, " ".join(words), "en", "src1", 1), (100 + i, " ".join(words + more), "en", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in C.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(40)) | set(range(100, 140, 2))
+
+
+def test_near_copies_with_words_changed(spark, tmp_path):
+    """Words changed apart in 200 shingles of five: with four, 180 of 220 are common (0.82); with eight, 160 of 240 (0.67), but 178 of 226 of three."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.random()}" for _ in range(204)]
+        near = list(words)
+        for k in range(8 if i % 2 else 4):
+            near[10 + 20 * k] = f"x{rng.random()}"
+        rows += [(i, " ".join(words), "en", "src1", 1), (100 + i, " ".join(near), "en", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in C.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(20)) | set(range(101, 120, 2))
