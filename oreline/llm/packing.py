@@ -4,13 +4,15 @@ Pieces of one length are alike, so packing works on the number of pieces of each
 length - at most ``capacity`` numbers at any input size - and on groups of bins with
 equal contents. Best fit, longest first, gives the first packing; then local search
 changes underfull bins: it moves pieces and swaps one for one or two for one, always
-raising the sum of squared fills, until bins are empty. Pieces are numbered within
+raising the sum of squared fills, until no change does or the fewest bins that could
+hold all pieces are left. Pieces are numbered within
 their length by Spark, and a piece's number decides its bin.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -165,78 +167,179 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[Bins]:
     return done + [b for r in rooms for b in by_room[r]]
 
 
-def exchange(a: Bins, b: Bins, capacity: int) -> tuple[Counter, Counter] | None:
-    """The best change between a bin of ``a`` and one of ``b``, no fuller: pieces that leave a, and b.
-
-    A move, a one-for-one or a two-for-one swap that brings ``a`` as near to full as
-    any can; None if none raises the sum of squares.
-    """
-    gap, best, out = capacity - a.fill, 0, None
-    pairs = lambda x: [(p, q) for i, p in enumerate(x.items) for q in list(x.items)[i:] if p != q or x.items[p] > 1]
-    mine, theirs = [(), *((p,) for p in a.items), *pairs(a)], [*((p,) for p in b.items), *pairs(b)]
-    by_sum: dict[int, tuple] = {}
-    for m in mine:
-        by_sum.setdefault(sum(m), m)
-    sums = sorted(by_sum)
-    for t in theirs:
-        s = sum(t)
-        i = bisect.bisect_left(sums, s - gap)
-        if i < len(sums) and sums[i] < s and s - sums[i] > best and len(by_sum[sums[i]]) + len(t) <= 3:
-            best, out = s - sums[i], (Counter(by_sum[sums[i]]), Counter(t))
+def few_pieces(items: dict[int, int]) -> dict[int, tuple[int, ...]]:
+    """By sum: the fewest pieces of a bin, two at most, that have that sum."""
+    out: dict[int, tuple[int, ...]] = {0: ()}
+    out.update((p, (p,)) for p in items)
+    lengths = list(items)
+    for i, p in enumerate(lengths):
+        for q in lengths[i:]:
+            if p != q or items[p] > 1:
+                out.setdefault(p + q, (p, q))
     return out
 
 
-def local_search(bins: list[Bins], capacity: int, least: int, effort: int = 30_000) -> list[Bins]:
-    """Empty the emptiest bins into fuller ones until ``least`` bins are left or nothing improves.
+class Search:
+    """Groups of underfull bins, and flat arrays of the pieces that each may give or take.
+
+    An exchange moves ``come`` pieces from a bin of the giver and ``leave`` pieces back,
+    three together at most, so that the receiver gains and the squares of both fills
+    rise in sum. An entry of the arrays is one sum of a group's few pieces. Entries of
+    groups without bins have a top that no piece is below and a fill that none reaches.
+    """
 
-    A change between two groups is made in as many bins as both have. ``effort``
-    bounds the pairs of groups that are looked at; it does not depend on the input.
+    NEVER = 1 << 40
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.groups: list[Bins] = []
+        self.few: list[dict[int, tuple[int, ...]]] = []
+        self.at: list[slice] = []
+        self.known: dict[frozenset, int] = {}
+        self.used = 0
+        self.sums, self.sizes, self.owner, self.fill, self.top = (np.zeros(1024, np.int64) for _ in range(5))
+
+    def add(self, items: dict[int, int], count: int) -> int:
+        """The group of those contents, with ``count`` bins more."""
+        content = frozenset(items.items())
+        g = self.known.get(content)
+        if g is None:
+            g = self.known[content] = len(self.groups)
+            self.groups.append(Bins(items, 0))
+            self.few.append(few_pieces(self.groups[g].items))
+            self.at.append(slice(0, 0))
+        if not self.groups[g].count:
+            self.enter(g)
+        self.groups[g].count += count
+        return g
+
+    def enter(self, g: int) -> None:
+        few, fill = self.few[g], self.groups[g].fill
+        if self.used + len(few) > len(self.sums):
+            self.make_room(len(few))
+        at = self.at[g] = slice(self.used, self.used + len(few))
+        self.used = at.stop
+        self.sums[at] = list(few)
+        self.sizes[at] = [len(x) for x in few.values()]
+        self.owner[at], self.fill[at] = g, fill
+        self.top[at] = self.sums[at] + self.capacity - fill
+
+    def make_room(self, n: int) -> None:
+        """Leave out entries of groups without bins; the rest may fill half of the arrays at most."""
+        alive = np.flatnonzero(self.top[: self.used] >= 0)
+        size = max(1024, 2 * (len(alive) + n))
+        for name in ("sums", "sizes", "owner", "fill", "top"):
+            old, new = getattr(self, name), np.zeros(size, np.int64)
+            new[: len(alive)] = old[alive]
+            setattr(self, name, new)
+        self.used = len(alive)
+        first = np.flatnonzero(np.diff(self.owner[: self.used], prepend=-1))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), self.used], strict=True):
+            self.at[int(self.owner[a])] = slice(a, b)
+
+    def take(self, g: int, count: int) -> None:
+        self.groups[g].count -= count
+        if not self.groups[g].count:
+            at = self.at[g]
+            self.top[at], self.fill[at] = -1, self.NEVER
+
+    def exchange(self, x: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
+        """(giver, receiver, come, leave): the best change of ``x`` with any group, None if no change raises the squares.
+
+        As giver, x fills the fullest receiver as far as any change does; as
+        receiver, it is filled from the emptiest giver.
+        """
+        n, own = self.used, self.at[x]
+        sums, sizes, fill, top = self.sums[:n], self.sizes[:n], self.fill[:n], self.top[:n]
+        mine, full = self.groups[x].fill, self.capacity + 1
+        hidden = None
+        if self.groups[x].count < 2:  # a single bin has no other of its kind
+            hidden = top[own].copy()
+            top[own], fill[own] = -1, self.NEVER
+        best = None
+        low = sums + np.maximum(0, mine - fill)
+        for s, come in self.few[x].items():
+            if s:
+                i = np.flatnonzero((low < s) & (top >= s) & (sizes <= 3 - len(come)))
+                if len(i):
+                    k = i[np.argmax(fill[i] * full + s - sums[i])]
+                    rank = (int(fill[k]), s - int(sums[k]))
+                    if best is None or rank > best[0]:
+                        best = rank, x, int(self.owner[k]), come, int(sums[k])
+        found = best and (*best[1:4], self.few[best[2]][best[4]])
+        if best is None:
+            high = sums - np.maximum(0, fill - mine)
+            for s, leave in self.few[x].items():
+                i = np.flatnonzero((high > s) & (sums <= s + self.capacity - mine) & (sizes <= 3 - len(leave)))
+                if len(i):
+                    k = i[np.argmax(sums[i] - s - fill[i] * full)]
+                    rank = (-int(fill[k]), int(sums[k]) - s)
+                    if best is None or rank > best[0]:
+                        best = rank, int(self.owner[k]), x, int(sums[k]), leave
+            found = best and (best[1], x, self.few[best[1]][best[3]], best[4])
+        if hidden is not None:
+            top[own], fill[own] = hidden, mine
+        return found
+
+
+def local_search(bins: list[Bins], capacity: int, least: int) -> list[Bins]:
+    """Empty the emptiest bins into fuller ones until ``least`` bins are left or no exchange raises the squared fills.
+
+    A change between two groups is made in as many bins as both have. Groups that
+    were found to have no change with each other are settled; only new contents, and
+    groups that grow from one bin to more, are tried again, each with all groups.
     """
-    done = [b for b in bins if b.fill == capacity]
-    open_ = [b for b in bins if b.fill < capacity]
     total = sum(b.count for b in bins)
-    looked = 0
-    while total > least and open_ and looked < effort:
-        open_.sort(key=lambda b: (b.fill, b.count))
-        changed = False
-        for j, target in enumerate(open_):
-            for i in range(len(open_) - 1, j - 1, -1):
-                partner = open_[i]
-                if i == j and target.count < 2:
-                    continue
-                looked += 1
-                if looked > effort:
-                    break
-                found = exchange(partner, target, capacity)
-                if found is None:
-                    continue
-                leave, come = found
-                n = target.count // 2 if i == j else min(target.count, partner.count)
-                a, b = Counter(partner.items), Counter(target.items)
-                a.subtract(leave)
-                a.update(come)
-                b.subtract(come)
-                b.update(leave)
-                new = [Bins(a, n), Bins(b, n)]
-                if i == j:
-                    new.append(Bins(target.items, target.count - 2 * n))
-                else:
-                    new += [Bins(partner.items, partner.count - n), Bins(target.items, target.count - n)]
-                open_ = [x for k, x in enumerate(open_) if k not in (i, j)]
-                for x in new:
-                    if not x.count:
-                        continue
-                    if not x.items:
-                        total -= x.count
-                    else:
-                        (done if x.fill == capacity else open_).append(x)
-                changed = True
-                break
-            if changed:
+    if total <= least:
+        return bins
+    done: Counter = Counter()
+    search, waiting = Search(capacity), []
+    tried: set[int] = set()  # groups that have no change with each other
+
+    def put(items: dict[int, int], count: int) -> None:
+        items = {k: v for k, v in items.items() if v}
+        fill = sum(k * v for k, v in items.items())
+        if fill == capacity:
+            done[frozenset(items.items())] += count
+        else:
+            g = search.add(items, count)
+            if g not in tried:
+                heapq.heappush(waiting, (fill, g))
+            elif search.groups[g].count - count <= 1:
+                tried.discard(g)
+                heapq.heappush(waiting, (fill, g))
+
+    for b in bins:
+        put(b.items, b.count)
+    while waiting and total > least:
+        x = heapq.heappop(waiting)[1]
+        while x not in tried and search.groups[x].count and total > least:
+            found = search.exchange(x)
+            if found is None:
+                tried.add(x)
                 break
-        if not changed:
-            break
-    return done + open_
+            giver, receiver, come, leave = found
+            a, b = Counter(search.groups[receiver].items), Counter(search.groups[giver].items)
+            a.subtract(leave)
+            a.update(come)
+            b.subtract(come)
+            b.update(leave)
+            if giver == receiver:
+                n = search.groups[x].count // 2
+                search.take(x, 2 * n)
+            else:
+                n = min(search.groups[giver].count, search.groups[receiver].count)
+                search.take(giver, n)
+                search.take(receiver, n)
+            for g in (giver, receiver):
+                if not search.groups[g].count:
+                    tried.discard(g)
+            put(a, n)
+            if +b:
+                put(b, n)
+            else:
+                total -= n
+    return [Bins(dict(c), n) for c, n in done.items()] + [b for b in search.groups if b.count]
 
 
 def pack_lengths(lengths: dict[int, int], capacity: int) -> list[Bins]:

@@ -63,6 +63,45 @@ def test_local_search_empties_bins():
     assert sum(b.count for b in P.local_search(start, 9, 2)) == 2
 
 
+def improvement(bins: list[P.Bins], capacity: int):
+    """Any move, one-for-one or two-for-one swap that raises the sum of squared fills, found by trying all."""
+    one = lambda b: [*((p,) for p in b.items), *((p, q) for p in b.items for q in b.items if p < q or p == q and b.items[p] > 1)]
+    for i, a in enumerate(bins):
+        for j, b in enumerate(bins):
+            if i == j and a.count < 2:
+                continue
+            for come in one(b):
+                for leave in [(), *one(a)]:
+                    d = sum(come) - sum(leave)
+                    if len(come) + len(leave) <= 3 and 0 < d <= capacity - a.fill and (a.fill + d) ** 2 + (b.fill - d) ** 2 > a.fill**2 + b.fill**2:
+                        return a.items, b.items, come, leave
+    return None
+
+
+def test_search_ends_where_no_exchange_helps():
+    for seed in range(60):
+        r = random.Random(seed)
+        cap = r.choice([40, 100, 1000])
+        lengths = Counter(r.randint(cap // 5, cap // 2) for _ in range(r.randint(5, 60)))
+        last = P.pack_lengths(dict(lengths), cap)
+        least = -(-sum(k * v for k, v in lengths.items()) // cap)
+        assert sum(b.count for b in last) == least or improvement(last, cap) is None
+
+
+def test_search_goes_past_a_swap_of_too_many_pieces():
+    # The least sum that leaves 12+13 for 9+10 has two pieces: it is given up for 12 or 13 against 9 or 10.
+    start = [P.Bins({9: 1, 10: 1, 60: 1}, 1), P.Bins({12: 1, 13: 1, 40: 1}, 1)]
+    last = P.local_search(start, 86, 1)
+    assert improvement(last, 86) is None and sum(b.fill**2 for b in last) > 79**2 + 65**2
+
+
+def test_search_is_not_cut_short_among_many_groups():
+    r = random.Random(1)
+    lengths = dict(Counter(r.randint(1000, 1900) for _ in range(2500)))
+    first, last = (sum(b.count for b in f(lengths, 4096)) for f in (P.best_fit, P.pack_lengths))
+    assert last < 0.98 * first
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_table(spark, edges, capacity):
     pieces = P.tokenize_pieces(edges, PATH, capacity=capacity)
