@@ -3,10 +3,10 @@
 Frequent words are symbols of their own; any other word is a symbol of its spelling
 class and, within the class, has add-one probability - the same in every state, so a
 text's likelihood is the forward recursion over symbols times the words' shares of
-their classes. Counts of words come from all training texts. Baum-Welch starts on a
-bounded sample; then expected counts are summed over all training texts, partition
-by partition, in each pass. The forward recursion is scaled and runs over many texts
-at once, step by step.
+their classes. Counts of words come from all training texts. Baum-Welch starts from
+seeded random states; in each pass expected counts are summed over all training texts,
+partition by partition, until their likelihood gains little. The forward recursion is
+scaled and runs over many texts at once, step by step.
 
 Counts of the HEAD most frequent words are sent to the tasks; rarer words are joined
 with the table of counts, so no key of that join is frequent in the training texts.
@@ -31,8 +31,8 @@ HEAD = 150_000  # most frequent words whose counts the tasks hold
 SYMBOLS = 20_000  # of these, words that are symbols of their own
 CLASSES = 1_024  # spelling classes of all other words
 STATES = 8
-START_ROWS, START_TOKENS, START_PASSES = 1_500, 20_000, 12  # sample that training starts on
-PASSES = 2  # Baum-Welch passes over all training texts
+PASSES = 14  # Baum-Welch passes at least, for the likelihood gains little before the states part
+GAIN = 1e-3  # relative gain of log-likelihood below which passes end after these
 PRIOR = 200.0  # weight of the corpus distribution in a state's emissions
 END = b"\n"  # the end token: no word holds white space
 GROUP_TOKENS = 250_000  # padded tokens that are worked on at once
@@ -175,10 +175,12 @@ class Expected:
 
     def __init__(self, n_symbols: int, states: int):
         self.emit, self.step, self.start = np.zeros((n_symbols, states)), np.zeros((states, states)), np.zeros(states)
+        self.likelihood = 0.0
 
     def add(self, model: Hmm, texts: list[np.ndarray]) -> None:
         for _, symbols, running in groups(texts):
-            _, alphas, scales = forward(model, symbols, running, keep=True)
+            likelihood, alphas, scales = forward(model, symbols, running, keep=True)
+            self.likelihood += likelihood.sum()
             beta = np.ones((0, len(model.start)))
             back = None  # emission * beta / scale of the step after
             for t in range(len(running) - 1, -1, -1):
@@ -239,10 +241,11 @@ def as_symbols(column: pd.Series) -> list[np.ndarray]:
 
 
 def baum_welch(encoded: DataFrame, model: Hmm, passes: int) -> Hmm:
-    """Passes over all rows of ``encoded``: counts per partition, summed by symbol."""
+    """``passes`` or more over all rows of ``encoded``, until one gains little: counts per partition, summed by symbol."""
     spark, states = encoded.sparkSession, len(model.start)
     names = [f"s{i}" for i in range(states)]
-    for _ in range(passes):
+    done, last, now = 0, -np.inf, -np.inf
+    while done < passes or now - last > GAIN * abs(last):
         sent = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -251,16 +254,17 @@ def baum_welch(encoded: DataFrame, model: Hmm, passes: int) -> Hmm:
             for pdf in batches:
                 for a in range(0, len(pdf), 2000):
                     total.add(m, as_symbols(pdf["symbols"].iloc[a : a + 2000]))
-            rows = np.vstack([total.emit, total.step, total.start[None]])
+            rows = np.vstack([total.emit, total.step, total.start[None], np.full((1, states), total.likelihood)])
             used = np.flatnonzero(rows.any(1))
             yield pd.DataFrame(rows[used], columns=names).assign(symbol=used)
 
         summed = encoded.select("symbols").mapInPandas(expect, ", ".join(f"{n} double" for n in names) + ", symbol int").groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names))
-        total = np.zeros((len(model.emit) + states + 1, states))
-        for r in summed.collect():  # at most symbols + states + 1 rows
+        total = np.zeros((len(model.emit) + states + 2, states))
+        for r in summed.collect():  # at most symbols + states + 2 rows
             total[r["symbol"]] = [r[n] for n in names]
         k = len(model.emit)
         model = model.refit(total[:k], total[k : k + states], total[k + states])
+        done, last, now = done + 1, now, total[k + states + 1, 0]
         sent.unpersist()
     return model
 
@@ -284,16 +288,7 @@ def hmm_scores(docs: DataFrame, held: Column, text_col: str = "text", id_col: st
     training = encoded.where(~F.col("held"))
 
     background = np.concatenate([10 ** v.log_count[: v.own] - 1, v.class_size]) + 1
-    model = Hmm.random(background / background.sum(), states)
-    chosen = training.where(F.col("n_tokens") <= START_TOKENS).select("row").orderBy(F.xxhash64("row")).limit(START_ROWS)
-    start = training.join(F.broadcast(chosen), "row").select("row", "symbols").toPandas().sort_values("row")
-    if len(start):
-        texts = as_symbols(start["symbols"])
-        for _ in range(START_PASSES):
-            total = Expected(len(model.emit), states)
-            total.add(model, texts)
-            model = model.refit(total.emit, total.step, total.start)
-    model = baum_welch(training, model, passes)
+    model = baum_welch(training, Hmm.random(background / background.sum(), states), passes)
     final = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

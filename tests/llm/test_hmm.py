@@ -94,3 +94,27 @@ def test_nothing_to_train_on(spark, nothing):
     assert H.hmm_scores(nothing, held()).count() == 0
     (r,) = H.hmm_scores(as_documents(spark, [(1, "a b")]), F.lit(True)).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and r["score"] < 0
+
+
+def test_every_pass_sees_all_training_texts(spark, monkeypatch):
+    """Scores are those of plain passes over all texts, of which the last source is rare and one text is long."""
+    monkeypatch.setattr(H, "SYMBOLS", 12)
+    monkeypatch.setattr(H, "PASSES", 3)
+    monkeypatch.setattr(H, "GAIN", 0.02)
+    rng = random.Random(4)
+    words = [("ba", "bo", "bi"), ("zu", "zy", "zo"), ("ke", "ku", "ki")]
+    texts = [" ".join(rng.choice(words[0 if i % 2 else 1] if i < 1990 else words[2]) for _ in range(12)) for i in range(2000)] + [" ".join(rng.choice(words[2]) for _ in range(21_000))]
+    docs = as_documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["score"] for r in H.hmm_scores(docs, F.lit(False), states=2, passes=3).collect()}
+    v = H.build_vocabulary(H.count_words(docs.select(F.col("text").cast("binary").alias("_text"))))
+    coded = [np.array([v.symbol[v.place[w]] for w in tokens(t)], np.int32) for t in texts]
+    background = np.concatenate([10 ** v.log_count[: v.own] - 1, v.class_size]) + 1
+    model, seen = H.Hmm.random(background / background.sum(), 2), []
+    while len(seen) < 3 or seen[-1] - seen[-2] > 0.02 * abs(seen[-2]):
+        total = H.Expected(len(model.emit), 2)
+        total.add(model, coded)
+        model = model.refit(total.emit, total.step, total.start)
+        seen.append(total.likelihood)
+    for rows, symbols, running in H.groups(coded):
+        for i, x in zip(rows, H.forward(model, symbols, running)[0], strict=True):
+            assert math.isclose(got[i], x / math.log(10), rel_tol=1e-6)
