@@ -10,34 +10,51 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows are at most this many.
 BROADCAST_ROWS = 100_000
-#: Folders made for applications that name none.
+#: Folders made for applications on one machine that name none.
 LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is
-    made and kept for the session.
+    Only a session on one machine may name neither; it gets a temporary folder. On a
+    cluster each executor would write to a disk of its own, so that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = LOCAL.get(app) or LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="oreline-"))
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts lineage: a lost executor costs a re-read, not a recomputation. The path
+    is added to ``made``, so that :func:`remove` can delete what is read no more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged folders that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -51,6 +68,18 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int, how
     return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, keys, how)
 
 
-def columns_free(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns of the given working names (extra columns may clash)."""
-    return df.drop(*[n for n in names if n in df.columns])
+def working_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has in any case (extra columns may clash)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column name as one identifier, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"

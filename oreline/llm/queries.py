@@ -102,12 +102,13 @@ KNN_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
 s AS (
-  SELECT p.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(p.e) + 1), lambda i: p.e[i] * v.e[i])) AS BIGINT) AS score
+  SELECT p.vec_id AS query_id, p.e, v.vec_id, CAST(list_sum(list_transform(range(1, len(p.e) + 1), lambda i: p.e[i] * v.e[i])) AS BIGINT) AS score
   FROM p JOIN v ON p.vec_id <> v.vec_id AND len(p.e) = len(v.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
