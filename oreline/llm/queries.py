@@ -39,7 +39,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     number = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = secrets.span_text(F.filter("spans", lambda x: x["kind"] != "random"))
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))

@@ -2,31 +2,37 @@
 
 Everything is a Column expression. Spans are found as (gap, match, gap, ...): the
 pieces between matches give the offsets, in code points. Strings of code-like
-characters that no format covers go through the battery:
-
-* the encoding is inferred from the characters (hex, base32, alphanumeric, base64),
-* chi-squared statistic of the symbols against a uniform alphabet, its p-value
-  under the null "written words": non-central chi-squared whose non-centrality is
-  the string's length times the divergence of written words from uniform,
-* Wald-Wolfowitz runs of lower and upper half symbols, and lag-1 serial
-  correlation, both of which a random string must not reject.
-
-Strings that pass runs, correlation and uniformity are discoveries if their p-value
-stands the Benjamini-Hochberg step-up within their stratum (encoding and length
-band) at rate ``fdr``. The step-up works on a fixed grid of p-values, so that only
-counts per grid cell are gathered, at most 4 x 6 x 241 of them.
+characters that no format covers go through the battery. The encoding is inferred
+from the characters (hex, base32, alphanumeric, base64), and three tests ask whether
+the string is further from written or patterned text than chance allows. The null of
+each says that it is not random in one respect:
+
+* uniformity: the chi-squared statistic against a uniform alphabet is non-central, with
+  non-centrality the length times the divergence of written words from uniform; its
+  lower tail is taken by Sankaran's normal approximation,
+* runs of lower and upper half symbols (Wald-Wolfowitz) are fewer or more than expected
+  by FAR of the expectation or more,
+* the lag-1 serial correlation is FAR or more in size.
+
+A random string must reject all three, so the largest of the three p-values is its
+p-value (intersection-union test). All tested strings of an encoding and length band
+are one family, whatever their tests say, and the Benjamini-Hochberg step-up at rate
+``fdr`` decides in each. It works on a fixed grid of p-values, so that only counts
+per grid cell are gathered, at most 4 x 6 x 241 of them.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import quoted, stage, text_or_empty
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
 CODE = "A-Za-z0-9+/_=-"
 KINDS = ("assign", "access", "hex", "random")
 
@@ -41,6 +47,7 @@ ENCODINGS = (
 )
 BANDS = (24, 32, 48, 64, 128)
 STEPS, DEEPEST = 16, 15  # grid cells per power of ten, powers of ten
+FAR = 0.8  # relative departure of runs, and serial correlation, of patterned text
 BLOCK = 256
 
 
@@ -64,46 +71,90 @@ def add_spans(df: DataFrame, text: str, name: str, pattern: str, groups: dict[st
     )
     raw = raw.withColumn("_len", F.transform("_whole", lambda h, i: F.element_at("_gap", i + 1) + F.length(h)))
     raw = raw.withColumn("_end", running_ends(F.col("_len")))
-    fields = lambda e, i: [(e - F.length(F.element_at("_whole", i + 1))).alias("start"), e.alias("end"), *(F.element_at(f"_{g}", i + 1).alias(g) for g in groups)]
-    spans = F.transform("_end", lambda e, i: F.struct(*fields(e, i)))
+    parts = lambda e, i: [(e - F.length(F.element_at("_whole", i + 1))).alias("start"), e.alias("end"), *(F.element_at(f"_{g}", i + 1).alias(g) for g in groups)]
+    spans = F.transform("_end", lambda e, i: F.struct(*parts(e, i)))
     return raw.withColumn(name, F.filter(spans, lambda x: F.length(x[by]) >= least)).drop("_gap", "_len", "_end", *(f"_{g}" for g in groups))
 
 
-def normal_cdf(z: Column) -> Column:
-    """Logistic form of the normal distribution function (error under 2e-4, monotone)."""
-    return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
-
-
-def battery(token: Column) -> Column:
-    """Struct (encoding, band, cell, random) of a string; cell is the grid cell of its p-value, high for low p."""
-    s = F.regexp_replace(token, "=+$", "")
-    rank = F.lit(len(ENCODINGS) - 1)
-    for i in reversed(range(len(ENCODINGS) - 1)):
-        rank = F.when(s.rlike(ENCODINGS[i][1]), F.lit(i)).otherwise(rank)
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), rank + 1)
-    folded = F.when(rank == 0, F.lower(s)).otherwise(F.translate(s, "-_", "+/"))
-    k = pick([float(len(e[2])) for e in ENCODINGS])
-    n = F.length(s).cast("double")
-    squares = F.aggregate(F.array_distinct(F.split(folded, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(folded, c, F.lit(""))), F.lit(2.0)))
-    x2 = squares * k / n - n
-    df = k - 1
-    far = n * (k * pick([e[3] for e in ENCODINGS]) - 1)
-    p = normal_cdf((x2 - df - far) / F.sqrt(2 * (df + 2 * far)))
-    halves = F.element_at(F.array(*(F.translate(folded, e[2], "".join("01"[2 * j >= len(e[2])] for j in range(len(e[2])))) for e in ENCODINGS)), rank + 1)
-    ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-    runs = F.length(F.regexp_replace(halves, "0+|1+", "x"))
-    mean = 2 * ones * (n - ones) / n
-    z_runs = F.when((ones > 0) & (ones < n) & (mean > 1), (runs - 1 - mean) / F.sqrt(mean * (mean - 1) / (n - 1))).otherwise(F.lit(99.0))
-    codes = F.transform(F.split(folded, ""), lambda c: F.instr(pick([e[2] for e in ENCODINGS]), c).cast("double"))
-    middle = F.aggregate(codes, F.lit(0.0), lambda a, v: a + v) / n
-    total = F.aggregate(codes, F.lit(0.0), lambda a, v: a + (v - middle) * (v - middle))
-    size = F.size(codes)
-    lagged = F.aggregate(F.zip_with(F.slice(codes, F.lit(1), size - 1), F.slice(codes, F.lit(2), size - 1), lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda a, v: a + v)
-    z_serial = F.when(total > 0, lagged / total * F.sqrt(n)).otherwise(F.lit(99.0))
-    random = (F.abs(z_runs) <= 3.3) & (F.abs(z_serial) <= 3.3) & (x2 <= df + 4 * F.sqrt(2 * df))
-    band = sum(((n >= b).cast("int") for b in BANDS), F.lit(0))
-    cell = F.least(F.lit(STEPS * DEEPEST), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS)).cast("int")
-    return F.struct(pick([e[0] for e in ENCODINGS]).alias("encoding"), band.alias("band"), cell.alias("cell"), random.alias("random"))
+def fields(rows: Column, more) -> Column:
+    """An array of structs with fields added; ``more`` gives them by name, each evaluated once."""
+    return F.transform(rows, lambda r: reduce(lambda acc, kv: acc.withField(*kv), more(r).items(), r))
+
+
+def tail_depth(z: Column, x: Column) -> Column:
+    """-log10 of the normal distribution function at z; x is its absolute value.
+
+    Abramowitz and Stegun 26.2.17 (absolute error under 7.5e-8) and, below -3, the
+    continued fraction 26.2.14, whose relative error there is under 1e-5 and falls.
+    """
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    t = 1 / (1 + 0.2316419 * x)
+    upper = density * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    fraction = x
+    for i in range(9, 0, -1):
+        fraction = x + i / fraction
+    depth = F.when(z < -3, x * x / 2 / math.log(10) + F.log10(fraction) + math.log10(2 * math.pi) / 2)
+    return depth.when(z < 0, -F.log10(upper)).otherwise(-F.log10(1 - upper))
+
+
+def sankaran(x: Column, df: Column, far: Column) -> Column:
+    """Normal score of a non-central chi-squared value (Sankaran 1963)."""
+    both, twice = df + far, df + 2 * far
+    h = 1 - 2 / 3 * both * (df + 3 * far) / (twice * twice)
+    p = twice / (both * both)
+    m = (h - 1) * (1 - 3 * h)
+    centre = 1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p)
+    return (F.pow(F.greatest(x, F.lit(0.0)) / both, h) - centre) / (h * F.sqrt(2 * p) * (1 + 0.5 * m * p))
+
+
+def battery(rows: Column) -> Column:
+    """``rows`` (array of structs with ``whole``) as (start, end, t): t is (encoding, band, cell) of the string.
+
+    cell is the grid cell of its p-value, high for low p.
+    """
+    pick = lambda r, values: F.element_at(F.array(*map(F.lit, values)), r["rank"] + 1)
+    alphabets = [e[2] for e in ENCODINGS]
+    half = [a.translate({ord(c): "01"[2 * j >= len(a)] for j, c in enumerate(a)}) for a in alphabets]
+
+    def encoding(r: Column) -> Column:
+        rank = F.lit(len(ENCODINGS) - 1)
+        for i in reversed(range(len(ENCODINGS) - 1)):
+            rank = F.when(r["s"].rlike(ENCODINGS[i][1]), F.lit(i)).otherwise(rank)
+        return rank
+
+    rows = fields(rows, lambda r: {"s": F.regexp_replace(r["whole"], "=+$", "")})
+    rows = fields(rows, lambda r: {"rank": encoding(r), "n": F.length(r["s"]).cast("double")})
+    rows = fields(rows, lambda r: {"folded": F.when(r["rank"] == 0, F.lower(r["s"])).otherwise(F.translate(r["s"], "-_", "+/"))})
+    halves = lambda r: F.element_at(F.array(*(F.translate(r["folded"], a, h) for a, h in zip(alphabets, half, strict=True))), r["rank"] + 1)
+    rows = fields(
+        rows,
+        lambda r: {
+            "codes": F.transform(F.split(r["folded"], ""), lambda c: F.instr(pick(r, alphabets), c).cast("double")),
+            "halves": halves(r),
+            "squares": F.aggregate(F.array_distinct(F.split(r["folded"], "")), F.lit(0.0), lambda a, c: a + F.pow(r["n"] - F.length(F.replace(r["folded"], c, F.lit(""))), F.lit(2.0))),
+            "k": pick(r, [float(len(a)) for a in alphabets]),
+        },
+    )
+    rows = fields(
+        rows,
+        lambda r: {
+            "far": r["n"] * (r["k"] * pick(r, [e[3] for e in ENCODINGS]) - 1),
+            "ones": F.length(F.replace(r["halves"], F.lit("0"), F.lit(""))).cast("double"),
+            "runs": F.length(F.regexp_replace(r["halves"], "0+|1+", "x")).cast("double"),
+            "middle": F.aggregate(r["codes"], F.lit(0.0), lambda a, v: a + v) / r["n"],
+        },
+    )
+    rows = fields(rows, lambda r: {"mean": 2 * r["ones"] * (r["n"] - r["ones"]) / r["n"], "codes": F.transform(r["codes"], lambda v: v - r["middle"])})
+    pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * b)
+    rows = fields(rows, lambda r: {"total": F.aggregate(r["codes"], F.lit(0.0), lambda a, v: a + v * v), "lagged": F.aggregate(pairs(r["codes"]), F.lit(0.0), lambda a, v: a + v)})
+    never = F.lit(99.0)
+    z_runs = lambda r: F.when((r["ones"] > 0) & (r["ones"] < r["n"]) & (r["mean"] > 1), (F.abs(r["runs"] - 1 - r["mean"]) - FAR * r["mean"]) / F.sqrt(r["mean"] * (r["mean"] - 1) / (r["n"] - 1))).otherwise(never)
+    z_serial = lambda r: F.when(r["total"] > 0, (F.abs(r["lagged"] / r["total"]) - FAR) * F.sqrt(r["n"])).otherwise(never)
+    # The largest p-value is that of the largest score.
+    rows = fields(rows, lambda r: {"z": F.greatest(sankaran(r["squares"] * r["k"] / r["n"] - r["n"], r["k"] - 1, r["far"]), z_runs(r), z_serial(r))})
+    band = lambda r: sum(((r["n"] >= b).cast("int") for b in BANDS), F.lit(0))
+    cell = lambda r: F.least(F.lit(STEPS * DEEPEST), F.floor(tail_depth(r["z"], F.abs(r["z"])) * STEPS)).cast("int")
+    return F.transform(rows, lambda r: F.struct(r["start"], r["end"], F.struct(pick(r, [e[0] for e in ENCODINGS]).alias("encoding"), band(r).alias("band"), cell(r).alias("cell")).alias("t")))
 
 
 def step_up(counts: list[tuple[str, int, int, int]], fdr: float) -> dict[tuple[str, int], int]:
@@ -121,41 +172,41 @@ def step_up(counts: list[tuple[str, int, int, int]], fdr: float) -> dict[tuple[s
     return out
 
 
-def with_candidates(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """``docs`` plus _base (spans of the formats) and _tested (other code-like strings with their tests)."""
-    rows = docs.withColumn("_text", text_or_empty(text_col))
-    rows = add_spans(rows, "_text", "_assign", ASSIGN, {"whole": 0, "value": 2}, 12, "value")
-    rows = add_spans(rows, "_text", "_access", ACCESS, {"whole": 0}, 18, "whole")
-    rows = add_spans(rows, "_text", "_hex", "[0-9a-f]{16,}+", {"whole": 0}, 16, "whole")
-    rows = add_spans(rows, "_text", "_code", f"(?<![{CODE}])[{CODE}]{{{least},}}+", {"whole": 0}, least, "whole")
-    kind = lambda name, i: F.transform(f"_{name}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("kind")))
-    rows = rows.withColumn("_base", F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2)))
-    free = F.filter("_code", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tested = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["whole"]).alias("t")))
-    return rows.withColumn("_tested", tested).drop("_text", "_assign", "_access", "_hex", "_code")
+def with_candidates(docs: DataFrame, text_col: str, least: int, keep: list[str]) -> DataFrame:
+    """One row a document: struct ``doc`` of the kept columns, ``base`` (spans of the formats) and ``tested`` (other code-like strings)."""
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in keep)).alias("doc"), text_or_empty(quoted(text_col)).alias("text"))
+    rows = add_spans(rows, "text", "assign", ASSIGN, {"whole": 0, "value": 2}, 12, "value")
+    rows = add_spans(rows, "text", "access", ACCESS, {"whole": 0}, 18, "whole")
+    rows = add_spans(rows, "text", "hex", "[0-9a-f]{16,}+", {"whole": 0}, 16, "whole")
+    rows = add_spans(rows, "text", "code", f"(?<![{CODE}])[{CODE}]{{{least},}}+", {"whole": 0}, least, "whole")
+    kind = lambda name, i: F.transform(name, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(i).alias("kind")))
+    rows = rows.withColumn("base", F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2)))
+    free = F.filter("code", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return rows.select("doc", "base", battery(free).alias("tested"))
 
 
-def scan_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", least: int = 20) -> DataFrame:
-    """``docs`` plus ``spans``: an array of (start, end, kind) of secrets, by start, then kind.
+def scan_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", least: int = 20, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) plus ``spans``: an array of (start, end, kind) of secrets, by start, then kind.
 
     Offsets are in code points, end exclusive. Kinds: assign, access, hex, random.
     Matches of one kind never overlap; a random span overlaps no other. ``least`` is
-    the length from which strings are tested. A first pass counts test results per
-    grid cell, the returned plan reads the texts again. A null or empty text has no
-    span; repeated rows have equal spans; a column ``spans`` is replaced, all others
-    stay; no rows: no rows.
+    the length from which strings are tested. The texts are read once: spans of the
+    formats and test results are staged beside the kept columns, counts per grid cell
+    come from there. A null or empty text has no span; repeated rows have equal spans;
+    a column ``spans`` is replaced, all others stay whatever their names; no rows: no rows.
     """
-    found = with_candidates(docs, text_col, least)
-    cells = found.select(F.explode("_tested.t").alias("t")).where("t.random").groupBy("t.encoding", "t.band", "t.cell").count()
+    names = [c for c in (keep or docs.columns) if c.lower() != "spans"]
+    found = stage(with_candidates(docs, text_col, least, names), "secrets")
+    cells = found.select(F.explode("tested.t").alias("t")).groupBy("t.encoding", "t.band", "t.cell").count()
     accepted = step_up([tuple(r) for r in cells.collect()], fdr)  # bounded: strata times grid cells
     is_secret = lambda t: F.lit(False)
     for (encoding, band), cell in sorted(accepted.items()):
         is_secret = lambda t, f=is_secret, e=encoding, b=band, c=cell: f(t) | ((t["encoding"] == e) & (t["band"] == b) & (t["cell"] >= c))
-    more = F.transform(F.filter("_tested", lambda x: x["t"]["random"] & is_secret(x["t"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
-    ordered = F.sort_array(F.transform(F.concat("_base", more), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("rank"), x["end"].alias("end"))))
-    names = F.array(*map(F.lit, KINDS))
-    spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(names, x["rank"] + 1).alias("kind")))
-    return found.withColumn("spans", spans).drop("_base", "_tested")
+    more = F.transform(F.filter("tested", lambda x: is_secret(x["t"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
+    ordered = F.sort_array(F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("rank"), x["end"].alias("end"))))
+    kinds = F.array(*map(F.lit, KINDS))
+    spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(kinds, x["rank"] + 1).alias("kind")))
+    return found.select(*(F.col("doc")[c].alias(c) for c in names), spans.alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
@@ -58,6 +59,76 @@ def test_random_strings_are_found_and_words_are_not(spark):
                 assert (s["start"], s["end"]) == (4, 44)
 
 
+def p_value(s: str) -> tuple[str, float]:
+    """The battery in plain Python: encoding and the largest of three p-values."""
+    s = s.rstrip("=")
+    name, _, alphabet, share = next(e for e in S.ENCODINGS if re.match(e[1], s))
+    s = s.lower() if name == "hex" else s.translate(str.maketrans("-_", "+/"))
+    n, k = len(s), len(alphabet)
+    x2 = sum(s.count(c) ** 2 for c in set(s)) * k / n - n
+    far, p, weight = n * (k * share - 1), 0.0, 0.0
+    weight = math.exp(-far / 2)
+    for j in range(400):  # Poisson mixture of central chi-squared distributions
+        p += weight * chi2_cdf(x2, k - 1 + 2 * j)
+        weight *= far / 2 / (j + 1)
+    phi = lambda z: math.erfc(-z / math.sqrt(2)) / 2
+    half = [2 * alphabet.index(c) >= k for c in s]
+    ones = sum(half)
+    mean = 2 * ones * (n - ones) / n
+    runs = 1 + sum(a != b for a, b in zip(half, half[1:], strict=False))
+    p_runs = phi((abs(runs - 1 - mean) - S.FAR * mean) / math.sqrt(mean * (mean - 1) / (n - 1))) if 0 < ones < n and mean > 1 else 1.0
+    v = [alphabet.index(c) + 1 for c in s]
+    v = [x - sum(v) / n for x in v]
+    total = sum(x * x for x in v)
+    p_serial = phi((abs(sum(a * b for a, b in zip(v, v[1:], strict=False)) / total) - S.FAR) * math.sqrt(n)) if total else 1.0
+    return name, max(p, p_runs, p_serial)
+
+
+def chi2_cdf(x: float, df: int) -> float:
+    """Lower regularised gamma function by its series."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 0.0
+    term = total = math.exp(a * math.log(x) - x - math.lgamma(a + 1))
+    for i in range(1, 600):
+        term *= x / (a + i)
+        total += term
+    return total
+
+
+def test_battery_is_near_exact_distributions(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    code = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    strings = [code(e[2], n) for e in S.ENCODINGS for n in (20, 31, 40, 64, 100)]
+    strings += ["internationalconfiguration", "abcdefghijklmnopqrstuvwxyz", "01" * 20, "a" * 30, "1234567890" * 3, "Donaudampfschifffahrtsgesellschaft", "aaaaaaaaaaaaaaaabbbbbbbbbbbbbbbb", "0001" * 9]
+    df = spark.createDataFrame([(s,) for s in strings], "whole string")
+    got = {x["whole"]: x["t"] for x in df.select("whole", S.battery(F.array(F.struct(F.lit(0).alias("start"), F.length("whole").alias("end"), "whole")))[0]["t"].alias("t")).collect()}
+    for s in strings:
+        name, p = p_value(s)
+        assert got[s]["encoding"] == name
+        cell = min(S.STEPS * S.DEEPEST, -math.log10(max(p, 1e-300)) * S.STEPS)
+        assert abs(got[s]["cell"] - cell) <= 3 + 0.05 * cell, (s, got[s]["cell"], cell)
+
+
+def test_the_family_is_every_tested_string(spark):
+    """A string is found or not by how many others were tested with it, whatever its length."""
+    r = random.Random(6)
+    key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(26))
+    words = ["".join(r.choice(["inter", "nation", "config", "uration", "manage", "ment"]) for _ in range(5))[:26].ljust(26, "e") for _ in range(4000)]
+    found = lambda rows: {x["doc_id"] for x in S.scan_secrets(as_documents(spark, rows)).collect() if x["spans"]}
+    assert found([(0, key)]) == {0}
+    assert 0 not in found([(0, key), *((i + 1, w) for i, w in enumerate(words))])
+
+
+def test_columns_of_working_names_stay(spark):
+    df = spark.createDataFrame([(1, "token=abcdefabcdef123456", 7, 8, 9)], "doc_id int, text string, _text int, base int, `a.b` int")
+    got = S.scan_secrets(df).collect()[0]
+    assert (got["_text"], got["base"], got["a.b"], len(got["spans"])) == (7, 8, 9, 2)  # the value is hex as well
+    assert S.scan_secrets(df, keep=["doc_id"]).columns == ["doc_id", "spans"]
+
+
 def test_step_up_controls():
     counts = [("hex", 0, 40, 5), ("hex", 0, 0, 95)]
     assert S.step_up(counts, 0.05) == {}  # 100 * 10^-2.5 > 0.05 * 5
