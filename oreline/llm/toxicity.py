@@ -8,6 +8,7 @@ on a bounded sample of labelled rows and applied to every row.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, working_names
 from .linear import Rows, fit_logistic, logit, sigmoid
 
 SAMPLE = 6_000  # labelled rows that the chain is fitted on, at most
@@ -63,7 +64,7 @@ class Chain:
     categories: list[str]
     known: dict[int, int]
     weights: list[np.ndarray]
-    threshold: float = 0.5
+    threshold: float = math.inf
 
     def score(self, lists: list[np.ndarray]) -> np.ndarray:
         before = np.empty((len(lists), 0))
@@ -74,10 +75,13 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Threshold of highest F1 on out-of-fold probabilities, halfway (in log-odds) to the next lower one."""
+    """Threshold of highest F1 on out-of-fold probabilities, halfway (in log-odds) to the next lower one.
+
+    Rows of one class teach nothing: the threshold is infinite and nothing is flagged.
+    """
+    if not y.any() or y.all():
+        return math.inf
     order = np.argsort(-p, kind="stable")
-    if not len(p) or not y.any():
-        return 0.5
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = -1  # no cut between equal probabilities
@@ -143,11 +147,12 @@ def score_chain(docs: DataFrame, chain: Chain, text_col: str = "text", threshold
     """``docs`` plus a probability p_<category> (double) for each category, and ``flagged``.
 
     flagged: the last category's probability reaches ``threshold`` (None: the chain's own,
-    of highest out-of-fold F1). A null text is
-    scored as an empty one; repeated rows score alike; columns of the same names are
-    replaced, others stay; no rows: no rows.
+    of highest out-of-fold F1). A chain that saw no rows of both classes flags nothing.
+    A null text is scored as an empty one; repeated rows score alike; columns of the same
+    names are replaced, others stay; no rows: no rows.
     """
     names = [f"p_{c}" for c in chain.categories]
+    (scores,) = working_names(docs, "_p")
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # bounded: FEATURES rows
     cache: dict[bytes, tuple[int, ...]] = {}
 
@@ -156,25 +161,31 @@ def score_chain(docs: DataFrame, chain: Chain, text_col: str = "text", threshold
         model = sent.value
         return pd.DataFrame(model.score(feature_lists(texts, model.known, cache)), columns=names)
 
-    out = docs.withColumn("_p", probabilities(text_bytes(text_col)))
-    return out.withColumns({n: F.col("_p")[n] for n in names}).drop("_p").withColumn("flagged", F.col(names[-1]) >= (chain.threshold if threshold is None else threshold))
+    least = chain.threshold if threshold is None or math.isinf(chain.threshold) else threshold
+    out = docs.withColumn(scores, probabilities(text_bytes(text_col)))
+    return out.withColumns({n: F.col(scores)[n] for n in names}).drop(scores).withColumn("flagged", F.col(names[-1]) >= F.lit(least))
 
 
-def weak_categories(docs: DataFrame, text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
+def weak_categories(docs: DataFrame, seeds: dict[str, tuple[str, ...]], text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
     """Labels of the seed categories: toxic rows with a seed word of theirs."""
     has = lambda words: F.lower(F.coalesce(F.col(text_col), F.lit(""))).rlike(r"(?<![a-z])(" + "|".join(words) + ")(?![a-z])")
-    return docs.withColumns({c: F.when(F.col(toxic_col).isNotNull(), ((F.col(toxic_col) == 1) & has(words)).cast("int")) for c, words in SEEDS.items()})
+    return docs.withColumns({c: F.when(F.col(toxic_col).isNotNull(), ((F.col(toxic_col) == 1) & has(words)).cast("int")) for c, words in seeds.items()})
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = SAMPLE, id_col: str = "doc_id") -> DataFrame:
-    """Chain insult -> contempt -> toxic, fitted on the labelled rows, over all ``docs``.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = SAMPLE, id_col: str = "doc_id", categories: tuple[str, ...] = ("toxic",), seeds: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """A chain over all ``docs``, fitted on the labelled rows; the last category flags.
 
-    ``labels`` has the id column and toxic (0/1). Of several labels of an id the
-    highest counts. The sampled ids are chosen from ``labels`` first, so that one
-    narrow pass finds their texts. No labels: every row gets the prior, 0.5.
+    ``labels`` has the id column and a 0/1 column for each of ``categories``, which form
+    the chain in their order. ``seeds`` (default: SEEDS) names weak categories that go
+    before them, labelled by words in toxic texts, for tables of one label; {}: none.
+    Of several labels of an id the highest counts; ids with a null label are left out.
+    The sampled ids are chosen from ``labels`` first, so that one narrow pass finds
+    their texts. No labels, or labels of one class: nothing is flagged. Null, empty and
+    very long texts, repeated rows, no rows and other columns: see score_chain.
     """
-    one = labels.where(F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
+    seeds = SEEDS if seeds is None else seeds
+    one = labels.dropna(subset=list(categories)).groupBy(id_col).agg(*(F.max(c).cast("int").alias(c) for c in categories))
     ids = one.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
-    some = docs.select(id_col, "text").join(F.broadcast(ids), id_col)  # at most ``sample`` rows
-    chain = fit_chain(weak_categories(some), [*SEEDS, "toxic"], id_col=id_col)
+    some = docs.select(id_col, F.col("text")).join(F.broadcast(ids), id_col)  # at most ``sample`` rows
+    chain = fit_chain(weak_categories(some, seeds, toxic_col=categories[-1]), [*seeds, *categories], id_col=id_col)
     return score_chain(docs, chain, threshold=threshold)
