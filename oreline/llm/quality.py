@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, stage
+from .common import lookup_join, quoted, stage
 from .linear import Rows, fit_logistic, sigmoid
 
 SAMPLE = 10_000  # labelled rows that the classifier is fitted on, at most
@@ -57,13 +57,18 @@ def site_parts(url: Column) -> tuple[Column, Column]:
 
 
 def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and scales from at most ``sample`` rows (all given rows are taken up to it)."""
+    """Weights, means and scales from at most ``sample`` rows, those of least text hash.
+
+    Rows without a label are left out; a null text is an empty one; ties in the hash go
+    by text. No rows, or labels of one class: every document gets the prior.
+    """
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"m": [measures(bytes(t)) for t in pdf["_text"]], "y": pdf["_y"]})
+            yield pd.DataFrame({"h": pdf["_h"], "m": [measures(bytes(t)) for t in pdf["_text"]], "y": pdf["_y"]})
 
-    got = labelled.select(as_bytes(text_col).alias("_text"), F.col(label_col).cast("int").alias("_y")).mapInPandas(shape, "m array<double>, y int").limit(sample).toPandas()
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.xxhash64(as_bytes(text_col)).alias("_h"), as_bytes(text_col).alias("_text"), F.col(label_col).cast("int").alias("_y"))
+    got = rows.mapInPandas(shape, "h long, m array<double>, y int").orderBy("h", "y", "m").limit(sample).toPandas()
     x = np.array(got["m"].tolist()).reshape(-1, MEASURES)
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(MEASURES), np.ones(MEASURES))
     dense = np.clip((x - mean) / scale, -8, 8)
@@ -75,14 +80,17 @@ def as_bytes(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
-def strength(groups: DataFrame, mean: float) -> float:
-    """Prior strength of Beta group means (columns n, s): method of moments, weighted by rows."""
-    row = groups.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2.0))).alias("v")).collect()[0]
-    noise = mean * (1 - mean)
-    if not row["n"] or noise <= 0:
+def strength(groups: DataFrame) -> float:
+    """Prior strength of Beta group means by the method of moments, weighted by rows.
+
+    ``groups`` has n, s (sum of evidence) and the prior ``mean`` that each is shrunk to.
+    """
+    gap, noise = F.pow(F.col("s") / F.col("n") - F.col("mean"), F.lit(2.0)), F.col("mean") * (1 - F.col("mean"))
+    row = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * gap).alias("v"), F.sum(noise).alias("e"), F.sum(F.col("n") * noise).alias("t")).collect()[0]
+    if not row["n"] or not row["t"]:
         return 1.0
-    spread = row["v"] / row["n"] - noise * row["k"] / row["n"]
-    return float(min(1e6, max(1.0, noise / max(spread, 1e-9) - 1)))
+    spread = (row["v"] - row["e"]) / row["n"]  # between groups: the sampling noise of a mean is taken off
+    return float(min(1e6, max(1.0, row["t"] / row["n"] / max(spread, 1e-9) - 1)))
 
 
 def hierarchical_quality(docs: DataFrame, host: Column, path: Column, weights: tuple[np.ndarray, np.ndarray, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -91,7 +99,8 @@ def hierarchical_quality(docs: DataFrame, host: Column, path: Column, weights: t
     Null hosts and paths count as "". A null or empty text gets the classifier's
     evidence for an empty text. Sites are summed with partial aggregation; their
     sums are joined back as a small table, or with skew splitting if they are many.
-    Columns of the same names are replaced; repeated rows each count; no rows: no rows.
+    Columns of the result's names are replaced, all others stay whatever their names;
+    repeated rows each count; no rows: no rows.
     """
     w, mean, scale = weights
 
@@ -101,22 +110,26 @@ def hierarchical_quality(docs: DataFrame, host: Column, path: Column, weights: t
         return pd.Series(sigmoid(np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]))
 
     added = ["evidence", "host_mean", "path_mean", "quality", "kept"]
-    keys = [c for c in docs.columns if c not in added]
-    scored = stage(docs.select(*keys, F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"), evidence(as_bytes(text_col)).alias("evidence")).drop(text_col), "quality-evidence")
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"))
-    paths = stage(paths, "quality-paths")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0)), F.count("*")).collect()[0]
+    keys = [c for c in docs.columns if c.lower() not in added]
+    text = F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")
+    scored = docs.select(
+        F.struct(*(F.col(quoted(c)) for c in keys)).alias("doc"),
+        F.coalesce(host.cast("string"), F.lit("")).alias("host"),
+        F.coalesce(path.cast("string"), F.lit("")).alias("path"),
+        evidence(text).alias("evidence"),
+    )
+    scored = stage(scored, "quality-evidence")
+    paths = stage(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0))).collect()[0]
     corpus = (total[1] + 0.5) / (total[0] + 1.0)
-    k_host, k_path = strength(hosts, corpus), strength(paths, corpus)
-    means = paths.join(hosts.select("_host", ((F.lit(k_host * corpus) + F.col("s")) / (F.lit(k_host) + F.col("n"))).alias("host_mean")), "_host")
-    out = lookup_join(scored, means, ["_host", "_path"], means.count(), "inner")
+    k_host = strength(hosts.withColumn("mean", F.lit(corpus)))
+    host_means = hosts.select("host", ((F.lit(k_host * corpus) + F.col("s")) / (F.lit(k_host) + F.col("n"))).alias("host_mean"))
+    means = stage(paths.join(host_means, "host"), "quality-means")
+    k_path = strength(means.withColumnRenamed("host_mean", "mean"))
+    out = lookup_join(scored, means, ["host", "path"], means.count(), "inner")
     alone = (F.lit(k_path) * F.col("host_mean") + F.col("s") - F.col("evidence")) / (F.lit(k_path) + F.col("n") - 1)
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     quality = 1 / (1 + F.exp(-(odds(F.col("evidence")) + odds(alone) - odds(F.lit(corpus)))))
-    return (
-        out.withColumn("path_mean", (F.lit(k_path) * F.col("host_mean") + F.col("s")) / (F.lit(k_path) + F.col("n")))
-        .withColumn("quality", quality)
-        .withColumn("kept", F.col("quality") >= threshold)
-        .drop("_host", "_path", "n", "s")
-    )
+    path_mean = (F.lit(k_path) * F.col("host_mean") + F.col("s")) / (F.lit(k_path) + F.col("n"))
+    return out.select(*(F.col("doc")[c].alias(c) for c in keys), "evidence", "host_mean", path_mean.alias("path_mean"), quality.alias("quality"), (quality >= threshold).alias("kept"))

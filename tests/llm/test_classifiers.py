@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -56,9 +57,24 @@ def test_out_of_fold_log_odds_feed_later_models():
 
 
 def test_chain_without_labels_or_rows(spark, edges, nothing):
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert T.toxicity(edges, none).count() == len(edge_rows())
-    assert T.toxicity(nothing, none).count() == 0
+    """Nothing learnt, nothing flagged: no labels, null labels, or labels of one class."""
+    for labels in ([], [(i, None) for i in range(60)], [(i, 0) for i in range(60)], [(i, 1) for i in range(60)]):
+        table = spark.createDataFrame(labels, "doc_id long, toxic int")
+        for threshold in (None, 0.2):
+            out = T.toxicity(edges, table, threshold).collect()
+            assert len(out) == len(edge_rows())
+            assert not any(r["flagged"] for r in out)
+        assert T.toxicity(nothing, table).count() == 0
+
+
+def test_chain_of_label_columns(spark):
+    """Categories that the labels name, in their order, without seed words; clashing columns stay."""
+    rows, toxic = labelled(spark)
+    labels = spark.createDataFrame([(i, t, t) for i, t in toxic.items()], "doc_id long, rude int, toxic int")
+    docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, _p int")
+    out = T.toxicity(docs, labels, categories=("rude", "toxic"), seeds={}).collect()
+    assert sum(r["flagged"] == bool(toxic[r["doc_id"]]) for r in out) > 390
+    assert all(r["_p"] == r["doc_id"] and 0 < r["p_rude"] < 1 for r in out)
 
 
 def junk(rng):
@@ -87,24 +103,36 @@ def test_shrinkage(spark):
     total = sum(r["evidence"] for r in got)
     corpus = (total + 0.5) / (len(got) + 1)
 
-    def strength(groups):
+    def strength(groups, means):
         n = sum(len(g) for g in groups)
-        noise = corpus * (1 - corpus)
-        v = sum(len(g) * (sum(g) / len(g) - corpus) ** 2 for g in groups)
-        return min(1e6, max(1.0, noise / max(v / n - noise * len(groups) / n, 1e-9) - 1))
+        noise = [m * (1 - m) for m in means]
+        v = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, means))
+        return min(1e6, max(1.0, sum(len(g) * e for g, e in zip(groups, noise)) / n / max((v - sum(noise)) / n, 1e-9) - 1))
 
     hosts, paths = {}, {}
     for r in got:
         hosts.setdefault(r["source"], []).append(r["evidence"])
         paths.setdefault((r["source"], r["doc_id"] % 2), []).append(r["evidence"])
-    kh, kp = strength(list(hosts.values())), strength(list(paths.values()))
+    kh = strength(list(hosts.values()), [corpus] * len(hosts))
+    mean_of = {k: (kh * corpus + sum(h)) / (kh + len(h)) for k, h in hosts.items()}
+    kp = strength(list(paths.values()), [mean_of[h] for h, _ in paths])
+    odds = lambda x: math.log(x / (1 - x))
     for r in got:
-        h, p = hosts[r["source"]], paths[r["source"], r["doc_id"] % 2]
-        host = (kh * corpus + sum(h)) / (kh + len(h))
+        p, host = paths[r["source"], r["doc_id"] % 2], mean_of[r["source"]]
+        alone = (kp * host + sum(p) - r["evidence"]) / (kp + len(p) - 1)
+        quality = 1 / (1 + math.exp(-(odds(r["evidence"]) + odds(alone) - odds(corpus))))
+        assert abs(r["quality"] - quality) < 1e-6 and r["kept"] == (r["quality"] >= 0.5)
         assert abs(r["host_mean"] - host) < 1e-6
         assert abs(r["path_mean"] - (kp * host + sum(p)) / (kp + len(p))) < 1e-6
 
 
+def test_quality_keeps_columns_of_working_names(spark):
+    df = spark.createDataFrame([(1, "a b", 2, 3, 4, 5), (None, None, 6, 7, 8, 9)], "doc_id long, text string, n int, s int, host int, mean int")
+    out = Q.hierarchical_quality(df, F.lit("h"), F.lit(None).cast("string"), Q.fit_quality(df.withColumn("quality", F.lit(None).cast("int"))))
+    assert out.columns == [*df.columns, "evidence", "host_mean", "path_mean", "quality", "kept"]
+    assert sorted((r["n"], r["s"], r["host"], r["mean"], r["text"]) for r in out.collect()) == [(2, 3, 4, 5, "a b"), (6, 7, 8, 9, None)]
+
+
 def test_site_parts(spark):
     df = spark.createDataFrame([("HTTPS://u:p@Blog.Example.com:80/en/7#x",), ("http://a.org",), ("none",)], "u string")
     host, path = Q.site_parts(F.col("u"))
