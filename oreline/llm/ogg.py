@@ -7,10 +7,12 @@ seconds. All work is per row, within Arrow batches.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,37 +66,58 @@ def mux(sound: bytes, notes: bytes) -> bytes:
     return b"".join([first[0], second[0], *first[1:], *second[1:]])
 
 
+def packet_granules(sizes: list[int], ends: list[tuple[int, int]], codec: str) -> list[int | None]:
+    """Granule position at the end of each packet.
+
+    ``ends`` has (granule, packets so far) of each page that ends a packet. A page's
+    granule is that of its last packet; where a packet's samples are its bytes (codec
+    rawsound), those before it follow by going back, else they are unknown (None).
+    """
+    out: list[int | None] = [None] * len(sizes)
+    begin = 0
+    for granule, end in ends:
+        if granule >= 0:
+            for i in range(end - 1, begin - 1, -1):
+                out[i] = granule
+                if codec != "rawsound":
+                    break
+                granule = max(0, granule - sizes[i])
+        begin = end
+    return out
+
+
 def demux(data: bytes) -> list[dict]:
     """Logical streams by serial number.
 
-    A page with a wrong checksum or, in a known stream, a cut end is counted as bad (or
-    skipped, if its head cannot be read) and its packets are lost; the search for the
-    next page goes on byte by byte after its head.
+    A page founds or extends a stream only if its checksum is right. A page whose head
+    is whole but whose checksum is wrong, or whose end is cut, is counted once: as bad in
+    its stream if that is known, else as stray in all. Its packets are lost; the search
+    for the next page goes on byte by byte after its head. Gaps in the page numbers that
+    bad pages do not explain are lost pages.
     """
     streams: dict[int, dict] = {}
+    stray = 0
     at = data.find(b"OggS")
     while 0 <= at <= len(data) - 27:
         _, version, flags, granule, serial, number, crc, n = PAGE.unpack_from(data, at)
         body = at + 27 + n
-        size = sum(data[at + 27 : body])
-        end = body + size
-        if version or end > len(data):
+        end = body + sum(data[at + 27 : body])
+        page = data[at:end]
+        if version or end > len(data) or page_checksum(page[:22] + b"\0\0\0\0" + page[26:]) != crc:
             if serial in streams:
                 streams[serial]["bad_pages"] += 1
+                streams[serial]["_bad"] += 1
+                streams[serial]["_open"] = None
+            else:
+                stray += 1
             at = data.find(b"OggS", at + 1)
             continue
-        s = streams.setdefault(serial, {"serial": serial, "pages": 0, "bad_pages": 0, "lost_pages": 0, "granule": 0, "ended": False, "packets": [], "times": [], "_open": None, "_next": 0})
-        page = data[at:end]
-        if page_checksum(page[:22] + b"\0\0\0\0" + page[26:]) != crc:
-            s["bad_pages"] += 1
-            s["_open"] = None
-            at = data.find(b"OggS", at + 1)
-            continue
+        s = streams.setdefault(serial, {"serial": serial, "pages": 0, "bad_pages": 0, "lost_pages": 0, "granule": 0, "ended": False, "packets": [], "_ends": [], "_open": None, "_next": 0, "_bad": 0})
         s["pages"] += 1
         if number != s["_next"]:
-            s["lost_pages"] += max(0, number - s["_next"])
+            s["lost_pages"] += max(0, number - s["_next"] - s["_bad"])
             s["_open"] = None
-        s["_next"] = number + 1
+        s["_next"], s["_bad"] = number + 1, 0
         open_ = s["_open"] if flags & 1 else None
         skip = bool(flags & 1) and open_ is None  # its beginning is lost
         parts, done = open_ or [], len(s["packets"])
@@ -108,34 +131,55 @@ def demux(data: bytes) -> list[dict]:
         s["_open"] = parts if n and page[26 + n] == 255 and not skip else None
         if granule >= 0:
             s["granule"] = granule
-            s["times"] += [granule] * (len(s["packets"]) - done)
-        else:
-            s["times"] += [s["granule"]] * (len(s["packets"]) - done)
+        if len(s["packets"]) > done:
+            s["_ends"].append((granule, len(s["packets"])))
         s["ended"] |= bool(flags & 4)
         at = end if data[end : end + 4] == b"OggS" else data.find(b"OggS", end)
+    for s in streams.values():
+        s["stray_pages"] = stray
     return [streams[k] for k in sorted(streams)]
 
 
-STREAMS = "array<struct<serial:long,codec:string,rate:int,pages:int,bad_pages:int,lost_pages:int,packets:int,granule:long,seconds:double,ended:boolean,data:binary>>"
+STREAMS = (
+    "array<struct<serial:long,codec:string,rate:int,pages:int,bad_pages:int,lost_pages:int,stray_pages:int,packets:int,granule:long,seconds:double,ended:boolean,"
+    "times:array<double>,level:double,loudness:double,peak:int,crossings:long,data:binary>>"
+)
+
+
+def sample_features(data: bytes) -> dict:
+    """Mean level and loudness (root mean square) about 128, peak, and crossings of 128, of 8-bit samples."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64) - 128
+    if not len(x):
+        return {"level": 0.0, "loudness": 0.0, "peak": 0, "crossings": 0}
+    return {"level": int(x.sum()) / len(x), "loudness": math.sqrt(int((x * x).sum()) / len(x)), "peak": int(np.abs(x).max()), "crossings": int(((x[1:] < 0) != (x[:-1] < 0)).sum())}
 
 
 def described(s: dict) -> dict:
-    """A stream's row. Its first packet names codec and rate; the others are its data."""
+    """A stream's row. Its first packet names codec and rate; the others are its data.
+
+    ``times`` has the second at which each packet of data ends, null where the stream
+    does not tell; the features are those of the samples that were read.
+    """
     head = s["packets"][0] if s["packets"] else b""
     codec, rate = ("", 0)
     if len(head) == 13:
         name, rate, _ = struct.unpack("<8sIB", head)
         codec = name.decode("ascii", "replace")
-    return {k: s[k] for k in ("serial", "pages", "bad_pages", "lost_pages", "granule", "ended")} | {
-        "codec": codec, "rate": rate, "packets": len(s["packets"]), "seconds": s["granule"] / rate if rate else 0.0, "data": b"".join(s["packets"][1:])
-    }
+    data = b"".join(s["packets"][1:])
+    ends = packet_granules([0, *map(len, s["packets"][1:])], s["_ends"], codec)[1:]
+    return {k: s[k] for k in ("serial", "pages", "bad_pages", "lost_pages", "stray_pages", "granule", "ended")} | {
+        "codec": codec, "rate": rate, "packets": len(s["packets"]), "seconds": s["granule"] / rate if rate else 0.0,
+        "times": [g / rate if g is not None and rate else None for g in ends], "data": data,
+    } | sample_features(data)
 
 
 def demux_ogg(df: DataFrame, media_col: str = "media", out: str = "streams") -> DataFrame:
     """``df`` with ``out``: the logical streams of the Ogg bytes in ``media_col``.
 
     Null, empty or foreign bytes have no streams; damaged pages are counted in
-    bad_pages. All other columns and repeated rows stay.
+    bad_pages, those of unknown streams in stray_pages, and their packets are missing.
+    A column named ``out`` is replaced; all other columns and repeated rows stay; no
+    rows: no rows.
     """
 
     @pandas_udf(STREAMS)

@@ -46,20 +46,25 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: of the sound stream as read back, its pages, packets and damage, end times of its first and last packet, and of its samples level, loudness, peak and crossings."""
     docs = table(spark, sf_dir, "documents").select("doc_id", ogg.padded_payload(F.col("text")).alias("payload"), F.octet_length(text_or_empty()).cast("string").alias("notes"))
     media = docs.select("doc_id", ogg.mux_ogg(F.col("payload"), F.col("notes").cast("binary")).alias("media"))
     read = ogg.demux_ogg(media)
     of = lambda serial: F.filter("streams", lambda x: x["serial"] == serial)[0]
-    read = read.select("doc_id", "media", "streams", of(ogg.SERIAL_SOUND)["data"].alias("data"), of(ogg.SERIAL_NOTES)["data"].cast("string").alias("notes"))
-    feature = F.array_join(
-        F.transform("streams", lambda x: F.concat_ws(":", x["codec"], x["rate"].cast("string"), x["pages"].cast("string"), x["packets"].cast("string"), x["granule"].cast("string"), (x["bad_pages"] + x["lost_pages"]).cast("string"))), ","
-    )
+    read = read.select("doc_id", "media", of(ogg.SERIAL_SOUND).alias("x"), of(ogg.SERIAL_NOTES)["data"].cast("string").alias("notes"))
+    part = lambda name: F.col(f"x.{name}")
+    fixed = lambda c: F.format_string("%.6f", c)
+    damage = part("bad_pages") + part("lost_pages") + part("stray_pages")
+    feature = F.concat_ws(
+        ":", *(c.cast("string") for c in (part("codec"), part("rate"), part("pages"), part("packets"), damage, part("granule"))), fixed(part("times")[0]), fixed(F.element_at(part("times"), -1)),
+        fixed(part("level")), fixed(part("loudness")), part("peak").cast("string"), part("crossings").cast("string"),
+    )
     return read.select(
         "doc_id",
         F.col("notes").cast("long").alias("n_bytes"),
-        F.octet_length("data").cast("long").alias("payload_bytes"),
-        F.sha2("data", 256).alias("payload_sha256"),
-        F.crc32(F.substring("data", -32, 32)).alias("tail_crc32"),
+        F.octet_length("x.data").cast("long").alias("payload_bytes"),
+        F.sha2("x.data", 256).alias("payload_sha256"),
+        F.crc32(F.substring("x.data", -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
