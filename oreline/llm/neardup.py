@@ -1,19 +1,23 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on full sets.
 
-A signature has ``trees`` times ``step`` minima. Tree t reads it from position t * step
-on, around its end; its sorted order is cut into regions of rows that share their first
-``step`` minima. There are as many trees as the threshold needs: two sets of Jaccard
-0.85 fail to meet in any of 24 trees with probability (1 - 0.85^5)^24 < MISS, two of
-0.8 in any of 35. Where a region is dense its depth doubles, and doubles again, so that
-neighbours of longer common prefix are tried as well.
-
-First round: the rows of every region, of each depth, are compared with the region's
-hub - the row whose regions are the fullest - which joins the copies of one original
-without comparing them with each other. Second round: in the regions of least depth,
-rows that are still in different components are compared with each other, in blocks,
-so that no link is lost. Signatures only spare comparisons that could not succeed;
-every link is confirmed on the full shingle sets. Components come from alternating
-large-star and small-star steps. Documents of equal sets are one row throughout.
+A signature has ``trees`` times ``step`` minima. Each tree is one sorted order of the
+signatures, read from position t * step on, around the end; rows that share the first
+``step`` minima are neighbours in it and form a region. There are as many trees as the
+threshold needs: two sets at it share no region with probability MISS at most (24 trees
+of 5 minima for 0.85, 35 for 0.8).
+
+1. All orders are sorted at once, range partitioned; a row's candidates are the rows
+   before and after it with which it shares the longest prefix, over all trees. The
+   denser a region, the longer the prefix must be: its depth grows by ``step`` with each
+   power of DENSE in its rows. Neighbours across the edges of partitions count as well.
+2. Regions whose rows are still in different components: those outside the component of
+   the region's hub - the row whose regions are the fullest - are compared with the hub.
+3. Rows of a region that still differ in component are compared with each other, in
+   blocks, so that no link within a region is lost, whatever neighbours and hubs missed.
+
+Signatures only spare comparisons that could not succeed; every link is confirmed on
+the full shingle sets. Components come from alternating large-star and small-star
+steps. Documents of equal sets are one row throughout.
 """
 
 from __future__ import annotations
@@ -25,19 +29,22 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, stage
+from .common import BROADCAST_ROWS, lookup_join, remove, stage
 
 STEP, MOST_TREES = 5, 48  # minima that a region's rows share, fewer where more trees than that would be needed
 MISS = 1e-6  # share of pairs at the threshold that may meet in no tree
-DEPTHS = (1, 2, 4)  # in steps
-DENSE = 32  # rows from which a region is also cut at the next depth
+TAIL = 15  # minima behind a region's that are sorted, 16 bits each
+DENSE = 32  # rows of a region by whose powers its depth grows
+REACH = 2  # rows after a row that its prefix is compared with
 BLOCK = 256
+SALT = 4096  # rows of a region that are joined as one key
 #: A pair is compared in full unless its signatures agree in fewer positions than a
-#: pair of the threshold would in all but two of a million cases (4.6 deviations).
-DEVIATIONS = 4.6
+#: pair at the threshold does in this share of cases (exact binomial tail).
+MISS_AGREE = 1e-7
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -108,8 +115,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def least_agreement(percent: int, width: int) -> int:
-    j = percent / 100
-    return int(np.floor(width * (j - DEVIATIONS * np.sqrt(j * (1 - j) / width))))
+    """Most positions that a pair at the threshold agrees in or exceeds but in MISS_AGREE of cases."""
+    j, below = percent / 100, 0.0
+    for c in range(width + 1):
+        log = math.lgamma(width + 1) - math.lgamma(c + 1) - math.lgamma(width - c + 1)
+        below += math.exp(log + c * math.log(j) + (width - c) * math.log1p(-j)) if 0 < j < 1 else float(c == width * j)
+        if below > MISS_AGREE:
+            return c
+    return width
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, text_col: str, id_col: str) -> DataFrame:
@@ -123,23 +136,77 @@ def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, text_col: st
     return lookup_join(rows, ids, ["_rep"], n_ids, "left_semi").mapInPandas(read, "_rep long, _set binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, made: list[str] | None = None) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b: long): root is the least node of its component."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stage(edges, "links"), None
+    edges, before = stage(edges, "links", made), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        edges = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "stars", made)
         state = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).collect()[0])
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         before = state
 
 
+def neighbours(forest: DataFrame, step: int, made: list[str]) -> DataFrame:
+    """(a, b) of each row and the rows before and after it of longest common prefix, over all sorted orders.
+
+    ``forest`` has _region, _tail, _rep and m (rows of the region).
+    """
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        kept, first = None, True
+        for pdf in batches:
+            if first and len(pdf):
+                yield edge(pdf.iloc[:1], part, False)
+                first = False
+            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            tail = np.frombuffer(b"".join(pdf["_tail"]), np.uint16).reshape(-1, TAIL)
+            region, rep = pdf["_region"].to_numpy(), pdf["_rep"].to_numpy()
+            need = step * np.floor(np.log(pdf["m"].to_numpy()) / np.log(DENSE) + 1e-9)
+            for lag in range(1, REACH + 1):
+                at = np.flatnonzero(region[lag:] == region[:-lag])
+                shared = np.logical_and.accumulate(tail[at + lag] == tail[at], axis=1).sum(1)
+                use = shared >= np.minimum(TAIL, need[at])
+                at, shared = at[use], shared[use].astype(np.int32)
+                yield pd.DataFrame({"a": rep[at], "b": rep[at + lag], "lcp": shared})
+            kept = pdf.iloc[-REACH:]
+        if kept is not None and len(kept):
+            yield edge(kept.iloc[-1:], part, True)
+
+    def edge(row: pd.DataFrame, part: int, last: bool) -> pd.DataFrame:
+        return pd.DataFrame({"a": row["_rep"], "part": 2 * part + last, "region": row["_region"]})
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pair(batches):
+            yield pdf.reindex(columns=["a", "b", "lcp", "part", "region"]).astype("Int64")
+
+    ordered = forest.repartitionByRange("_region", "_tail", "_rep").sortWithinPartitions("_region", "_tail", "_rep")
+    found = stage(ordered.mapInPandas(filled, "a long, b long, lcp int, part int, region long"), "dedup-order", made)
+    line = Window.orderBy("part")  # two rows a partition
+    ends = found.where("part is not null").select("a", "region", F.lag("a").over(line).alias("b"), F.lag("region").over(line).alias("r"), (F.col("part") % 2).alias("last"))
+    across = ends.where("last = 0 and region = r and a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("lcp"))
+    pairs = found.where("b is not null").select("a", "b", "lcp").unionByName(across)
+    best = lambda x, y: pairs.groupBy(x).agg(F.max(F.struct("lcp", y)).alias("best")).select(F.col(x).alias("x"), F.col(f"best.{y}").alias("y"))
+    both = best("a", "b").union(best("b", "a"))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def region_join(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """Inner join of ``rows`` (_region, _rep, m) with one row a region; many regions are salted by their rows."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), "_region")
+    parts = F.ceil(F.col("m") / SALT).cast("int")
+    salted = table.join(rows.select("_region", "m").distinct(), "_region").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_rep"), parts).cast("int")).join(salted, ["_region", "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """For each row: id column, n_shingles (long), component_id and kept.
 
@@ -151,6 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
     an id with several texts stands for all of them. Other columns are not carried;
     no rows: no rows. The id column must be integer.
     """
+    spark, made = docs.sparkSession, []
     trees, step = forest_shape(percent)
     width = trees * step
 
@@ -166,38 +234,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
     all_rows = stage(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).mapInPandas(sign, "n long, k1 long, k2 long, _sig binary, _id long"),
         "dedup-signed",
+        made,
     )
     key = ["n", "k1", "k2"]
-    reps = stage(all_rows.where("n > 0 and _id is not null").groupBy(*key).agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig")), "dedup-sets")
+    reps = stage(all_rows.where("n > 0 and _id is not null").groupBy(*key).agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig")), "dedup-sets", made)
 
     def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint32).reshape(-1, width).astype(np.uint64)
-            out = {}
-            for d, depth in enumerate(DEPTHS):
-                keys = np.empty((len(sig), trees), np.uint64)
-                for t in range(trees):
-                    acc = np.full(len(sig), t + trees * d, np.uint64)
-                    for i in range(depth * step):
-                        acc = mixed(acc * M1 + sig[:, (t * step + i) % width])
-                    keys[:, t] = acc
-                out[f"r{d}"] = keys.ravel().view(np.int64)
-            yield pd.DataFrame(out).assign(_rep=np.repeat(pdf["_rep"].to_numpy(), trees))
-
-    forest = reps.select("_rep", "_sig").mapInPandas(plant, "r0 long, r1 long, r2 long, _rep long")
-    levels, rows = [], forest
-    for d in range(len(DEPTHS)):
-        full = rows.groupBy(f"r{d}").agg(F.count("*").alias("m")).where("m > 1")
-        rows = stage(rows.drop("m").join(full, f"r{d}"), f"dedup-depth{d}")
-        levels.append(rows.select(F.col(f"r{d}").alias("_region"), "_rep", "m", F.lit(d).alias("_depth")))
-        rows = rows.where(F.col("m") > DENSE)
-    regions = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    fullness = levels[0].groupBy("_rep").agg(F.sum("m").alias("_full"))
-    placed = stage(regions.join(fullness, "_rep"), "dedup-regions")
-    hubs = placed.groupBy("_region").agg(F.max_by("_rep", F.struct("_full", -F.col("_rep"))).alias("_hub"))
-    tries = placed.join(hubs, "_region").where("_rep <> _hub").select(F.greatest("_rep", "_hub").alias("a"), F.least("_rep", "_hub").alias("b")).distinct()
+            sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint32).reshape(-1, width)
+            keys, tails = np.empty((len(sig), trees), np.uint64), np.empty((len(sig), trees, TAIL), np.uint16)
+            for t in range(trees):
+                acc = np.full(len(sig), t, np.uint64)
+                for i in range(step):
+                    acc = mixed(acc * M1 + sig[:, t * step + i].astype(np.uint64))
+                keys[:, t] = acc
+                tails[:, t] = sig[:, [(t * step + step + i) % width for i in range(TAIL)]] & np.uint32(0xFFFF)
+            yield pd.DataFrame({"_region": keys.ravel().view(np.int64), "_tail": [x.tobytes() for x in tails.reshape(-1, TAIL)], "_rep": np.repeat(pdf["_rep"].to_numpy(), trees)})
+
+    forest = reps.select("_rep", "_sig").mapInPandas(plant, "_region long, _tail binary, _rep long")
+    full = forest.groupBy("_region").agg(F.count("*").alias("m")).where("m > 1")
+    forest = stage(forest.join(full, "_region"), "dedup-forest", made)
+    placed = forest.drop("_tail")
 
     enough = least_agreement(percent, width)
     sizes = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -208,8 +267,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
         x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, width) for s in (a, b))
         return pd.Series((x == y).sum(1) >= enough)
 
-    tried = stage(tries.join(side("a"), "a").join(side("b"), "b").where(sizes(F.col("n_a"), F.col("n_b"))).where(may_link("sig_a", "sig_b")).select("a", "b"), "dedup-tries")
-
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -219,23 +276,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    ids = stage(tried.select(F.col("a").alias("_rep")).union(tried.select("b")).distinct(), "dedup-ids")
-    sets = stage(sets_of(docs, ids, ids.count(), size, text_col, id_col), "dedup-full")
-    full = lambda x: sets.select(F.col("_rep").alias(x), F.col("_set").alias(f"set_{x}"))
-    first = stage(tried.join(full("a"), "a").join(full("b"), "b").where(linked("set_a", "set_b")).select("a", "b"), "dedup-links")
-    labels = stage(components(first), "dedup-labels")
-
-    # Second round, for regions in which rows besides the hub differ in component.
-    named = placed.where("_depth = 0").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left")
-    named = stage(named.select("_region", "_rep", F.coalesce("root", "_rep").alias("_label")), "dedup-named")
-    apart = named.join(hubs, "_region").where("_rep <> _hub").groupBy("_region").agg(F.min("_label").alias("x"), F.max("_label").alias("y")).where("x <> y").select("_region")
-    counts = named.join(apart, "_region").groupBy("_region", "_label").agg(F.count("*").alias("_c"))
-    sizes_of = counts.groupBy("_region").agg(F.sum("_c").alias("_all"), F.max_by("_label", F.struct("_c", "_label")).alias("_main"), F.max("_c").alias("_most"))
-    open_ = stage(named.join(sizes_of, "_region"), "dedup-open")
-    ids2 = stage(open_.select("_rep").distinct(), "dedup-ids2")
+    def confirm(tries: DataFrame, sets: DataFrame | None, label: str) -> DataFrame:
+        """The tried pairs that are linked; without ``sets``, those of their documents are read."""
+        tried = stage(tries.join(side("a"), "a").join(side("b"), "b").where(sizes(F.col("n_a"), F.col("n_b"))).where(may_link("sig_a", "sig_b")).select("a", "b"), f"dedup-tries-{label}", made)
+        if sets is None:
+            ids = stage(tried.select(F.col("a").alias("_rep")).union(tried.select("b")).distinct(), f"dedup-ids-{label}", made)
+            sets = stage(sets_of(docs, ids, ids.count(), size, text_col, id_col), f"dedup-full-{label}", made)
+        full = lambda x: sets.select(F.col("_rep").alias(x), F.col("_set").alias(f"set_{x}"))
+        return stage(tried.join(full("a"), "a").join(full("b"), "b").where(linked("set_a", "set_b")).select("a", "b"), f"dedup-links-{label}", made)
+
+    links = confirm(neighbours(forest, step, made), None, "order")
+    labels = stage(components(links, made), "dedup-labels", made)
+
+    # Regions whose rows are in different components, with their hubs.
+    rows_of = placed.groupBy("_rep").agg(F.sum("m").alias("_full")).join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").select("_rep", "_full", F.coalesce("root", "_rep").alias("_label"))
+    named = stage(placed.join(rows_of, "_rep"), "dedup-named", made)
+    hubs = named.groupBy("_region").agg(F.min("_label").alias("x"), F.max("_label").alias("y"), F.max_by(F.struct("_rep", "_label"), F.struct("_full", -F.col("_rep"))).alias("_h"))
+    hubs = stage(hubs.where("x <> y").select("_region", F.col("_h._rep").alias("_hub"), F.col("_h._label").alias("_hub_label")), "dedup-hubs", made)
+    opened = stage(region_join(named.select("_region", "_rep", "m", "_label"), hubs, hubs.count()), "dedup-opened", made)
+    ids2 = stage(opened.select("_rep").distinct(), "dedup-ids2", made)
     n2 = ids2.count()
     if n2:
-        sets2 = stage(sets_of(docs, ids2, n2, size, text_col, id_col), "dedup-full2")
+        sets2 = stage(sets_of(docs, ids2, n2, size, text_col, id_col), "dedup-full2", made)
+        tries = opened.where("_label <> _hub_label").select(F.greatest("_rep", "_hub").alias("a"), F.least("_rep", "_hub").alias("b")).distinct()
+        star = lambda: labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        labels = stage(components(star().union(confirm(tries, sets2, "hubs")), made), "dedup-labels-hubs", made)
+
+        # Regions in which rows besides the hub still differ.
+        named = opened.drop("_label", "_hub_label").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").select("_region", "_rep", "m", "_hub", F.coalesce("root", "_rep").alias("_label"))
+        named = stage(named, "dedup-named2", made)
+        counts = named.groupBy("_region", "_label").agg(F.count("*").alias("_c"), F.count(F.when(F.col("_rep") != F.col("_hub"), 1)).alias("_others"))
+        sizes_of = counts.groupBy("_region").agg(
+            F.sum("_c").alias("_all"), F.max_by("_label", F.struct("_c", "_label")).alias("_main"), F.max("_c").alias("_most"), F.count(F.when(F.col("_others") > 0, 1)).alias("_labels")
+        )
+        sizes_of = stage(sizes_of.where("_labels > 1").drop("_labels"), "dedup-sizes", made)
+        open_ = stage(region_join(named.drop("_hub"), sizes_of, sizes_of.count()), "dedup-open", made)
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         part = lambda n, seed: F.pmod(F.xxhash64("_rep", F.lit(seed)), n).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -265,20 +340,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
 
         block = ["_region", "_i", "_j"]
         pairs = rest.withColumn("_left", F.lit(True)).unionByName(every.withColumn("_left", F.lit(False)))
-        second = stage(pairs.groupBy(*block).applyInPandas(compare, "a long, b long"), "dedup-links2")
+        second = stage(pairs.groupBy(*block).applyInPandas(compare, "a long, b long"), "dedup-links2", made)
         if second.limit(1).count():
-            star = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            labels = stage(components(star.union(second)), "dedup-labels2")
+            labels = stage(components(star().union(second), made), "dedup-labels2", made)
 
     final = reps.select(*key, "_rep").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").select(*key, F.coalesce("root", "_rep").alias("_root"))
     out = all_rows.select("_id", *key).join(final, key, "left")
     component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("_root"))
     component = F.when(F.col("_id").isNotNull(), component)
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    out = out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    out = stage(out, "dedup-out")
+    remove(spark, made)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows that are not kept; rows of one id stay or go together."""
+    """``docs`` without the rows that are not kept; rows of one id stay or go together.
+
+    Rows without an id, and null, empty and blank texts, stay; the columns are those of
+    ``docs``, whatever their names; no rows: no rows. ``how``: see near_duplicates.
+    """
     gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(id_col).distinct()
     gone = stage(gone, "dedup-gone")
     return lookup_join(docs, gone, [id_col], gone.count(), "left_anti").select(docs.columns)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -67,7 +68,7 @@ def test_copies_of_one_original_and_chains(spark):
     check(spark, rows)
 
 
-def test_small_blocks(spark):
+def test_small_blocks(spark, monkeypatch):
     rng = random.Random(6)
     rows, n = [], 0
     for _ in range(12):
@@ -78,12 +79,46 @@ def test_small_blocks(spark):
                 words[rng.randrange(60)] = f"n{rng.random()}"
             rows.append((n, " ".join(words)))
             n += 1
-    old = N.BLOCK, N.DENSE
-    N.BLOCK, N.DENSE = 3, 4
-    try:
-        check(spark, rows)
-    finally:
-        N.BLOCK, N.DENSE = old
+    for name, value in (("BLOCK", 3), ("DENSE", 4), ("BROADCAST_ROWS", 0), ("SALT", 2)):
+        monkeypatch.setattr(N, name, value)
+    check(spark, rows)
+
+
+def test_neighbours_of_a_sorted_order(spark):
+    """Adjacent rows by longest prefix, over partition edges too; a dense region asks for longer ones."""
+    rng = random.Random(11)
+    rows = []
+    for region in range(60):
+        m = rng.choice([2, 3, 40])
+        for i in range(m):
+            tail = [rng.randrange(2) for _ in range(N.TAIL)]
+            rows.append((region, b"".join(x.to_bytes(2, "little") for x in tail), region * 100 + i, m))
+    df = spark.createDataFrame(rows, "_region long, _tail binary, _rep long, m long")
+    got = {tuple(r) for r in N.neighbours(df, 5, []).collect()}
+    best = {}
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    for lag in range(1, N.REACH + 1):
+        for x, y in zip(ordered, ordered[lag:], strict=False):
+            lcp = next((i for i in range(N.TAIL) if x[1][2 * i : 2 * i + 2] != y[1][2 * i : 2 * i + 2]), N.TAIL)
+            if x[0] == y[0] and lcp >= (5 if x[3] > 31 else 0):
+                for side in (("after", x[2]), ("before", y[2])):
+                    best[side] = max(best.get(side, (-1, -1)), (lcp, y[2] if side[0] == "after" else x[2]))
+    want = {(max(k[1], v[1]), min(k[1], v[1])) for k, v in best.items()}
+    assert len(want - got) <= 2 * 8  # edges of partitions know no prefix and may hide a longer one
+    assert all(a // 100 == b // 100 for a, b in got)
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs at or little above the threshold, each with one partner only, are found."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.random()}" for _ in range(202)]  # 200 shingles
+        rows += [(i, " ".join(words)), (1000 + i, " ".join([*words, *(f"x{rng.random()}" for _ in range(34 if i % 2 else 37))]))]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(as_documents(spark, rows)).collect()}
+    linked = sum(got[1000 + i] == i for i in range(1, 300, 2))
+    print(f"recall at 200 of 234 shingles: {linked} of 150")
+    assert linked == 150 and not any(got[1000 + i] == i for i in range(0, 300, 2))
 
 
 def test_components(spark):
@@ -115,6 +150,7 @@ def test_nothing(nothing):
 
 
 def test_forest_fits_the_threshold():
+    assert sum(math.comb(120, k) * 0.85**k * 0.15 ** (120 - k) for k in range(N.least_agreement(85, 120))) <= N.MISS_AGREE
     assert N.forest_shape(85) == (24, 5)
     for percent in range(30, 100):
         trees, step = N.forest_shape(percent)
