@@ -3,17 +3,23 @@
 Frequent words are symbols of their own; any other word is a symbol of its spelling
 class and, within the class, has add-one probability - the same in every state, so a
 text's likelihood is the forward recursion over symbols times the words' shares of
-their classes. Counts of words come from all training texts. Baum-Welch starts from
-seeded random states; in each pass expected counts are summed over all training texts,
-partition by partition, until their likelihood gains little. The forward recursion is
-scaled and runs over many texts at once, step by step.
-
-Counts of the HEAD most frequent words are sent to the tasks; rarer words are joined
-with the table of counts, so no key of that join is frequent in the training texts.
+their classes. Counts of words come from all training texts. Symbols and classes grow
+with the square root of the vocabulary V: OWN and CLASSES times it. So the state-bound
+part of the model grows with the corpus, and yet fits a task: at a billion distinct
+words it has 760 thousand words of their own and 63 thousand classes, 53 MB.
+
+Baum-Welch starts from seeded random states; in each pass expected counts are summed
+over all training texts, partition by partition, until their likelihood gains little.
+The forward recursion is scaled and runs over many texts at once, step by step.
+
+Counts of the HEAD most frequent words (more, if more have symbols of their own) are
+sent to the tasks; rarer words are joined with the table of counts, so no key of that
+join is frequent in the training texts. HEAD moves work between the two ways only.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 HEAD = 150_000  # most frequent words whose counts the tasks hold
-SYMBOLS = 20_000  # of these, words that are symbols of their own
-CLASSES = 1_024  # spelling classes of all other words
+OWN = 24  # words that are symbols of their own, times the root of the vocabulary
+CLASSES = 2  # spelling classes of all other words, times the root of the vocabulary
 STATES = 8
 PASSES = 14  # Baum-Welch passes at least, for the likelihood gains little before the states part
 GAIN = 1e-3  # relative gain of log-likelihood below which passes end after these
@@ -44,8 +50,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[:2] + b"|" + word[-2:]) % CLASSES
+def class_of(word: bytes, classes: int) -> int:
+    return zlib.crc32(word[:2] + b"|" + word[-2:]) % classes
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -77,42 +83,42 @@ class Vocabulary:
     own: int  # symbols that are words; classes follow
     class_size: np.ndarray  # tokens + words + 1 of each class
 
-    @property
-    def n_symbols(self) -> int:
-        return self.own + CLASSES
-
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     rank = F.floor(16 * F.log2(F.col("c"))).cast("int")
     histogram = sorted(((r[0], r[1]) for r in counts.groupBy(rank).count().collect()), reverse=True)  # at most 16 * 63 rows
+    root = math.sqrt(total[1])
+    wanted, n_classes = math.ceil(OWN * root), math.ceil(CLASSES * root) + 16
+    most = max(HEAD, wanted)
     least, taken = 10**6, 0
     for r, n in histogram:
         taken += n
-        if taken > HEAD:
+        if taken > most:
             break
         least = r
-    head = [(bytes(r[0], "utf-8"), r[1]) for r in counts.where((rank >= least) | (F.col("word") == END.decode())).collect()]  # at most HEAD rows and the end
+    head = [(bytes(r[0], "utf-8"), r[1]) for r in counts.where((rank >= least) | (F.col("word") == END.decode())).collect()]  # at most HEAD or OWN rows and the end
     head.sort(key=lambda x: (-x[1], x[0]))
-    own = min(SYMBOLS, len(head))
+    own = min(wanted, len(head))
     mine = {w for w, _ in head[:own]}
     sent = counts.sparkSession.sparkContext.broadcast(mine)
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        tokens, words = np.zeros(n_classes, np.int64), np.zeros(n_classes, np.int64)
         for pdf in batches:
             for w, c in zip(pdf["word"], pdf["c"], strict=True):
                 w = w.encode()
                 if w not in sent.value:
-                    g = class_of(w)
+                    g = class_of(w, n_classes)
                     tokens[g] += c
                     words[g] += 1
-        yield pd.DataFrame({"g": np.arange(CLASSES), "n": tokens + words})
+        used = np.flatnonzero(tokens + words)
+        yield pd.DataFrame({"g": used, "n": (tokens + words)[used]})
 
-    size = np.ones(CLASSES)
+    size = np.ones(n_classes)
     for g, n in counts.mapInPandas(classes, "g int, n long").groupBy("g").agg(F.sum("n")).collect():
         size[g] += n
-    symbol = np.array([i if i < own else own + class_of(w) for i, (w, _) in enumerate(head)], np.int32)
+    symbol = np.array([i if i < own else own + class_of(w, n_classes) for i, (w, _) in enumerate(head)], np.int32)
     return Vocabulary(int(total[0]), int(total[1]), {w: i for i, (w, _) in enumerate(head)}, symbol, np.log10(np.array([c for _, c in head], float) + 1), own, size)
 
 
@@ -221,7 +227,7 @@ def encode(docs: DataFrame, vocabulary, held: Column, id_col: str, text_col: str
                     symbols = v.symbol[at] if len(v.symbol) else np.zeros(len(at), np.int32)
                     other = [words[i] if i < len(words) else END for i in rare.tolist()]
                     if other:
-                        g = np.array([class_of(w) for w in other])
+                        g = np.array([class_of(w, len(class_log)) for w in other])
                         symbols[rare] = v.own + g
                         lost = class_log[g].sum()
                     else:
@@ -260,8 +266,8 @@ def baum_welch(encoded: DataFrame, model: Hmm, passes: int) -> Hmm:
 
         summed = encoded.select("symbols").mapInPandas(expect, ", ".join(f"{n} double" for n in names) + ", symbol int").groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names))
         total = np.zeros((len(model.emit) + states + 2, states))
-        for r in summed.collect():  # at most symbols + states + 2 rows
-            total[r["symbol"]] = [r[n] for n in names]
+        found = summed.toPandas()  # at most symbols + states + 2 rows
+        total[found["symbol"].to_numpy()] = found[names].to_numpy()
         k = len(model.emit)
         model = model.refit(total[:k], total[k : k + states], total[k + states])
         done, last, now = done + 1, now, total[k + states + 1, 0]

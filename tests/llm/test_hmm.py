@@ -61,7 +61,7 @@ def test_forward_and_counts_against_enumeration():
 def test_scores(spark, edges, monkeypatch, head):
     """Base scores are exact, whether words are in the head or joined; so are the model's shares of classes."""
     monkeypatch.setattr(H, "HEAD", head)
-    monkeypatch.setattr(H, "SYMBOLS", 10)
+    monkeypatch.setattr(H, "OWN", 0.5)
     rows = edge_rows()
     counts = Counter(w for i, t in rows if not is_held(i) for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
@@ -74,7 +74,7 @@ def test_scores(spark, edges, monkeypatch, head):
 
 def test_probabilities_sum_to_one(spark, monkeypatch):
     """Over all words (and one unknown word a class), one-word texts and the empty text share a mass of at most one."""
-    monkeypatch.setattr(H, "SYMBOLS", 3)
+    monkeypatch.setattr(H, "OWN", 1)
     monkeypatch.setattr(H, "HEAD", 6)
     texts = ["a b c d e f g h", "a a b b c", "a b h h"]
     docs = as_documents(spark, [(i, t) for i, t in enumerate(texts)] + [(100 + i, w) for i, w in enumerate("abcdefgh")] + [(200, ""), (201, "zz")])
@@ -98,7 +98,7 @@ def test_nothing_to_train_on(spark, nothing):
 
 def test_every_pass_sees_all_training_texts(spark, monkeypatch):
     """Scores are those of plain passes over all texts, of which the last source is rare and one text is long."""
-    monkeypatch.setattr(H, "SYMBOLS", 12)
+    monkeypatch.setattr(H, "OWN", 4)
     monkeypatch.setattr(H, "PASSES", 3)
     monkeypatch.setattr(H, "GAIN", 0.02)
     rng = random.Random(4)
@@ -118,3 +118,13 @@ def test_every_pass_sees_all_training_texts(spark, monkeypatch):
     for rows, symbols, running in H.groups(coded):
         for i, x in zip(rows, H.forward(model, symbols, running)[0], strict=True):
             assert math.isclose(got[i], x / math.log(10), rel_tol=1e-6)
+
+
+def test_symbols_grow_with_the_vocabulary(spark):
+    sizes = []
+    for n in (100, 10_000):
+        v = H.build_vocabulary(spark.createDataFrame([(f"w{i}", 1 + i % 50) for i in range(n)], "word string, c long"))
+        sizes.append((v.own, len(v.class_size)))
+        assert v.class_size.sum() == len(v.class_size) + sum(2 + i % 50 for i in range(n)) - sum(1 + round(10 ** v.log_count[p] - 1) for p in range(v.own))
+    assert sizes[1][0] == 10 * sizes[0][0] == H.OWN * 100 if H.OWN * 10 <= 100 else sizes[1][0] == H.OWN * 100
+    assert sizes[1][1] > sizes[0][1]
