@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, stage
+from .common import lookup_join, stage, working_names
 
 #: What a token is here: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,10 +99,11 @@ def mix_to_weights(
     together. No rows: no rows.
     """
     names = list(levels)
+    own_rid, own_whole, own_last = working_names(docs.select(*(c for c in docs.columns if c not in names)), "_rid", "_whole", "_last")
     named = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in levels.items()}).withColumns(
-        {"n_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"), "_rid": F.coalesce(F.col(id_col).cast("string"), F.lit("null"))}
+        {"n_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"), own_rid: F.coalesce(F.col(id_col).cast("string"), F.lit("null"))}
     )
-    slim = stage(named.select(*names, "n_tokens", "_rid"), "mix-rows")
+    slim = stage(named.select(*names, "n_tokens", F.col(own_rid).alias("_rid")), "mix-rows")
     supply = slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     leaves = stage(
         leaf_budgets(supply, names, weights, percent, epochs)
@@ -111,9 +112,9 @@ def mix_to_weights(
         "mix-leaves",
     )
     n_leaves = leaves.count()
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.col("_rid")))
+    key = lambda whole, rid: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(whole).cast("string"), F.col(rid)))
 
-    keyed = lookup_join(slim, leaves, names, n_leaves, "inner").withColumn("_key", key)
+    keyed = lookup_join(slim, leaves, names, n_leaves, "inner").withColumn("_key", key("_whole", "_rid"))
     buckets = keyed.groupBy(*names, F.substring("_key", 1, BUCKET).alias("_bucket")).agg(F.sum("n_tokens").alias("_t"), F.first("_rest").alias("_rest"))
     up_to = Window.partitionBy(*names).orderBy("_bucket")
     open_ = (
@@ -136,6 +137,7 @@ def mix_to_weights(
         leaves.join(open_, names, "left").join(last, names, "left").select(*names, "_whole", F.when(F.col("_bucket").isNull(), F.lit("g")).otherwise(F.coalesce("_last", "_bucket")).alias("_last")),
         "mix-decided",
     )
+    decided = decided.withColumnsRenamed({"_whole": own_whole, "_last": own_last})
     out = lookup_join(named, decided, names, n_leaves, "inner")
-    copies = F.least(F.col("_whole") + (key <= F.col("_last")).cast("long"), F.lit(epochs).cast("long")).cast("int")
-    return out.withColumn("copies", copies).drop("_rid", "_whole", "_last")
+    copies = F.least(F.col(own_whole) + (key(own_whole, own_rid) <= F.col(own_last)).cast("long"), F.lit(epochs).cast("long")).cast("int")
+    return out.withColumn("copies", copies).drop(own_rid, own_whole, own_last)

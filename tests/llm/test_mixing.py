@@ -70,6 +70,12 @@ def test_other_columns_stay(edges):
     assert {"_id", "spans", "evidence", "lang", "source"} <= set(out.columns)
 
 
+def test_columns_of_working_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "en", "x", 5, 6, 7), (2, None, None, None, 5, 6, 7)], "doc_id long, text string, lang string, source string, _rid int, _whole int, _last int")
+    out = mixed(df, 100, 1).collect()
+    assert [(r["_rid"], r["_whole"], r["_last"], r["copies"]) for r in out] == [(5, 6, 7, 1)] * 2
+
+
 def test_shortage_goes_to_siblings_first(spark):
     rows = [(i, "x " * 10) for i in range(0, 40)]
     docs = as_documents(spark, rows)
