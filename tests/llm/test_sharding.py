@@ -69,10 +69,15 @@ def test_edges(spark, edges):
     assert set(slots) <= set(range(4))
 
 
-def test_one_group_with_most_rows(spark):
+def test_one_group_with_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 20)  # the group is numbered in parts
     docs = as_documents(spark, [(i, "same text") for i in range(500)] + [(1000 + i, f"t{i}") for i in range(50)])
     rows = S.shard_contiguous(docs, n_shards=16).collect()
     assert len({(r["shard"], r["slot"]) for r in rows}) == 550
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
 def test_nothing(nothing):
