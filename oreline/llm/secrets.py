@@ -185,17 +185,17 @@ def with_candidates(docs: DataFrame, text_col: str, least: int, keep: list[str])
     return rows.select("doc", "base", battery(free).alias("tested"))
 
 
-def scan_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", least: int = 20, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default: all) plus ``spans``: an array of (start, end, kind) of secrets, by start, then kind.
+def scan_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", least: int = 20, keep: list[str] | None = None, out: str = "spans") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) plus ``out``: an array of (start, end, kind) of secrets, by start, then kind.
 
     Offsets are in code points, end exclusive. Kinds: assign, access, hex, random.
     Matches of one kind never overlap; a random span overlaps no other. ``least`` is
     the length from which strings are tested. The texts are read once: spans of the
     formats and test results are staged beside the kept columns, counts per grid cell
     come from there. A null or empty text has no span; repeated rows have equal spans;
-    a column ``spans`` is replaced, all others stay whatever their names; no rows: no rows.
+    a column named ``out`` is replaced, all others stay whatever their names; no rows: no rows.
     """
-    names = [c for c in (keep or docs.columns) if c.lower() != "spans"]
+    names = [c for c in (keep or docs.columns) if c.lower() != out.lower()]
     found = stage(with_candidates(docs, text_col, least, names), "secrets")
     cells = found.select(F.explode("tested.t").alias("t")).groupBy("t.encoding", "t.band", "t.cell").count()
     accepted = step_up([tuple(r) for r in cells.collect()], fdr)  # bounded: strata times grid cells
@@ -206,7 +206,7 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", lea
     ordered = F.sort_array(F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("rank"), x["end"].alias("end"))))
     kinds = F.array(*map(F.lit, KINDS))
     spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(kinds, x["rank"] + 1).alias("kind")))
-    return found.select(*(F.col("doc")[c].alias(c) for c in names), spans.alias("spans"))
+    return found.select(*(F.col("doc")[c].alias(c) for c in names), spans.alias(out))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import corpus_pipeline as C
-from conftest import sentence
+from conftest import edge_rows, sentence
+from test_mixing import fill
 
 from oreline.llm import queries
 
@@ -77,3 +79,63 @@ def test_near_copies_with_words_changed(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in C.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert kept == set(range(20)) | set(range(101, 120, 2))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, _rep long, n long, sequence_id string"
+
+
+def test_edge_rows_in_every_stage(spark, tmp_path):
+    """Null, empty, blank and very long texts, repeated rows and clashing columns; without labels nothing is toxic."""
+    rows = [(t, i) for i, t in edge_rows()]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", f"src{(i or 0) % 3}", len(t or ""), "x", 1, 2, "y") for t, i in rows], SCHEMA)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = C.drop_toxic(spark, docs, str(tmp_path))
+    assert clean.count() == len(rows) and clean.columns == docs.columns
+    left = C.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    ids = [r["doc_id"] for r in left.collect()]
+    assert {None, 100, 101, 102, 103, 105} <= set(ids) and not {104, 106, 109} & set(ids)
+    masked = C.mask_secrets(spark, docs, str(tmp_path))
+    assert masked.count() == len(rows) and masked.columns == docs.columns
+    assert sorted(str(r["text"]) for r in masked.collect()) == sorted(str(t) for t, _ in rows)
+    mixed = C.mix_sources(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and 0 < mixed.count() <= len(rows)
+    packed = C.pack_documents(spark, docs, str(tmp_path))
+    assert sum(r["start"] == 0 for r in packed.collect()) == len(rows)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_against_plain_python(spark, tmp_path):
+    """The documents that a budget of MIX_PERCENT leaves, by the budgets' plain form."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "de", "fr", None]), f"src{rng.randrange(5)}", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in C.mix_sources(spark, docs, str(tmp_path)).collect()}
+    domain = lambda s: "web" if (h := hashlib.md5(s.encode()).hexdigest()) < "5" else "books" if h < "b" else "code"
+    leaf = {i: (domain(s), lang or "", s) for i, _, lang, s, _ in rows}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    budget = {(): sum(size.values()) * C.MIX_PERCENT // 100}
+    for k in range(3):
+        for up, b in [x for x in budget.items() if len(x[0]) == k]:
+            names = sorted({p[k] for p in leaf.values() if p[:k] == up})
+            weights = queries.WEIGHTS[k] or {}
+            supply = {n: sum(size[i] for i, p in leaf.items() if p[: k + 1] == (*up, n)) for n in names}
+            budget |= {(*up, n): v for n, v in fill([(n, supply[n], weights.get(n, 1)) for n in names], b).items()}
+    want = set()
+    for p in set(leaf.values()):
+        ids = sorted((i for i in leaf if leaf[i] == p), key=lambda i: hashlib.md5(f"17:{0 if budget[p] < sum(size[j] for j in leaf if leaf[j] == p) else 1}:{i}".encode()).hexdigest())
+        total = 0
+        if budget[p] >= sum(size[i] for i in ids):
+            want |= set(ids)
+            continue
+        for i in ids:
+            total += size[i]
+            if total > budget[p]:
+                break
+            want.add(i)
+    assert got == want
