@@ -194,7 +194,7 @@ TERM_STOPWORDS = ("경우", "해당", "필요", "확인", "통해", "기반", "
 def terms(text: Column, most: int = 10) -> Column:
     """Distinct Hangul terms of one or two words, first seen first, at most ``most``."""
     found = F.regexp_extract_all(text, F.lit(r"[가-힣]{2,}(?:\s[가-힣]{2,})?"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: ~t.isin(*TERM_STOPWORDS))), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda t: ~t.isin(*TERM_STOPWORDS))), 1, most)
 
 
 #: Phrases that state a performance requirement.
@@ -208,7 +208,7 @@ PERFORMANCE = (
 
 
 def performance_phrases(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in PERFORMANCE)), F.trim))
+    return F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in PERFORMANCE)), lambda x: F.trim(x)))
 
 
 def keyword_context(text: Column, keyword: str, before: int = 30, after: int = 50) -> Column:

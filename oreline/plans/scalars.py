@@ -77,21 +77,6 @@ def scl_08_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", "p_brand").alias("edits"))
 
 
-TYPES_SQL = "SELECT unnest(['String','Integer?','Long','Boolean','BigDecimal','LocalDate','List<String>']) AS j"
-SQLS_SQL = "SELECT unnest(['VARCHAR(100)','NUMBER','CHAR(1)','DECIMAL(10,2)','DATE','LIST','BIGINT']) AS s"
-
-
-@query(f"""
-WITH t AS (SELECT j, s, lower(regexp_replace(regexp_replace(j, '\\?$', ''), '<.*>$', '')) AS jn, CASE WHEN s = 'CHAR(1)' THEN s ELSE regexp_replace(s, '\\(.*\\)$', '') END AS sn FROM ({TYPES_SQL}), ({SQLS_SQL}))
-SELECT j AS java, s AS sql, upper(jn) = sn OR (jn = 'string' AND sn IN ('VARCHAR','CHAR','TEXT','NVARCHAR','CLOB')) OR (jn = 'long' AND sn IN ('BIGINT','NUMBER','NUMERIC','INT8')) OR (jn = 'integer' AND sn IN ('INT','INTEGER','NUMBER','INT4'))
-  OR (jn = 'bigdecimal' AND sn IN ('DECIMAL','NUMERIC','NUMBER')) OR (jn = 'boolean' AND sn IN ('BOOLEAN','BIT','TINYINT','CHAR(1)')) OR (jn = 'localdate' AND sn = 'DATE') AS fits FROM t
-""")
-def scl_09_type_compatibility(spark: SparkSession, d: str) -> DataFrame:
-    java = F.explode(F.array(*map(F.lit, ("String", "Integer?", "Long", "Boolean", "BigDecimal", "LocalDate", "List<String>")))).alias("java")
-    sql = F.explode(F.array(*map(F.lit, ("VARCHAR(100)", "NUMBER", "CHAR(1)", "DECIMAL(10,2)", "DATE", "LIST", "BIGINT")))).alias("sql")
-    return spark.range(1).select(java).select("java", sql).withColumn("fits", severity.type_compatible(F.col("java"), F.col("sql")))
-
-
 @query("""
 WITH k AS (SELECT l_orderkey, l_linenumber, ['MID','MC','TM','PM','SM'][CAST(l_linenumber % 5 AS INTEGER) + 1] AS kind, l_returnflag = 'R' AS pk, l_linestatus = 'O' AS req FROM lineitem)
 SELECT kind, pk, req, count(*) AS n, CASE kind WHEN 'MID' THEN CASE WHEN pk OR req THEN 'HIGH' ELSE 'LOW' END WHEN 'MC' THEN CASE WHEN pk OR req THEN 'HIGH' ELSE 'MEDIUM' END
@@ -206,21 +191,6 @@ def flt_08_noise_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", rules.table_noise(name, F.col("p_size") % 2).alias("noise"))
 
 
-API_PATHS = ("/a/test", "/a/example/b", "/x/metrics/y", "/a/error", "/healthz", "/rsa/key", "/u/now/u/now", "/a/b/c/d", "/pay/approval", "/a/debugger", "/v/internal/w")
-
-
-@query("""
-SELECT p, CASE WHEN regexp_matches(p, '(?i)/test($|/)') THEN 'test_endpoint' WHEN regexp_matches(p, '(?i)/example/') THEN 'example_endpoint' WHEN regexp_matches(p, '(?i)/metrics/') THEN 'metrics_endpoint'
- WHEN regexp_matches(p, '(?i)/error$') THEN 'error_handler' WHEN regexp_matches(p, '(?i)/health') THEN 'health_check' WHEN regexp_matches(p, '(?i)/debug') THEN 'debug_endpoint' WHEN regexp_matches(p, '(?i)/internal/') THEN 'internal_endpoint'
- WHEN regexp_matches(p, '(?i)/rsa/') THEN 'utility_endpoint' WHEN p = '/u/now/u/now' THEN 'duplicate_path' END AS noise,
- contains(p, '/internal/') OR contains(p, '/health') OR contains(p, '/debug') OR contains(p, '/test') AS internal
-FROM (SELECT unnest(['/a/test','/a/example/b','/x/metrics/y','/a/error','/healthz','/rsa/key','/u/now/u/now','/a/b/c/d','/pay/approval','/a/debugger','/v/internal/w']) AS p)
-""")
-def flt_09_noise_api(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("p")
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, API_PATHS))).alias("p")).select("p", rules.api_noise(p, F.lit("OrderController")).alias("noise"), rules.is_internal(p).alias("internal"))
-
-
 @query("""
 WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '\\berd\\b') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'entity') THEN 1 ELSE 0 END AS erd,
  CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])ui($|[^a-z0-9_])') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])ux($|[^a-z0-9_])') THEN 1 ELSE 0 END AS screen,
