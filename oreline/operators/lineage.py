@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    A temporary folder serves only on one machine; a cluster must name a shared one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one serves only on one machine."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master.split("[")[0] != "local":
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found is None:
+        if sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="oreline-"))
+        found = tempfile.mkdtemp(prefix="oreline-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

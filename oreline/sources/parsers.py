@@ -90,17 +90,249 @@ def read_rules(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return parsed(df, text, keys, rule_table, "id string, condition string, criteria string, outcome string, exception string")
 
 
+def markers(text: str) -> list[dict]:
+    """Divergence markers of a provenance file, line by line: position, rule_id, status, severity (MEDIUM if unstated).
+
+    They stand as list items below the key divergenceMarkers, which the next key without
+    indent ends; items without a rule or with another status than OPEN or RESOLVED are left out.
+    """
+    found: list[dict] = []
+    inside = False
+    for line in text.split("\n"):
+        body = line.strip()
+        if line[:1].isalpha():
+            inside = body.startswith("divergenceMarkers:")
+        elif inside and body.startswith("-"):
+            found.append({"kind": body[1:].partition(":")[2].strip()} if body[1:].strip().startswith("marker:") else {})
+        elif inside and found and ":" in body:
+            key, _, value = body.partition(":")
+            found[-1].setdefault(key.strip(), value.strip())
+    kept = [m for m in found if m.get("kind") == "DIVERGENCE" and m.get("ruleId") and m.get("status", "").split()[:1] in (["OPEN"], ["RESOLVED"])]
+    return [{"position": i, "rule_id": m["ruleId"].split()[0], "status": m["status"].split()[0], "severity": (m.get("severity") or "MEDIUM").split()[0]} for i, m in enumerate(kept)]
+
+
 def read_markers(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Divergence markers of YAML texts: rule_id and status (OPEN or RESOLVED), in order."""
-    section = F.regexp_extract(text, r"(?s)divergenceMarkers:(.*)", 1)
-    blocks = F.slice(F.split(section, r"-\s+marker:\s+DIVERGENCE\s+"), F.lit(2), F.size(F.split(section, r"-\s+marker:\s+DIVERGENCE\s+")))
-    found = df.select(*keys, F.posexplode(blocks).alias("position", "block"))
-    found = found.withColumn("block", F.regexp_extract("block", r"(?s)^(.*?)(\n[a-zA-Z]|$)", 1))
-    return found.select(*keys, "position", F.regexp_extract("block", r"ruleId:\s+(\S+)", 1).alias("rule_id"), F.regexp_extract("block", r"status:\s+(OPEN|RESOLVED)", 1).alias("status")).where("rule_id <> '' and status <> ''")
+    """Divergence markers of YAML texts, in order."""
+    return parsed(df, text, keys, markers, "position int, rule_id string, status string, severity string")
+
+
+def front_matter(text: str) -> list[dict]:
+    """Head of a catalogue file - lines between two rulers - as name, description, category and tags."""
+    lines = text.split("\n")
+    if lines[0].strip() != "---" or "---" not in [x.strip() for x in lines[1:]]:
+        return []
+    head = {}
+    for line in lines[1:]:
+        if line.strip() == "---":
+            break
+        key, colon, value = line.partition(":")
+        if colon:
+            head[key.strip()] = value.strip().strip("\"'")
+    tags = [t.strip().strip("\"'") for t in head.get("tags", "").strip("[]").split(",")]
+    return [{"name": head.get("name"), "description": head.get("description"), "category": head.get("category"), "tags": [t for t in tags if t]}]
+
+
+def read_front_matter(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    return parsed(df, text, keys, front_matter, "name string, description string, category string, tags array<string>")
 
 
 # ---- SQL
 
+TOKEN = re.compile(r"`[^`]*`|\"[^\"]*\"|'(?:[^']|'')*'|[^\W]+(?:\.\w+)*|\S")
+COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
+#: First words of table parts that define no column.
+TABLE_WORDS = ("PRIMARY", "FOREIGN", "UNIQUE", "INDEX", "KEY", "CONSTRAINT", "CHECK")
+
+
+def sql_tokens(text: str) -> list[str]:
+    """Names, strings, numbers and single signs of SQL without its comments."""
+    return TOKEN.findall(COMMENT.sub(" ", text))
+
+
+def bare(token: str) -> str:
+    return token.strip("`\"'")
+
+
+def bracketed(tokens: list[str], at: int) -> tuple[list[list[str]], int]:
+    """Parts between commas of the bracket that opens at ``at``, and the place after its end."""
+    parts: list[list[str]] = [[]]
+    depth = 0
+    for i in range(at, len(tokens)):
+        t = tokens[i]
+        depth += (t == "(") - (t == ")")
+        if depth == 0:
+            return [p for p in parts if p], i + 1
+        if t == "," and depth == 1:
+            parts.append([])
+        elif i > at:
+            parts[-1].append(t)
+    return [p for p in parts if p], len(tokens)
+
+
+def after(tokens: list[str], *words: str) -> int:
+    """Place behind the first run of ``words`` (without case), or -1."""
+    upper = [t.upper() for t in tokens]
+    for i in range(len(tokens) - len(words) + 1):
+        if upper[i : i + len(words)] == list(words):
+            return i + len(words)
+    return -1
+
+
+def names_in(tokens: list[str], at: int) -> list[str]:
+    parts, _ = bracketed(tokens, at)
+    return [bare(p[0]) for p in parts]
+
+
+def reference(tokens: list[str]) -> tuple[str, list[str]] | None:
+    """Table and columns that a part refers to."""
+    at = after(tokens, "REFERENCES")
+    if at < 0 or at >= len(tokens):
+        return None
+    more = names_in(tokens, at + 1) if tokens[at + 1 : at + 2] == ["("] else []
+    return bare(tokens[at]), more
+
+
+def statements(text: str) -> Iterator[list[str]]:
+    """Token lists of the statements of a script."""
+    out: list[str] = []
+    for t in sql_tokens(text):
+        if t == ";":
+            yield out
+            out = []
+        else:
+            out.append(t)
+    yield out
+
+
+def one_column(part: list[str], keys: set[str], links: dict[str, str]) -> dict | None:
+    """A column definition: name, type with its size, and what follows."""
+    if len(part) < 2 or part[0].upper() in TABLE_WORDS:
+        return None
+    name, kind, rest = bare(part[0]), part[1], part[2:]
+    if rest[:1] == ["("]:
+        sizes, end = bracketed(rest, 0)
+        kind += "(" + ",".join("".join(x) for x in sizes) + ")"
+        rest = rest[end:]
+    default, comment, link = after(rest, "DEFAULT"), after(rest, "COMMENT"), reference(rest)
+    value = lambda at: bare(rest[at]) if 0 <= at < len(rest) else None
+    primary = name in keys or after(rest, "PRIMARY", "KEY") >= 0
+    return {
+        "column": name, "type": kind, "nullable": after(rest, "NOT", "NULL") < 0, "primary": primary, "default_value": value(default), "comment": value(comment),
+        "references": f"{link[0]}.{link[1][0] if link[1] else 'id'}" if link else links.get(name),
+    }
+
+
+def ddl_columns(text: str) -> list[dict]:
+    """Columns of CREATE TABLE statements; parts are split at commas outside brackets."""
+    out = []
+    for tokens in statements(text):
+        at = after(tokens, "CREATE", "TABLE")
+        if at < 0:
+            continue
+        at = after(tokens, "IF", "NOT", "EXISTS") if tokens[at : at + 1] and tokens[at].upper() == "IF" else at
+        if at < 0 or tokens[at + 1 : at + 2] != ["("]:
+            continue
+        parts, _ = bracketed(tokens, at + 1)
+        keys, links = set(), {}
+        for p in parts:
+            if p[0].upper() in TABLE_WORDS:
+                key, link = after(p, "PRIMARY", "KEY"), reference(p)
+                keys |= set(names_in(p, key)) if key >= 0 else set()
+                own = after(p, "FOREIGN", "KEY")
+                if own >= 0 and link:
+                    links |= {a: f"{link[0]}.{b}" for a, b in zip(names_in(p, own), link[1], strict=False)}
+        out += [{"table": bare(tokens[at]), **c} for p in parts if (c := one_column(p, keys, links))]
+    return out
+
+
+def read_ddl(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    return parsed(df, text, keys, ddl_columns, "table string, column string, type string, nullable boolean, primary boolean, default_value string, comment string, references string")
+
+
+def schema_parts(text: str) -> list[dict]:
+    """Entities, relations and indexes of a script, and warnings of what could not be read.
+
+    kind is entity (name: table, detail: its columns), relation (name: table.column,
+    detail: what it refers to), index (name: table, detail: columns) or warning.
+    """
+    out = []
+    columns = ddl_columns(text)
+    for table in dict.fromkeys(c["table"] for c in columns):
+        own = [c for c in columns if c["table"] == table]
+        out.append({"kind": "entity", "name": table, "detail": ",".join(c["column"] + ("*" if c["primary"] else "") for c in own)})
+        out += [{"kind": "relation", "name": f"{table}.{c['column']}", "detail": c["references"]} for c in own if c["references"]]
+    known = {c["table"] for c in columns}
+    for tokens in statements(text):
+        at = after(tokens, "ON")
+        upper = [t.upper() for t in tokens[:3]]
+        if upper[:1] == ["CREATE"] and "INDEX" in upper and at > 0:
+            name = bare(tokens[at])
+            out.append({"kind": "index" if name in known else "warning", "name": name, "detail": ",".join(names_in(tokens, at + 1))})
+    return out
+
+
+def read_schema(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    return parsed(df, text, keys, schema_parts, "kind string, name string, detail string")
+
+
+# ---- mapper files
+
+TAG = re.compile(r"<(/?)([A-Za-z]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+STATEMENTS = ("select", "insert", "update", "delete")
+NAMED_BEFORE = ("FROM", "INTO", "UPDATE", "JOIN")
+
+
+def attributes(text: str) -> dict[str, str]:
+    return {k: v for k, _, v in re.findall(r"(\w+)\s*=\s*([\"'])(.*?)\2", text)}
+
+
+def sql_tables(sql: str) -> list[str]:
+    """Names after FROM, INTO, UPDATE and JOIN, each once."""
+    tokens = sql_tokens(sql)
+    found = [bare(b) for a, b in zip(tokens, tokens[1:], strict=False) if a.upper() in NAMED_BEFORE and re.match(r"[`\"\w]", b)]
+    return list(dict.fromkeys(found))
+
+
+def sql_columns(sql: str, kind: str) -> list[str]:
+    """Columns that a select names before FROM (its aliases, if any) or that an insert fills."""
+    tokens = sql_tokens(sql)
+    if kind == "insert":
+        at = after(tokens, "INTO")
+        return names_in(tokens, at + 1) if at >= 0 and tokens[at + 1 : at + 2] == ["("] else []
+    if kind != "select":
+        return []
+    a, b = after(tokens, "SELECT"), after(tokens, "FROM")
+    parts, _ = bracketed(["(", *tokens[a : b - 1 if b > 0 else None], ")"], 0)
+    return [bare(p[-1]).split(".")[-1] for p in parts if re.match(r"[`\"\w]", p[-1])]
+
+
+def mapper_parts(text: str) -> list[dict]:
+    """Statements and result maps of a mapper file: kind, id, SQL without tags, tables and columns it names."""
+    out: list[dict] = []
+    plain = text.replace("<![CDATA[", "").replace("]]>", "")
+    open_: tuple[str, dict, int] | None = None
+    for m in TAG.finditer(plain):
+        closing, name, rest = m[1], m[2], m[3]
+        if open_ is None and not closing and name in (*STATEMENTS, "resultMap") and "id" in attributes(rest):
+            open_ = name, attributes(rest), m.end()
+        elif open_ and closing and name == open_[0]:
+            body = plain[open_[2] : m.start()]
+            if name == "resultMap":
+                fields = [attributes(t[3]) for t in TAG.finditer(body)]
+                out.append({"kind": "resultMap", "id": open_[1]["id"], "sql": open_[1].get("type"), "tables": [], "columns": [f["column"] for f in fields if "column" in f]})
+            else:
+                sql = TAG.sub("", body)
+                out.append({"kind": name, "id": open_[1]["id"], "sql": sql.strip(), "tables": sql_tables(sql), "columns": sql_columns(sql, name)})
+            open_ = None
+    return out
+
+
+def read_mapper(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    return parsed(df, text, keys, mapper_parts, "kind string, id string, sql string, tables array<string>, columns array<string>")
+
+
+# ---- Java
+
 
 def split_top(text: str, opening: str = "(<[", closing: str = ")>]") -> list[str]:
     """Parts between commas outside brackets."""
@@ -114,119 +346,165 @@ def split_top(text: str, opening: str = "(<[", closing: str = ")>]") -> list[str
 
 
 def balanced(text: str, at: int) -> str:
-    """What stands between the parenthesis at ``at`` and its partner."""
-    depth = 0
+    """What stands between the parenthesis at ``at`` and its partner, whatever strings hold."""
+    depth, quoted = 0, ""
     for i in range(at, len(text)):
-        depth += (text[i] == "(") - (text[i] == ")")
-        if depth == 0:
-            return text[at + 1 : i]
+        ch = text[i]
+        if quoted:
+            quoted = "" if ch == quoted and text[i - 1] != "\\" else quoted
+        elif ch in "\"'":
+            quoted = ch
+        else:
+            depth += (ch == "(") - (ch == ")")
+            if depth == 0:
+                return text[at + 1 : i]
     return ""
 
 
-CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"']?([\w.]+)[`\"']?\s*\(", re.I)
-COLUMN = re.compile(r"^[`\"']?(\w+)[`\"']?\s+(\w+(?:\(\d+(?:\s*,\s*\d+)?\))?)\s*(.*)", re.I | re.S)
-TABLE_PART = re.compile(r"^(PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|INDEX|KEY|CONSTRAINT|CHECK)\b", re.I)
+def annotation_at(text: str, at: int) -> tuple[str, str, int] | None:
+    """Name, arguments and end of the annotation that begins at ``at``."""
+    name = re.compile(r"@(\w+)\s*").match(text, at)
+    if not name:
+        return None
+    if text[name.end() : name.end() + 1] != "(":
+        return name[1], "", name.end()
+    inside = balanced(text, name.end())
+    return name[1], inside, name.end() + len(inside) + 2
 
 
-def ddl_columns(text: str) -> list[dict]:
-    """Columns of CREATE TABLE statements; parts are split at commas outside parentheses."""
+def annotations(text: str, at: int = 0) -> tuple[list[tuple[str, str]], int]:
+    """The annotations in a row from ``at`` on, and where they end."""
     out = []
-    for m in CREATE.finditer(text):
-        parts = split_top(balanced(text, m.end() - 1), "(", ")")
-        keys = {c.strip().strip("`\"'") for p in parts for k in re.findall(r"PRIMARY\s+KEY\s*\(([^)]*)\)", p, re.I) for c in k.split(",")}
-        links = {}
-        for p in parts:
-            for a, t, b in re.findall(r"FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+[`\"']?(\w+)[`\"']?\s*\(([^)]*)\)", p, re.I):
-                links[a.strip().strip("`\"'")] = f"{t}.{b.strip().strip('`\"')}"
-        for p in parts:
-            c = None if TABLE_PART.match(p) else COLUMN.match(p)
-            if c:
-                name, kind, rest = c.groups()
-                default, comment = re.search(r"DEFAULT\s+(\S+)", rest, re.I), re.search(r"COMMENT\s+'([^']+)'", rest, re.I)
-                primary = name in keys or bool(re.search(r"PRIMARY\s+KEY", rest, re.I))
-                out.append({"table": m[1], "column": name, "type": kind, "nullable": not re.search(r"NOT\s+NULL", rest, re.I), "primary": primary, "default_value": default and default[1].strip("'\""), "comment": comment and comment[1], "references": links.get(name)})
-    return out
-
-
-def read_ddl(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    return parsed(df, text, keys, ddl_columns, "table string, column string, type string, nullable boolean, primary boolean, default_value string, comment string, references string")
-
-
-MAPPED = r"""(?is)<(select|insert|update|delete)\s+id\s*=\s*["']([^"']+)["'][^>]*>(.*?)</\1>"""
-
+    while True:
+        while at < len(text) and text[at].isspace():
+            at += 1
+        found = annotation_at(text, at)
+        if not found:
+            return out, at
+        out.append(found[:2])
+        at = found[2]
 
-def read_mapper_queries(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Statements of mapper XML: kind, id, SQL without CDATA and dynamic tags, and the tables it names."""
-    field = lambda g: F.regexp_extract_all(text, F.lit(MAPPED), F.lit(g))
-    q = df.select(*keys, F.explode(F.arrays_zip(field(1).alias("kind"), field(2).alias("id"), field(3).alias("body"))).alias("q"))
-    sql = F.regexp_replace(F.regexp_replace("q.body", r"<!\[CDATA\[|]]>", ""), r"</?(if|choose|when|otherwise|foreach|where|set|trim|bind)\b[^>]*>", "")
-    tables = F.concat(*(F.regexp_extract_all("sql", F.lit(rf'(?i)\b{w}\s+[`"]?(\w+)'), F.lit(1)) for w in ("FROM", "INTO", "UPDATE", "JOIN")))
-    return q.select(*keys, F.lower("q.kind").alias("kind"), "q.id", sql.alias("sql")).withColumn("tables", F.array_distinct(tables))
 
+#: Methods of mapping annotations.
+VERBS = {"GetMapping": ["GET"], "PostMapping": ["POST"], "PutMapping": ["PUT"], "DeleteMapping": ["DELETE"], "PatchMapping": ["PATCH"], "RequestMapping": []}
+#: Annotations that say where a parameter comes from.
+PARAMETER_NOTES = ("RequestParam", "PathVariable", "RequestBody", "RequestHeader", "ModelAttribute")
+MODIFIERS = ("public", "protected", "private", "static", "final", "abstract", "synchronized", "default")
+CLASS = re.compile(r"\bclass\s+(\w+)")
 
-# ---- Java
 
-VERBS = {"GetMapping": ["GET"], "PostMapping": ["POST"], "PutMapping": ["PUT"], "DeleteMapping": ["DELETE"], "PatchMapping": ["PATCH"]}
-MAPPING = re.compile(r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\s*(?:\(([^)]*)\))?")
-SIGNATURE = re.compile(r"\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public|protected|private)?\s*([\w<>,\s\[\]?.]+?)\s+(\w+)\s*\(")
+def strings_in(text: str) -> list[str]:
+    return [a or b for a, b in re.findall(r"\"([^\"]*)\"|'([^']*)'", text)]
 
 
 def mapping_path(arguments: str) -> str:
-    """The first path of a mapping annotation: value or path, a list, or the first string."""
-    m = re.search(r"(?:value|path)\s*=\s*\{?\s*[\"']([^\"']+)[\"']", arguments) or re.search(r"[\"']([^\"']+)[\"']", arguments)
-    return m[1] if m else ""
+    """The first path of a mapping annotation: of value or path, a list, or the first string."""
+    named = dict(p.split("=", 1) for p in split_top(arguments, "({[", ")}]") if re.match(r"\w+\s*=", p))
+    chosen = next((v for k, v in named.items() if k.strip() in ("value", "path")), arguments if not named else "")
+    return next(iter(strings_in(chosen)), "")
 
 
 def parameters(text: str) -> list[dict]:
     out = []
-    for part in split_top(text, "<(", ">)"):
-        note = re.search(r"@(RequestParam|PathVariable|RequestBody|RequestHeader|ModelAttribute)\b", part)
-        words = re.sub(r"@\w+(?:\s*\([^)]*\))?", "", part).split()
+    for part in split_top(text, "<({[", ">)}]"):
+        notes, at = annotations(part)
+        words = [w for w in part[at:].split() if w not in MODIFIERS]
+        note = next(((n, a) for n, a in notes if n in PARAMETER_NOTES), None)
         if words:
-            free = re.search(r"required\s*=\s*false", part) or (note and note[1] == "RequestBody")
-            out.append({"name": words[-1], "type": " ".join(words[:-1]) or "Object", "required": not free, "annotation": note and "@" + note[1]})
+            free = note is not None and (note[0] == "RequestBody" or "false" in [v.strip() for v in re.findall(r"required\s*=\s*(\w+)", note[1])])
+            out.append({"name": words[-1], "type": " ".join(words[:-1]) or "Object", "required": not free, "annotation": note and "@" + note[0]})
     return out
 
 
+def signature(text: str, at: int) -> tuple[str, str, int] | None:
+    """Return type, name and place of the opening bracket of the method that begins at ``at``."""
+    _, at = annotations(text, at)
+    end = min([i for i in (text.find("(", at), text.find("{", at), text.find(";", at)) if i >= 0], default=-1)
+    if end < 0 or text[end] != "(":
+        return None
+    words = [w for w in text[at:end].split() if w not in MODIFIERS]
+    return (" ".join(words[:-1]), words[-1], end) if len(words) > 1 else None
+
+
+def class_head(text: str) -> tuple[str, list[tuple[str, str]], int] | None:
+    """Name, annotations and place of the first class."""
+    cls = CLASS.search(text)
+    if not cls:
+        return None
+    notes, at = [], text.find("@")
+    while 0 <= at < cls.start():
+        found, at = annotations(text, at)
+        notes += found
+        at = text.find("@", at)
+    return cls[1], notes, cls.end()
+
+
 def controller_endpoints(text: str) -> list[dict]:
-    """Endpoints of a Java controller: methods, full path, parameters, return type."""
-    cls = re.search(r"(?:public\s+)?class\s+(\w+)", text)
-    if not cls or not re.search(r"@(Rest)?Controller\b", text):
+    """Endpoints of a Java controller: methods, full path, parameters, return type, summary."""
+    head = class_head(text)
+    if not head or not {"RestController", "Controller"} & {n for n, _ in head[1]}:
         return []
-    base = next((mapping_path(m[2] or "") for m in MAPPING.finditer(text[: cls.start()])), "")
+    name, notes, at = head
+    base = next((mapping_path(a) for n, a in notes if n in VERBS), "")
     out = []
-    for m in MAPPING.finditer(text, cls.end()):
-        s = SIGNATURE.match(text, m.end())
+    while (at := text.find("@", at)) >= 0:
+        found, end = annotations(text, at)
+        mapping = next(((n, a) for n, a in found if n in VERBS), None)
+        s = signature(text, end) if mapping else None
         if s:
-            chosen = re.findall(r"RequestMethod\.(\w+)", m[2] or "")
-            path = "/" + "/".join(p.strip("/") for p in (base, mapping_path(m[2] or "")) if p.strip("/"))
-            out.append({"controller": cls[1], "methods": VERBS.get(m[1]) or chosen or ["GET"], "path": path, "method_name": s[2], "return_type": s[1].strip(), "params": parameters(balanced(text, s.end() - 1)), "line": text.count("\n", 0, m.start()) + 1})
+            chosen = re.findall(r"RequestMethod\.(\w+)", mapping[1])
+            path = "/" + "/".join(p.strip("/") for p in (base, mapping_path(mapping[1])) if p.strip("/"))
+            summary = next((strings_in(a)[0] for n, a in found if n in ("ApiOperation", "Operation") and strings_in(a)), None)
+            inside = balanced(text, s[2])
+            out.append({"controller": name, "methods": VERBS[mapping[0]] or chosen or ["GET"], "path": path, "method_name": s[1], "return_type": s[0], "params": parameters(inside), "summary": summary, "line": text.count("\n", 0, at) + 1})
+            end = s[2] + len(inside)
+        at = max(end, at + 1)
     return out
 
 
 def read_controllers(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     params = "array<struct<name:string,type:string,required:boolean,annotation:string>>"
-    return parsed(df, text, keys, controller_endpoints, f"controller string, methods array<string>, path string, method_name string, return_type string, params {params}, line int")
-
-
-FIELD = re.compile(r"((?:@\w+(?:\([^)]*\))?\s*)*)(?:private|protected|public)\s+([\w.<>,\[\] ?]+?)\s+(\w+)\s*[;=]")
+    return parsed(df, text, keys, controller_endpoints, f"controller string, methods array<string>, path string, method_name string, return_type string, params {params}, summary string, line int")
+
+
+def members(text: str, at: int) -> Iterator[tuple[list[tuple[str, str]], str]]:
+    """Annotations and head - up to ; = ( or { - of each member of a class body."""
+    while at < len(text):
+        notes, at = annotations(text, at)
+        end = next((i for i in range(at, len(text)) if text[i] in ";=({}"), len(text))
+        yield notes, text[at : end + 1].strip()
+        if text[end : end + 1] == "(":
+            end += len(balanced(text, end)) + 1
+            end = next((i for i in range(end, len(text)) if text[i] in ";{"), len(text))
+        if text[end : end + 1] == "{":
+            depth = 0
+            while end < len(text):
+                depth += (text[end] == "{") - (text[end] == "}")
+                if depth == 0:
+                    break
+                end += 1
+        elif text[end : end + 1] == "=":
+            end = text.find(";", end) if text.find(";", end) >= 0 else len(text)
+        at = end + 1
 
 
 def model_fields(text: str) -> list[dict]:
     """Fields of a Java data class with what its persistence annotations say."""
-    cls = re.search(r"class\s+(\w+)", text)
-    if not cls:
+    head = class_head(text)
+    if not head:
         return []
-    table = re.search(r"@Table\s*\(\s*name\s*=\s*[\"'](\w+)[\"']", text)
+    name, notes, at = head
+    of = lambda notes, kind: next((dict((k, v.strip("\"' ")) for k, v in re.findall(r"(\w+)\s*=\s*([^,]+)", a)) for n, a in notes if n == kind), None)
+    table = of(notes, "Table")
     out = []
-    for m in FIELD.finditer(text, cls.end()):
-        notes = m[1]
-        if re.search(r"\bstatic\b|\bclass\b", m[2]):
+    for found, line in members(text, text.find("{", at) + 1):
+        words = line.rstrip(";=").split()
+        if not line.endswith((";", "=")) or len(words) < 2 or "static" in words:
             continue
-        column = re.search(r"@Column\s*\(([^)]*)\)", notes)
-        name = column and re.search(r"name\s*=\s*[\"'](\w+)[\"']", column[1])
-        primary = bool(re.search(r"@Id\b", notes))
-        out.append({"class_name": cls[1], "table": table and table[1], "field": m[3], "type": m[2].strip(), "column": name and name[1], "primary": primary, "nullable": not primary and not (column and re.search(r"nullable\s*=\s*false", column[1]))})
+        words = [w for w in words if w not in MODIFIERS]
+        column = of(found, "Column") or {}
+        primary = any(n in ("Id", "EmbeddedId") for n, _ in found)
+        out.append({"class_name": name, "table": (table or {}).get("name"), "field": words[-1], "type": " ".join(words[:-1]), "column": column.get("name"), "primary": primary, "nullable": not primary and column.get("nullable") != "false"})
     return out
 
 
@@ -236,14 +514,18 @@ def read_data_models(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 def service_methods(text: str) -> list[dict]:
     """Public methods of a Java service, and whether they run in a transaction (own annotation or the class's)."""
-    cls = re.search(r"class\s+(\w+)", text)
-    if not cls or not re.search(r"@Service\b|@Component\b", text):
+    head = class_head(text)
+    if not head or not {"Service", "Component"} & {n for n, _ in head[1]}:
         return []
-    whole = "@Transactional" in text[: cls.start()]
-    return [
-        {"class_name": cls[1], "method_name": m[2], "transactional": whole or "@Transactional" in m[1], "read_only": bool(re.search(r"readOnly\s*=\s*true", m[1]))}
-        for m in re.finditer(r"((?:@\w+(?:\([^)]*\))?\s*)*)public\s+[\w<>,\[\] ?.]+\s+(\w+)\s*\(", text[cls.end() :])
-    ]
+    name, notes, at = head
+    whole = any(n == "Transactional" for n, _ in notes)
+    out = []
+    for found, line in members(text, text.find("{", at) + 1):
+        words = line.rstrip("(").split()
+        if line.endswith("(") and words[:1] == ["public"] and len(words) > 2:
+            own = [a for n, a in found if n == "Transactional"]
+            out.append({"class_name": name, "method_name": words[-1], "transactional": whole or bool(own), "read_only": any("readOnly=true" in a.replace(" ", "") for a in own)})
+    return out
 
 
 def read_services(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
