@@ -41,20 +41,36 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return live.select(F.col("src").alias("node")).distinct()
 
 
+def dependency_list(edges: DataFrame) -> DataFrame:
+    """Every node of ``edges`` (src, dst) with how many it needs, the first of them, and how many need it."""
+    e = edges.select("src", "dst").distinct()
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("needs"), F.min("dst").alias("first_needs"))
+    back = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needed_by"))
+    return out.join(back, "node", "full").select("node", F.coalesce("needs", F.lit(0)).alias("needs"), "first_needs", F.coalesce("needed_by", F.lit(0)).alias("needed_by"))
+
+
 def analysis_graph(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (label, key) and edges (src, dst, type) of extraction results.
 
-    ``extractions``: document, processes (array of struct name, steps), entities (array of
-    struct name), rules (array of struct condition, outcome).
+    ``extractions``: document, processes (array of struct name, steps, parts), entities (array of
+    struct name), rules (array of struct condition, outcome), actors and requirements (arrays).
     """
-    p = extractions.select("document", F.explode("processes").alias("p"))
-    e = extractions.select("document", F.explode("entities").alias("e"))
-    r = extractions.select("document", F.explode("rules").alias("r"))
-    steps = p.select("document", F.col("p.name").alias("name"), F.explode("p.steps").alias("step"))
-    node = lambda df, label, key: df.select(F.lit(label).alias("label"), key.alias("key"))
-    nodes = (
-        node(p, "Process", F.col("p.name")).union(node(steps, "Method", F.col("step"))).union(node(e, "Entity", F.col("e.name"))).union(node(r, "Condition", F.col("r.condition"))).union(node(extractions, "Document", F.col("document")))
-    )
-    edge = lambda df, a, b, t: df.select(a.alias("src"), b.alias("dst"), F.lit(t).alias("type"))
-    edges = edge(p, F.col("document"), F.col("p.name"), "HAS_PROCESS").union(edge(steps, F.col("name"), F.col("step"), "HAS_METHOD")).union(edge(e, F.col("document"), F.col("e.name"), "HAS_ENTITY")).union(edge(r, F.col("document"), F.col("r.condition"), "HAS_CONDITION"))
+    p = extractions.select("document", F.explode("processes").alias("p")).select("document", "p.*")
+    inner = lambda c: p.select("document", F.col("name").alias("src"), F.explode(c).alias("key"))
+    outer = lambda c: extractions.select("document", F.col("document").alias("src"), F.explode(c).alias("key"))
+    parts = {
+        ("Process", "HAS_PROCESS"): p.select("document", F.col("document").alias("src"), F.col("name").alias("key")),
+        ("SubProcess", "HAS_SUBPROCESS"): inner("parts"),
+        ("Method", "HAS_METHOD"): inner("steps"),
+        ("Entity", "HAS_ENTITY"): outer(F.transform("entities", lambda e: e["name"])),
+        ("Condition", "HAS_CONDITION"): outer(F.transform("rules", lambda r: r["condition"])),
+        ("Actor", "HAS_ACTOR"): outer("actors"),
+        ("Requirement", "HAS_REQUIREMENT"): outer("requirements"),
+    }
+    nodes = extractions.select(F.lit("Document").alias("label"), F.col("document").alias("key"))
+    edges = None
+    for (label, kind), rows in parts.items():
+        nodes = nodes.union(rows.select(F.lit(label), "key"))
+        one = rows.select("src", F.col("key").alias("dst"), F.lit(kind).alias("type"))
+        edges = one if edges is None else edges.union(one)
     return nodes.where("key is not null").distinct(), edges.where("src is not null and dst is not null").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +11,50 @@ from ..functions import text as T
 from .lineage import cut
 
 
-def greedy_assign(candidates: DataFrame, src: str = "src", doc: str = "doc", score: str = "score") -> DataFrame:
-    """One-to-one matches as of a walk over sources in order, each taking its best document still free.
+def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: str = "doc") -> DataFrame:
+    """One-to-one matches as of a walk over sources in order: each takes the free document it prefers most.
+
+    ``wanted`` has src, key and prefer (higher first; at most one row a source and key),
+    ``offered`` doc and key. Of equally preferred documents the smallest is taken.
+    Returns src, doc, key.
 
-    Ties go to the smaller document. ``candidates`` has at most one row a pair. The
-    walk is done in rounds: a source may be settled as soon as no smaller source
-    still wants its best document, for then nobody before it can take that document.
+    The walk is done in rounds. A source is safe if its best key K has more free documents
+    than there are smaller sources that could take one: it will not fall back on other
+    keys. In each round the sources whose best key is K take K's free documents in order,
+    up to the first source that is not safe and may yet fall back on K. So all sources of one
+    key are settled in one round, however many they are; rounds are as many as the longest
+    chain of sources that run out of their keys and fall back on each other's, and the
+    smallest source is settled in each.
     """
-    live, found = cut(candidates.select(src, doc, score)), None
-    while not live.isEmpty():
-        best = live.groupBy(src).agg(F.max_by(F.struct(doc, score), F.struct(F.col(score), -F.col(doc))).alias("_b")).select(src, f"_b.{doc}", f"_b.{score}")
-        first = live.groupBy(doc).agg(F.min(src).alias(src))
-        settled = cut(best.join(first, [src, doc]))
-        found = settled if found is None else cut(found.unionByName(settled))
-        live = cut(live.join(settled.select(src), src, "left_anti").join(settled.select(doc), doc, "left_anti"))
-    return candidates.select(src, doc, score).limit(0) if found is None else found.select(src, doc, score)
+    live, free, found = cut(wanted.select(src, "key", "prefer")), cut(offered.select(doc, "key")), []
+    by_source = Window.partitionBy("key").orderBy(src)
+    while True:
+        keys = free.groupBy("key").agg(F.min(doc).alias("_least"), F.count("*").alias("_n"))
+        live = live.join(keys, "key").withColumn("_r", F.row_number().over(by_source))
+        top = live.groupBy(src).agg(F.max(F.struct("prefer", (-F.col("_least")).alias("l"), "key")).alias("_t"))
+        both = live.join(top, src).select("*", (F.col("key") == F.col("_t.key")).alias("_own"), (F.col("prefer") == F.col("_t.prefer")).alias("_tie"))
+        both = cut(both.drop("_t"))
+        if both.isEmpty():
+            break
+        state = both.groupBy(src).agg((F.sum(F.col("_tie").cast("int")) > 1).alias("_tied"), F.max(F.when(F.col("_own"), F.col("_r") <= F.col("_n"))).alias("_room"))
+        rows = both.join(state, src).withColumn("_safe", F.col("_room") & ~F.col("_tied"))
+        best = rows.where("_own").withColumn("_k", F.row_number().over(by_source))
+        late = rows.where("not _own and not _safe").select("key", src).union(best.where("_tied and _k > 1").select("key", src)).groupBy("key").agg(F.min(src).alias("_late"))
+        ready = best.join(late, "key", "left").where(F.col("_late").isNull() | (F.col(src) < F.col("_late"))).select(src, "key", "_k")
+        given = free.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(doc)))
+        settled = cut(ready.join(given, ["key", "_k"]).select(src, doc, "key"))
+        found.append(settled)
+        live = both.select(src, "key", "prefer").join(settled.select(src), src, "left_anti")
+        free = cut(free.join(settled.select(doc), doc, "left_anti"))
+    nothing = wanted.select(src, "key").join(offered.select(doc, "key"), "key").limit(0).select(src, doc, "key")
+    return cut(reduce(DataFrame.unionByName, found)) if found else nothing
+
+
+def greedy_assign(candidates: DataFrame, src: str = "src", doc: str = "doc", score: str = "score") -> DataFrame:
+    """The same walk where each document is a key of its own and the score decides; ``candidates`` has one row a pair."""
+    wanted = candidates.select(src, F.col(doc).alias("key"), F.col(score).alias("prefer"))
+    found = assign_keys(wanted, candidates.select(doc).distinct().withColumn("key", F.col(doc)), src, doc)
+    return found.select(src, doc).join(candidates, [src, doc]).select(src, doc, score)
 
 
 def pair_by_rank(left: DataFrame, right: DataFrame, score: float, key: str = "key", src: str = "src", doc: str = "doc") -> DataFrame:
@@ -51,61 +82,79 @@ def token_pairs(left: DataFrame, right: DataFrame, threshold: float, tokens: str
     return pairs.join(a, left_id).join(b, right_id).select(left_id, right_id, score.alias("score")).where(F.col("score") >= threshold)
 
 
-def key_pairs(left: DataFrame, right: DataFrame, keys: str = "keys", scores: str = "scores", key: str = "key", left_id: str = "src", right_id: str = "doc") -> DataFrame:
-    """Pairs by ranked keys: ``left`` has arrays of keys and their scores, ``right`` one key. The best key counts."""
-    rows = left.select(left_id, F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(scores).alias("s"))).alias("x")).select(left_id, F.col("x.k").alias(key), F.col("x.s").alias("score"))
-    return rows.where(F.col(key) != "").join(right.select(right_id, key), key).groupBy(left_id, right_id).agg(F.max("score").alias("score"))
-
-
-def still_free(df: DataFrame, found: DataFrame | None, *columns: str) -> DataFrame:
-    for c in columns if found is not None else ():
-        df = df.join(found.select(c), c, "left_anti")
-    return df
+def still_free(df: DataFrame, found: DataFrame | None, column: str) -> DataFrame:
+    return df if found is None else df.join(found.select(column), column, "left_anti")
 
 
-def staged_matches(stages: list[tuple], src: str = "src", doc: str = "doc") -> DataFrame:
-    """Greedy assignment stage by stage, each on what the stages before left free: src, doc, score, method.
+def staged_matches(stages: list[tuple[str, DataFrame, DataFrame]], src: str = "src", doc: str = "doc") -> DataFrame:
+    """Assignment stage by stage, each on what the stages before left free: src, doc, score, method.
 
-    A stage is (method, candidates) or, if it goes by a single key, (method, sources, documents, score).
+    A stage is (method, wanted, offered): wanted has src, key, prefer and score, offered doc and key.
     """
     found = None
-    for method, first, *more in stages:
-        if more:
-            got = pair_by_rank(still_free(first, found, src), still_free(more[0], found, doc), more[1], src=src, doc=doc)
-        else:
-            got = greedy_assign(still_free(first, found, src, doc), src, doc)
-        got = got.withColumn("method", F.lit(method))
+    for method, wanted, offered in stages:
+        wanted = cut(still_free(wanted, found, src))
+        got = assign_keys(wanted, still_free(offered, found, doc), src, doc)
+        got = got.join(wanted.select(src, "key", "score"), [src, "key"]).select(src, doc, "score", F.lit(method).alias("method"))
         found = cut(got if found is None else found.unionByName(got))
     return found
 
 
-def match_endpoints(sources: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Match endpoints by path: equal normalised paths (1.0, alternatives 0.9), equal resources (0.85), similar words.
+def in_order(keys: Column) -> Column:
+    """(key, position) of distinct non-empty keys, in order."""
+    return F.posexplode(F.array_distinct(F.filter(keys, lambda k: F.coalesce(k, F.lit("")) != ""))).alias("position", "key")
+
 
-    ``sources`` has src, path and alternatives (array, may be null), ``docs`` has doc and path.
+def token_key(tokens: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
+
+
+def similar_keys(variants: DataFrame, offered: DataFrame, threshold: float) -> DataFrame:
+    """(src, key, prefer, score): the token sets among ``offered`` (key: words joined) similar to a variant (src, tokens), best score first.
+
+    Equal token sets on either side are compared once.
     """
-    other = F.coalesce(F.col("alternatives"), F.array().cast("array<string>"))
-    left = sources.select("src", "path", F.concat(F.array(T.normalize_path(F.col("path"))), F.transform(other, T.normalize_path)).alias("keys"))
-    left = left.withColumn("scores", F.transform("keys", lambda k, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.9))))
-    right = docs.select("doc", T.normalize_path(F.col("path")).alias("key"))
-    exact = key_pairs(left, right)
-    resource = lambda df, i: df.select(i, T.resource_path(F.col("path")).alias("key")).where(F.col("key").contains("/"))
-    words = lambda df, i: df.select(i, T.path_tokens(F.col("path")).alias("tokens"))
-    return staged_matches([("exact", exact), ("resource", resource(sources, "src"), resource(docs, "doc"), 0.85), ("fuzzy", token_pairs(words(sources, "src"), words(docs, "doc"), threshold))])
+    a = variants.select("src", token_key(F.col("tokens")).alias("mine")).where("mine <> ''").distinct()
+    left = a.select(F.col("mine").alias("src")).distinct().withColumn("tokens", F.split("src", " "))
+    right = offered.select(F.col("key").alias("doc")).where("doc <> ''").distinct().withColumn("tokens", F.split("doc", " "))
+    pairs = token_pairs(left, right, threshold).select(F.col("src").alias("mine"), F.col("doc").alias("key"), "score")
+    return a.join(pairs, "mine").groupBy("src", "key").agg(F.max("score").alias("score")).withColumn("prefer", F.col("score"))
 
 
-def match_tables(sources: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Match tables by name: equal (1.0), within two edits (0.8), similar words. Columns src/doc and name.
+def match_endpoints(sources: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Match endpoints by path: equal normalised paths (1.0, other spellings 0.9), equal resources (0.85), similar words.
 
-    Names within two edits share a length or differ by at most two, and share a
-    segment: cut in three parts, one stays untouched, at most two characters moved.
+    ``sources`` has src, path, method (name) and alternatives (array); ``docs`` has doc and path. Where
+    alternatives are null, path/method is the other spelling. All spellings count for
+    resources and words. Sources go in order of src; of equal documents the smallest is taken.
     """
-    left = sources.select("src", T.normalize_table(F.col("name")).alias("a"))
-    right = docs.select("doc", T.normalize_table(F.col("name")).alias("b"))
-    near = edit_pairs(left, right).select("src", "doc", F.lit(0.8).alias("score"))
+    other = F.coalesce(F.col("alternatives"), F.array(F.concat(F.col("path"), F.lit("/"), F.col("method"))))
+    spellings = F.concat(F.array("path"), F.coalesce(F.col("alternatives"), F.array().cast("array<string>")))
+    exact = sources.select("src", in_order(F.transform(F.concat(F.array("path"), other), T.normalize_path)))
+    exact = exact.select("src", "key", (-F.col("position")).cast("double").alias("prefer"), F.when(F.col("position") == 0, 1.0).otherwise(0.9).alias("score"))
+    resource = sources.select("src", in_order(F.transform(spellings, lambda p: T.resource_path(p)))).select("src", "key", F.lit(0.0).alias("prefer"), F.lit(0.85).alias("score"))
+    words = sources.select("src", F.explode(spellings).alias("p")).select("src", T.path_tokens(F.col("p")).alias("tokens"))
+    told = docs.select("doc", token_key(T.path_tokens(F.col("path"))).alias("key"))
+    return staged_matches([
+        ("exact", exact, docs.select("doc", T.normalize_path(F.col("path")).alias("key"))),
+        ("resource", resource, docs.select("doc", T.resource_path(F.col("path")).alias("key"))),
+        ("fuzzy", similar_keys(words, told, threshold), told),
+    ])
+
+
+def match_tables(sources: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Match tables by name: equal (1.0), within two edits (0.8), similar words. Columns src/doc and name."""
+    left = sources.select("src", T.normalize_table(F.col("name")).alias("key"))
+    right = docs.select("doc", T.normalize_table(F.col("name")).alias("key"))
+    a, b = left.select(F.col("key").alias("a")).distinct().withColumn("src", F.col("a")), right.select(F.col("key").alias("b")).distinct().withColumn("doc", F.col("b"))
+    near = edit_pairs(a, b).select("src", "doc", F.lit(0.8).alias("score"))
     words = lambda df, i, c: df.select(i, F.filter(F.split(c, "_"), lambda w: w != "").alias("tokens"))
-    fuzzy = near.unionByName(token_pairs(words(left, "src", "a"), words(right, "doc", "b"), threshold)).groupBy("src", "doc").agg(F.max_by("score", F.struct((F.col("score") == 0.8).cast("int"), F.col("score"))).alias("score"))
-    return staged_matches([("exact", left.withColumnRenamed("a", "key"), right.withColumnRenamed("b", "key"), 1.0), ("fuzzy", fuzzy)])
+    alike = token_pairs(words(a, "src", "a"), words(b, "doc", "b"), threshold)
+    # Two edits decide before words do: a pair of both scores 0.8.
+    fuzzy = near.withColumn("_near", F.lit(1)).unionByName(alike.withColumn("_near", F.lit(0))).groupBy("src", "doc").agg(F.max_by("score", "_near").alias("score"))
+    fuzzy = left.join(fuzzy.select(F.col("src").alias("key"), F.col("doc").alias("_k"), "score"), "key").select("src", F.col("_k").alias("key"), F.col("score").alias("prefer"), "score")
+    same = left.select("src", "key", F.lit(0.0).alias("prefer"), F.lit(1.0).alias("score"))
+    return staged_matches([("exact", same, right), ("fuzzy", fuzzy, right)])
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, edits: int = 2) -> DataFrame:
@@ -128,7 +177,8 @@ def edit_pairs(left: DataFrame, right: DataFrame, edits: int = 2) -> DataFrame:
     spots = F.flatten(F.array(*(F.transform(F.sequence(F.greatest(F.lit(0), at(i) - edits), at(i) + edits), part(i)) for i in range(parts))))
     y = y.select("doc", "b", "n", F.explode(F.array_distinct(spots)).alias("y")).select("doc", "b", "n", "y.*")
     long = x.join(y, ["i", "p", "n"]).select("src", "a", "doc", "b").distinct()
-    short = left.where(n < parts).join(right.where(m <= parts - 1 + edits), F.abs(F.length("a") - F.length("b")) <= edits).select("src", "a", "doc", "b")
+    near = right.where(m <= parts - 1 + edits).select("doc", "b", F.explode(F.sequence(F.greatest(F.lit(0), m - edits), m + edits)).alias("n"))
+    short = left.where(n < parts).withColumn("n", n).join(near, "n").select("src", "a", "doc", "b")
     return long.unionByName(short).where((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= edits))
 
 
@@ -152,6 +202,16 @@ def overlap_pairs(rows: DataFrame, threshold: float, tokens: str = "tokens", id_
     return both.select("i", "j", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
+def ordered_overlaps(sets: DataFrame, threshold: float) -> DataFrame:
+    """(k1, k2, overlap) of distinct token sets (k, tokens) with |A & B| >= threshold * |A|, a set with itself included."""
+    t = sets.select("k", F.explode("tokens").alias("t"), F.size("tokens").alias("n"))
+    ranked = t.join(t.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("f", "t")))
+    heads = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select(F.col("k").alias("k1"), "t")
+    pairs = heads.join(t.select(F.col("k").alias("k2"), "t"), "t").select("k1", "k2").distinct()
+    both = pairs.join(sets.select(F.col("k").alias("k1"), F.col("tokens").alias("a")), "k1").join(sets.select(F.col("k").alias("k2"), F.col("tokens").alias("b")), "k2")
+    return both.select("k1", "k2", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
 def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs (src, doc) in which one name contains the other, blocked by character grams.
 

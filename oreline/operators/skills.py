@@ -136,3 +136,53 @@ def review_containers(files: DataFrame) -> DataFrame:
         n(F.col("p").startswith("rules/")).alias("rules"), n(F.col("p").startswith("tests/")).alias("tests"), F.bool_or(F.col("p") == "contract.yaml").alias("contract"), F.bool_or(F.col("p") == "provenance.yaml").alias("provenance")
     )
     return g.withColumn("complete", (F.col("rules") > 0) & (F.col("tests") > 0) & F.col("contract") & F.col("provenance"))
+
+
+#: Signals of the readiness criteria.
+SCHEMA_WORDS = ("테이블", "컬럼", "스키마", "ERD", "DDL", "필드", "인덱스", "제약조건", "PK", "FK")
+QUALITY_WORDS = ("이내", "이상", "이하", "초과", "미만", "TPS", "RPS", "QPS", "latency", "응답시간", "암호화", "마스킹", "감사", "로그", "SLA", "가용성", "무중단", "성능", "보안", "테스트", "검증")
+API_SIGN = r"(?i)(?<![A-Za-z0-9_])(api|endpoint|POST|GET|PUT|DELETE|PATCH|REST)(?![A-Za-z0-9_])|/api/"
+CAMEL_NAME, SNAKE_NAME = r"(?<![A-Za-z0-9_])[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])[a-z][a-z0-9]+_[a-z0-9_]+(?![A-Za-z0-9_])"
+AMOUNT = r"\d+\s*(%|원|만원|억원|천원|일|년|개월|건|회|명|점|시간|분|초|세|kg|km|m)"
+POLICY_CODE, POLICY_DOMAIN = r"^POL-[A-Z]+-[A-Z-]+-\d{3}$", r"^POL-([A-Z]+)-"
+
+
+def readiness(skills: DataFrame, domain_words: tuple[str, ...], thresholds: dict[str, float], overall: float = 0.8) -> DataFrame:
+    """Six readiness criteria of skill packages, their mean (3 digits), verdict and the criteria that fail.
+
+    ``skills``: key, schema_uri, valid, term_uris, skos, policies (array of struct code, title,
+    description, condition, criteria, outcome, excerpt, document, tags), sources (array), stages, level,
+    trust, author, apis, tables, flows, errors (counts), mcp, openapi.
+    """
+    p, n = F.col("policies"), F.size("policies")
+    share = lambda test: F.when(n > 0, F.size(F.filter(p, test)) / n).otherwise(0.0)
+    part = lambda test, weight: F.when(test, weight).otherwise(0.0)
+    full = lambda x: F.concat_ws("\n", x["title"], F.coalesce(x["description"], F.lit("")), x["condition"], x["criteria"], x["outcome"])
+    excerpt = lambda x: F.coalesce(x["excerpt"], F.lit("")) != ""
+    text = F.array_join(F.transform(p, lambda x: F.concat(full(x), F.lit("\n"), F.coalesce(x["excerpt"], F.lit("")))), "\n")
+    tags = F.array_join(F.flatten(F.transform(p, lambda x: x["tags"])), " ")
+    has = lambda c, words: F.lower(c).rlike("|".join(w.lower() for w in words))
+    domains = F.array_distinct(F.filter(F.transform(p, lambda x: F.regexp_extract(x["code"], POLICY_DOMAIN, 1)), lambda c: c != ""))
+    rows = skills.select("*", text.alias("_text"), tags.alias("_tags"))
+    machine = part(F.col("schema_uri").startswith("https://"), 0.3) + part(F.col("valid"), 0.5) + share(lambda x: x["code"].rlike(POLICY_CODE)) * 0.2
+    semantic = part(F.col("term_uris") >= 1, 0.4) + part(F.coalesce("skos", F.lit("")) != "", 0.3) + part(F.size(domains) <= 1, 0.3)
+    long = share(lambda x: (F.length(x["condition"]) >= 10) & (F.length(x["criteria"]) >= 10) & (F.length(x["outcome"]) >= 10))
+    testable = F.when(n > 0, long * 0.5 + share(excerpt) * 0.3 + F.least(F.lit(1.0), n / 3) * 0.2).otherwise(0.0)
+    known = F.array_distinct("sources")
+    traceable = part(F.size(known) >= 1, 0.3) + share(lambda x: F.coalesce(F.array_contains(known, x["document"]), F.lit(False))) * 0.5 + part(F.col("stages") >= 3, 0.2)
+    whole = (n >= 1) & F.forall(p, lambda x: (x["condition"] != "") & (x["criteria"] != "") & (x["outcome"] != ""))
+    words = F.concat("_text", F.lit(" "), "_tags")
+    business = part(whole, 0.5) + part(has(words, domain_words), 0.25) + part(F.col("_text").rlike(AMOUNT), 0.25)
+    spec = (F.col("apis") + F.col("tables") + F.col("flows") + F.col("errors")) > 0
+    api = F.when(spec, F.col("apis") > 0).otherwise(F.col("_text").rlike(API_SIGN))
+    data = F.when(spec, (F.col("tables") + F.col("flows") + F.col("errors")) > 0).otherwise(has(F.col("_text"), SCHEMA_WORDS) | F.col("_text").rlike(CAMEL_NAME) | F.col("_text").rlike(SNAKE_NAME))
+    technical = part(api, 0.4) + part(data, 0.4) + part(F.col("mcp") | F.col("openapi"), 0.2)
+    quality = part(has(F.col("_text"), QUALITY_WORDS), 0.4) + part((F.col("trust") > 0) | (F.col("level") != "unreviewed"), 0.3) + part(share(excerpt) >= 0.5, 0.3)
+    mean = F.when(n > 0, F.aggregate(F.transform(p, lambda x: F.length(full(x))), F.lit(0), lambda a, v: a + v) / n).otherwise(0.0)
+    human = part(F.col("level").isin("reviewed", "validated"), 0.4) + part((n > 0) & F.forall(p, lambda x: F.length(x["title"]) >= 5), 0.2) + part(mean.between(200, 2000), 0.2) + part(F.coalesce("author", F.lit("")) != "", 0.2)
+    scores = {"machineReadable": machine, "semanticConsistency": semantic, "testable": testable, "traceable": traceable, "completeness": (business + technical + quality) / 3, "humanReviewable": human}
+    out = rows.select("key", *(s.alias(f"raw_{k}") for k, s in scores.items()))
+    out = out.select("*", *(S.criterion(F.col(f"raw_{k}")).alias(k) for k in scores))
+    total = sum((F.col(k) for k in scores), F.lit(0.0)) / 6
+    failed = F.array_compact(F.array(*(F.when(F.least(F.lit(1.0), F.col(f"raw_{k}")) < thresholds[k], k) for k in scores), F.when(total < overall, "overall")))
+    return out.select("key", *scores, rounded(total, 3).alias("overall"), (total >= overall).alias("ready"), failed.alias("failed"))
