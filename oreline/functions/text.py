@@ -27,6 +27,11 @@ def rounded(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + F.lit(0.5)) / F.lit(float(10**digits))
 
 
+def exact_mean(x: Column, places: int = 4) -> Column:
+    """Mean of a column of few decimal places; the sum is exact, so the order of rows does not matter."""
+    return F.sum(x.cast(f"decimal(18,{places})")).cast("double") / F.count(x)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Rounded whole per cent; 0 if ``whole`` is 0."""
     return F.when(whole > 0, F.floor(part * 100.0 / whole + 0.5).cast("long")).otherwise(F.lit(0).cast("long"))

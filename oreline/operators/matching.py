@@ -63,23 +63,33 @@ def pair_by_rank(left: DataFrame, right: DataFrame, score: float, key: str = "ke
     return rank(left, src).join(rank(right, doc), [key, "_k"]).select(src, doc, F.lit(score).alias("score"))
 
 
+def token_key(tokens: Column) -> Column:
+    """Name of a token set."""
+    return F.array_join(F.array_sort(F.array_distinct(tokens)), "\u0001")
+
+
 def token_pairs(left: DataFrame, right: DataFrame, threshold: float, tokens: str = "tokens", left_id: str = "src", right_id: str = "doc") -> DataFrame:
     """All pairs whose token sets have Jaccard similarity of ``threshold`` or more: (left_id, right_id, score).
 
-    Pairs are sought by the rarest tokens of each set only: similar sets must share
-    one of the first n - ceil(threshold * n) + 1, in order of rarity. Empty sets
-    match nothing.
+    Equal sets are compared once. Pairs are sought by the rarest tokens of each set only:
+    similar sets must share one of the first n - ceil(threshold * n) + 1, in order of
+    rarity, and neither may have fewer than ``threshold`` times the other's tokens. Empty
+    sets match nothing.
     """
-    a = left.select(F.col(left_id), F.array_distinct(tokens).alias("ta"))
-    b = right.select(F.col(right_id), F.array_distinct(tokens).alias("tb"))
-    words = a.select(F.col(left_id).alias("_i"), F.explode("ta").alias("t"), F.size("ta").alias("n"), F.lit(0).alias("_s")).union(b.select(right_id, F.explode("tb"), F.size("tb"), F.lit(1)))
+    a = left.select(F.col(left_id), token_key(F.col(tokens)).alias("ka"), F.array_distinct(tokens).alias("ta")).where(F.size("ta") > 0)
+    b = right.select(F.col(right_id), token_key(F.col(tokens)).alias("kb"), F.array_distinct(tokens).alias("tb")).where(F.size("tb") > 0)
+    one = lambda df, k, t: df.groupBy(k).agg(F.min(t).alias(t))
+    sa, sb = one(a, "ka", "ta"), one(b, "kb", "tb")
+    words = sa.select(F.col("ka").alias("_i"), F.explode("ta").alias("t"), F.size("ta").alias("n"), F.lit(0).alias("_s")).union(sb.select("kb", F.explode("tb"), F.size("tb"), F.lit(1)))
     rare = words.join(words.groupBy("t").agg(F.count("*").alias("f")), "t")
     place = F.row_number().over(Window.partitionBy("_s", "_i").orderBy("f", "t"))
     prefix = rare.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    side = lambda s, name: prefix.where(F.col("_s") == s).select(F.col("_i").alias(name), "t")
-    pairs = side(0, left_id).join(side(1, right_id), "t").select(left_id, right_id).distinct()
+    side = lambda s, name, n: prefix.where(F.col("_s") == s).select(F.col("_i").alias(name), "t", F.col("n").alias(n))
+    sized = (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9)
+    pairs = side(0, "ka", "na").join(side(1, "kb", "nb"), "t").where(sized).select("ka", "kb").distinct()
     score = T.jaccard(F.col("ta"), F.col("tb"))
-    return pairs.join(a, left_id).join(b, right_id).select(left_id, right_id, score.alias("score")).where(F.col("score") >= threshold)
+    scored = pairs.join(sa, "ka").join(sb, "kb").select("ka", "kb", score.alias("score")).where(F.col("score") >= threshold)
+    return scored.join(a.select(left_id, "ka"), "ka").join(b.select(right_id, "kb"), "kb").select(left_id, right_id, "score")
 
 
 def still_free(df: DataFrame, found: DataFrame | None, column: str) -> DataFrame:
@@ -105,18 +115,14 @@ def in_order(keys: Column) -> Column:
     return F.posexplode(F.array_distinct(F.filter(keys, lambda k: F.coalesce(k, F.lit("")) != ""))).alias("position", "key")
 
 
-def token_key(tokens: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
-
-
 def similar_keys(variants: DataFrame, offered: DataFrame, threshold: float) -> DataFrame:
-    """(src, key, prefer, score): the token sets among ``offered`` (key: words joined) similar to a variant (src, tokens), best score first.
+    """(src, key, prefer, score): the token sets among ``offered`` (key: see token_key) similar to a variant (src, tokens), best score first.
 
     Equal token sets on either side are compared once.
     """
     a = variants.select("src", token_key(F.col("tokens")).alias("mine")).where("mine <> ''").distinct()
-    left = a.select(F.col("mine").alias("src")).distinct().withColumn("tokens", F.split("src", " "))
-    right = offered.select(F.col("key").alias("doc")).where("doc <> ''").distinct().withColumn("tokens", F.split("doc", " "))
+    left = a.select(F.col("mine").alias("src")).distinct().withColumn("tokens", F.split("src", "\u0001"))
+    right = offered.select(F.col("key").alias("doc")).where("doc <> ''").distinct().withColumn("tokens", F.split("doc", "\u0001"))
     pairs = token_pairs(left, right, threshold).select(F.col("src").alias("mine"), F.col("doc").alias("key"), "score")
     return a.join(pairs, "mine").groupBy("src", "key").agg(F.max("score").alias("score")).withColumn("prefer", F.col("score"))
 

@@ -43,10 +43,9 @@ def duplicate_policies(candidates: DataFrame, existing: DataFrame, above: float)
 
     Equal token sets are compared once.
     """
-    a, b = (df.select(df.columns[0], M.token_key(F.col("tokens")).alias("k")).where("k <> ''") for df in (candidates, existing))
-    sets = lambda df, name: df.select(F.col("k").alias(name)).distinct().withColumn("tokens", F.split(name, " "))
-    pairs = M.token_pairs(sets(a, "src"), sets(b, "doc"), above).where(F.col("score") > above).select("src", "doc")
-    return a.withColumnRenamed("k", "src").join(pairs, "src").join(b.withColumnRenamed("k", "doc"), "doc").select(candidates.columns[0], existing.columns[0])
+    a, b = candidates.columns[0], existing.columns[0]
+    pairs = M.token_pairs(candidates.withColumnRenamed(a, "src"), existing.withColumnRenamed(b, "doc"), above).where(F.col("score") > above)
+    return pairs.select(F.col("src").alias(a), F.col("doc").alias(b))
 
 
 def bundles(policies: DataFrame, most_tags: int = 20, least_other: int = 3) -> DataFrame:
@@ -123,11 +122,9 @@ def diagnosis(processes: DataFrame, rules: DataFrame, relations: DataFrame, impo
     """
     missing = D.missing_references(relations, processes.select("doc", "name"))
     words = processes.select("doc", "name", F.split(F.concat_ws(" ", "name", "description"), r"\s+").alias("tokens"))
-    a = words.withColumn("k", M.token_key(F.transform("tokens", lambda w: F.concat(F.col("doc").cast("string"), F.lit("|"), w))))
-    sets = a.select("k").distinct().withColumn("tokens", F.split("k", " "))
-    pairs = M.token_pairs(sets.withColumnRenamed("k", "src"), sets.withColumnRenamed("k", "doc"), 0.7).where("score > 0.7")
-    one, two = a.select("doc", "name", F.col("k").alias("src")), a.select(F.col("doc").alias("d2"), F.col("name").alias("other"), F.col("k").alias("k2"))
-    twice = one.join(pairs.withColumnRenamed("doc", "k2"), "src").join(two, "k2").where("doc = d2 and name < other").select("doc", "name", "other", F.lit("duplicate").alias("type"), F.lit("warning").alias("severity"))
+    own = words.select(F.struct("doc", "name").alias("src"), F.transform("tokens", lambda w: F.concat(F.col("doc").cast("string"), F.lit("|"), w)).alias("tokens"))
+    pairs = M.token_pairs(own, own.withColumnRenamed("src", "doc"), 0.7).where("score > 0.7 and src.name < doc.name")
+    twice = pairs.select("src.doc", "src.name", F.col("doc.name").alias("other"), F.lit("duplicate").alias("type"), F.lit("warning").alias("severity"))
     none = lambda df: df.select("doc", "name", F.lit(None).cast("string").alias("other"), "type", "severity")
     found = none(missing).unionByName(twice).unionByName(none(D.overspecified(importance))).unionByName(none(D.orphan_conditions(rules, processes)))
     return found.withColumn("rank", severity.severity_rank(F.col("severity")))

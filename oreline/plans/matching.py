@@ -186,11 +186,11 @@ def mod_15_trace_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- graphs
 
-TERMS_SQL = "SELECT DISTINCT l_orderkey AS grp, 's' || CAST(l_suppkey % 40 AS VARCHAR) AS label FROM lineitem"
+TERMS_SQL = "SELECT DISTINCT l_orderkey AS grp, 's' || CAST(l_suppkey AS VARCHAR) AS label FROM lineitem"
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("label")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("label")).distinct()
 
 
 @query(f"SELECT count(*) AS n_terms, count(DISTINCT label) AS n_labels, count(DISTINCT grp) AS n_groups FROM ({TERMS_SQL})")
@@ -224,16 +224,6 @@ def grf_06_merge_nodes(spark: SparkSession, d: str) -> DataFrame:
     return N.merge_nodes(e.where("version % 2 = 0"), e.where("version % 2 = 1"), ["key"]).select("key", "label")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS src, o_orderkey % 60 AS dst FROM orders WHERE o_totalprice > 450000 AND o_custkey % 50 <> o_orderkey % 60),
-r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
-SELECT DISTINCT src AS node FROM r WHERE dst IN (SELECT src FROM r WHERE src = dst)
-""")
-def mod_23_cycles(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "orders").where("o_totalprice > 450000").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 60).alias("dst")).where("src <> dst")
-    return N.cyclic_nodes(e)
-
-
 @query("""
 WITH s AS (SELECT doc_id AS key, unnest(['machineReadable', 'testable', 'traceable']) AS criterion, unnest([quality * 0.9::DOUBLE, 1.0 - toxic * 0.5::DOUBLE, 0.8::DOUBLE]) AS score FROM labels)
 SELECT key, floor(avg(score) * 1000 + 0.5) / 1000 AS overall, CAST(sum(CASE WHEN score >= CASE criterion WHEN 'machineReadable' THEN 0.9 WHEN 'testable' THEN 0.7 ELSE 0.8 END THEN 1 ELSE 0 END) AS BIGINT) AS n_passed,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
-from ..functions.text import like_ascii, percent, rounded
+from ..functions.text import exact_mean, like_ascii, percent, rounded
 from ..operators import relational as R
 from .registry import query, table
 
@@ -226,19 +226,19 @@ def agg_05_conditional_sums(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").agg(n(status == "F", "finished"), n(status == "O", "open"), n((F.col("o_orderpriority") == "1-URGENT") & (status == "O"), "urgent"))
 
 
-@query("SELECT l_shipmode, avg(CASE WHEN l_returnflag = 'A' THEN l_discount END) AS trust FROM (SELECT l_linestatus AS l_shipmode, l_returnflag, l_discount FROM lineitem) GROUP BY 1")
+@query("SELECT l_shipmode, CAST(sum(CAST(CASE WHEN l_returnflag = 'A' THEN l_discount END AS DECIMAL(18,4))) AS DOUBLE) / count(CASE WHEN l_returnflag = 'A' THEN l_discount END) AS trust FROM (SELECT l_linestatus AS l_shipmode, l_returnflag, l_discount FROM lineitem) GROUP BY 1")
 def agg_06_conditional_average(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode")).agg(F.avg(F.when(F.col("l_returnflag") == "A", F.col("l_discount"))).alias("trust"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode")).agg(exact_mean(F.when(F.col("l_returnflag") == "A", F.col("l_discount"))).alias("trust"))
 
 
 @query("""
-SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(floor(avg(value) * 100 + 0.5) AS BIGINT) AS avg_value_x100,
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(floor(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) * 100 + 0.5) AS BIGINT) AS avg_value_x100,
        CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n_ok
 FROM events GROUP BY 1
 """)
 def agg_07_daily_trend(spark: SparkSession, d: str) -> DataFrame:
     ok = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
-    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.floor(F.avg("value") * 100 + 0.5).cast("long").alias("avg_value_x100"), F.sum(ok).alias("n_ok"))
+    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.floor(exact_mean(F.col("value")) * 100 + 0.5).cast("long").alias("avg_value_x100"), F.sum(ok).alias("n_ok"))
 
 
 SPANS_SQL = """SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS a, max(CASE WHEN event_type = 'purchase' THEN ts END) AS b,
@@ -256,9 +256,10 @@ def seconds() -> Column:
     return (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / 1e6
 
 
-@query(f"SELECT floor(avg((epoch_us(b) - epoch_us(a)) / 1e6) * 1000 + 0.5) / 1000 AS seconds FROM ({SPANS_SQL})")
+@query(f"SELECT floor(CAST(sum(epoch_us(b) - epoch_us(a)) AS DOUBLE) / count(epoch_us(b) - epoch_us(a)) / 1e6 * 1000 + 0.5) / 1000 AS seconds FROM ({SPANS_SQL})")
 def agg_08_average_duration(spark: SparkSession, d: str) -> DataFrame:
-    return spans(spark, d).agg(rounded(F.avg(seconds()), 3).alias("seconds"))
+    micros = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
+    return spans(spark, d).agg(rounded(F.sum(micros).cast("double") / F.count(micros) / 1e6, 3).alias("seconds"))
 
 
 @query("""
@@ -288,9 +289,9 @@ def agg_12_zero_filled_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.zero_filled(counts, "lang", ["en", "de", "fr", "es", "ko"], "n")
 
 
-@query("SELECT floor(avg(a) * 1000 + 0.5) / 1000 AS mean FROM (SELECT avg(l_discount) AS a FROM lineitem GROUP BY l_orderkey)")
+@query("SELECT floor(CAST(sum(CAST(floor(a * 100000000) AS BIGINT)) AS DOUBLE) / count(*) / 100000000 * 1000 + 0.5) / 1000 AS mean FROM (SELECT CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / count(l_discount) AS a FROM lineitem GROUP BY l_orderkey)")
 def agg_13_nested_average(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("a")).agg(rounded(F.avg("a"), 3).alias("mean"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(exact_mean(F.col("l_discount")).alias("a")).agg(rounded(F.sum(F.floor(F.col("a") * 100000000)).cast("double") / F.count("*") / 100000000, 3).alias("mean"))
 
 
 @query("SELECT p_brand, CAST(max(coalesce(TRY_CAST(right(p_name, 3) AS INTEGER), 0)) + 1 AS BIGINT) AS next FROM part GROUP BY 1")
@@ -300,10 +301,10 @@ def agg_14_next_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, coalesce(a, 0.0) AS confidence FROM orders LEFT JOIN (SELECT l_orderkey, floor(avg(l_tax) * 10000 + 0.5) / 10000 AS a FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+SELECT o_orderkey, coalesce(a, 0.0) AS confidence FROM orders LEFT JOIN (SELECT l_orderkey, floor(CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / count(l_tax) * 10000 + 0.5) / 10000 AS a FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
 """)
 def agg_15_refresh_average(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rounded(F.avg("l_tax"), 4).alias("a"))
+    a = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rounded(exact_mean(F.col("l_tax")), 4).alias("a"))
     return table(spark, d, "orders").select("o_orderkey").join(a, "o_orderkey", "left").select("o_orderkey", F.coalesce("a", F.lit(0.0)).alias("confidence"))
 
 
@@ -355,21 +356,21 @@ def agg_20_dominant_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_partkey AS process, floor(avg(l_discount) * 100 + 0.5) / 100 AS score, count(DISTINCT l_orderkey) AS n_docs,
+SELECT l_partkey AS process, floor(CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / count(l_discount) * 100 + 0.5) / 100 AS score, count(DISTINCT l_orderkey) AS n_docs,
        bool_or(l_returnflag = 'R') AS is_core FROM lineitem GROUP BY 1
 """)
 def agg_21_cross_document_merge(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("process")).agg(rounded(F.avg("l_discount"), 2).alias("score"), F.countDistinct("l_orderkey").alias("n_docs"), F.bool_or(F.col("l_returnflag") == "R").alias("is_core"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("process")).agg(rounded(exact_mean(F.col("l_discount")), 2).alias("score"), F.countDistinct("l_orderkey").alias("n_docs"), F.bool_or(F.col("l_returnflag") == "R").alias("is_core"))
 
 
 @query("""
-SELECT l_orderkey, floor(avg(l_tax) * 1000 + 0.5) / 1000 AS score,
+SELECT l_orderkey, floor(CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / count(l_tax) * 1000 + 0.5) / 1000 AS score,
        CASE WHEN bool_and(l_returnflag = 'N') THEN 'validated' WHEN bool_or(l_returnflag = 'R') THEN 'unreviewed' ELSE 'reviewed' END AS level FROM lineitem GROUP BY 1
 """)
 def agg_22_trust(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
     level = F.when(F.bool_and(flag == "N"), "validated").when(F.bool_or(flag == "R"), "unreviewed").otherwise("reviewed")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(rounded(F.avg("l_tax"), 3).alias("score"), level.alias("level"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(rounded(exact_mean(F.col("l_tax")), 3).alias("score"), level.alias("level"))
 
 
 @query("SELECT conv_id, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS depth FROM conversations GROUP BY 1")
@@ -442,11 +443,11 @@ def agg_43_domain_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT split_part(p_type, ' ', 1) AS domain, p_brand AS type, count(*) AS n, min(p_name) AS first_code, max(p_name) AS last_code, floor(avg(p_retailprice) * 100 + 0.5) / 100 AS mean_trust FROM part GROUP BY 1, 2
+SELECT split_part(p_type, ' ', 1) AS domain, p_brand AS type, count(*) AS n, min(p_name) AS first_code, max(p_name) AS last_code, floor(CAST(sum(CAST(p_retailprice AS DECIMAL(18,4))) AS DOUBLE) / count(p_retailprice) * 100 + 0.5) / 100 AS mean_trust FROM part GROUP BY 1, 2
 """)
 def agg_45_policy_registry(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "part").groupBy(F.split("p_type", " ")[0].alias("domain"), F.col("p_brand").alias("type"))
-    return g.agg(F.count("*").alias("n"), F.min("p_name").alias("first_code"), F.max("p_name").alias("last_code"), rounded(F.avg("p_retailprice"), 2).alias("mean_trust"))
+    return g.agg(F.count("*").alias("n"), F.min("p_name").alias("first_code"), F.max("p_name").alias("last_code"), rounded(exact_mean(F.col("p_retailprice")), 2).alias("mean_trust"))
 
 
 # ---- windows
@@ -472,8 +473,12 @@ SELECT lang, doc_id, CASE WHEN r <= 10 THEN 'core' WHEN r <= 30 THEN 'important'
 FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents)
 """)
 def win_04_rank_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Only the ranks that matter are kept by the window; all other documents are joined as standard."""
+    docs = table(spark, d, "documents").select("lang", "doc_id", "n_chars")
     r = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    return table(spark, d, "documents").select("lang", "doc_id", F.when(r <= 10, "core").when(r <= 30, "important").otherwise("standard").alias("bucket"))
+    top = docs.withColumn("r", r).where("r <= 30").select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), "r")
+    j = docs.join(top, (F.col("doc_id") == F.col("i")) & F.col("lang").eqNullSafe(F.col("l")), "left")
+    return j.select("lang", "doc_id", F.when(F.col("r") <= 10, "core").when(F.col("r") <= 30, "important").otherwise("standard").alias("bucket"))
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3")
@@ -488,10 +493,15 @@ SELECT source, doc_id FROM x WHERE n <= 20 OR i <= 3 OR j <= 17
 """)
 def win_06_chunk_selection(spark: SparkSession, d: str) -> DataFrame:
     """All of up to 20 chunks; else the first 3 and the 17 longest others."""
-    by = Window.partitionBy("source")
-    w = table(spark, d, "documents").select("source", "doc_id", "n_chars", F.row_number().over(by.orderBy("doc_id")).alias("i"), F.count("*").over(by).alias("n"))
-    j = F.row_number().over(Window.partitionBy("source", F.col("i") <= 3).orderBy(F.desc("n_chars"), "i"))
-    return w.withColumn("j", j).where("n <= 20 OR i <= 3 OR j <= 17").select("source", "doc_id")
+    docs, by = table(spark, d, "documents").select("source", "doc_id", "n_chars"), Window.partitionBy("source")
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "s")
+    sized = lambda df: df.join(sizes, F.col("source").eqNullSafe(F.col("s")))
+    first = docs.withColumn("i", F.row_number().over(by.orderBy("doc_id"))).where("i <= 20")
+    longest = docs.withColumn("j", F.row_number().over(by.orderBy(F.desc("n_chars"), "doc_id"))).where("j <= 20")
+    heads = first.where("i <= 3").select(F.col("source").alias("hs"), F.col("doc_id").alias("hd"))
+    rest = longest.join(heads, F.col("source").eqNullSafe(F.col("hs")) & (F.col("doc_id") == F.col("hd")), "left_anti")
+    rest = rest.withColumn("k", F.row_number().over(by.orderBy("j"))).where("k <= 17")
+    return sized(first).where("n <= 20 OR i <= 3").select("source", "doc_id").unionByName(sized(rest).where("n > 20").select("source", "doc_id"))
 
 
 @query("SELECT s_suppkey, 'spec-api-' || lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS VARCHAR), 3, '0') AS label FROM supplier")

@@ -129,15 +129,15 @@ def scl_18_safe_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT user_id, least(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / 10.0::DOUBLE, 1.0) * 0.35::DOUBLE + least(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) / 15.0::DOUBLE, 1.0) * 0.25::DOUBLE
-  + least(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / 25.0::DOUBLE, 1.0) * 0.25::DOUBLE + least(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) / 15.0::DOUBLE, 1.0) * 0.15::DOUBLE AS s FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1)
-SELECT user_id, floor(s * 10000 + 0.5) / 10000 AS score, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END AS rank FROM g
+WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, least(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / 10.0::DOUBLE, 1.0) * 0.35::DOUBLE + least(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) / 15.0::DOUBLE, 1.0) * 0.25::DOUBLE
+  + least(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / 25.0::DOUBLE, 1.0) * 0.25::DOUBLE + least(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) / 15.0::DOUBLE, 1.0) * 0.15::DOUBLE AS s FROM events GROUP BY 1, 2)
+SELECT user_id, day, floor(s * 10000 + 0.5) / 10000 AS score, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END AS rank FROM g
 """)
 def scl_19_triage(spark: SparkSession, d: str) -> DataFrame:
     n = lambda k: F.sum(F.when(F.col("event_type") == k, 1).otherwise(0))
-    g = table(spark, d, "events").where("ts < timestamp '2024-01-05'").groupBy("user_id").agg(n("click").alias("a"), n("view").alias("b"), n("error").alias("c"), n("signup").alias("e"))
+    g = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(n("click").alias("a"), n("view").alias("b"), n("error").alias("c"), n("signup").alias("e"))
     s = T.triage_score(F.col("a"), F.col("b"), F.col("c"), F.col("e"))
-    return g.select("user_id", T.rounded(s, 4).alias("score"), T.triage_rank(s).alias("rank"))
+    return g.select("user_id", "day", T.rounded(s, 4).alias("score"), T.triage_rank(s).alias("rank"))
 
 
 @query("SELECT doc_id, floor((CASE WHEN n_chars >= 200 THEN 1.0 WHEN n_chars >= 50 THEN 0.7::DOUBLE + 0.3::DOUBLE * (n_chars - 50) / 150 ELSE 0.5::DOUBLE + 0.2::DOUBLE * n_chars / 50 END) * 1000 + 0.5) / 1000 AS factor FROM documents")

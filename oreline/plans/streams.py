@@ -40,14 +40,14 @@ def str_05_retry(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT user_id AS batch, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS completed, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1),
-t AS (SELECT DISTINCT user_id AS batch, user_id % 4 + 1 AS total FROM events)
+WITH r AS (SELECT user_id AS batch, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS completed, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM events GROUP BY 1),
+t AS (SELECT DISTINCT user_id AS batch, user_id % 4 * 40 + 1 AS total FROM events)
 SELECT batch, total, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, CASE WHEN coalesce(completed, 0) + coalesce(failed, 0) < total THEN 'running' WHEN coalesce(failed, 0) > 0 THEN 'partial' ELSE 'completed' END AS status FROM t LEFT JOIN r USING (batch)
 """)
 def str_06_batch_progress(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    results = e.where("ts < timestamp '2024-01-02'").select(F.col("user_id").alias("batch"), (F.col("event_type") != "error").alias("ok"))
-    return S.batch_progress(results, e.select(F.col("user_id").alias("batch"), (F.col("user_id") % 4 + 1).alias("total")).distinct())
+    results = e.select(F.col("user_id").alias("batch"), (F.col("event_type") != "error").alias("ok"))
+    return S.batch_progress(results, e.select(F.col("user_id").alias("batch"), (F.col("user_id") % 4 * 40 + 1).alias("total")).distinct())
 
 
 @query("""
@@ -81,9 +81,42 @@ def str_10_expiry_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT stage, next_stage, count(*) AS n, floor(avg(seconds) * 100 + 0.5) / 100 AS mean_seconds FROM (SELECT event_type AS stage, lead(event_type) OVER w AS next_stage, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS seconds
+SELECT stage, next_stage, count(*) AS n, floor(CAST(sum(micros) AS DOUBLE) / count(micros) / 1e6 * 100 + 0.5) / 100 AS mean_seconds FROM (SELECT event_type AS stage, lead(event_type) OVER w AS next_stage, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS micros
  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE next_stage IS NOT NULL GROUP BY 1, 2
 """)
 def str_11_stage_latency(spark: SparkSession, d: str) -> DataFrame:
     s = S.stage_latency(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type", "ts").where("next_stage is not null")
-    return s.groupBy("stage", "next_stage").agg(F.count("*").alias("n"), (F.floor(F.avg("seconds") * 100 + 0.5) / 100.0).alias("mean_seconds"))
+    return s.groupBy("stage", "next_stage").agg(F.count("*").alias("n"), (F.floor(F.sum(F.round(F.col("seconds") * 1e6).cast("long")).cast("double") / F.count("seconds") / 1e6 * 100 + 0.5) / 100.0).alias("mean_seconds"))
+
+
+@query("""
+WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 30000000 AS slot, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 30000000 ORDER BY ts, event_id) AS n FROM events)
+SELECT user_id, slot * 1000 + (n - 1) // 10 AS batch, count(*) AS messages, min(event_id) AS first_ FROM m GROUP BY 1, 2
+""")
+def str_03_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of a queue in batches: what arrives within 30 seconds, ten at most."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return S.batches(e, "user_id", "ts", "event_id").groupBy("user_id", "batch").agg(F.count("*").alias("messages"), F.min("event_id").alias("first_"))
+
+
+@query("""
+SELECT l_orderkey AS message, count(*) AS targets, CASE WHEN bool_and(l_returnflag <> 'R') THEN 'ack' WHEN l_orderkey % 7 >= 5 THEN 'dead' ELSE 'retry' END AS outcome FROM lineitem GROUP BY 1
+""")
+def str_04_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """A message goes to several targets; if any fails, all of it is delivered again, five times at most."""
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("message"), (F.col("l_returnflag") != "R").alias("ok"), (F.col("l_orderkey") % 7).alias("attempts"))
+    return S.fan_out(r, most=5)
+
+
+@query("""
+WITH b AS (SELECT user_id AS batch, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1), d AS (SELECT batch FROM b WHERE failed < 20),
+k AS (SELECT DISTINCT user_id AS batch, CAST(value AS INTEGER) AS key FROM events WHERE event_type <> 'error'), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5(CAST(batch AS VARCHAR) || ':' || CAST(key AS VARCHAR)), key) AS n FROM k WHERE batch IN (SELECT batch FROM d))
+SELECT batch AS parent, key FROM r WHERE n <= 5
+""")
+def str_07_cross_check(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of the keys of each completed batch, by digest, as its follow-up batch."""
+    e = table(spark, d, "events")
+    done = e.groupBy(F.col("user_id").alias("batch")).agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"))
+    status = done.select("batch", F.when(F.col("failed") < 20, "completed").otherwise("partial").alias("status"))
+    keys = e.where("event_type <> 'error'").select(F.col("user_id").alias("batch"), F.rint("value").cast("int").alias("key"))
+    return S.follow_up(status, keys, 5)

@@ -75,16 +75,18 @@ def sessions(actions: DataFrame, as_of: Column, key: str = "session", ttl: int =
     not completed ``ttl`` seconds after it was opened is expired; actions at or after that
     moment do nothing. Illegal transitions are ignored.
     """
-    use = actions.where(F.col("at") <= as_of)
-    opened = F.min(F.when(F.col("action") == "init", F.col("at")))
-    order = F.array_sort(F.collect_list(F.struct("at", "seq", "action")))
-    g = use.groupBy(key).agg(opened.alias("opened_at"), order.alias("steps")).where("opened_at is not null")
-    end = F.timestamp_seconds(F.unix_micros("opened_at") / 1e6 + ttl)
-    live = F.filter("steps", lambda x: x["at"] < F.col("_end"))
-    last = F.aggregate(live, F.lit("none"), lambda status, x: next_status(status, x["action"]))
-    g = g.withColumn("_end", end).withColumn("status", last)
-    expired = (F.col("status") != "completed") & (as_of >= F.col("_end"))
-    return g.select(key, "opened_at", F.when(expired, "expired").otherwise(F.col("status")).alias("status"), F.when(expired, F.col("_end")).alias("expired_at"))
+    use = actions.where(F.col("at") <= as_of).withColumn("_p", F.struct("at", "seq"))
+    first = lambda df, name: df.groupBy(key).agg(F.min("_p").alias(name))
+    opened = first(use.where("action = 'init'"), "_open")
+    end = F.timestamp_seconds(F.unix_micros("_open.at") / 1e6 + ttl)
+    opened = opened.withColumn("_end", end)
+    live = use.where(F.col("action").isin("assign", "approve", "reject", "modify")).join(opened, key).where(F.col("at") < F.col("_end"))
+    assigned = first(live.where((F.col("action") == "assign") & (F.col("_p") > F.col("_open"))), "_assigned")
+    closed = first(live.where("action <> 'assign'").join(assigned, key).where(F.col("_p") > F.col("_assigned")), "_closed")
+    g = opened.join(assigned, key, "left").join(closed, key, "left")
+    status = F.when(F.col("_closed").isNotNull(), "completed").when(F.col("_assigned").isNotNull(), "in_progress").otherwise("open")
+    expired = (status != "completed") & (as_of >= F.col("_end"))
+    return g.select(key, F.col("_open.at").alias("opened_at"), F.when(expired, "expired").otherwise(status).alias("status"), F.when(expired, F.col("_end")).alias("expired_at"))
 
 
 def session_stream(actions: DataFrame, key: str = "session", ttl: int = TTL_SECONDS, late: str = "1 hour") -> DataFrame:
@@ -152,3 +154,26 @@ def stage_latency(events: DataFrame, key: str, kind: str = "type", at: str = "oc
     w = Window.partitionBy(key).orderBy(at)
     gap = (F.unix_micros(F.lead(at).over(w)) - F.unix_micros(at)) / 1e6
     return events.select(key, F.col(kind).alias("stage"), F.lead(kind).over(w).alias("next_stage"), gap.alias("seconds"))
+
+
+def batches(messages: DataFrame, key: str, at: str, seq: str, most: int = 10, seconds: int = 30) -> DataFrame:
+    """``messages`` with ``batch``: what a key gets within ``seconds`` (by the clock), ``most`` at most, in order."""
+    slot = F.floor(F.unix_timestamp(at) / seconds)
+    n = F.row_number().over(Window.partitionBy(key, slot).orderBy(at, seq))
+    return messages.withColumn("batch", slot * 1000 + F.floor((n - 1) / most))
+
+
+def fan_out(results: DataFrame, most: int) -> DataFrame:
+    """What becomes of each message: ack if all its targets took it, else retry, or dead after ``most`` attempts. ``results``: message, ok, attempts."""
+    g = results.groupBy("message").agg(F.count("*").alias("targets"), F.bool_and("ok").alias("_ok"), F.max("attempts").alias("_n"))
+    return g.select("message", "targets", F.when(F.col("_ok"), "ack").when(F.col("_n") >= most, "dead").otherwise("retry").alias("outcome"))
+
+
+def follow_up(status: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """A child batch (parent, key) of ``size`` keys for each completed batch, chosen by digest, so that a replay chooses the same.
+
+    ``status``: batch, status; ``keys``: batch, key. A size of 0: none.
+    """
+    done = keys.distinct().join(status.where("status = 'completed'").select("batch"), "batch")
+    digest = F.md5(F.concat_ws(":", F.col("batch").cast("string"), F.col("key").cast("string")))
+    return done.withColumn("_n", F.row_number().over(Window.partitionBy("batch").orderBy(digest, "key"))).where(F.col("_n") <= size).select(F.col("batch").alias("parent"), "key")
