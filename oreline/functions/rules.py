@@ -144,13 +144,19 @@ def ambiguity(text: Column) -> dict[str, Column]:
     return {"goal": goal, "constraint": constraint, "criteria": criteria, "ambiguity": score, "rejected": score > 0.2}
 
 
+#: First bytes of file formats, their labels and file types; words of parse errors.
+FILE_HEADS = {"504B0304": ("ZIP/PK", ("xlsx", "docx", "pptx", "zip")), "D0CF11E0": ("OLE2", ("xls", "ppt", "doc")), "25504446": ("%PDF", ("pdf",)), "89504E47": ("PNG", ("png",)), "FFD8FF": ("JPEG", ("jpg", "jpeg"))}
+ENCRYPTED_HEAD = "5343445341303032"
+TIMEOUT_WORDS, NETWORK_WORDS = ("abort", "timeout"), ("network", "fetch", "econnrefused")
+
+
 def file_format(content: Column, file_type: Column) -> tuple[Column, Column, Column]:
     """valid, label and error of a file by its first bytes; unknown types are valid."""
-    types = {"504B0304": ("ZIP/PK", ("xlsx", "docx", "pptx", "zip")), "D0CF11E0": ("OLE2", ("xls", "ppt", "doc")), "25504446": ("%PDF", ("pdf",)), "89504E47": ("PNG", ("png",)), "FFD8FF": ("JPEG", ("jpg", "jpeg"))}
+    types = FILE_HEADS
     head = F.hex(F.substring(content, 1, 8))
     known = file_type.isin(*(t for _, ts in types.values() for t in ts))
     right = first_rule([(file_type.isin(*ts) & head.startswith(magic), label) for magic, (label, ts) in types.items()])
-    small, locked = F.length(content) < 4, head == "5343445341303032"
+    small, locked = F.length(content) < 4, head == ENCRYPTED_HEAD
     valid = ~known | (~small & right.isNotNull())
     label = F.when(known & ~small, F.coalesce(right, F.when(locked, "SCDSA002")))
     error = F.when(~known, None).when(small, "too_small").when(right.isNotNull(), None).when(locked, "encrypted_scdsa002").otherwise("wrong_header")
@@ -158,11 +164,9 @@ def file_format(content: Column, file_type: Column) -> tuple[Column, Column, Col
 
 
 def parse_error(name: Column, message: Column) -> Column:
-    low = F.lower(message)
-    return first_rule([
-        ((F.lower(name) == "aborterror") | low.contains("abort") | low.contains("timeout"), "timeout"),
-        (low.contains("network") | low.contains("fetch") | low.contains("econnrefused"), "network_error"),
-    ], "parse_error")
+    """timeout, network_error or parse_error, by the error's name and message."""
+    holds = lambda words: F.lower(message).rlike("|".join(words))
+    return first_rule([((F.lower(name) == "aborterror") | holds(TIMEOUT_WORDS), "timeout"), (holds(NETWORK_WORDS), "network_error")], "parse_error")
 
 
 def relevance(external: Column, entity: Column, transaction: Column) -> Column:

@@ -14,8 +14,17 @@ from ..functions.rules import first_rule
 READINESS = {"machineReadable": 0.9, "semanticConsistency": 0.7, "testable": 0.7, "traceable": 0.8, "completeness": 0.5, "humanReviewable": 0.6}
 
 
+#: Weights of importance, least scores of its categories, and what makes a process core or overspecified.
+WEIGHTS = {"frequency": 0.2, "dependency": 0.2, "domain": 0.35, "centrality": 0.25}
+CATEGORIES = ((0.8, "mega"), (0.6, "core"), (0.3, "supporting"))
+CORE_IMPORTANCE, CORE_DOMAIN = 0.7, 0.8
+LITTLE_IMPORTANCE, MANY_STEPS = 0.2, 5
+#: Fixed value: a Hangul phrase before a word for "when", "in case", "after" or "before".
+CONDITION_PHRASE = r"([가-힣]+(?:\s[가-힣]+)?)\s(?:시|경우|때|후|전)"
+
+
 def importance_category(score: Column) -> Column:
-    return first_rule([(score >= 0.8, "mega"), (score >= 0.6, "core"), (score >= 0.3, "supporting")], "peripheral")
+    return first_rule([(score >= least, name) for least, name in CATEGORIES], "peripheral")
 
 
 def process_importance(processes: DataFrame, rules: DataFrame, relations: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
@@ -46,8 +55,8 @@ def process_importance(processes: DataFrame, rules: DataFrame, relations: DataFr
     text = F.concat_ws(" ", "name", "description", F.array_join("steps", " "))
     domain = F.least(F.lit(1.0), reduce(lambda a, b: a + b, [text.contains(k).cast("int") for k in keywords], F.lit(0)) / 5)
     scored = sized.select(*key, F.size("steps").alias("n_steps"), frequency.alias("frequency"), share("deps").alias("dependency"), domain.alias("domain"), share("linked").alias("centrality"))
-    score = T.rounded(F.col("frequency") * 0.2 + F.col("dependency") * 0.2 + F.col("domain") * 0.35 + F.col("centrality") * 0.25, 2)
-    return scored.withColumn("importance", score).withColumn("category", importance_category(F.col("importance"))).withColumn("is_core", (F.col("importance") >= 0.7) | (F.col("domain") >= 0.8))
+    score = T.rounded(reduce(lambda a, b: a + b, [F.col(c) * w for c, w in WEIGHTS.items()]), 2)
+    return scored.withColumn("importance", score).withColumn("category", importance_category(F.col("importance"))).withColumn("is_core", (F.col("importance") >= CORE_IMPORTANCE) | (F.col("domain") >= CORE_DOMAIN))
 
 
 def missing_references(relations: DataFrame, known: DataFrame) -> DataFrame:
@@ -58,13 +67,12 @@ def missing_references(relations: DataFrame, known: DataFrame) -> DataFrame:
 
 def overspecified(importance: DataFrame) -> DataFrame:
     """Processes of little importance with many steps."""
-    return importance.where("importance < 0.2 and n_steps > 5").select("doc", "name", F.lit("overspec").alias("type"), F.lit("info").alias("severity"))
+    return importance.where((F.col("importance") < LITTLE_IMPORTANCE) & (F.col("n_steps") > MANY_STEPS)).select("doc", "name", F.lit("overspec").alias("type"), F.lit("info").alias("severity"))
 
 
 def orphan_conditions(rules: DataFrame, processes: DataFrame) -> DataFrame:
     """Phrases before 시/경우/때/후/전 in rule conditions that no process name contains or is contained in."""
-    phrase = r"([가-힣]+(?:\s[가-힣]+)?)\s(?:시|경우|때|후|전)"
-    refs = rules.select("doc", F.explode(F.regexp_extract_all("condition", F.lit(phrase), F.lit(1))).alias("name")).where(F.length("name") >= 2).distinct()
+    refs = rules.select("doc", F.explode(F.regexp_extract_all("condition", F.lit(CONDITION_PHRASE), F.lit(1))).alias("name")).where(F.length("name") >= 2).distinct()
     hit = F.col("pname").contains(F.col("name")) | F.col("name").contains(F.col("pname"))
     matched = refs.join(processes.select("doc", F.col("name").alias("pname")).distinct(), "doc").where(hit).select("doc", "name")
     return refs.join(matched, ["doc", "name"], "left_anti").select("doc", "name", F.lit("inconsistency").alias("type"), F.lit("warning").alias("severity"))

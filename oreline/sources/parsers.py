@@ -230,9 +230,10 @@ def ddl_columns(text: str) -> list[dict]:
         if at < 0:
             continue
         at = after(tokens, "IF", "NOT", "EXISTS") if tokens[at : at + 1] and tokens[at].upper() == "IF" else at
-        if at < 0 or tokens[at + 1 : at + 2] != ["("]:
+        open_ = next((i for i in range(max(at, 0), len(tokens)) if tokens[i] == "("), -1)
+        if at < 0 or open_ <= at:
             continue
-        parts, _ = bracketed(tokens, at + 1)
+        name, (parts, _) = "".join(map(bare, tokens[at:open_])), bracketed(tokens, open_)
         keys, links = set(), {}
         for p in parts:
             if p[0].upper() in TABLE_WORDS:
@@ -241,7 +242,7 @@ def ddl_columns(text: str) -> list[dict]:
                 own = after(p, "FOREIGN", "KEY")
                 if own >= 0 and link:
                     links |= {a: f"{link[0]}.{b}" for a, b in zip(names_in(p, own), link[1], strict=False)}
-        out += [{"table": bare(tokens[at]), **c} for p in parts if (c := one_column(p, keys, links))]
+        out += [{"table": name, **c} for p in parts if (c := one_column(p, keys, links))]
     return out
 
 

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL, over a part of the catalogue at the smallest size."""
+"""Every registered query against its SQL at the smallest size."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from oreline import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = sorted(catalog.ORACLES)[::6]
+#: Queries without SQL: assignments in order, recursive or model-like; tests/test_factcheck.py checks them in plain Python.
+WALKED = {"join_04_endpoint_match", "join_07_table_match", "mod_01_importance", "mod_02_diagnosis", "mod_10_criteria", "mod_14_fact_check", "mod_14_gaps", "mod_16_process_items", "mod_23_cycles", "scl_17_repaired_json"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows(spark, db, name):
     df = catalog.QUERIES[name](spark, SF_DIR)
     cols = sorted(df.columns)
@@ -42,5 +43,5 @@ def test_same_rows(spark, db, name):
     assert got == sorted(repr([plain(r[at.index(c)]) for c in cols]) for r in found.fetchall())
 
 
-def test_every_query_has_sql():
-    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+def test_every_other_query_has_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == WALKED
