@@ -114,7 +114,10 @@ def whole_word(text: Column, word: str) -> Column:
 def document_class(text: Column, file_type: Column) -> tuple[Column, Column]:
     """Class and confidence of a document by the keywords in its text; ties go to the class listed first."""
     low = F.lower(text)
-    hit = lambda k: whole_word(low, k.lower()) if k.isascii() and k.isalpha() and len(k) in (2, 3) else low.contains(k.lower())
+    short = [k.lower() for _, keywords in CLASSES for k in keywords if k.isascii() and k.isalpha() and len(k) in (2, 3)]
+    # One pass finds the short keywords, which count as whole words only.
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?<![A-Za-z0-9_])({'|'.join(short)})(?![A-Za-z0-9_])"), F.lit(1)))
+    hit = lambda k: F.array_contains(found, k.lower()) if k.lower() in short else low.contains(k.lower())
     score = {name: sum((hit(k).cast("double") for k in keywords), F.lit(0.0)) for name, keywords in CLASSES}
     sheet, slides = file_type.isin("xlsx", "xls"), file_type.isin("pptx", "ppt")
     score["requirements"] += F.when(sheet, 0.5).otherwise(0.0)
@@ -138,7 +141,8 @@ def ambiguity(text: Column) -> dict[str, Column]:
     present = lambda c, words: sum((c.contains(w).cast("int") for w in words), F.lit(0))
     count = lambda p: F.regexp_count(text, F.lit(p))
     goal = F.least(F.lit(1.0), present(low, GOALS) / 5)
-    constraint = F.least(F.lit(1.0), sum((count(p) for p in CONDITIONS), F.lit(0)) / 8)
+    # No two of the patterns can match at one place, so their alternation counts what they count together.
+    constraint = F.least(F.lit(1.0), count("|".join(f"(?:{p})" for p in CONDITIONS)) / 8)
     criteria = F.least(F.lit(1.0), (count(QUANTITY) + present(text, COMPARISONS)) / 5)
     score = F.floor((1 - (goal * 0.4 + constraint * 0.3 + criteria * 0.3)) * 10000 + 0.5) / 10000.0
     return {"goal": goal, "constraint": constraint, "criteria": criteria, "ambiguity": score, "rejected": score > 0.2}

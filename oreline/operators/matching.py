@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,34 @@ from ..functions import text as T
 from .lineage import cut
 
 
+FINISH = 300_000  # rows - of sources by key and of documents - that one task may walk through
+
+
+def walk(wanted: DataFrame, offered: DataFrame, src: str, doc: str) -> DataFrame:
+    """The walk of assign_keys in one task, for tables whose rows were counted."""
+
+    def steps(sources: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
+        free = {k: list(v) for k, v in documents.sort_values(doc, ascending=False).groupby("key", sort=False)[doc]}
+        taken, out = set(), []
+        for s, rows in sources.groupby(src, sort=True):
+            best = None
+            for key, prefer in zip(rows["key"], rows["prefer"], strict=True):
+                row = free.get(key, [])
+                while row and row[-1] in taken:
+                    row.pop()
+                if row and (best is None or prefer > best[0] or (prefer == best[0] and row[-1] < best[1])):
+                    best = prefer, row[-1], key
+            if best:
+                taken.add(best[1])
+                out.append((s, best[1], best[2]))
+        return pd.DataFrame(out, columns=[src, doc, "key"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"`{src}` {kind(wanted, src)}, `{doc}` {kind(offered, doc)}, key {kind(wanted, 'key')}"
+    one = F.lit(0).alias("_one")
+    return wanted.select(one, "*").groupBy("_one").cogroup(offered.select(one, "*").groupBy("_one")).applyInPandas(lambda a, b: steps(a, b), schema)
+
+
 def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: str = "doc") -> DataFrame:
     """One-to-one matches as of a walk over sources in order: each takes the free document it prefers most.
 
@@ -24,7 +53,8 @@ def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: st
     up to the first source that is not safe and may yet fall back on K. So all sources of one
     key are settled in one round, however many they are; rounds are as many as the longest
     chain of sources that run out of their keys and fall back on each other's, and the
-    smallest source is settled in each.
+    smallest source is settled in each. When at most FINISH rows are left, one task walks
+    through them.
     """
     live, free, found = cut(wanted.select(src, "key", "prefer")), cut(offered.select(doc, "key")), []
     by_source = Window.partitionBy("key").orderBy(src)
@@ -34,7 +64,11 @@ def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: st
         top = live.groupBy(src).agg(F.max(F.struct("prefer", (-F.col("_least")).alias("l"), "key")).alias("_t"))
         both = live.join(top, src).select("*", (F.col("key") == F.col("_t.key")).alias("_own"), (F.col("prefer") == F.col("_t.prefer")).alias("_tie"))
         both = cut(both.drop("_t"))
-        if both.isEmpty():
+        left = both.count()
+        if left and left + free.count() <= FINISH:
+            found.append(cut(walk(both.select(src, "key", "prefer"), free, src, doc)))
+            break
+        if not left:
             break
         state = both.groupBy(src).agg((F.sum(F.col("_tie").cast("int")) > 1).alias("_tied"), F.max(F.when(F.col("_own"), F.col("_r") <= F.col("_n"))).alias("_room"))
         rows = both.join(state, src).withColumn("_safe", F.col("_room") & ~F.col("_tied"))
@@ -218,6 +252,42 @@ def ordered_overlaps(sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("k1", "k2", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
+def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
+    """Pairs (src, doc) in which one name contains the other (``left``: src, a; ``right``: doc, b).
+
+    A name is sought by its character gram that the other side holds least often, among the
+    other side's grams; names shorter than ``gram`` are grams of their own length. A name with
+    a gram that the other side lacks is in none of its names.
+    """
+    one = lambda df, i, c: df.where(F.length(c) > 0).select(i, F.col(c).alias("x"))
+    a, b = one(left, "src", "a"), one(right, "doc", "b")
+
+    def cut_up(lengths: list[Column]) -> Column:
+        some = [F.when(F.length("x") >= k, F.transform(F.sequence(F.lit(1), F.length("x") - k + 1), lambda i, k=k: F.substr(F.col("x"), i, k))) for k in lengths]
+        return F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*some))))).alias("g")
+
+    def inside(short: DataFrame, i: str, long: DataFrame, j: str) -> DataFrame:
+        names, texts = short.select("x").distinct(), long.select("x").distinct()
+        held = texts.select("x", cut_up([F.lit(k) for k in range(1, gram + 1)]))
+        often = held.groupBy("g").agg(F.count("*").alias("n"))
+        keys = names.select("x", cut_up([F.least(F.length("x"), F.lit(gram))])).join(often, "g", "left")
+        rare = keys.groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select(F.col("x").alias("s"), F.col("r.g").alias("g"))
+        found = rare.join(held.withColumnRenamed("x", "l"), "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
+        return short.withColumnRenamed("x", "s").join(found, "s").join(long.withColumnRenamed("x", "l"), "l").select(i, j)
+
+    return inside(a, "src", b, "doc").union(inside(b, "doc", a, "src").select("src", "doc")).distinct()
+
+
+def ordered_overlaps(sets: DataFrame, threshold: float) -> DataFrame:
+    """(k1, k2, overlap) of distinct token sets (k, tokens) with |A & B| >= threshold * |A|, a set with itself included."""
+    t = sets.select("k", F.explode("tokens").alias("t"), F.size("tokens").alias("n"))
+    ranked = t.join(t.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("f", "t")))
+    heads = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select(F.col("k").alias("k1"), "t")
+    pairs = heads.join(t.select(F.col("k").alias("k2"), "t"), "t").select("k1", "k2").distinct()
+    both = pairs.join(sets.select(F.col("k").alias("k1"), F.col("tokens").alias("a")), "k1").join(sets.select(F.col("k").alias("k2"), F.col("tokens").alias("b")), "k2")
+    return both.select("k1", "k2", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
 def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs (src, doc) in which one name contains the other, blocked by character grams.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
+
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in ``order`` (give a unique order)."""
@@ -64,3 +66,20 @@ def zero_filled(counts: DataFrame, key: str, values: list[str], count: str) -> D
     """``counts`` with a row for each of ``values``, 0 where there is none."""
     keys = counts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(key))
     return keys.join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).cast("long").alias(count))
+
+
+def quantiles(df: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles, least, most and mean (three digits) of an integer column for each key; nulls do not count.
+
+    Values are counted first; what is sorted is a row for each different value of a key.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(key).orderBy("_v")))
+    totals = counts.groupBy(F.col(key).alias("_k")).agg(F.sum("_c").alias("_n"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
+    j = upto.join(totals, F.col(key).eqNullSafe(F.col("_k")))
+    place = lambda p: F.lit(p) * (F.col("_n") - 1)
+    at = lambda i: F.min(F.when(F.col("_end") > i, F.col("_v")))
+    bounds = [at(f(place(p))).alias(f"_{side}_{name}") for name, p in wanted.items() for side, f in (("a", F.floor), ("b", F.ceil))]
+    g = j.groupBy(key).agg(*bounds, F.first("_n").alias("_n"), F.first("_s").alias("_s"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    part = lambda name, p: F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (place(p) - F.floor(place(p)))
+    return g.select(key, *(rounded(part(name, p), 3).alias(name) for name, p in wanted.items()), "least", "most", rounded(F.col("_s") / F.col("_n"), 3).alias("mean"))

@@ -472,3 +472,15 @@ def srt_07_samples_by_severity(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "events").select("event_id", F.when(F.col("value") >= 80, "HIGH").when(F.col("value") >= 40, "MEDIUM").otherwise("LOW").alias("severity"))
     return e.withColumn("n", F.row_number().over(Window.partitionBy(severity.severity_rank(F.col("severity")), "severity").orderBy("event_id"))).where("n <= 10").drop("n")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS src, l_suppkey AS dst, l_linenumber * 1000000 + l_partkey AS version, l_returnflag AS type, l_quantity AS weight FROM lineitem)
+SELECT src, dst, type, max_by(weight, (version, weight)) AS weight FROM e GROUP BY 1, 2, 3
+""")
+def snk_10_merge_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges merged by their ends and type; the last written properties count."""
+    from ..operators import graph as N
+
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("type"), F.col("l_quantity").alias("weight"), F.struct(F.col("l_linenumber") * 1000000 + F.col("l_partkey"), "l_quantity").alias("version"))
+    return N.merge_nodes(e.where("weight <= 25"), e.where("weight > 25"), ["src", "dst", "type"]).select("src", "dst", "type", "weight")

@@ -330,8 +330,8 @@ SELECT lang, floor(quantile_cont(n_chars, 0.25) * 1000 + 0.5) / 1000 AS p25, flo
        min(n_chars) AS least, max(n_chars) AS most, floor(avg(n_chars) * 1000 + 0.5) / 1000 AS mean FROM documents GROUP BY 1
 """)
 def agg_18_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda p, name: rounded(F.percentile("n_chars", F.lit(p)), 3).alias(name)
-    return table(spark, d, "documents").groupBy("lang").agg(q(0.25, "p25"), q(0.5, "median"), q(0.75, "p75"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), rounded(F.avg("n_chars"), 3).alias("mean"))
+    """Quantiles out of the counts of each value, so that no task holds a language's rows."""
+    return R.quantiles(table(spark, d, "documents"), "lang", "n_chars", {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
 @query("""

@@ -34,8 +34,10 @@ def walk(wanted: dict[int, list[tuple[str, float]]], offered: list[tuple[int, st
     return out
 
 
+@pytest.mark.parametrize("finish", [0, 1000], ids=["rounds", "walk"])
 @pytest.mark.parametrize("seed", range(3))
-def test_assignment_is_the_walk(spark, seed):
+def test_assignment_is_the_walk(spark, monkeypatch, seed, finish):
+    monkeypatch.setattr(M, "FINISH", finish)
     r = random.Random(seed)
     keys = [f"k{i}" for i in range(6)]
     wanted = {s: [(k, float(r.choice([0, 1, 2] if seed else [0]))) for k in r.sample(keys, r.randint(1, 4))] for s in range(40)}
@@ -47,6 +49,7 @@ def test_assignment_is_the_walk(spark, seed):
 def test_one_hot_key_takes_one_round(spark, monkeypatch):
     rounds = []
     cut = M.cut
+    monkeypatch.setattr(M, "FINISH", 0)
     monkeypatch.setattr(M, "cut", lambda df: rounds.append(1) or cut(df))
     wanted = spark.range(300).selectExpr("id as src", "'k' as key", "0D as prefer")
     got = M.assign_keys(wanted, spark.range(200).selectExpr("id + 1000 as doc", "'k' as key"))
@@ -111,7 +114,9 @@ def check_endpoints(spark, apis, docs):
     assert sorted((r["src"], r["doc"], round(r["score"], 9), r["method"]) for r in got.collect()) == sorted((s, x, round(v, 9), m) for s, x, v, m in endpoint_walk(a, d))
 
 
-def test_endpoints_against_a_walk(spark):
+@pytest.mark.parametrize("finish", [0, 100_000], ids=["rounds", "walk"])
+def test_endpoints_against_a_walk(spark, monkeypatch, finish):
+    monkeypatch.setattr(M, "FINISH", finish)
     r = random.Random(1)
     word = lambda: r.choice(["order", "pay", "gift", "user", "list", "detail"])
     apis = [(i, f"/{r.choice(['api/v1', 'x', 'v2.0'])}/{word()}/{word()}" + r.choice(["", "/{id}", "List"]), word(), r.choice([None, [], [f"/{word()}/{word()}", f"/alt/{word()}"]])) for i in range(40)]
