@@ -93,8 +93,8 @@ def strength(groups: DataFrame) -> float:
     return float(min(1e6, max(1.0, row["t"] / row["n"] / max(spread, 1e-9) - 1)))
 
 
-def hierarchical_quality(docs: DataFrame, host: Column, path: Column, weights: tuple[np.ndarray, np.ndarray, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` plus evidence, host_mean, path_mean, quality (posterior) and kept.
+def hierarchical_quality(docs: DataFrame, host: Column, path: Column, weights: tuple[np.ndarray, np.ndarray, np.ndarray], text_col: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) plus evidence, host_mean, path_mean, quality (posterior) and kept.
 
     Null hosts and paths count as "". A null or empty text gets the classifier's
     evidence for an empty text. Sites are summed with partial aggregation; their
@@ -110,7 +110,7 @@ def hierarchical_quality(docs: DataFrame, host: Column, path: Column, weights: t
         return pd.Series(sigmoid(np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]))
 
     added = ["evidence", "host_mean", "path_mean", "quality", "kept"]
-    keys = [c for c in docs.columns if c.lower() not in added]
+    keys = [c for c in (keep or docs.columns) if c.lower() not in added]
     text = F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")
     scored = docs.select(
         F.struct(*(F.col(quoted(c)) for c in keys)).alias("doc"),

@@ -29,7 +29,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ids = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(quality.SAMPLE)
     weights = quality.fit_quality(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))  # at most SAMPLE ids
-    out = quality.hierarchical_quality(docs.select("doc_id", "text", "source", "lang"), F.col("source"), F.col("lang"), weights)
+    out = quality.hierarchical_quality(docs, F.col("source"), F.col("lang"), weights, keep=["doc_id"])
     return out.select("doc_id", "evidence", "host_mean", "path_mean", "quality", "kept")
 
 
