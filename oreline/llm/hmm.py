@@ -37,11 +37,11 @@ HEAD = 150_000  # most frequent words whose counts the tasks hold
 OWN = 24  # words that are symbols of their own, times the root of the vocabulary
 CLASSES = 2  # spelling classes of all other words, times the root of the vocabulary
 STATES = 8
-PASSES = 14  # Baum-Welch passes at least, for the likelihood gains little before the states part
-GAIN = 1e-3  # relative gain of log-likelihood below which passes end after these
+PASSES = 6  # Baum-Welch passes at least, for the likelihood gains little before the states part
+GAIN = 2e-3  # relative gain of log-likelihood below which passes end after these
 PRIOR = 200.0  # weight of the corpus distribution in a state's emissions
 END = b"\n"  # the end token: no word holds white space
-GROUP_TOKENS = 250_000  # padded tokens that are worked on at once
+GROUP_TOKENS = 300_000  # tokens that are worked on at once, if a text is no longer
 FLUSH = 250_000  # words counted before a task passes its counts on
 
 
@@ -144,36 +144,60 @@ class Hmm:
         return Hmm(p / p.sum(), s / s.sum(1, keepdims=True), e / e.sum(0), self.background)
 
 
-def groups(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts by falling length, as (their places, symbols by step then text, texts still running by step)."""
-    order = np.argsort([-len(x) for x in texts], kind="stable")
+@dataclass
+class Group:
+    """Texts worked on at once, by falling length and step by step: step t holds the texts that are longer than t, in order.
+
+    So no place is padded, and a step's rows are the first rows of the step before.
+    """
+
+    rows: np.ndarray  # places of the texts
+    symbols: np.ndarray  # of all steps, one after the other
+    starts: np.ndarray  # where each step begins, and the end
+
+
+def groups(texts: list[np.ndarray]) -> Iterator[Group]:
+    """Groups of GROUP_TOKENS symbols, or of one text."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
     a = 0
     while a < len(order):
-        longest = max(1, len(texts[order[a]]))
-        rows = order[a : a + max(1, GROUP_TOKENS // longest)]
-        lengths = np.array([len(texts[i]) for i in rows])
-        symbols = np.zeros((longest, len(rows)), np.int32)
+        total = np.cumsum(lengths[order[a:]])
+        b = a + max(1, int(np.searchsorted(total, GROUP_TOKENS, side="right")))
+        rows = order[a:b]
+        size = lengths[rows]
+        running = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+        starts = np.concatenate([[0], np.cumsum(running)])
+        symbols = np.empty(starts[-1], np.int32)
         for j, i in enumerate(rows):
-            symbols[: len(texts[i]), j] = texts[i]
-        yield rows, symbols, np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
-        a += len(rows)
-
-
-def forward(model: Hmm, symbols: np.ndarray, running: np.ndarray, keep: bool = False):
-    """Scaled forward recursion: natural log-likelihood by text (and alphas, scales if kept)."""
-    likelihood = np.zeros(symbols.shape[1])
-    alphas, scales = ([], []) if keep else (None, None)
-    alpha = np.broadcast_to(model.start, (symbols.shape[1], len(model.start)))
-    for t, k in enumerate(running):
-        alpha = alpha[:k] if t == 0 else alpha[:k] @ model.step
-        alpha = alpha * model.emit[symbols[t, :k]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        likelihood[:k] += np.log(scale)
-        if keep:
-            alphas.append(alpha)
-            scales.append(scale)
-    return likelihood, alphas, scales
+            symbols[starts[: len(texts[i])] + j] = texts[i]
+        yield Group(rows, symbols, starts)
+        a = b
+
+
+def forward(model: Hmm, g: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward recursion: natural log-likelihood by text, alphas, scales and emissions of all places."""
+    emitted = model.emit[g.symbols]
+    alpha, scale, ones = np.empty_like(emitted), np.empty(len(emitted)), np.ones(len(model.start))
+    starts, before = g.starts.tolist(), None
+    for a, b in zip(starts, starts[1:], strict=False):
+        now, c = alpha[a:b], scale[a:b]
+        if before is None:
+            np.multiply(model.start, emitted[a:b], out=now)
+        else:
+            np.matmul(before[: b - a], model.step, out=now)
+            now *= emitted[a:b]
+        np.matmul(now, ones, out=c)
+        now /= c[:, None]
+        before = now
+    likelihood = np.bincount(text_of(g), weights=np.log(scale), minlength=len(g.rows))
+    return likelihood, alpha, scale, emitted
+
+
+def text_of(g: Group) -> np.ndarray:
+    """The text of each place, as its number in the group."""
+    return np.arange(len(g.symbols)) - np.repeat(g.starts[:-1], np.diff(g.starts))
 
 
 class Expected:
@@ -184,25 +208,27 @@ class Expected:
         self.likelihood = 0.0
 
     def add(self, model: Hmm, texts: list[np.ndarray]) -> None:
-        for _, symbols, running in groups(texts):
-            likelihood, alphas, scales = forward(model, symbols, running, keep=True)
+        states = len(model.start)
+        for g in groups(texts):
+            likelihood, alpha, scale, back = forward(model, g)
             self.likelihood += likelihood.sum()
-            beta = np.ones((0, len(model.start)))
-            back = None  # emission * beta / scale of the step after
-            for t in range(len(running) - 1, -1, -1):
-                k = running[t]
-                if back is not None:
-                    self.step += model.step * (alphas[t][: len(back)].T @ back)
-                    beta = back @ model.step.T
-                now = np.ones((k, len(model.start)))
-                now[: len(beta)] = beta
-                back = model.emit[symbols[t, :k]] * now / scales[t][:, None]
-                alphas[t] = alphas[t] * now
-            self.start += alphas[0].sum(0)
-            flat = np.concatenate([symbols[t, :k] for t, k in enumerate(running)])
-            gamma = np.concatenate(alphas)
-            for s in range(len(model.start)):
-                self.emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(self.emit))
+            back /= scale[:, None]  # emission / scale, and below times beta
+            beta = np.ones_like(alpha)
+            back_step = model.step.T.copy()
+            starts = g.starts.tolist()
+            for t in range(len(starts) - 3, -1, -1):
+                here, a, b = starts[t : t + 3]
+                now = back[a:b]
+                now *= beta[a:b]
+                np.matmul(now, back_step, out=beta[here : here + b - a])
+            later = np.arange(g.starts[1], len(alpha))
+            if len(later):  # each place of a later step, and the same text's place before it
+                earlier = later - np.repeat(np.diff(g.starts[:-1]), np.diff(g.starts[1:]))
+                self.step += model.step * (alpha[earlier].T @ back[later])
+            alpha *= beta
+            self.start += alpha[: g.starts[1]].sum(0)
+            cell = g.symbols[:, None].astype(np.int64) * states + np.arange(states)
+            self.emit += np.bincount(cell.ravel(), weights=alpha.ravel(), minlength=self.emit.size).reshape(self.emit.shape)
 
 
 def encode(docs: DataFrame, vocabulary, held: Column, id_col: str, text_col: str) -> DataFrame:
@@ -257,9 +283,8 @@ def baum_welch(encoded: DataFrame, model: Hmm, passes: int) -> Hmm:
         def expect(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             m = sent.value
             total = Expected(len(m.emit), states)
-            for pdf in batches:
-                for a in range(0, len(pdf), 2000):
-                    total.add(m, as_symbols(pdf["symbols"].iloc[a : a + 2000]))
+            for pdf in batches:  # all of a batch at once: the longest texts set the number of steps
+                total.add(m, as_symbols(pdf["symbols"]))
             rows = np.vstack([total.emit, total.step, total.start[None], np.full((1, states), total.likelihood)])
             used = np.flatnonzero(rows.any(1))
             yield pd.DataFrame(rows[used], columns=names).assign(symbol=used)
@@ -299,12 +324,10 @@ def hmm_scores(docs: DataFrame, held: Column, text_col: str = "text", id_col: st
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 2000):
-                part = pdf.iloc[a : a + 2000]
-                texts, value = as_symbols(part["symbols"]), np.zeros(len(part))
-                for rows, symbols, running in groups(texts):
-                    value[rows] = forward(final.value, symbols, running)[0] / np.log(10)
-                yield part.drop(columns=["symbols"]).assign(share=part["share"] + value)
+            value = np.zeros(len(pdf))
+            for g in groups(as_symbols(pdf["symbols"])):
+                value[g.rows] = forward(final.value, g)[0] / np.log(10)
+            yield pdf.drop(columns=["symbols"]).assign(share=pdf["share"] + value)
 
     names = ["row", "id", "held", "n_tokens", "n_head", "base", "share"]
     scored = encoded.select(*names, "symbols").mapInPandas(score, "row long, id string, held boolean, n_tokens long, n_head long, base double, share double")

@@ -52,8 +52,8 @@ def test_forward_and_counts_against_enumeration():
                     step[s[t - 1], s[t]] += p / z
     assert np.allclose(total.emit, emit) and np.allclose(total.step, step) and np.allclose(total.start, start)
     got = np.zeros(len(texts))
-    for rows, symbols, running in H.groups(texts):
-        got[rows] = H.forward(model, symbols, running)[0]
+    for g in H.groups(texts):
+        got[g.rows] = H.forward(model, g)[0]
     assert np.allclose(got, likelihoods)
 
 
@@ -115,8 +115,8 @@ def test_every_pass_sees_all_training_texts(spark, monkeypatch):
         total.add(model, coded)
         model = model.refit(total.emit, total.step, total.start)
         seen.append(total.likelihood)
-    for rows, symbols, running in H.groups(coded):
-        for i, x in zip(rows, H.forward(model, symbols, running)[0], strict=True):
+    for g in H.groups(coded):
+        for i, x in zip(g.rows, H.forward(model, g)[0], strict=True):
             assert math.isclose(got[i], x / math.log(10), rel_tol=1e-6)
 
 
