@@ -20,7 +20,7 @@ from .common import stage
 
 PREFIX = 4  # hex digits of the first summary: 65,536 sums
 REFINE_ROWS = 65_536
-PART = 500_000  # rows, on average at most, of a part into which the largest group is dealt while it is numbered
+PARTS, PART = 256, 500_000  # parts into which a group is dealt while it is numbered, at least, and rows of a part, on average at most
 
 
 def cut_greedily(prefix: np.ndarray, capacity: int, n_shards: int, whole: np.ndarray | None = None) -> list[int]:
@@ -128,7 +128,7 @@ def shard_contiguous(docs: DataFrame, n_shards: int = 16, text_col: str = "text"
         before += rows_of[p]
     bases = docs.sparkSession.createDataFrame(base, "_bucket string, _base long")
 
-    spread = max(1, -(-before // PART))  # parts of a group, if all rows were one
+    spread = max(PARTS, -(-before // PART))  # parts of a group, if all rows were one
     rows = rows.withColumn("_sub", F.pmod(F.xxhash64("_id"), F.lit(spread)).cast("int"))
     runs = rows.groupBy("_key", "_sub").agg(F.count("*").alias("_n"))
     in_bucket = Window.partitionBy("_bucket").orderBy("_key", "_sub")

@@ -70,6 +70,7 @@ def test_edges(spark, edges):
 
 
 def test_one_group_with_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "PARTS", 1)
     monkeypatch.setattr(S, "PART", 20)  # the group is numbered in parts
     docs = as_documents(spark, [(i, "same text") for i in range(500)] + [(1000 + i, f"t{i}") for i in range(50)])
     rows = S.shard_contiguous(docs, n_shards=16).collect()
