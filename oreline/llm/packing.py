@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-PART = 500_000  # pieces, on average at most, of a part into which the pieces of one length are dealt while they are numbered
+PARTS, PART = 64, 500_000  # parts into which the pieces of one length are dealt while they are numbered, at least, and pieces of a part, on average at most
 #: Texts of these characters go through the cache; all others through the tokenizer as they are.
 WESTERN = "".join(map(chr, range(0xA1, 0x180)))
 LETTERS = "a-z" + "".join(c for c in WESTERN if unicodedata.category(c)[0] == "L")
@@ -360,7 +360,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     length = F.col(length_col).cast("long")
     rows = stage(pieces.select(*keep, F.when(length.between(1, capacity), length).alias("_l")), "pack-pieces")
     lengths = {r[0]: r[1] for r in rows.where("_l is not null").groupBy("_l").count().collect()}  # at most ``capacity`` rows
-    spread = max(1, -(-max(lengths.values(), default=0) // PART))
+    spread = max(PARTS, -(-max(lengths.values(), default=0) // PART))
     rows = rows.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
     parts = rows.where("_l is not null").groupBy("_l", "_sub").agg(F.count("*").alias("_n"))
 

@@ -104,6 +104,7 @@ def test_search_is_not_cut_short_among_many_groups():
 
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_table(spark, edges, capacity, monkeypatch):
+    monkeypatch.setattr(P, "PARTS", 1)
     monkeypatch.setattr(P, "PART", 5)  # pieces of one length are numbered in parts
     pieces = P.tokenize_pieces(edges, PATH, capacity=capacity)
     rows = P.pack_pieces(pieces, capacity=capacity, order=["doc_id", "piece"]).collect()
