@@ -310,8 +310,14 @@ def test_repaired_json_of_every_cut(spark):
     assert sum(v is not None for v in got.values()) > 0.6 * len(whole)
     assert json.loads(specs.valid_json('{"a": [1, 2], "b": "hal')) == {"a": [1, 2], "b": "hal"}
     assert json.loads(specs.valid_json('{"a": [1, 2], "b')) == {"a": [1, 2]}
-    turns = QUERIES["scl_17_repaired_json"](spark, SF_DIR).collect()
-    assert sum(r["json"] is not None for r in turns) > 0.9 * len(turns)
+    import duckdb
+
+    want = {}
+    for conv, turn, role, text in duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{SF_DIR}/conversations.parquet'").fetchall():
+        output = "```json\n" + json.dumps({"role": role, "parts": [text, role], "at": {"conv_id": conv, "turn": turn}}, separators=(",", ":"), ensure_ascii=False)
+        want[conv, turn] = specs.valid_json(output[: max(12, len(output) - conv % 60)])
+    assert {(r["conv_id"], r["turn"]): r["json"] for r in QUERIES["scl_17_repaired_json"](spark, SF_DIR).collect()} == want
+    assert sum(v is not None for v in want.values()) > len(want) / 2
 
 
 def test_severity_of_unknown_flags(spark):
