@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, knn, mixing, neardup, ogg, packing, quality, secrets, sharding, toxicity
+from . import cleaning, divergence, hmm, knn, mining, mixing, neardup, ogg, packing, quality, secrets, sharding, toxicity
 from .common import text_or_empty
 
 
@@ -101,7 +103,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_lm, op4_secrets, op5_ogg, op6_knn, op7_shards, op8_neardup, op9_packing, op10_mixing)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, label)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_lines: lines with a word; n_removed and lost_words: of the removed ones; clean_sha256: of the text without them."""
+    out = cleaning.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "cleaned")
+    part = lambda name: F.col(f"cleaned.{name}").alias(name)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "lost_words"]
+    return out.select("doc_id", *map(part, counts), F.size("cleaned.removed").cast("long").alias("n_removed"), F.sha2(F.col("cleaned.clean").cast("binary"), 256).alias("clean_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_quality, op3_lm, op4_secrets, op5_ogg, op6_knn, op7_shards, op8_neardup, op9_packing, op10_mixing, op11_negatives, op12_divergence, op13_cleaning)
+}
 
 KNN_SQL = """
 WITH v AS (
@@ -169,4 +191,89 @@ def mixing_sql(percent: int = 60, epochs: int = 4, seed: int = 17) -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, domain, lang, source, n_tokens, CAST(least({epochs}, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END) AS INTEGER) AS copies FROM o"
 
 
-ORACLES = {"op6_knn": KNN_SQL, "op8_neardup": NEARDUP_SQL, "op10_mixing": mixing_sql()}
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, a.e, v.vec_id, v.label, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * v.e[i])) AS BIGINT) AS score
+  FROM a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e)),
+p AS (
+  SELECT anchor_id, own, e, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id, own, e ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.own, p.e, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.e = p.e AND s.label <> p.own
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(kept.term) AS v FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN kept USING (lang) GROUP BY g.lang),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) AS q
+  FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY lang) USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+
+def cleaning_sql() -> str:
+    """The line rules in SQL; the pattern parts are those of the operator."""
+    word = r"[^\x20\x09-\x0D]+"
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    number = lambda col, chars: f"len(regexp_replace({col}, '[^{chars}]', '', 'g'))"
+    holds = lambda phrases: " OR ".join(f"contains(low, '{x}')" for x in phrases)
+    marks, separators = re.escape(cleaning.MARKS).replace("\\&", "&").replace("\\#", "#"), cleaning.SEPARATORS
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT i, doc_id, text, regexp_extract_all(text, '{word}') AS t FROM d),
+x AS (SELECT i, unnest(t) AS a, generate_subscripts(t, 1) AS k FROM w),
+y AS (SELECT i, k, a, lead(a) OVER (PARTITION BY i ORDER BY k) AS b, lead(a, 2) OVER (PARTITION BY i ORDER BY k) AS c FROM x),
+g AS (SELECT i, k, count(*) OVER (PARTITION BY i, a, b, c) AS n FROM y WHERE c IS NOT NULL),
+h AS (SELECT i, count(DISTINCT k + o) AS repeated FROM g, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1 GROUP BY i),
+l AS (SELECT i, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+m AS (
+  SELECT *, len(own) AS n, len(own) > 0 AND row_number() OVER (PARTITION BY i, line ORDER BY pos) > 1 AS again, translate(line, {letters}) AS low
+  FROM (SELECT *, regexp_extract_all(line, '{word}') AS own FROM l)),
+f AS (
+  SELECT *, n > 0 AND (
+    2 * {number("line", marks + "!")} > n OR NOT (regexp_matches(line, '{cleaning.ENDS}') OR regexp_matches(line, '{cleaning.INNER}'))
+    OR ({number("line", separators)} >= 2 AND 4 * {number("line", separators)} >= n) OR (n <= {cleaning.SHORT} AND ({holds(cleaning.LINKS)}))
+    OR (n <= {cleaning.NOTICE} AND ({holds(cleaning.NOTICES)})) OR (n >= 10 AND 10 * len(list_distinct(own)) < 3 * n) OR again) AS bad
+  FROM m),
+s AS (
+  SELECT i, sum(CASE WHEN again THEN 1 ELSE 0 END) AS dups, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS filled, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS removed,
+    coalesce(string_agg(CASE WHEN NOT bad THEN line END, chr(10) ORDER BY pos), '') AS clean
+  FROM f GROUP BY i),
+r AS (
+  SELECT w.*, len(t) AS n, coalesce(repeated, 0) AS repeated, s.*, len(t) < {cleaning.MIN_WORDS} OR 100 * coalesce(repeated, 0) > {cleaning.MAX_REPEATED} * len(t) AS base
+  FROM w JOIN s USING (i) LEFT JOIN h USING (i))
+SELECT doc_id, n AS n_words, CAST(coalesce(list_sum(list_transform(t, lambda z: len(z))), 0) AS BIGINT) AS word_chars, CAST({number("text", marks)} AS BIGINT) AS n_symbols,
+  CAST(dups AS BIGINT) AS n_dup_lines, repeated AS n_repeat_words, base AS base_failed, NOT base AND 100 * lost <= {cleaning.MAX_LOST} * n AS kept,
+  CAST(filled AS BIGINT) AS n_lines, CAST(lost AS BIGINT) AS lost_words, CAST(removed AS BIGINT) AS n_removed, sha256(clean) AS clean_sha256
+FROM r
+"""
+
+
+ORACLES = {"op6_knn": KNN_SQL, "op8_neardup": NEARDUP_SQL, "op10_mixing": mixing_sql(), "op11_negatives": NEGATIVES_SQL, "op12_divergence": DIVERGENCE_SQL, "op13_cleaning": cleaning_sql()}
