@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,76 +10,100 @@ from ..functions import text as T
 from .lineage import cut
 
 
-FINISH = 300_000  # rows - of sources by key and of documents - that one task may walk through
-
-
-def walk(wanted: DataFrame, offered: DataFrame, src: str, doc: str) -> DataFrame:
-    """The walk of assign_keys in one task, for tables whose rows were counted."""
-
-    def steps(sources: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
-        free = {k: list(v) for k, v in documents.sort_values(doc, ascending=False).groupby("key", sort=False)[doc]}
-        taken, out = set(), []
-        for s, rows in sources.groupby(src, sort=True):
-            best = None
-            for key, prefer in zip(rows["key"], rows["prefer"], strict=True):
-                row = free.get(key, [])
-                while row and row[-1] in taken:
-                    row.pop()
-                if row and (best is None or prefer > best[0] or (prefer == best[0] and row[-1] < best[1])):
-                    best = prefer, row[-1], key
-            if best:
-                taken.add(best[1])
-                out.append((s, best[1], best[2]))
-        return pd.DataFrame(out, columns=[src, doc, "key"])
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"`{src}` {kind(wanted, src)}, `{doc}` {kind(offered, doc)}, key {kind(wanted, 'key')}"
-    one = F.lit(0).alias("_one")
-    return wanted.select(one, "*").groupBy("_one").cogroup(offered.select(one, "*").groupBy("_one")).applyInPandas(lambda a, b: steps(a, b), schema)
-
-
-def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: str = "doc") -> DataFrame:
+BLOCK = 4096  # rows of wanted keys that one task walks through, on average; more beyond BLOCK * BLOCKS rows
+BLOCKS = 10_000  # so that a key has few rows of counters
+SLICE = 1024  # documents of a key that are fetched together
+
+
+def ranked(offered: DataFrame, doc: str) -> DataFrame:
+    """(key, doc, rank from 0 within the key), without one task for a hot key: ranks of parts plus the parts' offsets."""
+    spark = offered.sparkSession
+    parts = cut(offered.select("key", doc).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", doc).withColumn("_part", F.spark_partition_id()))
+    earlier = F.sum("_n").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("key", "_part").agg(F.count("*").alias("_n")).select("key", "_part", F.coalesce(earlier, F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("key", "_part").orderBy(doc)) - 1
+    return parts.withColumn("_own", own).join(offsets, ["key", "_part"]).select("key", doc, (F.col("_own") + F.col("_offset")).alias("rank"))
+
+
+def walk_block(sources: pd.DataFrame, documents: pd.DataFrame, src: str, doc: str) -> pd.DataFrame:
+    """The walk over one block's sources, on the documents that its counters leave."""
+    free = {k: rows[::-1] for k, rows in documents.sort_values("rank").groupby("key", sort=False)[doc].agg(list).items()}
+    out = []
+    ordered = sources.sort_values(src, kind="stable")
+    live = None
+    for s, key, prefer in zip(ordered[src], ordered["key"], ordered["prefer"], strict=True):
+        if live is not None and s != live[0]:
+            if live[1]:
+                out.append((live[0], free[live[1][2]].pop(), live[1][2]))
+            live = None
+        best = live[1] if live else None
+        if free.get(key) and (best is None or prefer > best[0] or (prefer == best[0] and free[key][-1] < best[1])):
+            best = prefer, free[key][-1], key
+        live = s, best
+    if live and live[1]:
+        out.append((live[0], free[live[1][2]].pop(), live[1][2]))
+    return pd.DataFrame(out, columns=[src, doc, "key"])
+
+
+def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: str = "doc", figures: dict | None = None) -> DataFrame:
     """One-to-one matches as of a walk over sources in order: each takes the free document it prefers most.
 
     ``wanted`` has src, key and prefer (higher first; at most one row a source and key),
-    ``offered`` doc and key. Of equally preferred documents the smallest is taken.
-    Returns src, doc, key.
-
-    The walk is done in rounds. A source is safe if its best key K has more free documents
-    than there are smaller sources that could take one: it will not fall back on other
-    keys. In each round the sources whose best key is K take K's free documents in order,
-    up to the first source that is not safe and may yet fall back on K. So all sources of one
-    key are settled in one round, however many they are; rounds are as many as the longest
-    chain of sources that run out of their keys and fall back on each other's, and the
-    smallest source is settled in each. When at most FINISH rows are left, one task walks
-    through them.
+    ``offered`` doc and key (one row a document). Of equally preferred documents the
+    smallest is taken. Null keys match nothing. Returns src, doc, key.
+
+    A key's documents are always taken in order, so all that a source needs to know of
+    those before it is how many documents of each of its keys are gone. Sources are cut
+    into blocks in order. Each block is walked in a task of its own from a guess of these
+    counters: at first what the blocks before would take if each source got its best
+    key, then what they did take. Only blocks whose counters turned out otherwise are
+    walked again. When none is left, every block was walked from true counters (by
+    induction from the first), so the result is the walk's. A round settles at least one
+    more block, and as many as the misguesses do not reach. A task holds a block's rows
+    and as many documents. ``figures`` receives the number of blocks and, for each
+    round, how many of them were walked.
     """
-    live, free, found = cut(wanted.select(src, "key", "prefer")), cut(offered.select(doc, "key")), []
-    by_source = Window.partitionBy("key").orderBy(src)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"`{src}` {kind(wanted, src)}, `{doc}` {kind(offered, doc)}, key {kind(wanted, 'key')}, _block int"
+    documents = cut(ranked(offered.where("key is not null"), doc))
+    keys = documents.select("key").distinct()
+    asked = wanted.select(src, "key", "prefer").join(keys, "key", "left_semi")
+    n = asked.count()
+    blocks = max(1, min(BLOCKS, -(-n // BLOCK)))
+    asked = cut(asked.repartitionByRange(blocks, src).withColumn("_block", F.spark_partition_id()))
+    room = cut(asked.groupBy("_block", "key").agg(F.count("*").alias("_room")))
+    first = asked.groupBy("_block", src).agg(F.max_by("key", "prefer").alias("key"))
+    before = F.sum("_n").over(Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+
+    def counters(taken: DataFrame) -> DataFrame:
+        """(_block, key, _room, _gone): how many documents of a key the blocks before took."""
+        counts = room.join(taken.groupBy("_block", "key").agg(F.count("*").alias("_n")), ["_block", "key"], "left")
+        return cut(counts.select("_block", "key", "_room", F.coalesce(before, F.lit(0)).alias("_gone")))
+
+    guess, found, walked = counters(first), None, None
     while True:
-        keys = free.groupBy("key").agg(F.min(doc).alias("_least"), F.count("*").alias("_n"))
-        live = live.join(keys, "key").withColumn("_r", F.row_number().over(by_source))
-        top = live.groupBy(src).agg(F.max(F.struct("prefer", (-F.col("_least")).alias("l"), "key")).alias("_t"))
-        both = live.join(top, src).select("*", (F.col("key") == F.col("_t.key")).alias("_own"), (F.col("prefer") == F.col("_t.prefer")).alias("_tie"))
-        both = cut(both.drop("_t"))
-        left = both.count()
-        if left and left + free.count() <= FINISH:
-            found.append(cut(walk(both.select(src, "key", "prefer"), free, src, doc)))
+        now = guess if found is None else counters(found)
+        stale = now if found is None else now.join(guess.select("_block", "key", F.col("_gone").alias("_was")), ["_block", "key"]).where("_gone <> _was")
+        stale = cut(stale.select("_block").distinct())
+        walked = blocks if found is None else stale.count()
+        if figures is not None:
+            figures["blocks"] = blocks
+            figures.setdefault("walked", []).append(walked)
+        if not walked or not n:
             break
-        if not left:
-            break
-        state = both.groupBy(src).agg((F.sum(F.col("_tie").cast("int")) > 1).alias("_tied"), F.max(F.when(F.col("_own"), F.col("_r") <= F.col("_n"))).alias("_room"))
-        rows = both.join(state, src).withColumn("_safe", F.col("_room") & ~F.col("_tied"))
-        best = rows.where("_own").withColumn("_k", F.row_number().over(by_source))
-        late = rows.where("not _own and not _safe").select("key", src).union(best.where("_tied and _k > 1").select("key", src)).groupBy("key").agg(F.min(src).alias("_late"))
-        ready = best.join(late, "key", "left").where(F.col("_late").isNull() | (F.col(src) < F.col("_late"))).select(src, "key", "_k")
-        given = free.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(doc)))
-        settled = cut(ready.join(given, ["key", "_k"]).select(src, doc, "key"))
-        found.append(settled)
-        live = both.select(src, "key", "prefer").join(settled.select(src), src, "left_anti")
-        free = cut(free.join(settled.select(doc), doc, "left_anti"))
-    nothing = wanted.select(src, "key").join(offered.select(doc, "key"), "key").limit(0).select(src, doc, "key")
-    return cut(reduce(DataFrame.unionByName, found)) if found else nothing
+        need = now.join(F.broadcast(stale), "_block", "left_semi")  # at most BLOCKS rows
+        spans = need.select("_block", "key", "_room", "_gone", F.explode(F.sequence(F.floor(F.col("_gone") / SLICE), F.floor((F.col("_gone") + F.col("_room") - 1) / SLICE))).alias("_slice"))
+        rows = spans.join(documents.withColumn("_slice", F.floor(F.col("rank") / SLICE)), ["key", "_slice"]).where("rank >= _gone and rank < _gone + _room").select(F.col("_block").alias("_of"), F.col("key").alias("key"), doc, "rank")
+
+        def steps(block: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return walk_block(a, b, src, doc).assign(_block=block[0])
+
+        again = asked.join(F.broadcast(stale), "_block", "left_semi").groupBy("_block").cogroup(rows.groupBy("_of")).applyInPandas(steps, schema)
+        found = cut(again if found is None else again.unionByName(found.join(F.broadcast(stale), "_block", "left_anti")))
+        guess = now
+    if found is None:
+        return wanted.select(src, "key").join(offered.select(doc, "key"), "key").limit(0).select(src, doc, "key")
+    return found.select(src, doc, "key")
 
 
 def greedy_assign(candidates: DataFrame, src: str = "src", doc: str = "doc", score: str = "score") -> DataFrame:
@@ -276,28 +298,3 @@ def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFram
         return short.withColumnRenamed("x", "s").join(found, "s").join(long.withColumnRenamed("x", "l"), "l").select(i, j)
 
     return inside(a, "src", b, "doc").union(inside(b, "doc", a, "src").select("src", "doc")).distinct()
-
-
-def ordered_overlaps(sets: DataFrame, threshold: float) -> DataFrame:
-    """(k1, k2, overlap) of distinct token sets (k, tokens) with |A & B| >= threshold * |A|, a set with itself included."""
-    t = sets.select("k", F.explode("tokens").alias("t"), F.size("tokens").alias("n"))
-    ranked = t.join(t.groupBy("t").agg(F.count("*").alias("f")), "t").withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("f", "t")))
-    heads = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select(F.col("k").alias("k1"), "t")
-    pairs = heads.join(t.select(F.col("k").alias("k2"), "t"), "t").select("k1", "k2").distinct()
-    both = pairs.join(sets.select(F.col("k").alias("k1"), F.col("tokens").alias("a")), "k1").join(sets.select(F.col("k").alias("k2"), F.col("tokens").alias("b")), "k2")
-    return both.select("k1", "k2", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
-
-
-def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
-    """Pairs (src, doc) in which one name contains the other, blocked by character grams.
-
-    Names of ``gram`` characters or more share their first gram with a gram of the
-    longer name; shorter names are compared through all grams of their own length.
-    """
-    grams = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - k + 1)), lambda i: F.substr(F.col(c), i, F.lit(k)))
-    all_grams = lambda df, i, c: df.where(F.length(c) > 0).select(i, c, F.explode(F.array_distinct(F.flatten(F.array(*(grams(c, k) for k in range(1, gram + 1)))))).alias("g"))
-    head = lambda df, i, c: df.where(F.length(c) > 0).select(i, c, F.substring(c, 1, gram).alias("g"))
-    inside: Column = F.col("b").contains(F.col("a"))
-    one = head(left, "src", "a").join(all_grams(right, "doc", "b"), "g").where(inside)
-    two = all_grams(left, "src", "a").join(head(right, "doc", "b"), "g").where(F.col("a").contains(F.col("b")))
-    return one.select("src", "doc").union(two.select("src", "doc")).distinct()

@@ -34,27 +34,55 @@ def walk(wanted: dict[int, list[tuple[str, float]]], offered: list[tuple[int, st
     return out
 
 
-@pytest.mark.parametrize("finish", [0, 1000], ids=["rounds", "walk"])
-@pytest.mark.parametrize("seed", range(3))
-def test_assignment_is_the_walk(spark, monkeypatch, seed, finish):
-    monkeypatch.setattr(M, "FINISH", finish)
+def assigned(spark, wanted: dict[int, list[tuple[str, float]]], offered: list[tuple[int, str]], figures: dict | None = None) -> dict[int, int]:
+    rows = [(s, k, p) for s, ks in wanted.items() for k, p in ks]
+    got = M.assign_keys(spark.createDataFrame(rows, "src long, key string, prefer double").repartition(5), spark.createDataFrame(offered, "doc long, key string").repartition(3), figures=figures).collect()
+    assert len({r["src"] for r in got}) == len(got)
+    return {r["src"]: r["doc"] for r in got}
+
+
+@pytest.mark.parametrize("block", [7, 40, 4096])
+@pytest.mark.parametrize("seed", range(2))
+def test_assignment_is_the_walk(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "SLICE", 4)
     r = random.Random(seed)
     keys = [f"k{i}" for i in range(6)]
-    wanted = {s: [(k, float(r.choice([0, 1, 2] if seed else [0]))) for k in r.sample(keys, r.randint(1, 4))] for s in range(40)}
-    offered = [(100 + i, r.choice(keys)) for i in range(30)]
-    got = M.assign_keys(spark.createDataFrame([(s, k, p) for s, ks in wanted.items() for k, p in ks], "src long, key string, prefer double"), spark.createDataFrame(offered, "doc long, key string"))
-    assert {r["src"]: r["doc"] for r in got.collect()} == walk(wanted, offered)
+    wanted = {s: [(k, float(r.choice([0, 1, 2] if seed else [0]))) for k in r.sample(keys, r.randint(1, 4))] for s in range(60)}
+    offered = [(100 + i, r.choice(keys)) for i in range(45)]
+    assert assigned(spark, wanted, offered) == walk(wanted, offered)
 
 
-def test_one_hot_key_takes_one_round(spark, monkeypatch):
-    rounds = []
-    cut = M.cut
-    monkeypatch.setattr(M, "FINISH", 0)
-    monkeypatch.setattr(M, "cut", lambda df: rounds.append(1) or cut(df))
+def test_chains_of_sources_that_push_each_other_on(spark, monkeypatch):
+    """Source i wants keys i and i + 1, each with one document, the first key is gone: every choice rests on the one before."""
+    monkeypatch.setattr(M, "BLOCK", 20)
+    n = 100
+    wanted = {0: [("k1", 0.0)]} | {i: [(f"k{i}", 1.0), (f"k{i + 1}", 0.0)] for i in range(1, n)}
+    offered = [(1000 + i, f"k{i}") for i in range(1, n)]
+    figures: dict = {}
+    assert assigned(spark, wanted, offered, figures) == walk(wanted, offered)
+    assert len(figures["walked"]) <= figures["blocks"] + 1  # a round settles one more block at least
+
+
+def test_ties_between_keys_of_interleaved_documents(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 30)
+    r = random.Random(4)
+    wanted = {i: [("a", 0.0), ("b", 0.0)] if i % 3 else [("b", 0.0), ("c", 0.0)] for i in range(120)}
+    offered = [(1000 + i, r.choice("aabc")) for i in range(130)]
+    assert assigned(spark, wanted, offered) == walk(wanted, offered)
+
+
+def test_a_hot_key_is_cut_into_blocks_that_need_no_second_walk(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 50)
+    figures: dict = {}
     wanted = spark.range(300).selectExpr("id as src", "'k' as key", "0D as prefer")
-    got = M.assign_keys(wanted, spark.range(200).selectExpr("id + 1000 as doc", "'k' as key"))
+    got = M.assign_keys(wanted, spark.range(200).selectExpr("id + 1000 as doc", "'k' as key"), figures=figures)
     assert {r["src"]: r["doc"] for r in got.collect()} == {i: 1000 + i for i in range(200)}
-    assert len(rounds) < 12
+    assert figures["blocks"] == 6 and len(figures["walked"]) <= 3
+
+
+def test_nothing_to_assign(spark):
+    assert assigned(spark, {}, [(1, "a")]) == {} and assigned(spark, {1: [("a", 0.0)]}, []) == {} and assigned(spark, {1: [("b", 0.0)]}, [(1, "a")]) == {}
 
 
 def jaccard(a: set, b: set) -> float:
@@ -114,9 +142,9 @@ def check_endpoints(spark, apis, docs):
     assert sorted((r["src"], r["doc"], round(r["score"], 9), r["method"]) for r in got.collect()) == sorted((s, x, round(v, 9), m) for s, x, v, m in endpoint_walk(a, d))
 
 
-@pytest.mark.parametrize("finish", [0, 100_000], ids=["rounds", "walk"])
-def test_endpoints_against_a_walk(spark, monkeypatch, finish):
-    monkeypatch.setattr(M, "FINISH", finish)
+@pytest.mark.parametrize("block", [25, 4096])
+def test_endpoints_against_a_walk(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
     r = random.Random(1)
     word = lambda: r.choice(["order", "pay", "gift", "user", "list", "detail"])
     apis = [(i, f"/{r.choice(['api/v1', 'x', 'v2.0'])}/{word()}/{word()}" + r.choice(["", "/{id}", "List"]), word(), r.choice([None, [], [f"/{word()}/{word()}", f"/alt/{word()}"]])) for i in range(40)]
