@@ -109,11 +109,21 @@ def marker_status(manual: Column, found: Column, supported: Column) -> Column:
     return first_rule([(~supported, "UNKNOWN"), (found > 0, "OPEN")], "RESOLVED")
 
 
-def keyword_classes(items: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Best class of each item by weighted keyword hits: ``items`` id, text; ``keywords`` class, word, weight (a small table)."""
-    words = items.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
-    hits = words.join(keywords.withColumn("word", F.lower("word")), "word").groupBy("id", "class").agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
-    best = hits.groupBy("id").agg(F.max_by(F.struct("class", "score"), F.struct("score", F.col("class"))).alias("b"))
-    sizes = keywords.groupBy("class").agg(F.count("*").alias("of"))
-    out = best.select("id", "b.class", "b.score").join(sizes, "class")
-    return out.select("id", "class", "score", T.rounded(F.least(F.lit(1.0), F.col("score") / (F.col("of") * 0.3)), 2).alias("confidence"))
+def keyword_class(text: Column, classes: dict[str, tuple[tuple[str, ...], float]]) -> Column:
+    """Struct of the class with the highest score, and its confidence: keywords that the text holds anywhere, without case, times the class's weight.
+
+    ``classes`` gives the keywords and weight of each, a rule set like any other parameter.
+    The first class wins ties; no keyword at all is ``uncategorized`` with confidence 0.
+    Confidence is the score over three tenths of the class's keywords, 1 at most, to two digits.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def scored(place: int, name: str, words: tuple[str, ...], weight: float) -> Column:
+        hits = reduce(lambda a, b: a + b, [low.contains(w.lower()).cast("int") for w in words], F.lit(0))
+        score = hits * F.lit(float(weight))
+        sure = T.rounded(F.least(F.lit(1.0), score / F.lit(len(words) * 0.3 or 1.0)), 2)
+        return F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("class"), sure.alias("confidence"))
+
+    best = F.array_max(F.array(*(scored(i, name, words, weight) for i, (name, (words, weight)) in enumerate(classes.items()))))
+    found = best["score"] > 0
+    return F.struct(F.when(found, best["class"]).otherwise("uncategorized").alias("class"), F.when(found, best["score"]).otherwise(0.0).alias("score"), F.when(found, best["confidence"]).otherwise(0.0).alias("confidence"))

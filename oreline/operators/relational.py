@@ -25,9 +25,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return latest_by(both, keys, F.desc("_v")).drop("_v")
 
 
-def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` plus the rows of ``new`` whose keys it lacks."""
-    return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
+def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """``old`` plus, of the rows of ``new`` with a key that it lacks, the first in ``order`` (a unique one).
+
+    Null keys conflict with nothing: all rows that hold one are inserted.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    first = latest_by(new.where(whole), keys, *order).select(*new.columns)
+    return old.unionByName(first.join(old.select(*keys).distinct(), keys, "left_anti")).unionByName(new.where(~whole))
 
 
 def dedup_first(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:

@@ -88,11 +88,10 @@ def wrapped(entries: DataFrame, key: str) -> DataFrame:
 
 def update_markers(markers: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
     """Markers (key, rule_id, status, severity) with those of ``resolved`` (key, rule_id) set to RESOLVED; rules without one are appended as OPEN and LOW."""
-    new = resolved.select(F.col(key).alias("_key"), "rule_id", F.lit(True).alias("_new"))
-    j = markers.join(new, "rule_id", "full")
-    had = F.col(key).isNotNull()
-    status = F.when(~had, "OPEN").when(F.col("_new"), "RESOLVED").otherwise(F.col("status"))
-    return j.select(F.coalesce(key, "_key").alias(key), "rule_id", status.alias("status"), F.when(had, F.col("severity")).otherwise("LOW").alias("severity"))
+    new = resolved.select(key, "rule_id", F.lit(True).alias("_new")).distinct()
+    j = markers.withColumn("_had", F.lit(True)).join(new, [key, "rule_id"], "full")
+    status = F.when(F.col("_had").isNull(), "OPEN").when(F.col("_new"), "RESOLVED").otherwise(F.col("status"))
+    return j.select(key, "rule_id", status.alias("status"), F.when(F.col("_had"), F.col("severity")).otherwise("LOW").alias("severity"))
 
 
 def marker_summary(markers: DataFrame, key: str) -> DataFrame:

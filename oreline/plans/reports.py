@@ -588,12 +588,15 @@ def set_03_concatenation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, value FROM events WHERE event_id % 3 <> 0
-UNION ALL SELECT event_id, user_id, value FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0
+WITH e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_id // 4 END AS key, value FROM events)
+SELECT event_id, key, value FROM e WHERE event_id % 12 = 0
+UNION ALL SELECT event_id, key, value FROM e WHERE event_id % 12 <> 0 AND (key IS NULL
+  OR key NOT IN (SELECT key FROM e WHERE event_id % 12 = 0 AND key IS NOT NULL) AND event_id = (SELECT min(f.event_id) FROM e f WHERE f.key = e.key AND f.event_id % 12 <> 0))
 """)
 def snk_02_insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", "value")
-    return R.insert_or_ignore(e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0"), ["event_id"])
+    """Four events share a key, some have none; every third key is there already."""
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.expr("event_id div 4")).alias("key"), "value")
+    return R.insert_or_ignore(e.where("event_id % 12 = 0"), e.where("event_id % 12 <> 0"), ["key"], F.asc("event_id"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS value FROM events")

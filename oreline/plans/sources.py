@@ -44,14 +44,22 @@ def src_04_parse_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT p_brand, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
-SELECT p_brand, CAST((n - 1) // 40 AS INTEGER) AS chunk, '| key | name |' || chr(10) || '| --- | --- |' || string_agg(chr(10) || '| ' || CAST(p_partkey AS VARCHAR) || ' | ' || p_name || ' |', '' ORDER BY n) AS text FROM r WHERE p_size <> 7 GROUP BY 1, 2
+WITH p AS (SELECT 'parts ' || CAST(p_partkey // 700 AS VARCHAR) AS sheet, p_partkey AS k, CASE WHEN p_partkey % 700 // 40 % 5 = 3 OR p_size = 7 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS a,
+ CASE WHEN p_partkey % 700 // 40 % 5 = 3 OR p_size = 7 THEN '' WHEN p_size % 9 = 0 THEN repeat(p_name || '|' || chr(10), 300) ELSE p_name END AS b FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY k) AS n, count(*) OVER (PARTITION BY sheet) AS rows_ FROM p),
+c AS (SELECT sheet, CAST((n - 1) // 40 AS INTEGER) AS chunk, (rows_ + 39) // 40 AS of_, string_agg(chr(10) || '| ' || a || ' | ' || replace(replace(substring(b, 1, 2000), '|', '\\|'), chr(10), ' ') || ' |', '' ORDER BY n) AS body FROM r GROUP BY ALL HAVING bool_or(a <> '' OR b <> ''))
+SELECT sheet, chunk, '## ' || sheet || ' [' || CAST(chunk + 1 AS VARCHAR) || '/' || CAST(of_ AS VARCHAR) || ']' || chr(10) || chr(10) || '| key | a\\|b |' || chr(10) || '| --- | --- |' || body AS text FROM c
+UNION ALL SELECT n_name, 0, '## ' || n_name || ' [1/1]' || chr(10) || chr(10) || '| only | header |' || chr(10) || '| --- | --- |' FROM nation WHERE n_nationkey % 3 > 0
 """)
 def src_05_sheet_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as rows of a sheet for each brand; rows of size 7 are blank."""
-    p = table(spark, d, "part").withColumn("row_no", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
-    cells = F.when(F.col("p_size") == 7, F.array(F.lit(""), F.lit(" "))).otherwise(F.array(F.col("p_partkey").cast("string"), F.col("p_name")))
-    return P.sheet_chunks(p.select("p_brand", "row_no", F.array(F.lit("key"), F.lit("name")).alias("header"), cells.alias("cells")), ["p_brand"])
+    """Parts as rows of sheets of 700; some rows and some chunks are blank, some cells long. Nations as sheets of a header alone, some of them blank."""
+    key, blank = F.col("p_partkey"), F.expr("p_partkey % 700 div 40 % 5 = 3 or p_size = 7")
+    cells = F.when(blank, F.array(F.lit(""), F.lit(""))).otherwise(F.array(key.cast("string"), F.when(F.col("p_size") % 9 == 0, F.repeat(F.concat("p_name", F.lit("|\n")), 300)).otherwise(F.col("p_name"))))
+    p = table(spark, d, "part").select(F.concat(F.lit("parts "), F.expr("p_partkey div 700").cast("string")).alias("sheet"), key.alias("k"), cells.alias("cells"))
+    rows = p.select("sheet", F.row_number().over(Window.partitionBy("sheet").orderBy("k")).alias("row_no"), "cells")
+    head = lambda *names: F.array(*map(F.lit, names)).alias("cells")
+    n = table(spark, d, "nation").select(F.col("n_name").alias("sheet"), F.lit(0).alias("row_no"), F.when(F.col("n_nationkey") % 3 > 0, head("only", "header")).otherwise(head("", " ")).alias("cells"))
+    return P.sheet_chunks(rows.unionByName(p.select("sheet").distinct().select("sheet", F.lit(0).alias("row_no"), head("key", "a|b"))).unionByName(n), "sheet")
 
 
 FILES = ("A 화면 설계서.xlsx", "PGM설계.xlsx", "테이블목록 v2.xlsx", "배치 정의.xlsx", "I/F 설계.xlsx", "통합 테스트.xlsx", "요구 사항.xlsx", "코드정의.xlsx", "정책 관리.xlsx", "공통모듈.xlsx", "other.xlsx", "업무 규칙.xls", "단위테스트.xlsx")
@@ -310,15 +318,16 @@ def snk_12_json_wrapper(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH m AS ({MARKERS_SQL}), n AS (SELECT p_partkey, p_brand, 'BL-' || CAST(p_partkey AS VARCHAR) AS rule_id FROM part WHERE p_partkey % 4 = 0),
-u AS (SELECT m.p_brand, m.rule_id, m.severity, CASE WHEN n.rule_id IS NOT NULL THEN 'RESOLVED' ELSE status END AS status FROM m LEFT JOIN n USING (rule_id)
- UNION ALL SELECT n.p_brand, n.rule_id, 'LOW', 'OPEN' FROM n LEFT JOIN m USING (rule_id) WHERE m.rule_id IS NULL)
+WITH m AS ({MARKERS_SQL}), n AS (SELECT DISTINCT b.p_brand, 'BL-' || CAST(p_partkey AS VARCHAR) AS rule_id FROM part p JOIN (SELECT DISTINCT p_brand FROM part) b ON b.p_brand = p.p_brand OR p_partkey % 8 = 0 AND b.p_brand = 'Brand#1' WHERE p_partkey % 4 = 0),
+u AS (SELECT m.p_brand, m.rule_id, m.severity, CASE WHEN n.rule_id IS NOT NULL THEN 'RESOLVED' ELSE status END AS status FROM m LEFT JOIN n USING (p_brand, rule_id)
+ UNION ALL SELECT n.p_brand, n.rule_id, 'LOW', 'OPEN' FROM n LEFT JOIN m USING (p_brand, rule_id) WHERE m.rule_id IS NULL)
 SELECT p_brand, count(*) AS total, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (status = 'OPEN') AS open_, count(*) FILTER (status = 'RESOLVED') AS resolved FROM u GROUP BY 1
 """)
 def snk_15_marker_summary(spark: SparkSession, d: str) -> DataFrame:
     """Markers set to resolved where a rule is given, appended where it has none, and counted again."""
     old = P.read_markers(provenance(spark, d), "text", ["p_brand"])
-    new = table(spark, d, "part").where("p_partkey % 4 = 0").select("p_brand", F.concat(F.lit("BL-"), F.col("p_partkey").cast("string")).alias("rule_id"))
+    p = table(spark, d, "part").where("p_partkey % 4 = 0").select("p_partkey", "p_brand", F.concat(F.lit("BL-"), F.col("p_partkey").cast("string")).alias("rule_id"))
+    new = p.select("p_brand", "rule_id").union(p.where("p_partkey % 8 = 0").select(F.lit("Brand#1"), "rule_id"))  # one brand is told of others' rules too
     return A.marker_summary(A.update_markers(old, new, "p_brand"), "p_brand")
 
 

@@ -368,33 +368,78 @@ def mod_13_domain_by_all_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", rules.gap_domain(part(key % 3 == 0, AREAS), part(key % 3 == 1, CONTROLLERS), part((key % 3 == 2) | (key % 4 == 0), TABLES)).alias("domain"))
 
 
-@query("""
-WITH k AS (SELECT n_name AS w, n_regionkey AS c, n_nationkey % 3 + 1 AS weight FROM nation), i AS (SELECT DISTINCT s_suppkey, unnest(['NATION_' || CAST(s_nationkey AS VARCHAR), 'NATION_' || CAST((s_nationkey + s_suppkey) % 25 AS VARCHAR)]) AS w FROM supplier),
-h AS (SELECT s_suppkey, c, sum(weight) AS score FROM i JOIN k USING (w) GROUP BY 1, 2), b AS (SELECT s_suppkey, max_by(c, score * 100 + c) AS c, max(score) AS score FROM h GROUP BY 1)
-SELECT s_suppkey, CAST(c AS BIGINT) AS class, CAST(score AS BIGINT) AS score, floor(least(1.0, CAST(score AS DOUBLE) / (n * 0.3::DOUBLE)) * 100 + 0.5) / 100 AS confidence FROM b JOIN (SELECT c, count(*) AS n FROM k GROUP BY 1) USING (c)
+#: Keyword classes: parts of words, phrases, hyphens and Hangul; two classes tie on some items.
+CLASSES = {"fastening": (("bolt", "NUT", "small bolt"), 1.0), "drive": (("gear", "rod", "large-gear", "구동"), 0.5), "goods": (("widget", "promo", "구동"), 0.5), "price": (("econ", "저가", "Brand#1"), 0.25)}
+ITEM_SQL = "lower(p_name || ' ' || p_type || ' ' || CAST(p_partkey AS VARCHAR) || ' ' || p_brand || ' ' || CASE p_partkey % 3 WHEN 0 THEN '구동부' WHEN 1 THEN replace(p_name, ' ', '-') ELSE '최저가' END)"
+SCORES_SQL = ", ".join(f"({' + '.join(f"CAST(contains(t, '{w.lower()}') AS INTEGER)" for w in words)}) * {weight}::DOUBLE AS {name}" for name, (words, weight) in CLASSES.items())
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, {SCORES_SQL} FROM (SELECT p_partkey, {ITEM_SQL} AS t FROM part)), b AS (SELECT *, greatest({", ".join(CLASSES)}) AS score FROM s),
+c AS (SELECT *, CASE WHEN score = 0 THEN 'uncategorized' {" ".join(f"WHEN score = {n} THEN '{n}'" for n in CLASSES)} END AS class FROM b)
+SELECT p_partkey, class, score, CASE class {" ".join(f"WHEN '{n}' THEN floor(least(1.0, score / ({len(w)} * 0.3::DOUBLE)) * 100 + 0.5) / 100" for n, (w, _) in CLASSES.items())} ELSE 0 END AS confidence FROM c
 """)
 def mod_17_keyword_class(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as catalogue items of name, description, id and tags; every third has a tag in Hangul, another a hyphenated one."""
     from ..operators import models as D
 
-    key = F.col("s_nationkey")
-    word = lambda c: F.concat(F.lit("nation"), c.cast("string"))
-    items = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat_ws(", ", word(key), word((key + F.col("s_suppkey")) % 25)).alias("text"))
-    keywords = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("class"), F.replace("n_name", F.lit("_"), F.lit("")).alias("word"), (F.col("n_nationkey") % 3 + 1).cast("long").alias("weight"))
-    return D.keyword_classes(items, keywords).withColumnRenamed("id", "s_suppkey")
+    key = F.col("p_partkey")
+    tag = F.when(key % 3 == 0, "구동부").when(key % 3 == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise("최저가")
+    text = F.concat_ws(" ", "p_name", "p_type", key.cast("string"), "p_brand", tag)
+    return table(spark, d, "part").select("p_partkey", D.keyword_class(text, CLASSES).alias("x")).select("p_partkey", "x.*")
 
 
-@query("""
-WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'A' AS ok, l_quantity, CASE l_linenumber % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'balance_after' WHEN 2 THEN 'balance_unchanged' ELSE 'error_code' END AS key, l_linestatus = 'O' AS want FROM lineitem),
-c AS (SELECT *, CASE key WHEN 'completed' THEN CASE WHEN want <> ok THEN 'WRONG_OUTCOME' END WHEN 'balance_after' THEN CASE WHEN NOT ok THEN 'UNEXPECTED_ERROR' WHEN l_quantity > 25 THEN 'WRONG_VALUE' END
- WHEN 'balance_unchanged' THEN CASE WHEN ok THEN 'WRONG_OUTCOME' END ELSE CASE WHEN ok THEN 'EXPECTED_ERROR_MISSING' WHEN NOT want THEN 'WRONG_VALUE' END END AS fail FROM a)
-SELECT l_orderkey, min_by(fail, (l_linenumber, l_partkey, l_suppkey, l_quantity)) FILTER (fail IS NOT NULL) AS reason, count(fail) = 0 AS passed FROM c GROUP BY 1
+#: Assertions by line: their keys, with what is expected of them and what came out (ok: the run succeeded).
+CONTRACT_KEYS = ("payment_completed", "cancel_completed", "deposit_requested", "refund_rejected", "balance_after", "balance_restored", "balance_unchanged", "error_code", "sms_sent", "card_approval_id", "refund_status", "rfndPsbltyYn", "reject_reason_recorded", "deposit_amount", "exclusion_amount", "responseStatus", "unheard_of")
+CONTRACT_CODES = ("INSUFFICIENT_VOUCHER_BALANCE", "VOUCHER_NOT_FOUND", "E404-V", "FULL_REFUND_PERIOD_EXPIRED")
+CONTRACT_ERRORS = ("E422-BAL", "E404-V", "PERIOD_EXPIRED", "UNSUPPORTED_WHEN: card")
+CONTRACT_STATES = ("PENDING", "COMPLETED", "REJECTED", "REQUESTED")
+CONTRACT_RESULTS = ("APPROVED", "REQUESTED", "DONE")
+
+
+@query(f"""
+WITH a AS (SELECT l_orderkey, (l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, {nth_sql(CONTRACT_KEYS, "l_partkey")} AS key, l_suppkey % 2 = 0 AS yes, l_orderkey % 3 <> 0 AS ok, l_suppkey % 5 AS w, l_orderkey % 4 AS n,
+ {nth_sql(CONTRACT_CODES, "l_suppkey")} AS code, {nth_sql(CONTRACT_ERRORS, "l_orderkey")} AS error, {nth_sql(CONTRACT_STATES, "l_suppkey")} AS state, {nth_sql(CONTRACT_RESULTS, "l_orderkey")} AS status FROM lineitem),
+f AS (SELECT *, CASE
+  WHEN key IN ('payment_completed', 'cancel_completed', 'deposit_requested') THEN CASE WHEN yes <> ok THEN 'WRONG_OUTCOME' END
+  WHEN key = 'refund_rejected' THEN CASE WHEN yes AND ok THEN 'WRONG_OUTCOME' END
+  WHEN key = 'balance_unchanged' THEN CASE WHEN ok THEN 'WRONG_OUTCOME' END
+  WHEN key = 'error_code' THEN CASE WHEN ok THEN 'EXPECTED_ERROR_MISSING' WHEN error <> (CASE code WHEN 'INSUFFICIENT_VOUCHER_BALANCE' THEN 'E422-BAL' WHEN 'VOUCHER_NOT_FOUND' THEN 'E404-V' WHEN 'FULL_REFUND_PERIOD_EXPIRED' THEN 'PERIOD_EXPIRED' ELSE code END) THEN 'WRONG_VALUE' END
+  WHEN key = 'sms_sent' THEN CASE WHEN yes AND NOT (ok AND n > 1) THEN 'WRONG_VALUE' END
+  WHEN key = 'refund_status' THEN CASE WHEN NOT ok AND state <> 'REJECTED' THEN 'UNEXPECTED_ERROR'
+    WHEN (CASE WHEN NOT ok THEN 'REJECTED' WHEN status = 'APPROVED' THEN 'COMPLETED' ELSE status END) <> (CASE state WHEN 'PENDING' THEN 'REQUESTED' ELSE state END) THEN 'WRONG_VALUE' END
+  WHEN key IN ('responseStatus', 'unheard_of') THEN NULL
+  WHEN NOT ok THEN 'UNEXPECTED_ERROR'
+  WHEN key = 'balance_after' THEN CASE WHEN w <> n THEN 'WRONG_VALUE' END
+  WHEN key = 'balance_restored' THEN CASE WHEN w <> (CASE WHEN n = 1 THEN 7 ELSE n END) THEN 'WRONG_VALUE' END
+  WHEN key = 'card_approval_id' THEN CASE WHEN yes AND n IN (0, 2) THEN 'WRONG_VALUE' END
+  WHEN key = 'rfndPsbltyYn' THEN CASE WHEN yes <> (n = 3) THEN 'WRONG_VALUE' END
+  WHEN key = 'reject_reason_recorded' THEN CASE WHEN yes AND n <> 2 THEN 'WRONG_VALUE' END
+  ELSE CASE WHEN w <> n THEN 'WRONG_VALUE' END END AS fail FROM a)
+SELECT l_orderkey, CASE WHEN bool_or(NOT ok AND starts_with(error, 'UNSUPPORTED_WHEN:')) THEN 'UNSUPPORTED_WHEN' ELSE min_by(fail, pos) FILTER (fail IS NOT NULL) END AS reason,
+ count(fail) = 0 AND NOT bool_or(NOT ok AND starts_with(error, 'UNSUPPORTED_WHEN:')) AS passed FROM f GROUP BY 1
 """)
 def mod_21_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Assertions of each scenario in order; the first that fails names the reason."""
-    kinds = F.element_at(F.array(*map(F.lit, ("completed", "balance_after", "balance_unchanged", "error_code"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    open_ = F.col("l_linestatus") == "O"
-    expected = F.when(kinds == "completed", open_.cast("string")).when(kinds == "balance_after", F.when(F.col("l_quantity") > 25, "other").otherwise("same")).when(kinds == "error_code", F.when(open_, "E1").otherwise("E2"))
-    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scenario"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("position"), kinds.alias("key"), expected.alias("expected"), (F.col("l_returnflag") != "A").alias("ok"), F.lit("same").alias("value"), F.lit("E1").alias("error"))
+    """An order's lines as the assertions of a scenario, with all keys; the outcome is the order's."""
+    yes, number, order = F.col("l_suppkey") % 2 == 0, (F.col("l_suppkey") % 5).cast("string"), F.col("l_orderkey")
+    key, n = nth(CONTRACT_KEYS, F.col("l_partkey")), order % 4
+    expected = (
+        F.when(key == "error_code", nth(CONTRACT_CODES, F.col("l_suppkey")))
+        .when(key == "refund_status", nth(CONTRACT_STATES, F.col("l_suppkey")))
+        .when(key == "card_approval_id", F.when(yes, "non-null").otherwise("any"))
+        .when(key == "rfndPsbltyYn", F.when(yes, "Y").otherwise("N"))
+        .when(key.isin("balance_after", "balance_restored", "deposit_amount", "exclusion_amount"), number)
+        .otherwise(yes.cast("string"))
+    )
+    text = n.cast("string")
+    result = {
+        "balanceAfter": text, "deposit_amount": text, "exclusion_amount": text, "amount": F.lit("7"), "balanceRestored": F.when(n != 1, text), "status": nth(CONTRACT_RESULTS, order),
+        "cardApprovalId": F.when(n == 1, "c1").when(n == 2, ""), "approvalId": F.when(n == 3, "a3").when(n == 2, "a2"), "rfndPsbltyYn": F.when(n == 3, "Y").otherwise("N"), "reject_reason_recorded": F.when(n == 2, "true").when(n == 3, "false"),
+    }
+    a = table(spark, d, "lineitem").select(
+        order.alias("scenario"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("position"), key.alias("key"), expected.alias("expected"), (order % 3 != 0).alias("ok"),
+        F.create_map(*(x for k, v in result.items() for x in (F.lit(k), v))).alias("result"), (n > 1).alias("sms"), nth(CONTRACT_ERRORS, order).alias("error"),
+    )
     return K.compare_contracts(a).withColumnRenamed("scenario", "l_orderkey")
 
 

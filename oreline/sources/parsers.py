@@ -550,15 +550,25 @@ def smaller_chunk(pages: int) -> int | None:
     return half if half < pages else None
 
 
-def sheet_chunks(rows: DataFrame, keys: list[str], header: str = "header", cells: str = "cells", most: int = 40, cell: int = 2000) -> DataFrame:
-    """Markdown chunks of sheet rows, ``most`` rows each with the header repeated; blank rows are left out.
+def sheet_chunks(rows: DataFrame, sheet: str, most: int = 40, cell: int = 2000) -> DataFrame:
+    """Markdown chunks of sheets: ``most`` rows each under the sheet's name, the chunk's number of how many, and the header.
 
-    ``rows`` has the keys, row_no (from 1), header and cells (arrays).
+    ``rows``: sheet, row_no (0 for the header, then from 1), cells (array). Cells are cut to
+    ``cell`` characters; rows are padded or cut to the header's length. Chunks of blank
+    rows alone are left out but numbered; a header without rows is a chunk of its own,
+    unless it is blank too.
     """
-    line = lambda c: F.concat(F.lit("| "), F.array_join(F.transform(c, lambda x: F.substring(F.coalesce(x, F.lit("")), 1, cell)), " | "), F.lit(" |"))
-    full = rows.where(F.exists(cells, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+    escaped = lambda x: F.regexp_replace(F.regexp_replace(F.substring(F.coalesce(x, F.lit("")), 1, cell), r"\|", r"\\|"), "\n", " ")
+    line = lambda c: F.concat(F.lit("| "), F.array_join(F.transform(c, escaped), " | "), F.lit(" |"))
+    head = rows.where("row_no = 0").select(sheet, F.col("cells").alias("_h"))
+    sizes = rows.where("row_no > 0").groupBy(sheet).agg(F.max("row_no").alias("_n"))
+    heads = head.join(sizes, sheet, "left").select(sheet, "_h", F.coalesce("_n", F.lit(0)).alias("_n"))
+    padded = F.transform("_h", lambda _, i: F.get("cells", i))
+    data = rows.where("row_no > 0").join(heads, sheet).select(sheet, "row_no", "_h", "_n", line(padded).alias("_t"), F.exists("cells", lambda x: F.coalesce(x, F.lit("")) != "").alias("_full"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "_t"))), lambda x: x["_t"]), "\n")
     chunk = F.floor((F.col("row_no") - 1) / most).cast("int").alias("chunk")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line(F.col(cells)).alias("t")))), lambda x: x["t"]), "\n")
-    ruler = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("h")))
-    g = full.groupBy(*keys, chunk).agg(F.first(header).alias("h"), body.alias("b"))
-    return g.select(*keys, "chunk", F.concat_ws("\n", line(F.col("h")), ruler, "b").alias("text"))
+    full = data.groupBy(sheet, chunk, "_h", "_n").agg(body.alias("_b"), F.bool_or("_full").alias("_full")).where("_full").drop("_full")
+    alone = heads.where((F.col("_n") == 0) & F.exists("_h", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")).select(sheet, F.lit(0).alias("chunk"), "_h", "_n", F.lit(None).cast("string").alias("_b"))
+    title = F.format_string("## %s [%d/%d]\n", F.col(sheet), F.col("chunk") + 1, F.greatest(F.lit(1), F.ceil(F.col("_n") / most)))
+    ruler = F.concat(F.lit("| "), F.array_join(F.transform("_h", lambda _: F.lit("---")), " | "), F.lit(" |"))
+    return full.unionByName(alone).select(sheet, "chunk", F.concat_ws("\n", title, line(F.col("_h")), ruler, "_b").alias("text"))
