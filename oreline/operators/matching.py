@@ -274,27 +274,31 @@ def ordered_overlaps(sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("k1", "k2", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
-def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
-    """Pairs (src, doc) in which one name contains the other (``left``: src, a; ``right``: doc, b).
+def held_in(names: DataFrame, texts: DataFrame, scope: list[str] | None = None, gram: int = 3) -> DataFrame:
+    """(scope, s, l): each name (scope, s) with the texts (scope, l) of its scope that hold it, once each.
 
-    A name is sought by its character gram that the other side holds least often, among the
-    other side's grams; names shorter than ``gram`` are grams of their own length. A name with
-    a gram that the other side lacks is in none of its names.
+    A name is sought by that of its character grams which the fewest texts of the scope
+    hold; names shorter than ``gram`` are grams of their own length. A name with a gram
+    that no text holds is in none. Empty and null names and texts match nothing.
     """
-    one = lambda df, i, c: df.where(F.length(c) > 0).select(i, F.col(c).alias("x"))
-    a, b = one(left, "src", "a"), one(right, "doc", "b")
-
-    def cut_up(lengths: list[Column]) -> Column:
-        some = [F.when(F.length("x") >= k, F.transform(F.sequence(F.lit(1), F.length("x") - k + 1), lambda i, k=k: F.substr(F.col("x"), i, k))) for k in lengths]
-        return F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*some))))).alias("g")
-
-    def inside(short: DataFrame, i: str, long: DataFrame, j: str) -> DataFrame:
-        names, texts = short.select("x").distinct(), long.select("x").distinct()
-        held = texts.select("x", cut_up([F.lit(k) for k in range(1, gram + 1)]))
-        often = held.groupBy("g").agg(F.count("*").alias("n"))
-        keys = names.select("x", cut_up([F.least(F.length("x"), F.lit(gram))])).join(often, "g", "left")
-        rare = keys.groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select(F.col("x").alias("s"), F.col("r.g").alias("g"))
-        found = rare.join(held.withColumnRenamed("x", "l"), "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
-        return short.withColumnRenamed("x", "s").join(found, "s").join(long.withColumnRenamed("x", "l"), "l").select(i, j)
-
-    return inside(a, "src", b, "doc").union(inside(b, "doc", a, "src").select("src", "doc")).distinct()
+    scope = scope or []
+
+    def cut_up(df: DataFrame, c: str, lengths: list[Column]) -> DataFrame:
+        grams = lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(F.col(c), i, k))
+        some = [F.when(F.length(c) >= k, grams(k)) for k in lengths]
+        return df.select(*scope, c, F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*some))))).alias("_g"))
+
+    short, long = names.select(*scope, "s").where("s <> ''").distinct(), texts.select(*scope, "l").where("l <> ''").distinct()
+    held = cut_up(long, "l", [F.lit(k) for k in range(1, gram + 1)])
+    often = held.groupBy(*scope, "_g").agg(F.count("*").alias("_n"))
+    keys = cut_up(short, "s", [F.least(F.length("s"), F.lit(gram))]).join(often, [*scope, "_g"], "left")
+    rare = keys.groupBy(*scope, "s").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("r")).where("r.n > 0").select(*scope, "s", F.col("r._g").alias("_g"))
+    return rare.join(held, [*scope, "_g"]).where(F.col("l").contains(F.col("s"))).select(*scope, "s", "l")
+
+
+def contains_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
+    """Pairs (src, doc) in which one name contains the other (``left``: src, a; ``right``: doc, b)."""
+    a, b = left.select("src", F.col("a").alias("s")), right.select("doc", F.col("b").alias("s"))
+    one = held_in(a, b.withColumnRenamed("s", "l"), gram=gram).join(a, "s").join(b.withColumnRenamed("s", "l"), "l").select("src", "doc")
+    two = held_in(b, a.withColumnRenamed("s", "l"), gram=gram).join(b, "s").join(a.withColumnRenamed("s", "l"), "l").select("src", "doc")
+    return one.union(two).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import first_rule
+from . import matching as M
 
 #: Pass thresholds of the readiness criteria.
 READINESS = {"machineReadable": 0.9, "semanticConsistency": 0.7, "testable": 0.7, "traceable": 0.8, "completeness": 0.5, "humanReviewable": 0.6}
@@ -41,9 +42,11 @@ def process_importance(processes: DataFrame, rules: DataFrame, relations: DataFr
         .union(relations.select("doc", "src", F.lit("from"), "dst"))
         .union(relations.select("doc", "dst", F.lit("to"), "src"))
     )
-    hits = texts.join(names, "doc").where(F.col("t").contains(F.col("name")))
+    sought = names.select("doc", F.col("name").alias("s"))
+    hits = texts.join(M.held_in(sought, texts.select("doc", F.col("t").alias("l")), ["doc"]).select("doc", F.col("s").alias("name"), F.col("l").alias("t")), ["doc", "t"])
     by = hits.groupBy(*key).agg(F.count("*").alias("refs"), F.sum((F.col("kind") == "to").cast("int")).alias("deps"), F.count_distinct("other").alias("linked"))
-    inside = names.join(p.select("doc", F.col("name").alias("owner"), "steps"), "doc").where("owner <> name").where(F.exists("steps", lambda s: s.contains(F.col("name"))))
+    steps = p.select("doc", F.col("name").alias("owner"), F.monotonically_increasing_id().alias("_row"), F.explode("steps").alias("l"))
+    inside = M.held_in(sought, steps, ["doc"]).join(steps, ["doc", "l"]).where("owner <> s").select("doc", F.col("s").alias("name"), "_row").distinct()
     inside = inside.groupBy(*key).agg(F.count("*").alias("in_steps"))
     n = lambda df, name: df.groupBy("doc").agg(F.count("*").alias(name))
     sized = p.join(n(rules, "n_rules"), "doc", "left").join(n(relations, "n_relations"), "doc", "left").join(n(processes, "n_processes"), "doc", "left").join(by, key, "left").join(inside, key, "left")
@@ -59,23 +62,66 @@ def process_importance(processes: DataFrame, rules: DataFrame, relations: DataFr
     return scored.withColumn("importance", score).withColumn("category", importance_category(F.col("importance"))).withColumn("is_core", (F.col("importance") >= CORE_IMPORTANCE) | (F.col("domain") >= CORE_DOMAIN))
 
 
-def missing_references(relations: DataFrame, known: DataFrame) -> DataFrame:
-    """Names that relations use and nothing defines, once each. ``relations``: doc, src, dst; ``known``: doc, name."""
-    ends = relations.select("doc", F.explode(F.array("src", "dst")).alias("name"))
-    return ends.where("name is not null").distinct().join(known.select("doc", "name").distinct(), ["doc", "name"], "left_anti").select("doc", "name", F.lit("missing").alias("type"), F.lit("warning").alias("severity"))
+#: How sure findings of each kind are, and the text around the type and name of a missing reference.
+SURE = {"missing": 0.75, "overspec": 0.65, "inconsistency": 0.6}
+MISSING_TEXT = ("관계(", ")에서 참조하는 '", "'이(가) 엔티티/프로세스 목록에 정의되어 있지 않습니다.")
+CONDITION_TEXT = ("규칙 조건에서 참조하는 '", "'에 대응하는 프로세스가 정의되어 있지 않습니다.")
+
+
+def finding(kind: str, level: str, evidence: Column, other: Column | None = None, sure: Column | None = None, related: Column | None = None) -> list[Column]:
+    """The columns of a finding behind doc and name."""
+    return [
+        (F.lit(None).cast("string") if other is None else other).alias("other"), F.lit(kind).alias("type"), F.lit(level).alias("severity"),
+        (F.lit(SURE.get(kind)) if sure is None else sure).alias("confidence"), evidence.alias("evidence"), (F.array().cast("array<string>") if related is None else related).alias("related"),
+    ]
+
+
+def told_once(found: DataFrame, text: Column) -> DataFrame:
+    """Of candidates (doc, name, _at, ...) the first of each name, and only those whose name no text of an earlier one of the document holds."""
+    first = found.withColumn("_rn", F.row_number().over(Window.partitionBy("doc", "name").orderBy("_at"))).where("_rn = 1").withColumn("_text", text)
+    held = M.held_in(first.select("doc", F.col("name").alias("s")), first.select("doc", F.col("_text").alias("l")), ["doc"])
+    before = held.join(first.select("doc", F.col("_text").alias("l"), F.col("_at").alias("_then")), ["doc", "l"]).groupBy("doc", F.col("s").alias("name")).agg(F.min("_then").alias("_then"))
+    return first.join(before, ["doc", "name"]).where(~(F.col("_then") < F.col("_at"))).drop("_rn", "_text", "_then", "_at")
+
+
+def missing_references(relations: DataFrame, processes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Ends of relations that are neither entities nor processes of the document, once each.
+
+    ``relations``: doc, position, src, dst, type; ``processes`` and ``entities``: doc, name.
+    A name that the text of an earlier finding's candidate holds is not told again.
+    """
+    named = processes.select("doc", "name").distinct()
+    known = named.union(entities.select("doc", "name")).distinct()
+    of = lambda c: named.select("doc", F.col("name").alias(c), F.lit(True).alias(f"_{c}"))
+    r = relations.join(of("src"), ["doc", "src"], "left").join(of("dst"), ["doc", "dst"], "left")
+    ends = r.select("*", F.posexplode(F.array("src", "dst")).alias("_end", "name")).where("name is not null")
+    lost = ends.join(known, ["doc", "name"], "left_anti").withColumn("_at", F.struct("position", "_end"))
+    evidence = F.concat(F.lit("relationship: "), "src", F.lit(" → "), "dst", F.lit(" (type: "), "type", F.lit(")"))
+    related = F.array_compact(F.array(F.when(F.col("_src"), F.col("src")), F.when(F.col("_dst"), F.col("dst"))))
+    once = told_once(lost.select("doc", "name", "_at", "type", evidence.alias("_e"), related.alias("_r")), F.concat(F.lit(MISSING_TEXT[0]), "type", F.lit(MISSING_TEXT[1]), "name", F.lit(MISSING_TEXT[2])))
+    return once.select("doc", "name", *finding("missing", "warning", F.col("_e"), related=F.col("_r")))
 
 
 def overspecified(importance: DataFrame) -> DataFrame:
     """Processes of little importance with many steps."""
-    return importance.where((F.col("importance") < LITTLE_IMPORTANCE) & (F.col("n_steps") > MANY_STEPS)).select("doc", "name", F.lit("overspec").alias("type"), F.lit("info").alias("severity"))
+    few = importance.where((F.col("importance") < LITTLE_IMPORTANCE) & (F.col("n_steps") > MANY_STEPS))
+    evidence = F.concat(F.lit("importanceScore="), F.col("importance").cast("string"), F.lit(", steps="), F.col("n_steps").cast("string"))
+    return few.select("doc", "name", *finding("overspec", "info", evidence, related=F.array("name")))
 
 
 def orphan_conditions(rules: DataFrame, processes: DataFrame) -> DataFrame:
-    """Phrases before 시/경우/때/후/전 in rule conditions that no process name contains or is contained in."""
-    refs = rules.select("doc", F.explode(F.regexp_extract_all("condition", F.lit(CONDITION_PHRASE), F.lit(1))).alias("name")).where(F.length("name") >= 2).distinct()
-    hit = F.col("pname").contains(F.col("name")) | F.col("name").contains(F.col("pname"))
-    matched = refs.join(processes.select("doc", F.col("name").alias("pname")).distinct(), "doc").where(hit).select("doc", "name")
-    return refs.join(matched, ["doc", "name"], "left_anti").select("doc", "name", F.lit("inconsistency").alias("type"), F.lit("warning").alias("severity"))
+    """Phrases before 시/경우/때/후/전 in rule conditions that no process name contains or is contained in.
+
+    ``rules``: doc, position, condition, outcome. A phrase that an earlier finding's text holds is not told again.
+    """
+    evidence = F.concat(F.lit('rule condition: "'), "condition", F.lit('" → outcome: "'), "outcome", F.lit('"'))
+    refs = rules.select("doc", "position", evidence.alias("_e"), F.posexplode(F.regexp_extract_all("condition", F.lit(CONDITION_PHRASE), F.lit(1))).alias("_i", "name")).where(F.length("name") >= 2)
+    phrases, names = refs.select("doc", F.col("name").alias("s")), processes.select("doc", F.col("name").alias("s"))
+    longer = M.held_in(phrases, names.withColumnRenamed("s", "l"), ["doc"]).select("doc", F.col("s").alias("name"))
+    shorter = M.held_in(names, phrases.withColumnRenamed("s", "l"), ["doc"]).select("doc", F.col("l").alias("name"))
+    lost = refs.join(longer.union(shorter).distinct(), ["doc", "name"], "left_anti").withColumn("_at", F.struct("position", "_i"))
+    once = told_once(lost.select("doc", "name", "_at", "_e"), F.concat(F.lit(CONDITION_TEXT[0]), "name", F.lit(CONDITION_TEXT[1])))
+    return once.select("doc", "name", *finding("inconsistency", "warning", F.col("_e")))
 
 
 def readiness_summary(scores: DataFrame) -> DataFrame:

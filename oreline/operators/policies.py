@@ -114,17 +114,30 @@ def merged_processes(processes: DataFrame) -> DataFrame:
     return g.join(top, "process").withColumn("is_core", F.col("category").isin("mega", "core"))
 
 
-def diagnosis(processes: DataFrame, rules: DataFrame, relations: DataFrame, importance: DataFrame) -> DataFrame:
-    """Findings of all kinds: doc, name, other, type, severity and its rank.
+def duplicate_processes(processes: DataFrame, above: float = 0.7) -> DataFrame:
+    """Processes of a document whose names have Jaccard similarity over ``above``, the earlier one first.
 
-    Missing references, duplicate names within a document (Jaccard over 0.7 of their words), unimportant
-    processes with many steps, and conditions that no process stands for.
+    ``processes``: doc, position, name. Words have two characters at least, symbols count as blanks, case counts.
     """
-    missing = D.missing_references(relations, processes.select("doc", "name"))
-    words = processes.select("doc", "name", F.split(F.concat_ws(" ", "name", "description"), r"\s+").alias("tokens"))
-    own = words.select(F.struct("doc", "name").alias("src"), F.transform("tokens", lambda w: F.concat(F.col("doc").cast("string"), F.lit("|"), w)).alias("tokens"))
-    pairs = M.token_pairs(own, own.withColumnRenamed("src", "doc"), 0.7).where("score > 0.7 and src.name < doc.name")
-    twice = pairs.select("src.doc", "src.name", F.col("doc.name").alias("other"), F.lit("duplicate").alias("type"), F.lit("warning").alias("severity"))
-    none = lambda df: df.select("doc", "name", F.lit(None).cast("string").alias("other"), "type", "severity")
-    found = none(missing).unionByName(twice).unionByName(none(D.overspecified(importance))).unionByName(none(D.orphan_conditions(rules, processes)))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace("name", r"[^A-Za-z0-9_가-힣]", " "), r"\s+"), lambda w: F.length(w) > 1))
+    names = processes.groupBy("doc", "name").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    own = names.select(F.struct("doc", "name", "first", "last").alias("src"), F.transform(words, lambda w: F.concat(F.to_json(F.struct("doc")), F.lit("|"), w)).alias("tokens"))
+    pairs = M.token_pairs(own, own.withColumnRenamed("src", "doc"), above).where(F.col("score") > above).where("src.first < doc.last")
+    per_cent = F.floor(F.col("score") * 100 + 0.5)
+    evidence = F.concat(F.lit("word overlap "), per_cent.cast("string"), F.lit("%"))
+    return pairs.select("src.doc", "src.name", *D.finding("duplicate", "info", evidence, F.col("doc.name"), per_cent / 100, F.array("src.name", "doc.name")))
+
+
+def diagnosis(processes: DataFrame, entities: DataFrame, rules: DataFrame, relations: DataFrame, importance: DataFrame) -> DataFrame:
+    """Findings of all kinds: doc, name, other, type, severity, its rank, confidence, evidence and related processes.
+
+    Missing references, duplicate names within a document, unimportant processes with many
+    steps, and conditions that no process stands for. See the parts for their inputs.
+    """
+    found = (
+        D.missing_references(relations, processes, entities)
+        .unionByName(duplicate_processes(processes))
+        .unionByName(D.overspecified(importance))
+        .unionByName(D.orphan_conditions(rules, processes))
+    )
     return found.withColumn("rank", severity.severity_rank(F.col("severity")))

@@ -220,12 +220,14 @@ def join_18_candidate_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT DISTINCT p_partkey AS doc, unnest(regexp_extract_all(t, '([가-힣]+(?:\\s[가-힣]+)?)\\s(?:시|경우|때|후|전)', 1)) AS name FROM ({KOREAN_SQL})), p AS (SELECT DISTINCT p_partkey AS doc, substring(t, 1, 2) AS pname FROM ({KOREAN_SQL}))
-SELECT doc, name FROM r WHERE length(name) >= 2 AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc = r.doc AND (contains(pname, name) OR contains(name, pname)))
+WITH r AS (SELECT p_partkey AS doc, unnest(m) AS name, generate_subscripts(m, 1) AS i FROM (SELECT p_partkey, regexp_extract_all(t, '([가-힣]+(?:\\s[가-힣]+)?)\\s(?:시|경우|때|후|전)', 1) AS m FROM ({KOREAN_SQL}))),
+p AS (SELECT DISTINCT p_partkey AS doc, substring(t, 1, 2) AS pname FROM ({KOREAN_SQL})),
+o AS (SELECT * FROM r WHERE length(name) >= 2 AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc = r.doc AND (contains(pname, name) OR contains(name, pname))))
+SELECT doc, name FROM o WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc = o.doc AND b.i < o.i AND contains('규칙 조건에서 참조하는 ''' || b.name || '''에 대응하는 프로세스가 정의되어 있지 않습니다.', o.name))
 """)
 def join_20_orphan_conditions(spark: SparkSession, d: str) -> DataFrame:
     k = korean(spark, d).withColumnRenamed("p_partkey", "doc")
-    return D.orphan_conditions(k.select("doc", F.col("t").alias("condition")), k.select("doc", F.substring("t", 1, 2).alias("name"))).select("doc", "name")
+    return D.orphan_conditions(k.select("doc", F.lit(0).alias("position"), F.col("t").alias("condition"), F.lit("done").alias("outcome")), k.select("doc", F.substring("t", 1, 2).alias("name"))).select("doc", "name")
 
 
 @query("""
@@ -364,15 +366,22 @@ def agg_21_merged_processes(spark: SparkSession, d: str) -> DataFrame:
 # ---- models
 
 
-def extraction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Conversations as extractions: processes, rules and relations named by the first words of their turns."""
+def extraction(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Conversations as extractions: processes, entities, rules and relations out of the first words of their turns.
+
+    Every fourth turn names its process again with the words turned around; some rules have
+    conditions in Hangul, and some processes are named so.
+    """
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), "turn", F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", ""), r"\s+").alias("w"))
     word = lambda i: F.get("w", F.lit(i))
-    named = c.where(F.size("w") > 6)
-    processes = named.groupBy("doc", word(0).alias("name")).agg(F.min(F.struct("turn", F.concat_ws(" ", word(1), word(2)).alias("d"), F.slice("w", 3, 7).alias("s"))).alias("x")).select("doc", "name", F.col("x.d").alias("description"), F.col("x.s").alias("steps"))
-    rules = named.select("doc", F.concat_ws(" ", word(0), word(3)).alias("condition"), F.concat_ws(" ", word(4), word(1)).alias("outcome"))
-    relations = named.select("doc", word(0).alias("src"), word(5).alias("dst"))
-    return processes, rules, relations
+    named = c.where(F.size("w") > 9)
+    name, turned = F.concat_ws(" ", word(0), word(1)), F.concat_ws("/", word(1), word(0))
+    names = F.array_compact(F.array(name, F.when(F.col("turn") % 4 == 0, turned), F.when(F.col("turn") % 5 == 1, F.lit("중도 해지"))))
+    processes = named.select("doc", F.posexplode(names).alias("i", "name"), (F.col("turn") * 4 + F.col("i")).alias("position"), F.concat_ws(" ", word(1), word(2)).alias("description"), F.slice("w", 3, 7).alias("steps")).drop("i")
+    phrase = nth(("해지 신청 시 ", "연금 수급 때 ", "", "가입 후 "), F.col("doc") + F.col("turn"))
+    rules = named.select("doc", F.col("turn").alias("position"), F.concat(phrase, F.concat_ws(" ", word(0), word(1), word(3))).alias("condition"), F.concat_ws(" ", word(4), word(1)).alias("outcome"))
+    relations = named.select("doc", F.col("turn").alias("position"), F.when(F.col("turn") % 2 == 0, name).otherwise(word(6)).alias("src"), word(5).alias("dst"), nth(("uses", "owns"), F.col("turn")).alias("type"))
+    return {"processes": processes, "entities": named.where("turn % 3 = 0").select("doc", word(5).alias("name")), "rules": rules, "relations": relations}
 
 
 KEYWORDS = ("the", "de", "an", "er", "on")
@@ -380,14 +389,15 @@ KEYWORDS = ("the", "de", "an", "er", "on")
 
 @query()
 def mod_01_importance(spark: SparkSession, d: str) -> DataFrame:
-    return D.process_importance(*extraction(spark, d), KEYWORDS)
+    x = extraction(spark, d)
+    return D.process_importance(x["processes"], x["rules"], x["relations"], KEYWORDS)
 
 
 @query()
 def mod_02_diagnosis(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all four kinds, the weightiest first."""
-    processes, rules, relations = extraction(spark, d)
-    return P.diagnosis(processes, rules, relations, D.process_importance(processes, rules, relations, KEYWORDS))
+    x = extraction(spark, d)
+    return P.diagnosis(**x, importance=D.process_importance(x["processes"], x["rules"], x["relations"], KEYWORDS)).withColumn("related", F.array_join("related", "|"))
 
 
 @query("""

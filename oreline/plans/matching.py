@@ -86,13 +86,14 @@ def join_17_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT conv_id AS doc, unnest([role, 'x_' || CAST(turn % 3 AS VARCHAR)]) AS name FROM conversations), k AS (SELECT conv_id AS doc, role AS name FROM conversations WHERE role <> 'system')
+WITH e AS (SELECT conv_id AS doc, unnest([role, 'x_' || CAST(turn % 3 AS VARCHAR)]) AS name FROM conversations), k AS (SELECT conv_id AS doc, role AS name FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT DISTINCT e.doc, e.name, 'missing' AS type, 'warning' AS severity FROM e LEFT JOIN k ON k.doc = e.doc AND k.name = e.name WHERE k.name IS NULL
 """)
 def join_19_missing_references(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    relations = c.select(F.col("conv_id").alias("doc"), F.col("role").alias("src"), F.concat(F.lit("x_"), (F.col("turn") % 3).cast("string")).alias("dst"))
-    return D.missing_references(relations, c.where("role <> 'system'").select(F.col("conv_id").alias("doc"), F.col("role").alias("name")))
+    relations = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("position"), F.col("role").alias("src"), F.concat(F.lit("x_"), (F.col("turn") % 3).cast("string")).alias("dst"), F.lit("uses").alias("type"))
+    known = lambda test: c.where(test).select(F.col("conv_id").alias("doc"), F.col("role").alias("name"))
+    return D.missing_references(relations, known("role = 'user'"), known("role = 'assistant'")).select("doc", "name", "type", "severity")
 
 
 @query("""
