@@ -454,6 +454,14 @@ def mod_23_cycles(spark: SparkSession, d: str) -> DataFrame:
     return N.cyclic_nodes(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")).where("src <> dst"))
 
 
+@query()
+def mod_23_witness_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """A cycle for each part of the orders' graph that has one, edge by edge."""
+    from ..operators import graph as N
+
+    return N.witness_cycles(table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")).where("src <> dst"))
+
+
 @query("""
 WITH p AS (SELECT 'd' || p_brand AS doc, 'P' || p_name AS proc, p_type, p_size, p_partkey FROM part)
 SELECT label, count(*) AS n FROM (SELECT DISTINCT 'Document' AS label, doc AS key FROM p UNION SELECT DISTINCT 'Process', proc FROM p UNION SELECT DISTINCT 'SubProcess', 'S' || CAST(p_size AS VARCHAR) FROM p WHERE p_size % 2 = 0 UNION SELECT DISTINCT 'Method', 'M' || CAST(p_size AS VARCHAR) FROM p

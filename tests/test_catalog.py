@@ -12,7 +12,7 @@ from oreline import catalog
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries without SQL: assignments in order, recursive or model-like; tests/test_factcheck.py checks them in plain Python.
-WALKED = {"join_04_endpoint_match", "join_07_table_match", "mod_01_importance", "mod_02_diagnosis", "mod_10_criteria", "mod_14_fact_check", "mod_14_gaps", "mod_16_process_items", "mod_23_cycles", "scl_17_repaired_json"}
+WALKED = {"join_04_endpoint_match", "join_07_table_match", "mod_01_importance", "mod_02_diagnosis", "mod_10_criteria", "mod_14_fact_check", "mod_14_gaps", "mod_16_process_items", "mod_23_cycles", "mod_23_witness_cycles", "scl_17_repaired_json"}
 
 
 @pytest.fixture(scope="module")
