@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 import uuid
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -30,14 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, quoted, remove, stage
+from .common import lookup_join, quoted, stage
 
 MIN_DOCS = 30
 TOP = 50  # ranks of a source's terms
 SCALE, SMOOTHING = 1_000_000_000, 5
 LONG = 64  # bytes of a term from which on its digest stands for it in the automaton
 BLOCK_TERMS, BLOCK_BYTES = 200_000, 2_000_000  # of an automaton, on average
-FLUSH = 400_000  # different counts that a task holds before it passes them on
+FLUSH, HITS = 400_000, 8_000_000  # different terms, and occurrences, that a task holds before it passes their counts on
 SOURCES, TERMS = 128, 4096  # of a block of the distance matrix, on average
 
 #: Letters a-z for A-Z, blanks for all other ASCII; other bytes stay.
@@ -51,14 +52,19 @@ def digest(term: bytes) -> bytes:
     return b"\x01" + hashlib.sha256(term).hexdigest().encode()
 
 
+def key_of(term: Column) -> Column:
+    """The term, or the digest of a long one."""
+    return F.when(F.octet_length(term) > LONG, F.concat(F.lit("\x01"), F.sha2(term.cast("binary"), 256))).otherwise(term)
+
+
 def count_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pass 1: (lang, key, term, n), the documents of the task by term."""
+    """Pass 1: (lang, term, n), the documents of the task by term."""
     held: dict[str, Counter] = defaultdict(Counter)
 
     def taken() -> pd.DataFrame:
-        rows = [(lang, (digest(t) if len(t) > LONG else t).decode(), t.decode(), n) for lang, c in held.items() for t, n in c.items()]
+        rows = [(lang, t.decode(), n) for lang, c in held.items() for t, n in c.items()]
         held.clear()
-        return pd.DataFrame(rows, columns=["lang", "key", "term", "n"])
+        return pd.DataFrame(rows, columns=["lang", "term", "n"], dtype=object)
 
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -68,20 +74,20 @@ def count_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield taken()
 
 
-def automata(name: str, rows: list[tuple[str, str]]) -> dict:
-    """By language: the automaton over its padded terms; built once a worker."""
+def automata(name: str, rows: list[tuple[int, str, str]]) -> tuple[dict, np.ndarray]:
+    """By language: the automaton over its padded terms; and the terms' numbers. Built once a worker."""
     import ahocorasick
 
     if name not in AUTOMATA:
         AUTOMATA.clear()
         made: dict = {}
-        for i, (lang, key) in enumerate(rows):
+        for i, (_, lang, key) in enumerate(rows):
             if lang not in made:
                 made[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             made[lang].add_word(f" {key} ", i)
         for a in made.values():
             a.make_automaton()
-        AUTOMATA[name] = made
+        AUTOMATA[name] = made, np.array([k for k, _, _ in rows], np.int64)
     return AUTOMATA[name]
 
 
@@ -93,30 +99,30 @@ def padded(text: str) -> str:
     return f" {raw.decode()} "
 
 
-def recount(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """Pass 2 for one block of kept terms: (lang, source, key, n), occurrences."""
+def recount(docs: DataFrame, terms: list[tuple[int, str, str]]) -> DataFrame:
+    """Pass 2 for one block of kept terms (number, language, key): (source, k, n), occurrences by number."""
     sent, name = docs.sparkSession.sparkContext.broadcast(terms), uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sent.value
-        machines = automata(name, rows)
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        machines, numbers = automata(name, sent.value)
+        held: dict[tuple[str, str], array] = defaultdict(lambda: array("i"))
 
         def taken() -> pd.DataFrame:
-            out = [(lang, source, rows[k][1], n) for (lang, source), c in held.items() for k, n in c.items()]
+            counted = [(source, *np.unique(np.frombuffer(hits, np.int32), return_counts=True)) for (_, source), hits in held.items() if hits]
             held.clear()
-            return pd.DataFrame(out, columns=["lang", "source", "key", "n"])
+            names = np.repeat(np.array([s for s, *_ in counted], object), [len(at) for _, at, _ in counted])
+            every = lambda i: np.concatenate([x[i] for x in counted] or [np.empty(0, np.int64)])
+            return pd.DataFrame({"source": pd.Series(names, dtype=object), "k": numbers[every(1)], "n": every(2)})
 
         for pdf in batches:
             for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
                 if lang in machines:
-                    held[lang, source].update(map(itemgetter(1), machines[lang].iter(padded(text))))
-            if sum(map(len, held.values())) > FLUSH:
+                    held[lang, source].extend(map(itemgetter(1), machines[lang].iter(padded(text))))
+            if sum(map(len, held.values())) > HITS:
                 yield taken()
         yield taken()
 
-    found = docs.mapInPandas(work, "lang string, source string, key string, n long")
-    return found.groupBy("lang", "source", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInPandas(work, "source string, k long, n long").groupBy("source", "k").agg(F.sum("n").alias("n"))
 
 
 def share(count: Column) -> Column:
@@ -129,12 +135,12 @@ def share(count: Column) -> Column:
 def distances(postings: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
     """What the postings of one chunk of terms add to the distances of two blocks of sources.
 
-    ``postings``: source, key, p; ``sources``: source, side (first or second block, or both), z.
+    ``postings``: source, k, p; ``sources``: source, side (first or second block, or both), z.
     The sum over the terms of |p - q| - |z - z'|.
     """
     out = []
     if len(postings) and len(sources):
-        term = postings["key"].factorize()[0]
+        term = postings["k"].factorize()[0]
         n = int(term.max()) + 1
 
         def side(letter: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,13 +161,13 @@ def distances(postings: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
     found = found[found["source"] != found["item"]]
     if len(sources) and not (sources["side"] == "both").any():
         found = pd.concat([found, found.rename(columns={"source": "item", "item": "source"})])
-    return found.assign(lang=sources["lang"].iloc[0] if len(sources) else "")[["lang", "source", "item", "value"]].astype({"value": "int64"})
+    return found.assign(lang=sources["lang"].iloc[0] if len(sources) else "")[["lang", "source", "item", "value"]].astype({"lang": object, "source": object, "item": object, "value": "int64"})
 
 
 def source_distances(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value): the summed |p - q| over all kept terms for each two sources of a language.
 
-    ``postings``: lang, source, key, p; ``groups``: lang, source, _v (kept terms of the language), z (share of a term that it lacks).
+    ``postings``: lang, source, k, p; ``groups``: lang, source, _v (kept terms of the language), z (share of a term that it lacks).
     """
     sizes = groups.groupBy("lang").agg(F.count("*").alias("_s"), F.max("_v").alias("_terms"))
     n_langs = sizes.count()
@@ -171,7 +177,7 @@ def source_distances(postings: DataFrame, groups: DataFrame) -> DataFrame:
     pair = lambda df: df.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
     keys = ["lang", "_i", "_j", "_chunk"]
     read = lookup_join(postings, sizes, ["lang"], n_langs, "inner").withColumn("_b", block)
-    read = pair(read.select("*", other)).withColumn("_chunk", F.pmod(F.xxhash64("key"), F.col("_chunks")).cast("int")).select(*keys, "source", "key", "p")
+    read = pair(read.select("*", other)).withColumn("_chunk", F.pmod(F.xxhash64("k"), F.col("_chunks")).cast("int")).select(*keys, "source", "k", "p")
     place = F.when(F.col("_i") == F.col("_j"), "both").when(F.col("_b") == F.col("_i"), "first").otherwise("second")
     told = pair(lookup_join(groups, sizes, ["lang"], n_langs, "inner").withColumn("_b", block).select("*", other)).withColumn("side", place)
     told = told.select("*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk")).select(*keys, "source", "side", "z")
@@ -198,22 +204,22 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows each count. Other columns are not read, whatever their names; no rows: no rows.
     The staged counts are kept in the shared folder, as the lazy result reads them.
     """
-    made: list[str] = []
     name = lambda c, to: F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")).alias(to)
     texts = docs.select(name(lang_col, "lang"), name(source_col, "source"), name(text_col, "text"))
-    found = texts.select("lang", "text").mapInPandas(count_documents, "lang string, key string, term string, n long")
-    kept = found.groupBy("lang", "key").agg(F.sum("n").alias("_docs"), F.min("term").alias("term")).where(F.col("_docs") >= min_docs).select("lang", "key", "term")
-    kept = stage(kept, "audit-terms", made)
-    n, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("lang")), F.lit(0))).collect()[0]
+    found = texts.select("lang", "text").mapInPandas(count_documents, "lang string, term string, n long")
+    kept = found.groupBy("lang", "term").agg(F.sum("n").alias("_docs")).where(F.col("_docs") >= min_docs)
+    kept = stage(kept.select(F.monotonically_increasing_id().alias("k"), "lang", "term"), "audit-terms")
+    n, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key_of(F.col("term"))) + F.octet_length("lang")), F.lit(0))).collect()[0]
     blocks = max(1, math.ceil(n / BLOCK_TERMS), math.ceil(size / BLOCK_BYTES))
     counts = []
     for b in range(blocks):
-        of = kept.where(F.pmod(F.xxhash64("lang", "key"), F.lit(blocks)) == b).select("lang", "key")
+        of = kept.where(F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)) == b).select("k", "lang", key_of(F.col("term")))
         terms = [tuple(r) for r in of.collect()]  # BLOCK_TERMS terms of at most LONG bytes, on average
         if terms:
             counts.append(stage(recount(texts, terms), "audit-counts"))
     spark = docs.sparkSession
-    counted = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "lang string, source string, key string, n long")
+    counted = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "source string, k long, n long")
+    counted = lookup_join(counted, kept.select("k", "lang"), ["k"], n, "inner")
 
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("_v"))
     totals = counted.groupBy("lang", "source").agg(F.sum("n").alias("_total"))
@@ -221,12 +227,12 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     groups = stage(groups.withColumn("z", share(F.lit(0))), "audit-groups")
     langs = groups.groupBy("lang").agg(F.max("_v").alias("_v"), F.sum("_total").alias("_total"))
     n_groups = groups.count()
-    postings = lookup_join(counted, groups, ["lang", "source"], n_groups, "inner").withColumn("p", share(F.col("n"))).select("lang", "source", "key", "p", "n")
+    postings = lookup_join(counted, groups, ["lang", "source"], n_groups, "inner").select("lang", "source", "k", share(F.col("n")).alias("p"))
 
-    of_lang = counted.groupBy("lang", "key").agg(F.sum("n").alias("_n")).join(kept, ["lang", "key"])
-    of_lang = stage(lookup_join(of_lang, langs, ["lang"], n_groups, "inner").select("lang", "key", "term", share(F.col("_n")).alias("q")), "audit-shares")
-    over = postings.join(of_lang, ["lang", "key"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
-    pairs = source_distances(postings.select("lang", "source", "key", "p"), groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    of_lang = lookup_join(counted.groupBy("lang", "k").agg(F.sum("n").alias("_n")), langs, ["lang"], n_groups, "inner")
+    of_lang = stage(of_lang.select("k", share(F.col("_n")).alias("q")), "audit-shares")
+    over = lookup_join(postings, of_lang, ["k"], n, "inner").where("p > q").join(kept.select("k", "term"), "k")
+    over = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    pairs = source_distances(postings, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).alias("rank")
-    remove(spark, made)
     return pairs.select("*", rank).unionByName(over.select("*", rank).where(F.col("rank") <= top))

@@ -65,7 +65,7 @@ def test_exact(spark, seed):
 
 def test_in_small_blocks(spark, monkeypatch):
     """Many automata, blocks of sources, chunks of terms, and counts passed on early."""
-    for name, value in {"BLOCK_TERMS": 7, "SOURCES": 2, "TERMS": 5, "FLUSH": 10}.items():
+    for name, value in {"BLOCK_TERMS": 7, "SOURCES": 2, "TERMS": 5, "FLUSH": 10, "HITS": 50}.items():
         monkeypatch.setattr(D, name, value)
     rows = sample(5)
     assert audited(spark, rows, 3) == brute(rows, 3)
