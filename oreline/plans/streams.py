@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming import delivery as D
 from ..streaming import events as S
+from ..streaming import windows as W
 from .registry import query, table
 
 #: Event types of the stand-in table as events of the pipeline.
@@ -120,3 +122,66 @@ def str_07_cross_check(spark: SparkSession, d: str) -> DataFrame:
     status = done.select("batch", F.when(F.col("failed") < 20, "completed").otherwise("partial").alias("status"))
     keys = e.where("event_type <> 'error'").select(F.col("user_id").alias("batch"), F.rint("value").cast("int").alias("key"))
     return S.follow_up(status, keys, 5)
+
+
+@query("""
+WITH a AS (SELECT CAST(user_id AS VARCHAR) AS batch, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS message, ts, event_id, event_type NOT IN ('error', 'view') AS ok FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY batch, message ORDER BY ts, event_id) AS n FROM a), m AS (SELECT batch, message, min(n) FILTER (ok) AS done, max(n) AS last_ FROM n WHERE n <= 3 GROUP BY 1, 2)
+SELECT batch, message, CAST(coalesce(done, last_) AS INTEGER) AS attempts, CASE WHEN done IS NOT NULL THEN 'done' WHEN last_ >= 3 THEN 'dead' ELSE 'retry' END AS outcome FROM m
+""")
+def str_05_message_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Users as batches, whole values as messages, events as attempts: counted, not handed in."""
+    return D.message_outcomes(attempts(spark, d), "at", "event_id").drop("at")
+
+
+@query("""
+WITH a AS (SELECT CAST(user_id AS VARCHAR) AS batch, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS message, ts, event_id, event_type NOT IN ('error', 'view') AS ok FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY batch, message ORDER BY ts, event_id) AS n FROM a), m AS (SELECT batch, message, min(n) FILTER (ok) AS done, max(n) AS last_ FROM n WHERE n <= 3 GROUP BY 1, 2),
+b AS (SELECT batch, count(*) - CAST(batch AS BIGINT) % 3 * 10 AS total, count(done) AS completed, count(*) FILTER (done IS NULL AND last_ >= 3) AS failed FROM m GROUP BY 1)
+SELECT batch, total, completed, failed, CASE WHEN completed + failed < total THEN 'running' WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS status FROM b
+""")
+def str_06_outcome_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of batches from the outcomes of their messages; some batches wait for fewer than all."""
+    a = attempts(spark, d)
+    totals = a.groupBy("batch").agg((F.count_distinct("message") - F.col("batch").cast("long") % 3 * 10).alias("total"))
+    return D.outcome_progress(D.message_outcomes(a, "at", "event_id"), totals)
+
+
+def attempts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("batch"), F.floor("value").cast("string").alias("message"), F.col("ts").alias("at"), "event_id", (~F.col("event_type").isin("error", "view")).alias("ok"))
+
+
+#: Windows that open with a row: each next one by the first row a length after, in SQL by recursion.
+OPENED_SQL = """
+WITH RECURSIVE r AS (SELECT {key} AS k, epoch_us(ts) AS t FROM events), o AS (
+  SELECT k, min(t) AS t FROM r GROUP BY 1 UNION ALL
+  SELECT k, (SELECT min(r.t) FROM r WHERE r.k = o.k AND r.t >= o.t + {length}) AS t FROM o WHERE EXISTS (SELECT 1 FROM r WHERE r.k = o.k AND r.t >= o.t + {length}))
+"""
+
+
+@query(
+    OPENED_SQL.format(key="user_id", length=40 * 3600 * 1_000_000)
+    + """, w AS (SELECT o.k, o.t, lead(o.t) OVER (PARTITION BY o.k ORDER BY o.t) AS e FROM o)
+SELECT w.k AS user_id, w.t AS start_us, count(*) AS n, greatest(0, count(*) - 3) AS rejected FROM w JOIN r ON r.k = w.k AND r.t >= w.t AND (w.e IS NULL OR r.t < w.e) GROUP BY 1, 2
+"""
+)
+def str_09_opened_windows(spark: SparkSession, d: str) -> DataFrame:
+    """A user's requests in windows of 40 hours from the request that opens one, three at most."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    w = W.opened_windows(e, "user_id", most=3, seconds=40 * 3600)
+    return w.select("user_id", F.unix_micros("start").alias("start_us"), "n", "rejected")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT user_id AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+o AS (SELECT k, 0::BIGINT AS i FROM (SELECT DISTINCT k FROM r) x UNION ALL
+  SELECT k, nxt FROM (SELECT o.k, (SELECT min(b.i) FROM r a JOIN r b ON b.k = a.k AND (b.i = a.i + 10 OR b.t >= a.t + 432000000000) WHERE a.k = o.k AND a.i = o.i AND b.i > a.i) AS nxt FROM o) y WHERE nxt IS NOT NULL),
+w AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS e FROM o)
+SELECT w.k AS user_id, w.i AS batch, count(*) AS messages, min(event_id) AS least, max(event_id) AS most FROM w JOIN r ON r.k = w.k AND r.i >= w.i AND (w.e IS NULL OR r.i < w.e) GROUP BY 1, 2
+""")
+def str_03_opened_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A user's messages in batches of ten, or what came within five days of a batch's first."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    b = W.opened_batches(e, "user_id", "ts", "event_id", most=10, seconds=5 * 24 * 3600)
+    return b.groupBy("user_id", "batch").agg(F.count("*").alias("messages"), F.min("event_id").alias("least"), F.max("event_id").alias("most"))
