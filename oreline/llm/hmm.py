@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from .common import stage
 
 HEAD = 150_000  # most frequent words whose counts the tasks hold
-OWN = 24  # words that are symbols of their own, times the root of the vocabulary
+OWN, LEAST_OWN = 24, 20_000  # words that are symbols of their own: times the root of the vocabulary, and at least
 CLASSES = 2  # spelling classes of all other words, times the root of the vocabulary
 STATES = 8
-PASSES = 6  # Baum-Welch passes at least, for the likelihood gains little before the states part
-GAIN = 2e-3  # relative gain of log-likelihood below which passes end after these
+PASSES = 14  # Baum-Welch passes at least, for the likelihood gains little before the states part
+GAIN = 1e-3  # relative gain of log-likelihood below which passes end after these
 PRIOR = 200.0  # weight of the corpus distribution in a state's emissions
 END = b"\n"  # the end token: no word holds white space
+EVERY = 16  # steps between scalings: their product of probabilities stays far above the least double
 GROUP_TOKENS = 300_000  # tokens that are worked on at once, if a text is no longer
 FLUSH = 250_000  # words counted before a task passes its counts on
 
@@ -89,7 +90,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     rank = F.floor(16 * F.log2(F.col("c"))).cast("int")
     histogram = sorted(((r[0], r[1]) for r in counts.groupBy(rank).count().collect()), reverse=True)  # at most 16 * 63 rows
     root = math.sqrt(total[1])
-    wanted, n_classes = math.ceil(OWN * root), math.ceil(CLASSES * root) + 16
+    wanted, n_classes = max(LEAST_OWN, math.ceil(OWN * root)), math.ceil(CLASSES * root) + 16
     most = max(HEAD, wanted)
     least, taken = 10**6, 0
     for r, n in histogram:
@@ -176,28 +177,37 @@ def groups(texts: list[np.ndarray]) -> Iterator[Group]:
         a = b
 
 
-def forward(model: Hmm, g: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion: natural log-likelihood by text, alphas, scales and emissions of all places."""
+def forward(model: Hmm, g: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Scaled forward recursion: natural log-likelihood by text, alphas and emissions of all places, and the scales of every EVERY-th step.
+
+    An alpha's sum over states at a text's last place is what its scales have left of its likelihood.
+    """
     emitted = model.emit[g.symbols]
-    alpha, scale, ones = np.empty_like(emitted), np.empty(len(emitted)), np.ones(len(model.start))
+    alpha, ones = np.empty_like(emitted), np.ones(len(model.start))
+    likelihood, scales = np.zeros(len(g.rows)), []
     starts, before = g.starts.tolist(), None
-    for a, b in zip(starts, starts[1:], strict=False):
-        now, c = alpha[a:b], scale[a:b]
+    for t, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+        now = alpha[a:b]
         if before is None:
             np.multiply(model.start, emitted[a:b], out=now)
         else:
             np.matmul(before[: b - a], model.step, out=now)
             now *= emitted[a:b]
-        np.matmul(now, ones, out=c)
-        now /= c[:, None]
+        if t % EVERY == 0:
+            c = now @ ones
+            now /= c[:, None]
+            likelihood[: b - a] += np.log(c)
+            scales.append(c)
         before = now
-    likelihood = np.bincount(text_of(g), weights=np.log(scale), minlength=len(g.rows))
-    return likelihood, alpha, scale, emitted
+    likelihood += np.log(alpha[last_places(g)] @ ones)
+    return likelihood, alpha, emitted, scales
 
 
-def text_of(g: Group) -> np.ndarray:
-    """The text of each place, as its number in the group."""
-    return np.arange(len(g.symbols)) - np.repeat(g.starts[:-1], np.diff(g.starts))
+def last_places(g: Group) -> np.ndarray:
+    """The place of each text's last symbol."""
+    running = np.diff(g.starts)
+    steps = np.searchsorted(-running, -np.arange(len(g.rows)), side="left") - 1  # steps with more texts than this one's number
+    return g.starts[steps] + np.arange(len(g.rows))
 
 
 class Expected:
@@ -210,25 +220,28 @@ class Expected:
     def add(self, model: Hmm, texts: list[np.ndarray]) -> None:
         states = len(model.start)
         for g in groups(texts):
-            likelihood, alpha, scale, back = forward(model, g)
+            likelihood, alpha, back, scales = forward(model, g)  # back: emissions, and below times beta
             self.likelihood += likelihood.sum()
-            back /= scale[:, None]  # emission / scale, and below times beta
-            beta = np.ones_like(alpha)
-            back_step = model.step.T.copy()
+            for t, c in enumerate(scales):
+                a = g.starts[t * EVERY]
+                back[a : a + len(c)] /= c[:, None]
+            last = last_places(g)
+            beta = np.empty_like(alpha)
+            beta[last] = 1 / alpha[last].sum(1, keepdims=True)
+            back_step, moved, more = model.step.T.copy(), np.zeros((states, states)), np.empty((states, states))
             starts = g.starts.tolist()
-            for t in range(len(starts) - 3, -1, -1):
+            for t in range(len(starts) - 3, -1, -1):  # a step's texts, and the same texts' places before it
                 here, a, b = starts[t : t + 3]
-                now = back[a:b]
+                now, there = back[a:b], here + b - a
                 now *= beta[a:b]
-                np.matmul(now, back_step, out=beta[here : here + b - a])
-            later = np.arange(g.starts[1], len(alpha))
-            if len(later):  # each place of a later step, and the same text's place before it
-                earlier = later - np.repeat(np.diff(g.starts[:-1]), np.diff(g.starts[1:]))
-                self.step += model.step * (alpha[earlier].T @ back[later])
+                np.matmul(now, back_step, out=beta[here:there])
+                np.matmul(alpha[here:there].T, now, out=more)
+                moved += more
+            self.step += model.step * moved
             alpha *= beta
             self.start += alpha[: g.starts[1]].sum(0)
-            cell = g.symbols[:, None].astype(np.int64) * states + np.arange(states)
-            self.emit += np.bincount(cell.ravel(), weights=alpha.ravel(), minlength=self.emit.size).reshape(self.emit.shape)
+            for k in range(states):
+                self.emit[:, k] += np.bincount(g.symbols, weights=alpha[:, k], minlength=len(self.emit))
 
 
 def encode(docs: DataFrame, vocabulary, held: Column, id_col: str, text_col: str) -> DataFrame:
@@ -272,7 +285,7 @@ def as_symbols(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(bytes(x), "<i4") for x in column]
 
 
-def baum_welch(encoded: DataFrame, model: Hmm, passes: int) -> Hmm:
+def baum_welch(encoded: DataFrame, model: Hmm, passes: int, figures: dict | None = None) -> Hmm:
     """``passes`` or more over all rows of ``encoded``, until one gains little: counts per partition, summed by symbol."""
     spark, states = encoded.sparkSession, len(model.start)
     names = [f"s{i}" for i in range(states)]
@@ -297,17 +310,21 @@ def baum_welch(encoded: DataFrame, model: Hmm, passes: int) -> Hmm:
         model = model.refit(total[:k], total[k : k + states], total[k + states])
         done, last, now = done + 1, now, total[k + states + 1, 0]
         sent.unpersist()
+        if figures is not None:
+            figures.setdefault("likelihoods", []).append(now)
     return model
 
 
-def hmm_scores(docs: DataFrame, held: Column, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, passes: int = PASSES) -> DataFrame:
+def hmm_scores(docs: DataFrame, held: Column, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, passes: int = PASSES, figures: dict | None = None) -> DataFrame:
     """Train on the rows where ``held`` is false and score all rows.
 
     Returns the id column, held_out, n_tokens (words and the end), n_known (tokens
     seen in training), train_tokens, base_score (add-one unigrams) and score (the
     model's log10 probability of the text). A null text is empty: its only token is
     the end. A null ``held`` counts as false. Repeated rows score alike. Nothing to
-    train on: every token is unknown. Other columns are not carried; no rows: no rows.
+    train on: every token is unknown. Null ids are ids like others. Other columns are
+    not carried; no rows: no rows. ``figures`` receives the model, the vocabulary and
+    the log-likelihood of the training texts before each pass.
     """
     spark = docs.sparkSession
     held = F.coalesce(held, F.lit(False))
@@ -319,7 +336,9 @@ def hmm_scores(docs: DataFrame, held: Column, text_col: str = "text", id_col: st
     training = encoded.where(~F.col("held"))
 
     background = np.concatenate([10 ** v.log_count[: v.own] - 1, v.class_size]) + 1
-    model = baum_welch(training, Hmm.random(background / background.sum(), states), passes)
+    model = baum_welch(training, Hmm.random(background / background.sum(), states), passes, figures)
+    if figures is not None:
+        figures.update(model=model, vocabulary=v)
     final = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -61,6 +61,36 @@ def test_op3_base_scores(spark, texts):
         assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want)) and r["score"] < 0
 
 
+def test_op3_scores_are_a_plain_forward_pass(spark, texts, monkeypatch):
+    """The registered query's own model, read back: every score is the sum over all state paths, step by step."""
+    from oreline.llm import hmm as H
+
+    figures: dict = {}
+    plain = H.hmm_scores
+    monkeypatch.setattr(H, "hmm_scores", lambda docs, held: plain(docs, held, figures=figures))
+    got = {r["doc_id"]: r for r in rows_of(spark, "op3_lm")}
+    model, v = figures["model"], figures["vocabulary"]
+    gains = [b - a for a, b in zip(figures["likelihoods"], figures["likelihoods"][1:], strict=False)]
+    assert len(gains) + 1 >= H.PASSES and all(g > -1e-3 * abs(figures["likelihoods"][0]) for g in gains)
+    tokens = {i: [*(w.encode() for w in fold(t)), H.END] for i, t in texts.items()}
+    c = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    for i, ws in tokens.items():
+        alpha, score = None, 0.0
+        for w in ws:
+            place = v.place.get(w, -1)
+            if 0 <= place < v.own:
+                symbol, share = place, 1.0
+            else:
+                g = H.class_of(w, len(v.class_size))
+                symbol, share = v.own + g, (c[w] + 1) / v.class_size[g]
+            moved = model.start if alpha is None else [sum(alpha[a] * model.step[a][b] for a in range(len(alpha))) for b in range(len(alpha))]
+            alpha = [m * e * share for m, e in zip(moved, model.emit[symbol], strict=True)]
+            total = sum(alpha)
+            score += math.log10(total)
+            alpha = [a / total for a in alpha]
+        assert abs(got[i]["score"] - score) < 1e-6 * max(1, abs(score))
+
+
 def test_op4_spans(spark, texts):
     got = {r["doc_id"]: r for r in rows_of(spark, "op4_secrets")}
     assert set(got) == set(texts)
