@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from .lineage import cut
 
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -73,18 +74,51 @@ def zero_filled(counts: DataFrame, key: str, values: list[str], count: str) -> D
     return keys.join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).cast("long").alias(count))
 
 
-def quantiles(df: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
+PIECES = 1024  # of a range of values that a pass tells apart
+
+
+def values_at(counts: DataFrame, ranks: DataFrame, figures: dict | None = None) -> DataFrame:
+    """(_k, rank, v): the value at each rank (from 0) of a key. ``counts``: _k, _v (integer), _c; ``ranks``: _k, rank, lo, hi (least and greatest value).
+
+    Exact selection by histograms: each pass cuts the range that holds a rank into PIECES
+    of equal width, sums the counts of each and goes on with the piece that the rank falls
+    into, until it is one value wide. Sums are partial before the shuffle, and no task
+    holds more than PIECES rows of a key and rank. Ranges of 64 bits take seven passes.
+    """
+    live, done = cut(ranks.withColumn("_before", F.lit(0).cast("long"))), None
+    while True:
+        settled = live.where("lo = hi").select("_k", "rank", F.col("lo").alias("v"))
+        done = cut(settled if done is None else done.unionByName(settled))
+        live = cut(live.where("lo < hi"))
+        if not live.count():
+            return done
+        if figures is not None:
+            figures["passes"] = figures.get("passes", 0) + 1
+        width = F.call_function("div", F.col("hi").cast("decimal(20,0)") - F.col("lo") + PIECES, F.lit(PIECES).cast("decimal(20,0)"))  # the piece's share, rounded up
+        within = counts.join(live.withColumn("_w", width), "_k").where("_v between lo and hi")
+        wide = lambda c: F.col(c).cast("decimal(20,0)")
+        piece = F.call_function("div", wide("_v") - wide("lo"), wide("_w"))
+        sums = within.groupBy("_k", "rank", "lo", "hi", "_w", "_before", piece.alias("_i")).agg(F.sum("_c").alias("_n"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "rank").orderBy("_i"))
+        hit = sums.withColumn("_upto", upto).where("_upto > rank and _upto - _n <= rank")
+        start = (F.col("lo") + F.col("_i") * F.col("_w")).cast("long")
+        live = hit.select("_k", "rank", start.alias("lo"), F.least("hi", start + F.col("_w") - 1).alias("hi"), (F.col("_upto") - F.col("_n")).alias("_before"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, wanted: dict[str, float], figures: dict | None = None) -> DataFrame:
     """Interpolated quantiles, least, most and mean (three digits) of an integer column for each key; nulls do not count.
 
-    Values are counted first; what is sorted is a row for each different value of a key.
+    Values are counted first; the values at the ranks that are asked for are found by
+    histograms (see values_at). A null key is a key like others.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(key).orderBy("_v")))
-    totals = counts.groupBy(F.col(key).alias("_k")).agg(F.sum("_c").alias("_n"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
-    j = upto.join(totals, F.col(key).eqNullSafe(F.col("_k")))
+    named = df.where(F.col(value).isNotNull()).select(F.to_json(F.struct(F.col(key).alias("k"))).alias("_k"), F.col(key).alias("_own"), F.col(value).cast("long").alias("_v"))
+    counts = cut(named.groupBy("_k", "_v").agg(F.count("*").alias("_c"), F.first("_own").alias("_own")))
+    totals = cut(counts.groupBy("_k").agg(F.first("_own").alias(key), F.sum("_c").alias("_n"), F.sum(F.col("_v").cast("decimal(19,0)") * F.col("_c").cast("decimal(19,0)")).cast("double").alias("_s"), F.min("_v").alias("least"), F.max("_v").alias("most")))
     place = lambda p: F.lit(p) * (F.col("_n") - 1)
-    at = lambda i: F.min(F.when(F.col("_end") > i, F.col("_v")))
-    bounds = [at(f(place(p))).alias(f"_{side}_{name}") for name, p in wanted.items() for side, f in (("a", F.floor), ("b", F.ceil))]
-    g = j.groupBy(key).agg(*bounds, F.first("_n").alias("_n"), F.first("_s").alias("_s"), F.min("_v").alias("least"), F.max("_v").alias("most"))
-    part = lambda name, p: F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (place(p) - F.floor(place(p)))
-    return g.select(key, *(rounded(part(name, p), 3).alias(name) for name, p in wanted.items()), "least", "most", rounded(F.col("_s") / F.col("_n"), 3).alias("mean"))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in wanted.values()))))
+    asked = totals.select("_k", F.explode(ranks).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"))
+    found = values_at(counts.select("_k", "_v", "_c"), asked, figures).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at"))
+    j = totals.join(found, "_k")
+    at = lambda r: F.col("_at")[r]
+    part = lambda p: at(F.floor(place(p))) + (at(F.ceil(place(p))) - at(F.floor(place(p)))) * (place(p) - F.floor(place(p)))
+    return j.select(key, *(rounded(part(p), 3).alias(name) for name, p in wanted.items()), "least", "most", rounded(F.col("_s") / F.col("_n"), 3).alias("mean"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import specs as S
 from ..operators import sources as A
+from ..operators import stored as B
 from ..sources import parsers as P
 from .registry import query, table
 from .specs import nth, nth_sql
@@ -366,3 +367,56 @@ def mod_18_source_tables(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "CodeDdl").when(F.col("l_returnflag") == "R", "CodeDataModel").otherwise("CodeMapper")
     chunks = table(spark, d, "lineitem").select(kind.alias("type"), body.alias("text"), F.struct("l_orderkey", "l_partkey", "l_quantity").alias("position"))
     return A.source_tables(chunks).select(F.col("table").alias("tab"), F.col("column").alias("col"), F.coalesce("sql", F.lit("")).alias("sql"), F.col("primary").alias("primary_"), "origin")
+
+
+# ---- stored tables: only the files that a change or a page needs
+
+
+def stored_events(spark: SparkSession, d: str, keys: list[str]) -> B.BucketedTable:
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return B.BucketedTable.create(e, A.new_path(spark, "events"), keys, buckets=16)
+
+
+@query("""
+SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN -1.0 ELSE value END AS value FROM events WHERE event_id <> 21
+UNION ALL SELECT -event_id, user_id, 'new', value FROM events WHERE event_id % 7 = 1
+""")
+def snk_03_stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh event replaced twice - the last counts -, some new ones put beside, one deleted."""
+    t = stored_events(spark, d, ["event_id"])
+    old = t.read()
+    change = old.where("event_id % 7 = 0").withColumn("value", F.explode(F.array(F.lit(-9.0), F.lit(-1.0))))
+    new = old.where("event_id % 7 = 1").select((-F.col("event_id")).alias("event_id"), "user_id", F.lit("new").alias("event_type"), "value")
+    t = t.upsert(change.unionByName(new), F.col("value")).delete(spark.range(21, 22).select(F.col("id").alias("event_id")))
+    return B.BucketedTable.open(spark, t.path).read()
+
+
+@query("""
+SELECT event_id, user_id, CASE WHEN event_id < 40 AND event_type = 'view' THEN 'seen' ELSE event_type END AS event_type, CASE WHEN event_id < 40 AND event_type = 'view' THEN value + event_id % 5 ELSE value END AS value FROM events
+""")
+def snk_06_stored_update(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a list of ids set and counted up, where they are views still."""
+    ids = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 5).alias("more"))
+    t = stored_events(spark, d, ["event_id"]).update(ids, {"event_type": F.lit("seen"), "value": F.col("value") + F.col("more")}, F.col("event_type") == "view")
+    return t.read()
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def snk_07_stored_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return stored_events(spark, d, ["user_id", "event_type"]).deduplicate(F.col("event_id")).read().select("user_id", "event_type", "event_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 1000")
+def srt_04_stored_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page by offset out of a sorted table: the files before it are counted, not read."""
+    o = table(spark, d, "orders").select("o_totalprice", "o_orderkey")
+    return B.SortedTable.create(o, A.new_path(spark, "orders"), ["o_totalprice", "o_orderkey"], files=12).page(50, 1000)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 31")
+def srt_05_stored_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The page before a time, and one row more."""
+    from datetime import datetime
+
+    o = table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderkey")
+    return B.SortedTable.create(o, A.new_path(spark, "orders"), ["o_orderdate", "o_orderkey"], files=12).before((datetime(1997, 1, 1),), 30)
