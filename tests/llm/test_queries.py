@@ -32,19 +32,75 @@ def fold(text: str) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def test_op1_flags_by_its_last_probability(spark, texts):
-    got = rows_of(spark, "op1_toxicity")
-    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
-    low = max((r["p_toxic"] for r in got if not r["toxic"]), default=0)
-    assert all(r["p_toxic"] > low for r in got if r["toxic"])
+def sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def test_op2_posteriors(spark, texts):
-    got = rows_of(spark, "op2_quality")
-    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
-    for r in got:
-        assert r["kept"] == (r["quality"] >= 0.5) and 0 < r["host_mean"] < 1
-        assert 0 < r["path_mean"] < 1
+def logit(p: float) -> float:
+    p = min(max(p, 1e-4), 1 - 1e-4)
+    return math.log(p / (1 - p))
+
+
+def test_op1_probabilities_follow_the_chain(spark, texts, monkeypatch):
+    """Every link of the registered chain by hand: its words' weights, and the log-odds of the links before it."""
+    from oreline.llm import toxicity as X
+
+    made = []
+    plain = X.fit_chain
+    monkeypatch.setattr(X, "fit_chain", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    got = {r["doc_id"]: r for r in rows_of(spark, "op1_toxicity")}
+    assert set(got) == set(texts)
+    (chain,) = made
+    for i, text in texts.items():
+        (columns,) = X.feature_lists([text.encode()], chain.known, {})
+        before: list[float] = []
+        for name, w in zip(chain.categories, chain.weights, strict=True):
+            z = sum(w[c] for c in columns) + sum(w[len(chain.known) + k] * b for k, b in enumerate(before)) + w[-1]
+            assert got[i][f"p_{name}"] == pytest.approx(sigmoid(logit(sigmoid(z))), rel=1e-9)
+            before.append(logit(sigmoid(z)))
+        assert got[i]["toxic"] == (got[i][f"p_{chain.categories[-1]}"] >= chain.threshold)
+
+
+def test_op2_posteriors_from_the_evidence(spark, texts, monkeypatch):
+    """Evidence from the fitted weights, and hosts, paths and documents from it by plain sums."""
+    from oreline.llm import quality as U
+
+    made = []
+    plain = U.fit_quality
+    monkeypatch.setattr(U, "fit_quality", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    got = {r["doc_id"]: r for r in rows_of(spark, "op2_quality")}
+    ((w, mean, scale),) = made
+    sites = {i: (s or "", p or "") for i, s, p in duckdb.sql(f"SELECT doc_id, source, lang FROM '{SF_DIR}/documents.parquet'").fetchall()}
+    assert set(got) == set(sites)
+    e = {}
+    for i, text in texts.items():
+        x = [max(-8.0, min(8.0, (v - m) / s)) for v, m, s in zip(U.measures(text.encode()), mean, scale, strict=True)]
+        e[i] = sigmoid(sum(a * b for a, b in zip(x, w, strict=False)) + w[-1])
+        assert got[i]["evidence"] == pytest.approx(e[i], rel=1e-9)
+    corpus = (sum(e.values()) + 0.5) / (len(e) + 1)
+
+    def strength(groups: dict, prior) -> float:
+        n = sum(len(g) for g in groups.values())
+        noise = {k: prior(k) * (1 - prior(k)) for k in groups}
+        spread = (sum(len(g) * (sum(g) / len(g) - prior(k)) ** 2 for k, g in groups.items()) - sum(noise.values())) / n
+        return min(1e6, max(1.0, sum(len(g) * noise[k] for k, g in groups.items()) / n / max(spread, 1e-9) - 1))
+
+    hosts: dict = {}
+    paths: dict = {}
+    for i, (host, path) in sites.items():
+        hosts.setdefault(host, []).append(e[i])
+        paths.setdefault((host, path), []).append(e[i])
+    k_host = strength(hosts, lambda _: corpus)
+    host_mean = {h: (k_host * corpus + sum(g)) / (k_host + len(g)) for h, g in hosts.items()}
+    k_path = strength(paths, lambda k: host_mean[k[0]])
+    odds = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
+    for i, (host, path) in sites.items():
+        g = paths[host, path]
+        alone = (k_path * host_mean[host] + sum(g) - e[i]) / (k_path + len(g) - 1)
+        quality = 1 / (1 + math.exp(-(odds(e[i]) + odds(alone) - odds(corpus))))
+        r = got[i]
+        assert r["host_mean"] == pytest.approx(host_mean[host], rel=1e-9) and r["path_mean"] == pytest.approx((k_path * host_mean[host] + sum(g)) / (k_path + len(g)), rel=1e-9)
+        assert r["quality"] == pytest.approx(quality, rel=1e-7) and r["kept"] == (r["quality"] >= 0.5)
 
 
 def test_op3_base_scores(spark, texts):
