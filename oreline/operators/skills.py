@@ -71,17 +71,22 @@ def source_class(elements: DataFrame, key: str) -> DataFrame:
     return g.select(key, name.alias("class"), sure.alias("confidence"))
 
 
-def consensus(first: Column, second: Column) -> tuple[Column, Column, Column]:
-    """Decision, rounds and score of a judge's answers; an unreadable answer is a split, a second split rejects."""
+def consensus(first: Column, second: Column) -> Column:
+    """Struct of decision, rounds and score of a judge's answers; an unreadable answer is a split, a second split rejects.
+
+    Answers and decisions pass through one-element arrays, so that each is read once.
+    """
 
     def decision(answer: Column) -> Column:
         said = F.get_json_object(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "$.decision")
-        return F.when(said.isin("approve", "reject", "split"), said).otherwise("split")
+        return F.transform(F.array(said), lambda s: F.when(s.isin("approve", "reject", "split"), s).otherwise("split"))[0]
+
+    def told(x: Column) -> Column:
+        one, two = x["one"], x["two"]
+        final = F.when(one != "split", one).when(two != "split", two).otherwise("reject")
+        return F.struct(final.alias("decision"), F.when(one == "split", 2).otherwise(1).alias("rounds"), F.when(final == "approve", 0.85).otherwise(0.2).alias("score"))
 
-    one, two = decision(first), decision(second)
-    final = F.when(one != "split", one).when(two != "split", two).otherwise("reject")
-    score = F.when(final == "approve", 0.85).otherwise(0.2)
-    return final, F.when(one == "split", 2).otherwise(1), score
+    return F.transform(F.array(F.struct(decision(first).alias("one"), decision(second).alias("two"))), told)[0]
 
 
 def criteria_votes(scores: DataFrame, least: float = 0.75, wanted: int = 4, criteria: int = 6) -> DataFrame:

@@ -105,17 +105,17 @@ def join_10_parameter_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT ['GET', 'POST'][CAST(o_orderkey % 2 AS INTEGER) + 1] || ' /c/' || CAST(o_custkey % 50 AS VARCHAR) || '/:id' AS k, max_by(o_custkey % 4, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
-t AS (SELECT ['GET', 'POST'][CAST(o_orderkey % 2 AS INTEGER) + 1] || ' /c/' || CAST(o_custkey % 60 AS VARCHAR) || '/:id' AS k, max_by(o_custkey % 3, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+WITH s AS (SELECT ['GET', 'POST'][CAST(o_orderkey % 2 AS INTEGER) + 1] || ' /c/' || CAST(o_custkey AS VARCHAR) || '/:id' AS k, max_by(o_custkey % 4, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+t AS (SELECT ['GET', 'POST'][CAST(o_orderkey % 2 AS INTEGER) + 1] || ' /c/' || CAST(o_custkey + o_orderkey % 3 AS VARCHAR) || '/:id' AS k, max_by(o_custkey % 3, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT coalesce(s.k, t.k) AS endpoint, CASE WHEN s.k IS NULL THEN 'DOC_ONLY' WHEN t.k IS NULL THEN 'SOURCE_MISSING' WHEN s.n <> t.n THEN 'DIVERGENCE' ELSE 'MATCH' END AS state FROM s FULL JOIN t ON s.k = t.k
 """)
 def join_11_reconciled_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """METHOD path on both sides, braces and trailing slashes made alike; the last of equal keys counts."""
     o = table(spark, d, "orders")
     method = nth(("GET", "POST"), F.col("o_orderkey"))
-    path = lambda n, end: F.concat(F.lit("/c/"), (F.col("o_custkey") % n).cast("string"), F.lit(end))
-    side = lambda df, n, end, m: df.select(method.alias("method"), path(n, end).alias("path"), (F.col("o_custkey") % m).alias("params"), F.col("o_orderkey").alias("position"))
-    return P.reconcile(side(o.where("o_orderstatus <> 'P'"), 50, "/{id}/", 4), side(o.where("o_orderstatus <> 'F'"), 60, "/:id", 3))
+    path = lambda of, end: F.concat(F.lit("/c/"), of.cast("string"), F.lit(end))
+    side = lambda df, of, end, m: df.select(method.alias("method"), path(of, end).alias("path"), (F.col("o_custkey") % m).alias("params"), F.col("o_orderkey").alias("position"))
+    return P.reconcile(side(o.where("o_orderstatus <> 'P'"), F.col("o_custkey"), "/{id}/", 4), side(o.where("o_orderstatus <> 'F'"), F.col("o_custkey") + F.col("o_orderkey") % 3, "/:id", 3))
 
 
 @query("""
@@ -421,7 +421,7 @@ def skill_packages(spark: SparkSession, d: str) -> DataFrame:
     g = l.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(k, policy.alias("p")))).alias("ps"))
     s, key = table(spark, d, "supplier"), F.col("s_suppkey")
     j = s.join(g, key == F.col("l_suppkey"), "left")
-    policies = F.slice(F.transform(F.coalesce("ps", F.expr("slice(ps, 1, 0)")), lambda x: x["p"]), F.lit(1), (key % 9).cast("int"))
+    policies = F.slice(F.transform(F.coalesce("ps", F.expr("slice(ps, 1, 0)")), lambda x: x["p"]), F.lit(1), F.when(key % 9 == 0, 0).otherwise(F.coalesce(F.size("ps"), F.lit(0))))  # every ninth has none
     level = nth(("unreviewed", "reviewed", "validated"), key)
     return j.select(
         key.alias("key"), F.when(key % 2 == 0, "https://x").otherwise("http://x").alias("schema_uri"), (key % 3 != 0).alias("valid"), (key % 4).alias("term_uris"), F.when(key % 5 > 1, "s").alias("skos"), policies.alias("policies"), F.when(key % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("d0"), F.lit("d1"))).alias("sources"),
@@ -465,7 +465,7 @@ def mod_23_witness_cycles(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT 'd' || p_brand AS doc, 'P' || p_name AS proc, p_type, p_size, p_partkey FROM part)
 SELECT label, count(*) AS n FROM (SELECT DISTINCT 'Document' AS label, doc AS key FROM p UNION SELECT DISTINCT 'Process', proc FROM p UNION SELECT DISTINCT 'SubProcess', 'S' || CAST(p_size AS VARCHAR) FROM p WHERE p_size % 2 = 0 UNION SELECT DISTINCT 'Method', 'M' || CAST(p_size AS VARCHAR) FROM p
- UNION SELECT DISTINCT 'Entity', 'E' || p_type FROM p UNION SELECT DISTINCT 'Actor', 'A' || p_type FROM p WHERE p_size % 3 = 0 UNION SELECT DISTINCT 'Condition', 'C' || CAST(p_partkey % 100 AS VARCHAR) FROM p UNION SELECT DISTINCT 'Requirement', 'R' || CAST(p_partkey % 10 AS VARCHAR) FROM p) GROUP BY 1
+ UNION SELECT DISTINCT 'Entity', 'E' || p_type FROM p UNION SELECT DISTINCT 'Actor', 'A' || p_type FROM p WHERE p_size % 3 = 0 UNION SELECT DISTINCT 'Condition', 'C' || CAST(p_partkey AS VARCHAR) FROM p UNION SELECT DISTINCT 'Requirement', 'R' || CAST(p_partkey // 2 AS VARCHAR) FROM p) GROUP BY 1
 """)
 def grf_07_analysis_graph(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import graph as N
@@ -476,9 +476,9 @@ def grf_07_analysis_graph(spark: SparkSession, d: str) -> DataFrame:
         lit("d", F.col("p_brand")).alias("document"),
         F.array(F.struct(lit("P", F.col("p_name")).alias("name"), F.array(lit("M", size)).alias("steps"), F.when(F.col("p_size") % 2 == 0, F.array(lit("S", size))).otherwise(F.array().cast("array<string>")).alias("parts"))).alias("processes"),
         F.array(F.struct(lit("E", F.col("p_type")).alias("name"))).alias("entities"),
-        F.array(F.struct(lit("C", (key % 100).cast("string")).alias("condition"), F.lit("o").alias("outcome"))).alias("rules"),
+        F.array(F.struct(lit("C", key.cast("string")).alias("condition"), F.lit("o").alias("outcome"))).alias("rules"),
         F.when(F.col("p_size") % 3 == 0, F.array(lit("A", F.col("p_type")))).otherwise(F.array().cast("array<string>")).alias("actors"),
-        F.array(lit("R", (key % 10).cast("string"))).alias("requirements"),
+        F.array(lit("R", F.expr("p_partkey div 2").cast("string"))).alias("requirements"),
     )
     return N.analysis_graph(e)[0].groupBy("label").agg(F.count("*").alias("n"))
 

@@ -110,12 +110,19 @@ def prj_03_severity_rank(spark: SparkSession, d: str) -> DataFrame:
     return findings(spark, d).select("finding_id", severity_rank(F.col("severity")).alias("rank"))
 
 
-@query("""
-SELECT event_id, CASE WHEN json_extract_string(props, '$.path') IS NOT NULL THEN 'api' WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'table' ELSE 'api' END AS kind FROM events
+#: Items of a fact check as JSON, with what tells an endpoint from a table.
+ITEMS = ('{"path": "/a"}', '{"httpMethods": ["GET"]}', '{"methodName": "m"}', '{"tableName": "t"}', '{"columns": []}', '{"other": 1}', '{"tableName": "t", "path": "/x"}', "broken")
+
+
+@query(f"""
+WITH i AS (SELECT event_id, {"CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEMS)) + " END"} AS item FROM events), j AS (SELECT event_id, CASE WHEN json_valid(item) THEN CAST(item AS JSON) END AS item FROM i)
+SELECT event_id, CASE WHEN json_exists(item, '$.path') OR json_exists(item, '$.httpMethods') OR json_exists(item, '$.methodName') THEN 'api' WHEN json_exists(item, '$.tableName') OR json_exists(item, '$.columns') THEN 'table' ELSE 'api' END AS kind FROM j
 """)
 def prj_04_json_routing(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda *paths: F.coalesce(*(F.get_json_object("props", p) for p in paths)).isNotNull()
-    kind = F.when(has("$.path", "$.httpMethods", "$.methodName"), "api").when(has("$.tableName", "$.columns", "$.k"), "table").otherwise("api")
+    """Items of all kinds; endpoints are told first, and what tells nothing is an endpoint."""
+    item = F.element_at(F.array(*map(F.lit, ITEMS)), (F.col("event_id") % len(ITEMS) + 1).cast("int"))
+    has = lambda *paths: F.coalesce(*(F.get_json_object(item, p) for p in paths)).isNotNull()
+    kind = F.when(has("$.path", "$.httpMethods", "$.methodName"), "api").when(has("$.tableName", "$.columns"), "table").otherwise("api")
     return table(spark, d, "events").select("event_id", kind.alias("kind"))
 
 
@@ -198,9 +205,13 @@ def agg_01_org_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("org")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_orderdate").alias("newest"))
 
 
-@query("SELECT count(*) AS n, coalesce(sum(CASE WHEN value < 0 THEN value END), 0) AS lost, max(ts) AS newest FROM events")
+@query("""
+SELECT count(*) AS n, CAST(coalesce(sum(CASE WHEN event_id % 3 = 0 THEN CAST(value AS DECIMAL(18,4)) END), 0) AS DOUBLE) AS lost, CAST(coalesce(sum(CASE WHEN event_id < 0 THEN CAST(value AS DECIMAL(18,4)) END), 0) AS DOUBLE) AS none_, max(ts) AS newest FROM events
+""")
 def agg_02_null_safe_totals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("value"))), F.lit(0.0)).alias("lost"), F.max("ts").alias("newest"))
+    """Sums of what a third of the events lost, and of nothing at all: 0, not null."""
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("value").cast("decimal(18,4)"))), F.lit(0)).cast("double")
+    return table(spark, d, "events").agg(F.count("*").alias("n"), total(F.col("event_id") % 3 == 0).alias("lost"), total(F.col("event_id") < 0).alias("none_"), F.max("ts").alias("newest"))
 
 
 @query(f"""
@@ -294,9 +305,16 @@ def agg_13_nested_average(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(exact_mean(F.col("l_discount")).alias("a")).agg(rounded(F.sum(F.floor(F.col("a") * 100000000)).cast("double") / F.count("*") / 100000000, 3).alias("mean"))
 
 
-@query("SELECT p_brand, CAST(max(coalesce(TRY_CAST(right(p_name, 3) AS INTEGER), 0)) + 1 AS BIGINT) AS next FROM part GROUP BY 1")
+CODES_SQL = "CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'POL-' || CAST(p_partkey % 90 AS VARCHAR) || 'X' ELSE 'POL-' || right('00' || CAST(p_partkey % 997 AS VARCHAR), 3) END"
+
+
+@query(rf"SELECT p_brand, CAST(max(coalesce(TRY_CAST(regexp_extract(right({CODES_SQL}, 3), '^\s*([+-]?\d+)', 1) AS INTEGER), 0)) + 1 AS BIGINT) AS next FROM part GROUP BY 1")
 def agg_14_next_suffix(spark: SparkSession, d: str) -> DataFrame:
-    suffix = F.coalesce(F.expr("try_cast(right(p_name, 3) AS INT)"), F.lit(0))
+    """The number after the greatest that a brand's policy codes end in. A suffix counts by its leading digits, one without by 0."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    numbered = F.concat(F.lit("POL-"), F.lpad((key % 997).cast("string"), 3, "0"))
+    code = F.when(size % 4 == 0, F.col("p_name")).when(size % 4 == 1, F.concat(F.lit("POL-"), (key % 90).cast("string"), F.lit("X"))).otherwise(numbered)
+    suffix = F.coalesce(F.regexp_extract(F.right(code, F.lit(3)), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
     return table(spark, d, "part").groupBy("p_brand").agg((F.max(suffix) + 1).cast("long").alias("next"))
 
 
@@ -431,10 +449,11 @@ def agg_41_usage_sync(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("usage_count"), "c_mktsegment")
 
 
-@query("SELECT user_id, floor(sum(value) * 100 + 0.5) / 100 AS spent, floor(sum(value) * 100 + 0.5) / 100 >= 50 AS rejected FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' GROUP BY 1")
-def agg_42_cost_guard(spark: SparkSession, d: str, most: float = 50.0) -> DataFrame:
+@query("SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS spent, sum(CAST(value AS DECIMAL(18,2))) >= 50 AS rejected FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' GROUP BY 1")
+def agg_42_cost_guard(spark: SparkSession, d: str, most: int = 50) -> DataFrame:
     day = table(spark, d, "events").where(F.to_date("ts") == F.lit("2024-01-15").cast("date"))
-    return day.groupBy("user_id").agg(rounded(F.sum("value"), 2).alias("spent")).withColumn("rejected", F.col("spent") >= most)
+    g = day.groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("s"))
+    return g.select("user_id", F.col("s").cast("double").alias("spent"), (F.col("s") >= most).alias("rejected"))
 
 
 @query("SELECT coalesce(source, 'unknown') AS domain, count(*) AS n FROM documents GROUP BY 1")

@@ -339,8 +339,7 @@ def mod_09_consensus(spark: SparkSession, d: str) -> DataFrame:
     answer = lambda c: F.concat(F.lit('I think {"decision": "'), c, F.lit('", "reasoning": "r"}'))
     first = F.when(F.col("l_returnflag") == "A", answer(F.lit("approve"))).when(F.col("l_returnflag") == "R", answer(F.lit("reject"))).otherwise(F.lit("no json"))
     second = F.when(F.col("l_linestatus") == "O", answer(F.lit("approve"))).otherwise(answer(F.lit("split")))
-    decision, rounds, score = K.consensus(first, second)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", decision.alias("decision"), rounds.alias("rounds"), score.alias("score"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", K.consensus(first, second).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
 @query("""
