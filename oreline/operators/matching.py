@@ -10,8 +10,8 @@ from ..functions import text as T
 from .lineage import cut
 
 
-BLOCK = 4096  # rows of wanted keys that one task walks through, on average; more beyond BLOCK * BLOCKS rows
-BLOCKS = 10_000  # so that a key has few rows of counters
+BLOCK, MOST_BLOCK = 4096, 500_000  # rows of wanted keys that one task walks through, on average, at least and at most
+BLOCKS = 32  # wished for between these, for rounds are as many as blocks at worst
 SLICE = 1024  # documents of a key that are fetched together
 
 
@@ -69,7 +69,7 @@ def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: st
     keys = documents.select("key").distinct()
     asked = wanted.select(src, "key", "prefer").join(keys, "key", "left_semi")
     n = asked.count()
-    blocks = max(1, min(BLOCKS, -(-n // BLOCK)))
+    blocks = max(1, -(-n // min(MOST_BLOCK, max(BLOCK, -(-n // BLOCKS)))))
     asked = cut(asked.repartitionByRange(blocks, src).withColumn("_block", F.spark_partition_id()))
     room = cut(asked.groupBy("_block", "key").agg(F.count("*").alias("_room")))
     first = asked.groupBy("_block", src).agg(F.max_by("key", "prefer").alias("key"))
@@ -80,8 +80,9 @@ def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: st
         counts = room.join(taken.groupBy("_block", "key").agg(F.count("*").alias("_n")), ["_block", "key"], "left")
         return cut(counts.select("_block", "key", "_room", F.coalesce(before, F.lit(0)).alias("_gone")))
 
-    guess, found, walked = counters(first), None, None
-    while True:
+    guess, found, rounds = counters(first), None, 0
+    while rounds < blocks:  # after as many rounds as there are blocks, all of them are settled
+        rounds += 1
         now = guess if found is None else counters(found)
         stale = now if found is None else now.join(guess.select("_block", "key", F.col("_gone").alias("_was")), ["_block", "key"]).where("_gone <> _was")
         stale = cut(stale.select("_block").distinct())
@@ -91,7 +92,7 @@ def assign_keys(wanted: DataFrame, offered: DataFrame, src: str = "src", doc: st
             figures.setdefault("walked", []).append(walked)
         if not walked or not n:
             break
-        need = now.join(F.broadcast(stale), "_block", "left_semi")  # at most BLOCKS rows
+        need = now.join(F.broadcast(stale), "_block", "left_semi")  # a row a block at most
         spans = need.select("_block", "key", "_room", "_gone", F.explode(F.sequence(F.floor(F.col("_gone") / SLICE), F.floor((F.col("_gone") + F.col("_room") - 1) / SLICE))).alias("_slice"))
         rows = spans.join(documents.withColumn("_slice", F.floor(F.col("rank") / SLICE)), ["key", "_slice"]).where("rank >= _gone and rank < _gone + _room").select(F.col("_block").alias("_of"), F.col("key").alias("key"), doc, "rank")
 
