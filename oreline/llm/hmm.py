@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +43,26 @@ GAIN = 1e-3  # relative gain of log-likelihood below which passes end after thes
 PRIOR = 200.0  # weight of the corpus distribution in a state's emissions
 END = b"\n"  # the end token: no word holds white space
 EVERY = 16  # steps between scalings: their product of probabilities stays far above the least double
-GROUP_TOKENS = 300_000  # tokens that are worked on at once, if a text is no longer
-FLUSH = 250_000  # words counted before a task passes its counts on
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """ASCII-lower-cased words; bytes split at ASCII white space only."""
-    return text.lower().split()
+GROUP_TOKENS = 800_000  # tokens that are worked on at once, if a text is no longer
+BLOCK_TOKENS = 8_192  # tokens of the steps that are worked on within a core's cache
+FLUSH = 1_000_000  # counts that a task merges; if half of them are left, it passes them on
+TEXTS = 4_000  # texts that are split at once
+PART = 128  # symbols whose expected counts make one row
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """ASCII-lower-cased words of binary texts, split at ASCII white space only: each text's number of words, their places among the distinct ones, and these."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    coded = lists.flatten().dictionary_encode()
+    words, sizes, places = coded.dictionary.view(pa.binary()), lists.value_lengths().to_numpy(), coded.indices.to_numpy()
+    blank = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if blank >= 0:  # beside white space at either end, and of blank texts
+        real = places != blank
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        places = places[real]
+        places = places - (places > blank)
+        words = words.filter(pa.array(np.arange(len(words)) != blank))
+    return sizes.astype(np.int64), places, words
 
 
 def class_of(word: bytes, classes: int) -> int:
@@ -58,18 +72,26 @@ def class_of(word: bytes, classes: int) -> int:
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over all rows of ``_text`` (binary), with the end token once a row."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["_text"]:
-                found.update(words_of(bytes(text)))
-                found[END] += 1
-                if len(found) > FLUSH:
-                    yield pd.DataFrame({"word": list(found), "c": list(found.values())})
-                    found.clear()
-        yield pd.DataFrame({"word": list(found), "c": list(found.values())})
-
-    return texts.mapInPandas(count, "word binary, c long").groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda words, c: pa.table({"word": words, "c": pa.array(c, pa.int64())})
+        merged = lambda tables: pa.concat_tables(tables).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+        found, ends = [made(pa.array([], pa.binary()), [])], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, TEXTS):
+                part = batch.column(0).slice(a, TEXTS)
+                _, places, words = split_words(part)
+                found.append(made(words, np.bincount(places, minlength=len(words))))
+                ends += len(part)
+                if sum(map(len, found)) > FLUSH:
+                    found = [merged(found)]
+                    if len(found[0]) > FLUSH // 2:
+                        yield from found.pop().to_batches()
+                        found = [made(pa.array([], pa.binary()), [])]
+        yield from merged(found).to_batches()
+        if ends:
+            yield from made(pa.array([END], pa.binary()), [ends]).to_batches()
+
+    return texts.mapInArrow(count, "word binary, c long").groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -155,6 +177,14 @@ class Group:
     rows: np.ndarray  # places of the texts
     symbols: np.ndarray  # of all steps, one after the other
     starts: np.ndarray  # where each step begins, and the end
+    last: np.ndarray  # the place of each text's last symbol
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """Ranges of steps of some BLOCK_TOKENS symbols, or of one step."""
+        cuts = [0]
+        while cuts[-1] < len(self.starts) - 1:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(self.starts, self.starts[cuts[-1]] + BLOCK_TOKENS, side="right")) - 1))
+        return list(zip(cuts, cuts[1:], strict=False))
 
 
 def groups(texts: list[np.ndarray]) -> Iterator[Group]:
@@ -173,112 +203,134 @@ def groups(texts: list[np.ndarray]) -> Iterator[Group]:
         symbols = np.empty(starts[-1], np.int32)
         for j, i in enumerate(rows):
             symbols[starts[: len(texts[i])] + j] = texts[i]
-        yield Group(rows, symbols, starts)
+        yield Group(rows, symbols, starts, starts[size - 1] + np.arange(len(rows)))
         a = b
 
 
-def forward(model: Hmm, g: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Scaled forward recursion: natural log-likelihood by text, alphas and emissions of all places, and the scales of every EVERY-th step.
+def forward(model: Hmm, g: Group, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Scaled forward recursion: natural log-likelihood by text, what its scales have left of it, and the scales of every EVERY-th step.
 
-    An alpha's sum over states at a text's last place is what its scales have left of its likelihood.
+    What is left is an alpha's sum over states at the text's last place. ``kept`` receives the alphas of all places.
     """
-    emitted = model.emit[g.symbols]
-    alpha, ones = np.empty_like(emitted), np.ones(len(model.start))
-    likelihood, scales = np.zeros(len(g.rows)), []
-    starts, before = g.starts.tolist(), None
-    for t, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-        now = alpha[a:b]
-        if before is None:
-            np.multiply(model.start, emitted[a:b], out=now)
-        else:
-            np.matmul(before[: b - a], model.step, out=now)
-            now *= emitted[a:b]
-        if t % EVERY == 0:
-            c = now @ ones
-            now /= c[:, None]
-            likelihood[: b - a] += np.log(c)
-            scales.append(c)
-        before = now
-    likelihood += np.log(alpha[last_places(g)] @ ones)
-    return likelihood, alpha, emitted, scales
-
-
-def last_places(g: Group) -> np.ndarray:
-    """The place of each text's last symbol."""
-    running = np.diff(g.starts)
-    steps = np.searchsorted(-running, -np.arange(len(g.rows)), side="left") - 1  # steps with more texts than this one's number
-    return g.starts[steps] + np.arange(len(g.rows))
+    likelihood, left, scales = np.zeros(len(g.rows)), np.empty(len(g.rows)), []
+    starts, running, before, ones = g.starts.tolist(), [*np.diff(g.starts).tolist(), 0], None, np.ones(len(model.start))
+    for first, end in g.blocks():
+        base, limit = starts[first], starts[end]
+        emitted = model.emit.take(g.symbols[base:limit], axis=0)
+        alpha = np.empty_like(emitted) if kept is None else kept[base:limit]
+        a = 0
+        for t in range(first, end):
+            b = starts[t + 1] - base
+            now = alpha[a:b]
+            if before is None:
+                np.multiply(model.start, emitted[a:b], out=now)
+            else:
+                np.dot(before[: b - a], model.step, out=now)
+                np.multiply(now, emitted[a:b], out=now)
+            if t % EVERY == 0:
+                c = now @ ones
+                now /= c[:, None]
+                likelihood[: b - a] += np.log(c)
+                scales.append(c)
+            before, a = now, b
+        over = slice(running[end], running[first])
+        left[over] = alpha[g.last[over] - base] @ ones  # of the texts that end in the block
+    return likelihood + np.log(left), left, scales
 
 
 class Expected:
-    """Expected counts of a Baum-Welch pass."""
+    """Expected counts of a Baum-Welch pass.
+
+    A group's alphas are kept; emissions and betas only for a block of steps, which stays in a core's cache.
+    """
 
     def __init__(self, n_symbols: int, states: int):
         self.emit, self.step, self.start = np.zeros((n_symbols, states)), np.zeros((states, states)), np.zeros(states)
         self.likelihood = 0.0
+        self.flat = self.emit.reshape(-1).view(float if states % 2 else complex)  # the same counts, added two states at a time if these are even
+        self.places = np.arange(len(self.flat)).reshape(n_symbols, -1)
+        self.room = np.empty((0, states))
 
     def add(self, model: Hmm, texts: list[np.ndarray]) -> None:
         states = len(model.start)
+        back_step, moved = model.step.T.copy(), np.zeros((states, states))
         for g in groups(texts):
-            likelihood, alpha, back, scales = forward(model, g)  # back: emissions, and below times beta
+            if len(self.room) < len(g.symbols):
+                self.room = np.empty((len(g.symbols), states))
+            alpha = self.room[: len(g.symbols)]
+            likelihood, left, scales = forward(model, g, alpha)
             self.likelihood += likelihood.sum()
-            for t, c in enumerate(scales):
-                a = g.starts[t * EVERY]
-                back[a : a + len(c)] /= c[:, None]
-            last = last_places(g)
-            beta = np.empty_like(alpha)
-            beta[last] = 1 / alpha[last].sum(1, keepdims=True)
-            back_step, moved, more = model.step.T.copy(), np.zeros((states, states)), np.empty((states, states))
-            starts = g.starts.tolist()
-            for t in range(len(starts) - 3, -1, -1):  # a step's texts, and the same texts' places before it
-                here, a, b = starts[t : t + 3]
-                now, there = back[a:b], here + b - a
-                now *= beta[a:b]
-                np.matmul(now, back_step, out=beta[here:there])
-                np.matmul(alpha[here:there].T, now, out=more)
-                moved += more
-            self.step += model.step * moved
-            alpha *= beta
-            self.start += alpha[: g.starts[1]].sum(0)
-            for k in range(states):
-                self.emit[:, k] += np.bincount(g.symbols, weights=alpha[:, k], minlength=len(self.emit))
+            starts, running, after = g.starts.tolist(), [*np.diff(g.starts).tolist(), 0], None
+            narrower = np.flatnonzero(np.diff(running))  # steps after which texts end
+            for first, end in reversed(g.blocks()):
+                base, limit = starts[first], starts[end]
+                symbols, here = g.symbols[base:limit].astype(np.intp), alpha[base:limit]
+                back, beta = model.emit.take(symbols, axis=0), np.empty((limit - base, states))  # back: emissions, and in the loop times beta
+                over = slice(running[end], running[first])
+                beta[g.last[over] - base] = 1 / left[over, None]
+                b = limit - base
+                if after is not None:
+                    moved += here[starts[end - 1] - base :][: len(after)].T @ after
+                for t in range(end - 1, first - 1, -1):
+                    a = starts[t] - base
+                    if after is not None:
+                        np.dot(after, back_step, out=beta[a : a + len(after)])
+                    after = back[a:b]
+                    np.multiply(after, beta[a:b], out=after)
+                    if t % EVERY == 0:
+                        after /= scales[t // EVERY][:, None]
+                    b = a
+                a = first
+                for t in [*narrower[np.searchsorted(narrower, first) : np.searchsorted(narrower, end - 1)].tolist(), end - 1]:
+                    u, v, w = starts[a] - base, starts[t] - base, starts[t + 1] - base
+                    if t > a:  # moves within steps of the same texts, at once
+                        moved += here[u:v].T @ back[starts[a + 1] - base : w]
+                    if t < end - 1:
+                        moved += here[v : v + running[t + 1]].T @ back[w : w + running[t + 1]]
+                    a = t + 1
+                after = after.copy()
+                beta *= here
+                if first == 0:
+                    self.start += beta[: running[0]].sum(0)
+                np.add.at(self.flat, self.places.take(symbols, axis=0).ravel(), beta.reshape(-1).view(self.flat.dtype))
+        self.step += model.step * moved
 
 
 def encode(docs: DataFrame, vocabulary, held: Column, id_col: str, text_col: str) -> DataFrame:
     """A staged row for each text: symbols, sums over what the head covers, and the other words."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         whole = np.log10(v.n_tokens + v.n_words + 1.0)
         class_log = np.log10(v.class_size)
         share = np.where(np.arange(len(v.symbol)) < v.own, 0.0, v.log_count - class_log[np.maximum(0, v.symbol - v.own)]) if len(v.symbol) else np.zeros(0)
-        base = v.log_count - whole
-        get, end = v.place.get, v.place.get(END, -1)
+        head_base, head_share, head_symbol = np.append(v.log_count, 0.0) - whole, np.append(share, 0.0), np.append(v.symbol, 0)  # the last is of words outside
+        head = pa.array(list(v.place), pa.binary())
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for pdf in batches:
-            for a in range(0, len(pdf), 1000):
-                part, out = pdf.iloc[a : a + 1000], []
-                for text in part["_text"]:
-                    words = words_of(bytes(text))
-                    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    at = np.append(at, end)
-                    rare = np.flatnonzero(at < 0)
-                    symbols = v.symbol[at] if len(v.symbol) else np.zeros(len(at), np.int32)
-                    other = [words[i] if i < len(words) else END for i in rare.tolist()]
-                    if other:
-                        g = np.array([class_of(w, len(class_log)) for w in other])
-                        symbols[rare] = v.own + g
-                        lost = class_log[g].sum()
-                    else:
-                        lost = 0.0
-                    seen = at[at >= 0]
-                    out.append((len(at), len(seen), base[seen].sum() - whole * len(rare), share[seen].sum() - lost, symbols.astype("<i4").tobytes(), b" ".join(w for w in other if w != END).decode()))
-                made = pd.DataFrame(out, columns=["n_tokens", "n_head", "base", "share", "symbols", "rare"])
-                made["row"], number = np.arange(number, number + len(made)), number + len(made)
-                yield made.assign(id=part["_id"].to_numpy(), held=part["_held"].to_numpy())
+        for batch in batches:
+            for a in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(a, TEXTS)
+                sizes, places, words = split_words(part.column(2))
+                n, end = len(sizes), len(words)
+                at = np.append(pc.index_in(words, value_set=head).fill_null(-1).to_numpy().astype(np.int64), v.place.get(END, -1))
+                base, lost, symbol = head_base[at], head_share[at], head_symbol[at]
+                outside = np.flatnonzero(at < 0)
+                g = np.array([class_of(w, len(class_log)) for w in [*words.filter(pa.array(at[:end] < 0)).to_numpy(zero_copy_only=False), END][: len(outside)]], np.int64)
+                lost[outside], symbol[outside] = -class_log[g], v.own + g
+                cuts = np.concatenate([[0], np.cumsum(sizes + 1)])
+                tokens = np.full(cuts[-1], end)
+                tokens[np.arange(len(places)) + np.repeat(np.arange(n), sizes)] = places
+                known = at[tokens] >= 0
+                rare = np.flatnonzero(~known & (tokens != end))
+                listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, cuts), pa.int32()), words.take(pa.array(tokens[rare])).view(pa.string()))
+                total = lambda of, cuts=cuts: pa.array(np.add.reduceat(of, cuts[:-1]))
+                coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * 4).astype("<i4")), pa.py_buffer(symbol[tokens].astype("<i4"))])
+                columns = [pa.array(np.arange(number, number + n)), part.column(0), part.column(1), pa.array(sizes + 1), total(known.astype(np.int64)), total(base[tokens]), total(lost[tokens]), coded, pc.binary_join(listed, " ")]
+                number += n
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held", "n_tokens", "n_head", "base", "share", "symbols", "rare"])
 
     slim = docs.select(F.col(id_col).cast("string").alias("_id"), held.alias("_held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    return stage(slim.mapInPandas(work, "row long, id string, held boolean, n_tokens long, n_head long, base double, share double, symbols binary, rare string"), "lm-encoded")
+    return stage(slim.mapInArrow(work, "row long, id string, held boolean, n_tokens long, n_head long, base double, share double, symbols binary, rare string"), "lm-encoded")
 
 
 def as_symbols(column: pd.Series) -> list[np.ndarray]:
@@ -286,9 +338,10 @@ def as_symbols(column: pd.Series) -> list[np.ndarray]:
 
 
 def baum_welch(encoded: DataFrame, model: Hmm, passes: int, figures: dict | None = None) -> Hmm:
-    """``passes`` or more over all rows of ``encoded``, until one gains little: counts per partition, summed by symbol."""
+    """``passes`` or more over all rows of ``encoded``, until one gains little: counts per partition, summed by PART symbols."""
     spark, states = encoded.sparkSession, len(model.start)
-    names = [f"s{i}" for i in range(states)]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, encoded.rdd.getNumPartitions() // 3)  # each sends counts of all its symbols
+    symbols = encoded.select("symbols").coalesce(tasks)
     done, last, now = 0, -np.inf, -np.inf
     while done < passes or now - last > GAIN * abs(last):
         sent = spark.sparkContext.broadcast(model)
@@ -299,13 +352,24 @@ def baum_welch(encoded: DataFrame, model: Hmm, passes: int, figures: dict | None
             for pdf in batches:  # all of a batch at once: the longest texts set the number of steps
                 total.add(m, as_symbols(pdf["symbols"]))
             rows = np.vstack([total.emit, total.step, total.start[None], np.full((1, states), total.likelihood)])
-            used = np.flatnonzero(rows.any(1))
-            yield pd.DataFrame(rows[used], columns=names).assign(symbol=used)
+            parts = [(i // PART, rows[i : i + PART]) for i in range(0, len(rows), PART)]
+            yield pd.DataFrame([(i, x.tobytes()) for i, x in parts if x.any()], columns=["part", "counts"])
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for i, x in zip(pdf["part"], pdf["counts"], strict=True):
+                    if i in total:
+                        total[i] += np.frombuffer(x)
+                    else:
+                        total[i] = np.frombuffer(x).copy()
+            yield pd.DataFrame([(i, x.tobytes()) for i, x in total.items()], columns=["part", "counts"])
 
-        summed = encoded.select("symbols").mapInPandas(expect, ", ".join(f"{n} double" for n in names) + ", symbol int").groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names))
+        kind = "part int, counts binary"
+        summed = symbols.mapInPandas(expect, kind).repartition("part").mapInPandas(add, kind)
         total = np.zeros((len(model.emit) + states + 2, states))
-        found = summed.toPandas()  # at most symbols + states + 2 rows
-        total[found["symbol"].to_numpy()] = found[names].to_numpy()
+        for i, x in summed.collect():  # all parts together: symbols + states + 2 rows of counts
+            total[i * PART : (i + 1) * PART] = np.frombuffer(x).reshape(-1, states)
         k = len(model.emit)
         model = model.refit(total[:k], total[k : k + states], total[k + states])
         done, last, now = done + 1, now, total[k + states + 1, 0]
@@ -351,8 +415,8 @@ def hmm_scores(docs: DataFrame, held: Column, text_col: str = "text", id_col: st
     names = ["row", "id", "held", "n_tokens", "n_head", "base", "share"]
     scored = encoded.select(*names, "symbols").mapInPandas(score, "row long, id string, held boolean, n_tokens long, n_head long, base double, share double")
     rare = encoded.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
-    rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"), F.count("c").alias("n_rare"))
-    out = scored.join(rare, "row", "left")
+    rare = rare.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"), F.count("c").alias("n_rare"))
+    out = scored.join(rare.hint("shuffle_hash"), "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import as_documents, edge_rows
 from pyspark.sql import functions as F
@@ -129,3 +131,52 @@ def test_symbols_grow_with_the_vocabulary(spark, monkeypatch):
         assert v.class_size.sum() == len(v.class_size) + sum(2 + i % 50 for i in range(n)) - sum(1 + round(10 ** v.log_count[p] - 1) for p in range(v.own))
     assert sizes[1][0] == 10 * sizes[0][0] == H.OWN * 100 if H.OWN * 10 <= 100 else sizes[1][0] == H.OWN * 100
     assert sizes[1][1] > sizes[0][1]
+
+
+def test_words_are_split_as_bytes():
+    """Odd white space, bytes that are no UTF-8, letters beyond ASCII, blank texts: as bytes.lower().split()."""
+    texts = [b"", b" ", b" \t\n", b"a", b" a", b"A\x0bb\x0cc\x1cd\x00e\r\nf ", b"\xff\xfe X\xc3\x84 y", "Ä ß x Y".encode(), b"  a  a  "]
+    for rows in (texts, texts[3:4], texts[:1], []):
+        sizes, places, words = H.split_words(pa.array(rows, pa.binary()))
+        words = words.to_pylist()
+        assert sizes.tolist() == [len(x.split()) for x in rows] and b"" not in words
+        assert [words[i] for i in places] == [w for x in rows for w in x.lower().split()]
+
+
+@pytest.mark.parametrize(("states", "group", "block"), [(2, 10**6, 1), (3, 10**6, 7), (4, 150, 64), (5, 60, 10**6)])
+def test_blocks_give_the_counts_of_single_texts(monkeypatch, states, group, block):
+    """Whatever the sizes of groups and blocks, counts are those of plain recursions over one text after the other."""
+    monkeypatch.setattr(H, "GROUP_TOKENS", group)
+    monkeypatch.setattr(H, "BLOCK_TOKENS", block)
+    rng = np.random.default_rng(states)
+    model = H.Hmm(rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(9), states).T, np.full(9, 1 / 9))
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 40, 0, 17, 16, 40, 3, 33, 1, 16, 100)]
+    total = H.Expected(9, states)
+    total.add(model, texts)
+    emit, step, start, likelihood = np.zeros((9, states)), np.zeros((states, states)), np.zeros(states), 0.0
+    for x in filter(len, texts):
+        alpha, beta = [model.start * model.emit[x[0]]], [np.ones(states)]
+        for s in x[1:]:
+            alpha.append(alpha[-1] @ model.step * model.emit[s])
+        for s in x[:0:-1]:
+            beta.insert(0, model.step @ (model.emit[s] * beta[0]))
+        z = alpha[-1].sum()
+        likelihood += math.log(z)
+        start += alpha[0] * beta[0] / z
+        for t, s in enumerate(x):
+            emit[s] += alpha[t] * beta[t] / z
+            if t:
+                step += np.outer(alpha[t - 1], model.emit[s] * beta[t]) * model.step / z
+    assert np.allclose(total.emit, emit, rtol=1e-10) and np.allclose(total.step, step, rtol=1e-10) and np.allclose(total.start, start, rtol=1e-10) and math.isclose(total.likelihood, likelihood, rel_tol=1e-10)
+
+
+def test_a_pass_costs_less_than_its_texts_do_in_memory():
+    """Emissions and betas are held for a block only: the memory of a group is little more than its alphas."""
+    model = H.Hmm.random(np.full(50, 0.02), 8)
+    texts = [np.arange(n) % 50 for n in (2000, *[400] * 900)]
+    H.Expected(50, 8).add(model, texts[:3])
+    tracemalloc.start()
+    H.Expected(50, 8).add(model, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * sum(map(len, texts))
