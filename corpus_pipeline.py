@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreline.llm import mixing, neardup, packing, queries, secrets, toxicity
-from oreline.llm.common import new_path, quoted, remove, working_names
+from oreline.llm.common import new_path, quoted, remove, small_batches, stage, working_names
 
 #: Words of a shingle, and per cent of common shingles from which documents are near-duplicates.
 SHINGLE, NEAR_PERCENT = 5, 80
@@ -23,12 +23,14 @@ MIX_PERCENT = 90
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not flag; without labels of both classes, all of them."""
     labels = queries.table(spark, sf_dir, "labels")
-    return toxicity.toxicity(docs, labels).where(~F.col("flagged")).select(docs.columns)
+    with small_batches(spark):
+        return stage(toxicity.toxicity(docs, labels).where(~F.col("flagged")).select(*map(quoted, docs.columns)), "pipeline-clean")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id. Documents without words or id stay."""
-    return neardup.drop_near_duplicates(docs, size=SHINGLE, percent=NEAR_PERCENT).select(docs.columns)
+    with small_batches(spark):
+        return neardup.drop_near_duplicates(docs, size=SHINGLE, percent=NEAR_PERCENT).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of all documents with their places in sequences of 4096 tokens."""
     pieces = packing.tokenize_pieces(docs, queries.tokenizer_path())
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack_pieces(pieces, order=["doc_id", "piece"])
+    with small_batches(spark):  # pieces are staged inside
+        return packing.pack_pieces(pieces, order=["doc_id", "piece"])
 
 
 STAGES = [
@@ -68,9 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, made = queries.table(spark, sf_dir, "documents"), []
-    for name, stage in STAGES[:-1]:
+    for name, step in STAGES[:-1]:
         made.append(new_path(spark, f"pipeline-{name}"))
-        stage(spark, docs, sf_dir).write.parquet(made[-1])
+        step(spark, docs, sf_dir).write.parquet(made[-1])
         docs = spark.read.parquet(made[-1])
     out = STAGES[-1][1](spark, docs, sf_dir)  # reads its own staged pieces, no documents
     remove(spark, made)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows are at most this many.
 BROADCAST_ROWS = 100_000
+#: Rows of whole texts that Python workers work on at once, and that one Arrow batch holds in :func:`small_batches`.
+TEXT_ROWS = 1_000
 #: Folders made for applications on one machine that name none.
 LOCAL: dict[str, str] = {}
 
@@ -47,6 +51,22 @@ def stage(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs run inside exchange Arrow batches of at most ``rows`` rows with Python; a smaller bound of the session holds.
+
+    Spark's 10,000 rows of whole texts are tens of MB, held several times over by the
+    executor and by each of its Python workers. What is lazy runs outside, by the session's bound.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged folders that nothing reads any more."""
     for p in paths:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup_join, remove, stage
+from .common import BROADCAST_ROWS, TEXT_ROWS, lookup_join, remove, stage
 
 STEP, MOST_TREES = 5, 48  # minima that a region's rows share, fewer where more trees than that would be needed
 MISS = 1e-6  # share of pairs at the threshold that may meet in no tree
@@ -130,7 +130,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, size: int, text_col: st
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_rep": pdf["_rep"], "_set": [shingle_set(bytes(t), size).tobytes() for t in pdf["_text"]]})
+            for a in range(0, len(pdf), TEXT_ROWS):
+                part = pdf.iloc[a : a + TEXT_ROWS]
+                yield pd.DataFrame({"_rep": part["_rep"], "_set": [shingle_set(bytes(t), size).tobytes() for t in part["_text"]]})
 
     rows = docs.select(F.col(id_col).alias("_rep"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).where(F.col("_rep").isNotNull())
     return lookup_join(rows, ids, ["_rep"], n_ids, "left_semi").mapInPandas(read, "_rep long, _set binary")
@@ -240,9 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, text_col:
     reps = stage(all_rows.where("n > 0 and _id is not null").groupBy(*key).agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig")), "dedup-sets", made)
 
     def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (x.iloc[a : a + TEXT_ROWS] for x in batches for a in range(0, len(x), TEXT_ROWS)):  # a row makes ``trees`` rows
             sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint32).reshape(-1, width)
             keys, tails = np.empty((len(sig), trees), np.uint64), np.empty((len(sig), trees, TAIL), np.uint16)
             for t in range(trees):

@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -47,15 +48,22 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.by_word = Tokenizer.from_file(path)  # for words that are cut and lower-cased already
         self.by_word.normalizer = normalizers.Sequence([])
         self.by_word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
-        names = self.tokenizer.get_vocab()
+        names = self.by_word.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded with the first text that is encoded whole: tens of MB in every worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]

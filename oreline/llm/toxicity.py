@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, working_names
+from .common import TEXT_ROWS, stage, working_names
 from .linear import Rows, fit_logistic, logit, sigmoid
 
 SAMPLE = 6_000  # labelled rows that the chain is fitted on, at most
@@ -159,7 +159,8 @@ def score_chain(docs: DataFrame, chain: Chain, text_col: str = "text", threshold
     @F.pandas_udf("struct<" + ",".join(f"`{n}`:double" for n in names) + ">")
     def probabilities(texts: pd.Series) -> pd.DataFrame:
         model = sent.value
-        return pd.DataFrame(model.score(feature_lists(texts, model.known, cache)), columns=names)
+        parts = [model.score(feature_lists(texts.iloc[a : a + TEXT_ROWS], model.known, cache)) for a in range(0, len(texts), TEXT_ROWS)]
+        return pd.DataFrame(np.concatenate([np.empty((0, len(names))), *parts]), columns=names)
 
     least = chain.threshold if threshold is None or math.isinf(chain.threshold) else threshold
     out = docs.withColumn(scores, probabilities(text_bytes(text_col)))

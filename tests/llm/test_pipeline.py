@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import corpus_pipeline as C
+import numpy as np
 from conftest import edge_rows, sentence
 from test_mixing import fill
 
-from oreline.llm import queries
+from oreline.llm import queries, toxicity
+from oreline.llm.common import TEXT_ROWS, small_batches
 
 
 def test_stages_against_plain_python(spark, tmp_path):
@@ -139,3 +141,48 @@ def test_mixing_against_plain_python(spark, tmp_path):
                 break
             want.add(i)
     assert got == want
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """Jobs of the stages that hand whole texts to Python run under the bound, and the session has its own again afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    own = spark.conf.get(key)
+    docs = spark.range(2 * TEXT_ROWS + 500, numPartitions=1).selectExpr("id AS doc_id", "'some words' AS text", "'en' AS lang", "'src1' AS source", "10L AS n_chars")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes = lambda df: df.select("doc_id").mapInPandas(lambda batches: (x.assign(doc_id=len(x)).head(1) for x in batches), "doc_id long")
+
+    def spied(module, name):
+        def run(df, *args, **how):
+            seen[name] = max(r[0] for r in sizes(docs).collect())
+            return kept(df, *args, **how)
+
+        kept = getattr(module, name)
+        monkeypatch.setattr(module, name, run)
+
+    spied(C.toxicity, "score_chain")
+    spied(C.neardup, "near_duplicates")
+    spied(C.packing, "pack_pieces")
+    stages = dict(C.STAGES)
+    for name in ("toxicity", "near_duplicates", "packing"):
+        stages[name](spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == own
+    assert seen == {"score_chain": TEXT_ROWS, "near_duplicates": TEXT_ROWS, "pack_pieces": TEXT_ROWS}
+    spark.conf.set(key, "7")
+    try:
+        with small_batches(spark):
+            assert max(r[0] for r in sizes(docs).collect()) == 7
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, own)
+
+
+def test_scores_do_not_depend_on_slices(spark):
+    """Rows beyond TEXT_ROWS of one Arrow batch are scored, in their order."""
+    words = ["idiot", "kind", "moron", "calm", "even"]
+    rows = [(i, f"{words[i % 5]} {words[i % 3]} text") for i in range(2 * TEXT_ROWS + 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lists = toxicity.feature_lists([t.encode() for _, t in rows], None, {})
+    chain = toxicity.train_chain(lists[:100], np.array([[int(i % 5 in (0, 2))] for i in range(100)]), ["toxic"])
+    kept = [np.array(sorted(chain.known[x] for x in row.tolist() if x in chain.known), np.int32) for row in lists]
+    got = {r["doc_id"]: r["p_toxic"] for r in toxicity.score_chain(docs, chain).collect()}
+    assert len(got) == len(rows) and np.allclose([got[i] for i in range(len(rows))], chain.score(kept)[:, 0], rtol=0, atol=1e-12)
