@@ -67,3 +67,8 @@ def assert_uncrowded(df) -> None:
 
 def test_overlaps_are_counted_in_blocks(spark):
     assert_uncrowded(M.overlap_pairs(crowded(spark), 0.5))
+
+
+def test_jaccard_pairs_are_counted_in_blocks(spark):
+    rows = crowded(spark)
+    assert_uncrowded(M.token_pairs(rows.withColumnRenamed("id", "src"), rows.withColumnRenamed("id", "doc"), 0.3))
