@@ -10,6 +10,7 @@ from ..functions import text as T
 from . import gaps as G
 from . import matching as M
 from .lineage import cut
+from .similar import similar_sets
 
 
 def fact_check(spec: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +160,7 @@ def conflicts(policies: DataFrame, least: float = 0.5) -> DataFrame:
     """
     words = F.array_distinct(F.filter(F.split("condition", r"\s+"), lambda w: F.length(w) >= 2))
     p = policies.where(F.coalesce("condition", F.lit("")) != "").select("id", "created", "outcome", words.alias("tokens")).where(F.size("tokens") > 0)
-    sets = p.select(M.token_key(F.col("tokens")).alias("k"), "tokens").distinct()
-    pairs = M.ordered_overlaps(sets, least)
-    a, b = (p.select(M.token_key(F.col("tokens")).alias(f"k{i}"), F.col("id").alias(f"id{i}"), F.col("created").alias(f"c{i}"), F.col("outcome").alias(f"o{i}")) for i in "12")
-    j = pairs.join(a, "k1").join(b, "k2")
+    a, b = (p.select(F.col("id").alias(f"id{i}"), F.col("created").alias(f"c{i}"), F.col("outcome").alias(f"o{i}"), "tokens") for i in "12")
+    j = similar_sets(a, b, least, contained=True)
     newer = (F.col("c1") > F.col("c2")) | ((F.col("c1") == F.col("c2")) & (F.col("id1") < F.col("id2")))
-    return j.where(newer & ~F.col("o1").eqNullSafe(F.col("o2"))).select(F.col("id1").alias("a"), F.col("id2").alias("b"), "overlap")
+    return j.where(newer & ~F.col("o1").eqNullSafe(F.col("o2"))).select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("score").alias("overlap"))

@@ -72,3 +72,12 @@ def test_overlaps_are_counted_in_blocks(spark):
 def test_jaccard_pairs_are_counted_in_blocks(spark):
     rows = crowded(spark)
     assert_uncrowded(M.token_pairs(rows.withColumnRenamed("id", "src"), rows.withColumnRenamed("id", "doc"), 0.3))
+
+
+def test_conflicts_are_counted_in_blocks(spark):
+    rows = crowded(spark, "created", "outcome").selectExpr("id", "created", "outcome", "array_join(tokens, ' ') as condition")
+    found = C.conflicts(rows)
+    assert_uncrowded(found)
+    r = [(x["id"], x["created"], x["outcome"], x["condition"].split()) for x in rows.collect()]
+    want = {(a[0], b[0], score(a[3], b[3], True)) for a in r for b in r if (a[1] > b[1] or (a[1] == b[1] and a[0] < b[0])) and a[2] != b[2]}
+    assert {tuple(x) for x in found.collect()} == {w for w in want if w[2] >= 0.5}
