@@ -81,3 +81,13 @@ def test_conflicts_are_counted_in_blocks(spark):
     r = [(x["id"], x["created"], x["outcome"], x["condition"].split()) for x in rows.collect()]
     want = {(a[0], b[0], score(a[3], b[3], True)) for a in r for b in r if (a[1] > b[1] or (a[1] == b[1] and a[0] < b[0])) and a[2] != b[2]}
     assert {tuple(x) for x in found.collect()} == {w for w in want if w[2] >= 0.5}
+
+
+def test_names_are_kept_once_at_the_threshold(spark, monkeypatch):
+    """0.7 itself is found by token_pairs and left out by a query that wants more, in blocks as well."""
+    monkeypatch.setattr(S, "FEW", -1)
+    ten = [f"w{i}" for i in range(10)]
+    rows = spark.createDataFrame([(1, ten), (2, ten[:7]), (3, ten), (4, ten[:8])], "id long, tokens array<string>")
+    found = M.token_pairs(rows.withColumnRenamed("id", "src"), rows.withColumnRenamed("id", "doc"), 0.7).where("src < doc")
+    assert_uncrowded(found)
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 0.7), (1, 3, 1.0), (1, 4, 0.8), (2, 3, 0.7), (2, 4, 0.875), (3, 4, 0.8)}
