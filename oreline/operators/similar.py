@@ -168,8 +168,9 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float, contained:
     fits = F.col("n2") >= F.lit(threshold) * F.col("n1") - 1e-9
     fits = fits if contained else fits & (F.col("n1") >= F.lit(threshold) * F.col("n2") - 1e-9)
     pairs = a.hint("merge").join(b, "t").where(fits).select("k1", "k2").distinct()
-    of = lambda k, c: sets.select(F.col("k").alias(k), F.col("codes").alias(c))
+    of = lambda k, c: sets.select(F.col("k").alias(k), F.col("codes").alias(c)).hint("merge")
     pairs = pairs.join(of("k1", "c1"), "k1").join(of("k2", "c2"), "k2").withColumn("_shared", F.size(F.array_intersect("c1", "c2")))
     score = F.col("_shared") / (F.size("c1") if contained else F.size("c1") + F.size("c2") - F.col("_shared"))
     pairs = pairs.select("k1", "k2", score.alias("score")).where(F.col("score") >= threshold)
-    return pairs.join(left.withColumnRenamed("k", "k1").drop("tokens"), "k1").join(right.withColumnRenamed("k", "k2").drop("tokens"), "k2").drop("k1", "k2")
+    whose = lambda df, k: df.withColumnRenamed("k", k).drop("tokens").hint("merge")
+    return pairs.join(whose(left, "k1"), "k1").join(whose(right, "k2"), "k2").drop("k1", "k2")
