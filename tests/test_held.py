@@ -32,3 +32,7 @@ def test_held_in_scopes(spark, crowd):
 
 def test_orphan_conditions_send_nothing_to_all(spark):
     assert "Broadcast" not in plan(QUERIES["join_20_orphan_conditions"](spark, SF_DIR))
+
+
+def test_diagnosis_sends_nothing_to_all(spark):
+    assert "Broadcast" not in plan(QUERIES["mod_02_diagnosis"](spark, SF_DIR))
