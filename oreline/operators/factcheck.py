@@ -149,8 +149,31 @@ def spec_gaps(items: DataFrame, gaps: DataFrame) -> DataFrame:
     named = j.where(good).select("gap", F.explode(F.array_distinct(F.array_compact(F.array("j.path", "j.api")))).alias("path"))
     plain = j.where(~good & F.col("source_item").isNotNull()).select("gap", "source_item")
     inside = M.contains_pairs(items.select(F.col("path").alias("src"), F.col("path").alias("a")).distinct(), plain.select(F.col("source_item").alias("doc"), F.col("source_item").alias("b")).distinct())
-    inside = inside.select(F.col("src").alias("path"), F.col("doc").alias("source_item")).where(F.col("source_item").contains(F.col("path"))).join(plain, "source_item")
-    return items.join(named.unionByName(inside.select("gap", "path")).distinct(), "path").select("id", "gap").distinct()
+    inside = inside.select(F.col("src").alias("path"), F.col("doc").alias("source_item")).where(F.col("source_item").contains(F.col("path"))).join(plain.hint("merge"), "source_item")
+    return path_pairs(items.select("id", "path"), named.unionByName(inside.select("gap", "path")))
+
+
+def path_pairs(items: DataFrame, gaps: DataFrame, part: int = 512) -> DataFrame:
+    """Distinct (id, gap) of items (id, path) and gaps (gap, path) of a path.
+
+    Pairs are made after the last shuffle, from parts of each path's ids and gaps, so
+    that only these are sent, however many pairs they make. A pair of several paths is
+    made at the least of them.
+    """
+
+    def parts(df: DataFrame, key: str) -> DataFrame:
+        known = df.where("path is not null").groupBy(key).agg(F.sort_array(F.collect_set("path")).alias("_all")).select(key, "_all", F.explode("_all").alias("path"))
+        # Parts have ``part`` rows on average; a row with one path needs no list of them.
+        dealt = known.withColumn("_all", F.when(F.size("_all") > 1, F.col("_all")))
+        number = dealt.groupBy("path").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts"))
+        dealt = dealt.join(number.hint("merge"), "path").withColumn("_part", F.pmod(F.hash(key), F.col("_parts")))
+        return dealt.groupBy("path", "_part").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_all").alias("paths"))).alias(f"_{key}")).drop("_part")
+
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = parts(items, "id").hint("merge").join(parts(gaps, "gap"), "path").repartition(n)
+    made = met.select("path", F.explode("_id").alias("a"), "_gap").select("path", "a", F.explode("_gap").alias("b"))
+    first = F.array_min(F.array_intersect("a.paths", "b.paths"))
+    return made.where(F.col("a.paths").isNull() | F.col("b.paths").isNull() | (first == F.col("path"))).select(F.col("a.k").alias("id"), F.col("b.k").alias("gap"))
 
 
 def conflicts(policies: DataFrame, least: float = 0.5) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
 from oreline.catalog import QUERIES
+from oreline.operators import factcheck as C
 from oreline.operators import matching as M
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -36,3 +38,21 @@ def test_orphan_conditions_send_nothing_to_all(spark):
 
 def test_diagnosis_sends_nothing_to_all(spark):
     assert "Broadcast" not in plan(QUERIES["mod_02_diagnosis"](spark, SF_DIR))
+
+
+def test_spec_gaps_of_several_paths_once(spark):
+    draw = random.Random(7)
+    paths = [f"/p{i}" for i in range(6)]
+    items = [(i, draw.choice(paths)) for i in range(60) for _ in range(draw.randrange(4))] + [(None, "/p1"), (5, None)]
+    gaps = [(g, draw.choice(paths)) for g in range(70) for _ in range(draw.randrange(4))] + [(3, None)]
+    found = C.path_pairs(spark.createDataFrame(items, "id long, path string"), spark.createDataFrame(gaps, "gap long, path string"), part=4)
+    assert Counter(map(tuple, found.collect())) == Counter({(i, g) for i, p in items for g, q in gaps if p is not None and p == q})
+
+
+def test_pairs_of_a_path_are_not_shuffled(spark):
+    """Of one path with 2,000 ids and 2,000 gaps, parts are sent and not four million pairs."""
+    items, gaps = (spark.range(2000).selectExpr(f"id as {c}", "'/p' as path") for c in ("id", "gap"))
+    found = C.path_pairs(items, gaps)
+    assert found.count() == 4_000_000
+    tree = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in tree.split("Generate explode(_id")[0]  # from the pairs on, upwards
