@@ -32,7 +32,7 @@ def fact_check(spec: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         return df.select(F.lit(kind).alias("kind"), "gap_type", "severity", have("src", "long").alias("src"), have("doc", "long").alias("doc"), have("name", "string").alias("name"), have("noise", "string").alias("noise"))
 
     undocumented = G.missing_in_document(apis.withColumn("primary", F.lit(False)), api)
-    left = tables.join(tab.select("src"), "src", "left_anti")
+    left = tables.join(tab.select("src").hint("merge"), "src", "left_anti")
     why = rules.table_noise(F.col("name"), F.col("n_columns"))
     level = severity.gap_severity(F.lit("MID"), F.lit(False), F.lit(False), none("boolean"))
     unknown = left.select("src", F.lit("MID").alias("gap_type"), F.when(why.isNotNull(), "LOW").otherwise(level).alias("severity"), why.alias("noise"))

@@ -11,7 +11,7 @@ from ..functions import rules, severity
 
 def missing_in_document(sources: DataFrame, matches: DataFrame) -> DataFrame:
     """MID gaps of unmatched source items (src, path, controller, primary): noise is resolved at once."""
-    left = sources.join(matches.select("src"), "src", "left_anti")
+    left = sources.join(matches.select("src").hint("merge"), "src", "left_anti")
     noise = rules.api_noise(F.col("path"), F.coalesce("controller", F.lit("")))
     kind = severity.gap_severity(F.lit("MID"), F.col("primary"), F.lit(False), ~rules.is_internal(F.col("path")))
     return left.select("src", F.lit("MID").alias("gap_type"), F.when(noise.isNotNull(), "LOW").otherwise(kind).alias("severity"), noise.alias("noise"), noise.isNotNull().alias("auto_resolved"))
@@ -20,7 +20,7 @@ def missing_in_document(sources: DataFrame, matches: DataFrame) -> DataFrame:
 def missing_in_source(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """MC gaps of unmatched document items (doc, required)."""
     kind = severity.gap_severity(F.lit("MC"), F.lit(False), F.col("required"), F.lit(None).cast("boolean"))
-    return docs.join(matches.select("doc"), "doc", "left_anti").select("doc", F.lit("MC").alias("gap_type"), kind.alias("severity"))
+    return docs.join(matches.select("doc").hint("merge"), "doc", "left_anti").select("doc", F.lit("MC").alias("gap_type"), kind.alias("severity"))
 
 
 def column_gaps(pairs: DataFrame, source_columns: DataFrame, doc_columns: DataFrame, matched: DataFrame) -> DataFrame:
@@ -29,14 +29,15 @@ def column_gaps(pairs: DataFrame, source_columns: DataFrame, doc_columns: DataFr
     ``source_columns``: src, column, java, primary; ``doc_columns``: doc, column, sql,
     primary; ``matched``: src, doc, column, doc_column.
     """
-    s = pairs.select("src", "doc").join(source_columns, "src").join(matched, ["src", "doc", "column"], "left")
+    # Columns and parameters are exploded, more than Spark takes them for: hints keep it from sending them to all.
+    s = pairs.select("src", "doc").join(source_columns.hint("merge"), "src").join(matched.hint("merge"), ["src", "doc", "column"], "left")
     kind = lambda t, java=None, sql=None: severity.gap_severity(F.lit(t), F.col("primary"), F.lit(False), F.lit(None).cast("boolean"), java, sql)
     only_source = s.where(F.col("doc_column").isNull()).select("src", "doc", "column", F.lit("SM").alias("gap_type"), kind("SM").alias("severity"))
     types = doc_columns.select("doc", F.col("column").alias("doc_column"), "sql")
-    typed = s.where(F.col("doc_column").isNotNull()).join(types, ["doc", "doc_column"]).where(F.col("java").isNotNull() & F.col("sql").isNotNull())
+    typed = s.where(F.col("doc_column").isNotNull()).join(types.hint("merge"), ["doc", "doc_column"]).where(F.col("java").isNotNull() & F.col("sql").isNotNull())
     wrong = typed.where(~severity.type_compatible(F.col("java"), F.col("sql"))).select("src", "doc", "column", F.lit("TM").alias("gap_type"), kind("TM", F.col("java"), F.col("sql")).alias("severity"))
-    t = pairs.select("src", "doc").join(doc_columns, "doc")
-    only_doc = t.join(matched.select("src", "doc", F.col("doc_column").alias("column")), ["src", "doc", "column"], "left_anti").select("src", "doc", "column", F.lit("SM").alias("gap_type"), kind("SM").alias("severity"))
+    t = pairs.select("src", "doc").join(doc_columns.hint("merge"), "doc")
+    only_doc = t.join(matched.select("src", "doc", F.col("doc_column").alias("column")).hint("merge"), ["src", "doc", "column"], "left_anti").select("src", "doc", "column", F.lit("SM").alias("gap_type"), kind("SM").alias("severity"))
     return only_source.unionByName(wrong).unionByName(only_doc)
 
 
@@ -47,10 +48,10 @@ def parameter_gaps(pairs: DataFrame, source_params: DataFrame, doc_params: DataF
     """
     low = lambda df: df.withColumn("k", F.lower("name"))
     kind = severity.gap_severity(F.lit("PM"), F.lit(False), F.col("required"), F.lit(None).cast("boolean"))
-    s = pairs.select("src", "doc").join(low(source_params), "src").where(~rules.skip_parameter(F.col("name"), F.col("type"), F.col("annotation"), F.col("path")))
-    t = pairs.select("src", "doc").join(low(doc_params), "doc")
-    lacks = lambda a, b, side: a.join(b.select("src", "doc", "k"), ["src", "doc", "k"], "left_anti").select("src", "doc", "name", F.lit(side).alias("lacking"), F.lit("PM").alias("gap_type"), kind.alias("severity"))
-    all_source = pairs.select("src", "doc").join(low(source_params), "src")
+    s = pairs.select("src", "doc").join(low(source_params).hint("merge"), "src").where(~rules.skip_parameter(F.col("name"), F.col("type"), F.col("annotation"), F.col("path")))
+    t = pairs.select("src", "doc").join(low(doc_params).hint("merge"), "doc")
+    lacks = lambda a, b, side: a.join(b.select("src", "doc", "k").hint("merge"), ["src", "doc", "k"], "left_anti").select("src", "doc", "name", F.lit(side).alias("lacking"), F.lit("PM").alias("gap_type"), kind.alias("severity"))
+    all_source = pairs.select("src", "doc").join(low(source_params).hint("merge"), "src")
     return lacks(s, t, "doc").unionByName(lacks(t, all_source, "source"))
 
 
