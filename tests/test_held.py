@@ -6,10 +6,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from oreline.catalog import QUERIES
 from oreline.operators import factcheck as C
+from oreline.operators import gaps as G
 from oreline.operators import matching as M
+from oreline.plans.factcheck import fact_spec
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -56,3 +59,13 @@ def test_pairs_of_a_path_are_not_shuffled(spark):
     assert found.count() == 4_000_000
     tree = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in tree.split("Generate explode(_id")[0]  # from the pairs on, upwards
+
+
+def test_gaps_of_columns_and_parameters_send_nothing_to_all(spark):
+    spec = fact_spec(spark, SF_DIR)
+    pairs = spec["tables"].select("src", (F.col("src") + 1).alias("doc"))
+    matched = M.match_columns(pairs, spec["columns"], spec["doc_columns"])
+    assert "Broadcast" not in plan(matched)
+    assert "Broadcast" not in plan(G.column_gaps(pairs, spec["columns"], spec["doc_columns"], matched))
+    assert "Broadcast" not in plan(G.parameter_gaps(pairs, spec["params"], spec["doc_params"]))
+    assert "Broadcast" not in plan(G.missing_in_document(spec["apis"].withColumn("primary", F.lit(False)), pairs))
